@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from .common import documents
 from .fingerprint import edited_fingerprints
 from .mixing import pareto_mix
+from .ngrams import ngram_components
 from .pieces import digest
 from .sharding import balanced_shards
 from .tokens import token_counts
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
@@ -36,6 +41,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_token_counts, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing)}
 
 ORACLES: dict[str, str] = {}
