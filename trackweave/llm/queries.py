@@ -11,6 +11,8 @@ from .fingerprint import edited_fingerprints
 from .mixing import pareto_mix
 from .ngrams import ngram_components
 from .pieces import digest
+from .quality import quality
+from .secrets import find_secrets, train_forest
 from .sharding import balanced_shards
 from .tokens import token_counts
 
@@ -19,6 +21,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rated.select("doc_id", "p_doc", "p_host", "p_path", "p_quality", "keep")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
@@ -41,6 +48,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_token_counts, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir), train_forest())
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_quality, op4_token_counts, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, pipeline)}
 
 ORACLES: dict[str, str] = {}
