@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ PROPOSED = 4_096
 CACHE = 400_000
 #: Longer pre-tokens are encoded each time instead of kept.
 KEEP_CHARS = 64
+#: Pre-tokens held at a time, however long a text is.
+AT_ONCE = 100_000
 
 
 class Splitter:
@@ -28,16 +31,21 @@ class Splitter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.find = regex.compile(pattern).findall
+        self.find, self.iterate = regex.compile(pattern).findall, regex.compile(pattern).finditer
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
-    def parts(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens, and how many special strings stand between them."""
-        if self.special is None or not self.special.search(text):
-            return self.find(text), 0
-        pieces = self.special.split(text)
-        return [t for p in pieces for t in self.find(p)], len(pieces) - 1
+    def parts(self, text: str) -> Iterator[tuple[list[str], int]]:
+        """Lists of up to AT_ONCE pre-tokens, each with the number of special strings before it."""
+        pieces = self.special.split(text) if self.special is not None and self.special.search(text) else [text]
+        for k, piece in enumerate(pieces):
+            if len(piece) <= AT_ONCE:
+                yield self.find(piece), int(k > 0)
+            else:
+                found, specials = (m.group() for m in self.iterate(piece)), int(k > 0)
+                while some := list(islice(found, AT_ONCE)):
+                    yield some, specials
+                    specials = 0
 
     def lengths(self, tokens: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(tokens, add_special_tokens=False)]
@@ -47,9 +55,9 @@ def _propose(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = Splitter(path, pattern), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(split.parts(text)[0])
+            for text in batch.column(0):
+                for parts, _ in split.parts(text.as_py() or ""):
+                    seen.update(parts)
                 if len(seen) > 50 * PROPOSED:
                     seen = Counter(dict(seen.most_common(10 * PROPOSED)))
         top = [(t, n) for t, n in seen.most_common(PROPOSED) if len(t) <= KEEP_CHARS]
@@ -62,32 +70,35 @@ def _count(path: str, pattern: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, frequent = Splitter(path, pattern), shared.value
         cache: dict[str, int] = {}
-        for batch in batches:
-            split_texts, misses = [], set()
-            for text in batch.column("_text").to_pylist():
-                parts, specials = split.parts(text) if text else ([], 0)
-                split_texts.append((parts, specials))
-                misses.update(t for t in set(parts) if t not in frequent and t not in cache)
-                if len(misses) > 20_000:
-                    if len(cache) > CACHE:
-                        cache.clear()
-                        misses.update(t for parts, _ in split_texts for t in parts if t not in frequent)
-                    todo = list(misses)
-                    cache.update(zip(todo, split.lengths(todo), strict=True))
-                    misses = set()
-            todo = list(misses)
-            cache.update(zip(todo, split.lengths(todo), strict=True))
-            out = np.empty(len(split_texts), np.int64)
-            for i, (parts, specials) in enumerate(split_texts):
-                try:
-                    out[i] = specials + sum([frequent[t] if t in frequent else cache[t] for t in parts])
-                except KeyError:  # the cache began anew in between
-                    out[i] = specials + sum(split.lengths(parts))
-            for t in [t for t in cache if len(t) > KEEP_CHARS]:
-                del cache[t]
-            if len(cache) > CACHE:
+
+        def add(held: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+            new = {t for _, parts in held for t in parts if t not in frequent and t not in cache}
+            if len(cache) + len(new) > CACHE:
                 cache.clear()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), pa.array(out)], [*(c for c in batch.schema.names if c != "_text"), "n_tokens"])
+                new = {t for _, parts in held for t in parts if t not in frequent}
+            todo = list(new)
+            lengths = dict(zip(todo, split.lengths(todo), strict=True))
+            cache.update(lengths)
+            for row, parts in held:
+                out[row] += sum([frequent[t] if t in frequent else cache[t] for t in parts])
+            for t in todo:
+                if len(t) > KEEP_CHARS:
+                    del cache[t]
+
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int64)
+            held, size = [], 0
+            for row, text in enumerate(batch.column("_text")):
+                for parts, specials in split.parts(text.as_py() or ""):
+                    out[row] += specials
+                    held.append((row, parts))
+                    size += len(parts)
+                    if size >= AT_ONCE:
+                        add(held, out)
+                        held, size = [], 0
+            add(held, out)
+            kept = [c for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out)], [*kept, "n_tokens"])
 
     return run
 
