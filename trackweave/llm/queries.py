@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .fingerprint import edited_fingerprints
+from .media import copies_report, edited, rendered
 from .mixing import pareto_mix
 from .ngrams import ngram_components
 from .pieces import digest
+from .pii import pseudonymise
 from .quality import quality
 from .secrets import find_secrets, train_forest
 from .sharding import balanced_shards
@@ -21,6 +23,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key=b"query key")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rated.select("doc_id", "p_doc", "p_host", "p_path", "p_quality", "keep")
@@ -31,6 +37,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images rendered from all vectors, searched for edited copies of every 50th."""
+    images = rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    queries = edited(images.where("id % 50 = 0"))
+    return copies_report(images, queries).withColumnRenamed("id", "vec_id")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -58,6 +71,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_quality, op4_token_counts, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality, op4_token_counts, op5_media, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, pipeline)}
 
 ORACLES: dict[str, str] = {}
