@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+import string
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: A worker's cache of chunks; it starts anew when full.
-CACHE = 300_000
+#: A worker's cache of chunks; when full, it keeps those in use.
+CACHE = 700_000
 KEEP_CHARS = 64
+MARKS, LETTER = string.punctuation, "[A-Za-z\u00c0-\u024f]"
+#: Characters of text encoded at a time.
+AT_ONCE = 2_000_000
 
 
 class PieceCodec:
     """Encodes with an agenda of adjacent symbol pairs, best score first, leftmost on ties.
 
-    Merges never cross from a letter to a following space mark when no piece has a mark
-    behind another character, and never touch a character that no longer piece holds. So
-    a text is cut there, and each chunk is encoded once and kept. Each new chunk is checked
-    against the sentencepiece library, a batch at a time.
+    No merge joins two characters that stand side by side in no piece. So a text is cut
+    at line ends, before spaces and, where no piece has a letter before them, before punctuation marks;
+    each chunk is encoded once and kept. Each new chunk is checked against the sentencepiece library, a batch at a time.
     """
 
     def __init__(self, path: str):
@@ -33,54 +37,60 @@ class PieceCodec:
         size = self.library.get_piece_size()
         self.piece = [self.library.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (self.library.is_control(i) or self.library.is_byte(i) or self.library.is_unknown(i))]
-        self.rank = {self.piece[i]: (-self.library.get_score(i), i) for i in plain}
+        self.rank = {self.piece[i]: -self.library.get_score(i) for i in plain}
+        self.id = {self.piece[i]: i for i in plain}
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(size) if self.library.is_byte(i)}
         self.as_byte = {i: b for b, i in self.byte.items()}
+        self.shown = ["" if self.library.is_control(i) else self.piece[i].replace(SPACE, " ") for i in range(size)]
         if len(self.byte) != 256 or any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("the vocabulary needs byte pieces, and space marks only in front")
         if any("\n" in p for p in self.rank):
             raise ValueError("pieces with line ends aren't supported")
+        # Marks that no piece has behind a letter.
+        behind = {b for p in self.rank for a, b in zip(p, p[1:], strict=False) if re.match(LETTER, a)}
+        m = re.escape("".join(sorted(set(MARKS) - behind)))
+        self.cut = re.compile(rf" *[{m}]*[^ \n{m}]+(?:(?<!{LETTER})[{m}]+[^ \n{m}]*)*| *[{m}]+| +|\n" if m else r" *[^ \n]+| +|\n").findall
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.cut = re.compile(r"\n| *[^ \n]+| +").findall
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}
         for text in ("", " a", "a  b\n\n c\t\x00d", "<s>é\U0001d4b3 ▁x"):  # normalisation other than this codec's
             assert self.decode(self.encode(text)) == self.library.decode(self.library.encode(text)), "unsupported normalisation"
 
     def agenda(self, text: str) -> list[int]:
         """Ids of one chunk, spaces already marked."""
-        symbols, rank = list(text), self.rank
+        symbols, rank = list(text), self.rank.get
         end = len(symbols)
-        if end > 1:
-            before, after = list(range(-1, end - 1)), list(range(1, end + 1))
-            heap = []
-            for i in range(end - 1):
-                if hit := rank.get(pair := symbols[i] + symbols[i + 1]):
-                    heap.append((hit[0], i, pair))
-            heapq.heapify(heap)
+        heap = [(score, i, pair) for i, pair in enumerate(map(add, symbols, symbols[1:])) if (score := rank(pair)) is not None]
+        if heap:
+            before, after = list(range(-1, end)), list(range(1, end + 1))
+            heapify(heap)
             while heap:
-                _, i, pair = heapq.heappop(heap)
-                j = after[i] if symbols[i] else end
-                if j >= end or symbols[i] + symbols[j] != pair:
+                _, i, pair = heappop(heap)
+                j = after[i]
+                if j >= end or not symbols[i] or symbols[i] + symbols[j] != pair:
                     continue  # one of the two has been merged since
                 symbols[i], symbols[j] = pair, ""
-                k = after[i] = after[j]
-                if k < end:
-                    before[k] = i
-                    if hit := rank.get(new := pair + symbols[k]):
-                        heapq.heappush(heap, (hit[0], i, new))
-                if (k := before[i]) >= 0 and (hit := rank.get(new := symbols[k] + pair)):
-                    heapq.heappush(heap, (hit[0], k, new))
+                after[i] = k = after[j]
+                before[k] = i
+                if k < end and (score := rank(new := pair + symbols[k])) is not None:
+                    heappush(heap, (score, i, new))
+                k = before[i]
+                if k >= 0 and (score := rank(new := symbols[k] + pair)) is not None:
+                    heappush(heap, (score, k, new))
         ids = []
         for s in symbols:
             if s:
-                ids.extend([hit[1]] if (hit := rank.get(s)) else [self.byte[b] for b in s.encode()])
+                if (hit := self.id.get(s)) is not None:
+                    ids.append(hit)
+                else:
+                    ids += [self.byte[b] for b in s.encode()]
         return ids
 
     def pieces_text(self, ids: list[int]) -> str:
-        """Text of ids without the leading space that encoding added still in place."""
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.as_byte[i]]) if i in self.as_byte else b"" if i in (self.bos, self.eos) else self.piece[i].replace(SPACE, " ").encode()
+        """Text of ids, with the space that encoding put in front."""
+        if self.as_byte.keys().isdisjoint(ids):
+            return "".join([self.shown[i] for i in ids])
+        out = b"".join([bytes([self.as_byte[i]]) if i in self.as_byte else self.shown[i].encode() for i in ids])
         return out.decode("utf-8", "replace")
 
     def chunks(self, text: str) -> list[str]:
@@ -95,50 +105,61 @@ class PieceCodec:
             text = self.pieces_text(ids)
             if ids != other[2:] or (text[1:] if text[:1] == " " else text) != their_text:
                 raise ValueError(f"the library gives other pieces for {chunk[:50]!r}")
-            self.known[chunk] = (np.array(ids, "<u4").tobytes(), text)
-
-    def prepare(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known.clear()
-        self.learn([c for c in chunks if c not in self.known])
-
-    def packed(self, text: str | None) -> tuple[bytes, str]:
+            self.ids[chunk], self.text[chunk] = np.array(ids, "<u4").tobytes(), text
+
+    def prepare(self, texts: list[str | None]) -> list[list[str]]:
+        """The texts' chunks, all of them known from here to the next call."""
+        cut = [self.chunks(t or "") for t in texts]
+        used: set[str] = set()
+        for chunks in cut:
+            used.update(chunks)
+        for c in [c for c in self.ids if len(c) > KEEP_CHARS]:
+            del self.ids[c], self.text[c]
+        new = [c for c in used if c not in self.ids]
+        if len(self.ids) + len(new) > CACHE:
+            self.ids = {c: self.ids[c] for c in used if c in self.ids}
+            self.text = {c: self.text[c] for c in self.ids}
+        self.learn(new)
+        return cut
+
+    def packed(self, chunks: list[str]) -> tuple[bytes, str]:
         """All ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
-        chunks = self.chunks(text or "")
-        if new := {c for c in chunks if c not in self.known}:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = set(chunks)
-            self.learn(list(new))
-        found = [self.known[c] for c in chunks]
-        ids = b"".join([np.array([self.bos], "<u4").tobytes(), *(f[0] for f in found), np.array([self.eos], "<u4").tobytes()])
-        return ids, "".join([f[1] for f in found])[1:]
+        ids = b"".join(map(self.ids.__getitem__, chunks))
+        return self.bos.to_bytes(4, "little") + ids + self.eos.to_bytes(4, "little"), "".join(map(self.text.__getitem__, chunks))[1:]
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.packed(text)[0], "<u4").tolist()
+        return np.frombuffer(self.packed(self.prepare([text])[0])[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = self.pieces_text(ids)
         return text[1:] if text[:1] == " " else text
 
 
+_codecs: dict[str, PieceCodec] = {}
+
+
+def codec(path: str) -> PieceCodec:
+    """A worker's codec; it outlives tasks, and so does what it has learnt."""
+    if path not in _codecs:
+        _codecs[path] = PieceCodec(path)
+    return _codecs[path]
+
+
 def _encode(path: str, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(path)
+        pieces = codec(path)
         for batch in batches:
-            texts = batch.column(column).to_pylist()
-            new: set[str] = set()
-            for at in range(0, len(texts), 256):  # one call of the library for many texts' new chunks
-                for text in texts[at : at + 256]:
-                    new.update(c for c in set(codec.chunks(text or "")) if c not in codec.known)
-                codec.prepare(new)
-                new = set()
-                rows = [codec.packed(t) for t in texts[at : at + 256]]
-                arrays = [c.slice(at, 256) for c in batch.columns]
+            at = 0
+            while at < batch.num_rows:
+                texts, chars = [], 0
+                while at + len(texts) < batch.num_rows and chars < AT_ONCE:
+                    texts.append(batch.column(column)[at + len(texts)].as_py())
+                    chars += len(texts[-1] or "")
+                rows = [pieces.packed(chunks) for chunks in pieces.prepare(texts)]
+                arrays = [c.slice(at, len(rows)) for c in batch.columns]
                 arrays += [pa.array([ids for ids, _ in rows], pa.binary()), pa.array([text for _, text in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "ids", "decoded"])
-            for c in [c for c in codec.known if len(c) > KEEP_CHARS]:
-                del codec.known[c]
+                at += len(rows)
 
     return run
 
