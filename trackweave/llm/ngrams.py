@@ -20,8 +20,8 @@ CELL_BITS, BLOCKS = 20, 16
 FILTER_BITS = 23
 #: Runs of up to so many nodes are paired in full; longer ones first with one node of each block.
 SMALL, BLOCK = 32, 4096
-#: Side of a cell when nodes of different components in a long run are compared.
-CELL = 2048
+#: A cell of the all-pairs comparison holds two blocks of about so many nodes and n-grams at most.
+CELL_NODES, CELL_GRAMS = 1024, 2_000_000
 #: Hash ranges of the suffix filter.
 RANGES = 64
 WORDS_AT_ONCE = 500_000
@@ -180,7 +180,7 @@ def _prefixes(size: int, share: tuple[int, int], frequency):
 
 
 def _pairs(share: tuple[int, int]):
-    """Streams runs of equal n-grams, sorted by set size: candidate pairs (kind 0) and rows of long runs (kind 1)."""
+    """Streams runs of equal n-grams, sorted by set size: candidate pairs (kind 0), and for long runs pairs (kind 1) that connect all its nodes."""
     num, den = share
     corners = {k: np.triu_indices(k, 1) for k in range(2, SMALL + 1)}
 
@@ -192,33 +192,37 @@ def _pairs(share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # rows of the run at the end of what has been read
         long_run = None
-        made: set[tuple[int, int]] = set()
+        made: set[tuple[int, int, int]] = set()
+        last_low: list[int] = []
 
-        def take(gram: int, node: np.ndarray, at: np.ndarray, is_long: bool, pairs: list, rows: list):
+        def put(kind: int, x: np.ndarray, y: np.ndarray, out: list) -> None:
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                row = (kind, a, b) if a < b else (kind, b, a)
+                if a != b and row not in made:
+                    if len(made) > 300_000:
+                        made.clear()
+                    made.add(row)
+                    out.append(row)
+
+        def take(node: np.ndarray, at: np.ndarray, is_long: bool, out: list) -> None:
             n, pos = at >> 32, at & 0xFFFFFFFF
             if not is_long and len(node) <= SMALL:
                 if len(node) < 2:
                     return
                 i, j = corners[len(node)]
             else:
-                rows.append((np.full(len(node), gram), node, at))
                 low = int(np.argmin(node))
                 i, j = np.full(len(node), low), np.arange(len(node))
-            ok = allowed(n, pos, i, j) & (node[i] != node[j])
-            for a, b in zip(node[i[ok]].tolist(), node[j[ok]].tolist(), strict=True):
-                pair = (a, b) if a < b else (b, a)
-                if pair not in made:
-                    if len(made) > 300_000:
-                        made.clear()
-                    made.add(pair)
-                    pairs.append(pair)
+                put(1, node[i], node, out)
+                if last_low:  # blocks of one run hang together
+                    put(1, np.array(last_low), node[[low]], out)
+                last_low[:] = [int(node[low])]
+            ok = allowed(n, pos, i, j)
+            put(0, node[i[ok]], node[j[ok]], out)
 
-        def emit(pairs, rows):
-            a = [np.array([p[0] for p in pairs], np.int64), *(r[0] for r in rows)]
-            b = [np.array([p[1] for p in pairs], np.int64), *(r[1] for r in rows)]
-            c = [np.zeros(len(pairs), np.int64), *(r[2] for r in rows)]
-            kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), sum(len(r[0]) for r in rows)])
-            return pa.record_batch([pa.array(kind), *(pa.array(np.concatenate(x)) for x in (a, b, c))], ["kind", "a", "b", "c"])
+        def emit(out: list) -> pa.RecordBatch:
+            kind, a, b = zip(*out, strict=True)
+            return pa.record_batch([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
 
         for batch in batches:
             gram, node, at = (np.concatenate([*(h[k] for h in held), batch.column(k).to_numpy()]) for k in range(3))
@@ -227,25 +231,30 @@ def _pairs(share: tuple[int, int]):
             gram, node, at = gram[fresh], node[fresh], at[fresh]
             cut = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             ends = np.append(cut[1:], len(gram))
-            pairs, rows = [], []
+            out: list[tuple[int, int, int]] = []
             for s, e in zip(cut[:-1].tolist(), ends[:-1].tolist(), strict=True):
-                if e - s > 1 or gram[s] == long_run:
-                    take(int(gram[s]), node[s:e], at[s:e], gram[s] == long_run or e - s > SMALL, pairs, rows)
+                if gram[s] == long_run:
+                    take(node[s:e], at[s:e], True, out)
+                elif e - s > 1:
+                    last_low.clear()
+                    take(node[s:e], at[s:e], e - s > SMALL, out)
             s = int(cut[-1])
             while len(gram) - s > BLOCK:
-                long_run = gram[s]
-                take(int(gram[s]), node[s : s + BLOCK], at[s : s + BLOCK], True, pairs, rows)
+                if gram[s] != long_run:
+                    last_low.clear()
+                    long_run = gram[s]
+                take(node[s : s + BLOCK], at[s : s + BLOCK], True, out)
                 s += BLOCK
             held = [(gram[s:], node[s:], at[s:])]
-            if pairs or rows:
-                yield emit(pairs, rows)
-        if held:
-            gram, node, at = held[0]
-            pairs, rows = [], []
-            if len(gram) > 1 or len(gram) and gram[0] == long_run:
-                take(int(gram[0]), node, at, gram[0] == long_run or len(gram) > SMALL, pairs, rows)
-            if pairs or rows:
-                yield emit(pairs, rows)
+            if out:
+                yield emit(out)
+        if held and len(held[0][0]):
+            (gram, node, at), out = held[0], []
+            if gram[0] != long_run:
+                last_low.clear()
+            take(node, at, gram[0] == long_run or len(gram) > SMALL, out)
+            if out:
+                yield emit(out)
 
     return run
 
@@ -279,39 +288,74 @@ def _verified(size: int, share: tuple[int, int]):
     return run
 
 
-def _compared(share: tuple[int, int], best: bool):
-    """Pairs of one cell of a long run whose components differ: the closest for each node, or all that the filters pass."""
-    num, den = share
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: a product of the incidence matrix, without n-grams that only one set has."""
+    grams, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(grams, return_inverse=True, return_counts=True)
+    keep = count[column] > 1
+    row, (names, column) = row[keep], np.unique(column[keep], return_inverse=True)
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, len(names), 4096):
+        s, e = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[s:e], column[s:e] - low] = 1
+        total += part @ part.T
+    return np.rint(total).astype(np.int64)
+
+
+def _compared(size: int, share: tuple[int, int]):
+    """Links of one cell that join its components: all its pairs are looked at, those are kept that connect."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        n, pos = pdf["at"].to_numpy() >> 32, pdf["at"].to_numpy() & 0xFFFFFFFF
-        label, ids, part = pd.factorize(pdf["label"])[0], pdf["id"].to_numpy(), pdf["part"].to_numpy()
-        hist = np.frombuffer(b"".join(pdf["hist"]), np.uint8).reshape(-1, RANGES).astype(np.int16)
-        cross = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-        a, b = [], []
-        for i in range(len(n) - 1):
-            stop = np.searchsorted(n, n[i] * den // num, side="right")
-            j = np.arange(i + 1, stop)
-            j = j[label[j] != label[i]]
-            if cross:
-                j = j[part[j] != part[i]]
-            need = least_overlap(n[i], n[j], share)
-            j = j[np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need]
-            if not len(j):
-                continue
-            apart = np.abs(hist[j] - hist[i]).sum(axis=1)
-            ok = apart <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], share)
-            j, apart = j[ok], apart[ok]
-            if best and len(j):
-                j = j[[int(np.argmin(apart))]]
-            a += [ids[i]] * len(j)
-            b += ids[j].tolist()
-        return pd.DataFrame({"a": a, "b": b})
+        ids = pdf["id"].tolist()
+        root = {x: x for x in pdf["label"]}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        label, links = pdf["label"].tolist(), []
+        if len(root) > 1:
+            sets = [shingles(t, size) for t in pdf["text"]]
+            n = np.array([len(s) for s in sets])
+            alike = np.triu(_overlaps(sets) >= least_overlap(n[:, None], n[None], share), 1)
+            code = np.unique(np.array(label), return_inverse=True)[1]
+            for i, j in zip(*np.nonzero(alike & (code[:, None] != code[None])), strict=True):
+                x, y = find(label[i]), find(label[j])
+                if x != y:
+                    root[x] = y
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=pdf["id"].dtype)
 
     return run
 
 
+def _cells(members: DataFrame) -> DataFrame:
+    """Deals members (cluster, id, n, label) to cells (cluster, lo, hi) so that any two whose sizes allow a link meet in one.
+
+    Sizes fall into classes as wide as the length filter; each class is split by hash into blocks of bounded
+    size, and each pair of blocks of the same or neighbouring classes is a cell.
+    """
+    rows = members.withColumn("size", F.floor(F.log(F.col("n")) / float(np.log(1.25)) + 1e-9).cast("int"))
+    counts = rows.groupBy("cluster", "size").agg(F.ceil(F.greatest(F.count("*") / CELL_NODES, F.sum("n") / CELL_GRAMS)).cast("int").alias("blocks"))
+    near = lambda d: counts.select("cluster", (F.col("size") - d).alias("size"), F.col("blocks").alias("above" if d > 0 else "below"))
+    rows = rows.join(counts, ["cluster", "size"]).join(near(1), ["cluster", "size"], "left").join(near(-1), ["cluster", "size"], "left")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    name = lambda size, b: F.struct(size.alias("size"), b.alias("block"))
+    rows = rows.withColumn("own", name(F.col("size"), block))
+    others = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: name(F.col("size"), b)),
+        F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda b: name(F.col("size") + 1, b))).otherwise(F.array()),
+        F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda b: name(F.col("size") - 1, b))).otherwise(F.array()),
+    )
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("cluster", "id", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
 # --- the join -------------------------------------------------------------------------------------
 
 
@@ -360,10 +404,9 @@ def ngram_components(docs: DataFrame, words: int = 5, share: tuple[int, int] = (
     3. Runs of up to SMALL nodes give all pairs that pass the length and positional filters. In longer runs
        each node is paired with one node of its block. Pairs pass a suffix filter, then
        the texts of what is left are compared, once for each pair; the links' components follow.
-    4. Nodes of a long run that are still in different components are compared in cells of
-       CELL by CELL nodes: first each with its closest, then, after joining components
-       anew, all pairs that pass the filters. So no link between components is lost, and
-       none within one is needed.
+    4. Nodes that long runs connect, but links don't yet, are compared in cells: pairs of blocks of bounded
+       size. A cell looks at all its pairs and returns only links that join components, so a large group of near copies
+       leaves fewer rows than it has members, and no link between components is lost.
 
     n-grams are 64-bit hashes. Words are runs of anything but ASCII white space, A-Z in lower case. Null,
     empty and blank texts have no n-grams and are linked with nothing; a text of fewer words
@@ -381,31 +424,26 @@ def ngram_components(docs: DataFrame, words: int = 5, share: tuple[int, int] = (
 
     grams = docs.select("text").mapInArrow(_prefixes(words, share, grade), "gram long, node long, at long")
     runs = grams.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "at", "node")
-    met = checkpoint(runs.mapInArrow(_pairs(share), "kind int, a long, b long, c long"))
+    met = checkpoint(runs.mapInArrow(_pairs(share), "kind int, a long, b long").distinct())
 
     known = profile.where("n > 0 and id is not null")
     nodes = checkpoint(known.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")).join(known.select("id", "hist").dropDuplicates(["id"]), "id"))
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id"), F.col("n").alias(f"n{x}"), F.col("hist").alias(f"h{x}"))
-    pairs = met.where("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "na", "nb", "ha", "hb")
+    met = met.join(side("a"), "a").join(side("b"), "b")
+    pairs = met.where("kind = 0").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "na", "nb", "ha", "hb")
     links = _verify(pairs.mapInArrow(_close(share), f"a {kind}, b {kind}"), docs, words, share)
 
-    rows = met.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("node"), F.col("c").alias("at"))
-    long_runs = not rows.isEmpty()
-    for best in (True, False) if long_runs else ():
+    # What long runs connect, wherever it isn't one component yet.
+    ties = checkpoint(met.where("kind = 1").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct())
+    if not ties.isEmpty():
+        clusters = components(ties).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
         label = components(links).withColumnRenamed("node", "id")
-        placed = rows.join(nodes.select("node", "id", "hist"), "node").join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
-        mixed = placed.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low < high")
-        sides = F.ceil(F.col("rows") / CELL).cast("int")
-        dealt = (
-            placed.join(mixed, "gram")
-            .withColumn("part", F.pmod(F.xxhash64("node"), sides).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-            .select("gram", "id", "at", "label", "hist", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-        )
-        more = dealt.groupBy("gram", "lo", "hi").applyInPandas(_compared(share, best), f"a {kind}, b {kind}")
-        pairs = more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = checkpoint(links.union(_verify(pairs, docs, words, share)))
+        members = clusters.join(nodes.select("id", "n"), "id").join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
+        mixed = members.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        members = checkpoint(members.join(mixed, "cluster", "left_semi").select("cluster", "id", "n", "label"))
+        texts = _among(members.select("id"), docs)
+        cells = _cells(members).join(texts, "id").groupBy("cluster", "lo", "hi")
+        links = checkpoint(links.union(cells.applyInPandas(_compared(words, share), f"a {kind}, b {kind}")))
 
     groups = components(links).withColumnRenamed("node", "least")
     least = nodes.select("node", F.col("id").alias("least")).join(groups, "least", "left").select("node", F.coalesce("component", "least").alias("component"))
