@@ -23,13 +23,13 @@ def enu_to_ecef(lon: Column, lat: Column, height: Column) -> Column:
 
 def tile_x(lon: Column, level: Column) -> Column:
     """Column of the geographic tile grid, two columns and one row at level 0."""
-    width = F.shiftleft(F.lit(2), level)
+    width = F.call_function("shiftleft", F.lit(2), level)
     return F.greatest(F.lit(0), F.least(width - 1, F.floor((lon + 180) / 360 * width).cast("int")))
 
 
 def tile_y(lat: Column, level: Column) -> Column:
     """Row of the grid, from the south."""
-    height = F.shiftleft(F.lit(1), level)
+    height = F.call_function("shiftleft", F.lit(1), level)
     return F.greatest(F.lit(0), F.least(height - 1, F.floor((lat + 90) / 180 * height).cast("int")))
 
 

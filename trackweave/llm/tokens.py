@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 FREQUENT = 32_768
 #: Pre-tokens that one task proposes for it.
 PROPOSED = 4_096
-#: A worker's cache of other pre-tokens; it starts anew when full.
-CACHE = 400_000
+#: A worker's cache of other pre-tokens; when full, it keeps those in use.
+CACHE = 600_000
 #: Longer pre-tokens are encoded each time instead of kept.
 KEEP_CHARS = 64
 #: Pre-tokens held at a time, however long a text is.
@@ -33,6 +33,7 @@ class Splitter:
         self.tokenizer = Tokenizer.from_file(path)
         self.find, self.iterate = regex.compile(pattern).findall, regex.compile(pattern).finditer
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.known: dict[str, int] = {}
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
     def parts(self, text: str) -> Iterator[tuple[list[str], int]]:
@@ -51,9 +52,19 @@ class Splitter:
         return [len(e.ids) for e in self.tokenizer.encode_batch(tokens, add_special_tokens=False)]
 
 
+_splitters: dict[tuple[str, str], Splitter] = {}
+
+
+def splitter(path: str, pattern: str) -> Splitter:
+    """A worker's splitter; it outlives tasks, and so does its cache of lengths."""
+    if (path, pattern) not in _splitters:
+        _splitters[path, pattern] = Splitter(path, pattern)
+    return _splitters[path, pattern]
+
+
 def _propose(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Splitter(path, pattern), Counter()
+        split, seen = splitter(path, pattern), Counter()
         for batch in batches:
             for text in batch.column(0):
                 for parts, _ in split.parts(text.as_py() or ""):
@@ -68,22 +79,23 @@ def _propose(path: str, pattern: str):
 
 def _count(path: str, pattern: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, frequent = Splitter(path, pattern), shared.value
-        cache: dict[str, int] = {}
+        split, frequent = splitter(path, pattern), shared.value
+        split.known.update(frequent)
 
         def add(held: list[tuple[int, list[str]]], out: np.ndarray) -> None:
-            new = {t for _, parts in held for t in parts if t not in frequent and t not in cache}
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = {t for _, parts in held for t in parts if t not in frequent}
-            todo = list(new)
-            lengths = dict(zip(todo, split.lengths(todo), strict=True))
-            cache.update(lengths)
+            used: set[str] = set()
+            for _, parts in held:
+                used.update(parts)
+            todo = list(used - split.known.keys())
+            if len(split.known) + len(todo) > CACHE + len(frequent):
+                split.known = {**frequent, **{t: split.known[t] for t in used if t in split.known}}
+            split.known.update(zip(todo, split.lengths(todo), strict=True))
+            length = split.known.__getitem__
             for row, parts in held:
-                out[row] += sum([frequent[t] if t in frequent else cache[t] for t in parts])
+                out[row] += sum(map(length, parts))
             for t in todo:
                 if len(t) > KEEP_CHARS:
-                    del cache[t]
+                    del split.known[t]
 
         for batch in batches:
             out = np.zeros(batch.num_rows, np.int64)

@@ -55,13 +55,12 @@ def assign_ids(groups: DataFrame, old: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["uid", "group_id", "global_id"])
 
     found = placed.select("uid", "group_id", "global_id", "component").groupBy("component").applyInPandas(solve, "uid string, group_id string, global_id string")
-    # A minted id may equal a retired one of another component: salt it until it is free.
-    taken = old.select(F.col("global_id").alias("_g")).distinct()
-    kept = was.select("group_id", F.col("global_id").alias("_own")).distinct()
-    fresh = found.join(kept, (found["group_id"] == kept["group_id"]) & (found["global_id"] == kept["_own"]), "left").drop(kept["group_id"])
-    clash = fresh.where("_own IS NULL").join(taken, F.col("global_id") == F.col("_g"), "left_semi").select("group_id").distinct().withColumn("_clash", F.lit(True))
-    first = Window.partitionBy("group_id")
-    salted = F.concat(F.lit("g-"), F.substring(F.sha2(F.concat(F.min("uid").over(first), F.lit("#1")), 256), 1, 20))
+    # A minted id may equal one that another component's groups had before: salt it.
+    taken = old.select(F.col("global_id").alias("_taken")).distinct()
+    own = was.where("global_id IS NOT NULL").select(F.col("group_id").alias("_group"), F.col("global_id").alias("_own")).distinct()
+    mine = (F.col("group_id") == F.col("_group")) & (F.col("global_id") == F.col("_own"))
+    clash = found.join(own, mine, "left_anti").join(taken, F.col("global_id") == F.col("_taken"), "left_semi").select("group_id").distinct().withColumn("_clash", F.lit(True))
+    salted = F.concat(F.lit("g-"), F.substring(F.sha2(F.concat(F.min("uid").over(Window.partitionBy("group_id")), F.lit("#1")), 256), 1, 20))
     return found.join(clash, "group_id", "left").withColumn("global_id", F.when(F.col("_clash"), salted).otherwise(F.col("global_id"))).select("uid", "group_id", "global_id")
 
 

@@ -46,7 +46,7 @@ def event_error(e: Column | None = None) -> Column:
         ("event_id", _identifier(col("event_id"), 512)),
         ("node_id", _identifier(col("node_id"), 128)),
         ("camera_id", _identifier(col("camera_id"), 128)),
-        ("session_id", col("session_id").between(0, 2**64 - 1)),
+        ("session_id", (col("session_id") >= 0) & (col("session_id") < F.lit("18446744073709551616").cast("decimal(20,0)"))),
         ("local_id", col("local_id") >= 0),
         ("seq", col("seq") >= 1),
         ("type", col("type").isin(*TYPES)),
@@ -85,15 +85,16 @@ def classify(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds `status` to incoming events (batch_id, node_id, seq, event_id, digest): new, replay or conflict.
 
     A replay has the stored event's id and digest. Anything else at a stored (node, seq), or a stored
-    (node, event_id) at another seq, is a conflict, and so are two such rows in one delivery; a conflict rejects its whole batch.
+    (node, event_id) at another seq, is a conflict, and so is what differs from an earlier batch of
+    the delivery (one that is rejected included) or within its batch; a conflict rejects its whole batch.
     """
     known = stored.select("node_id", "seq", F.col("event_id").alias("_id"), F.col("digest").alias("_digest"))
     ids = stored.select("node_id", "event_id", F.col("seq").alias("_seq"))
     met = incoming.join(known, ["node_id", "seq"], "left").join(ids, ["node_id", "event_id"], "left")
-    by_seq = Window.partitionBy("node_id", "seq")
-    by_id = Window.partitionBy("node_id", "event_id")
+    by_seq = Window.partitionBy("node_id", "seq").orderBy("batch_id", "event_id", "digest")
+    by_id = Window.partitionBy("node_id", "event_id").orderBy("batch_id", "seq")
     same = F.struct("event_id", "digest")
-    clash = (F.min(same).over(by_seq) != F.max(same).over(by_seq)) | (F.min("seq").over(by_id) != F.max("seq").over(by_id))
+    clash = (F.first(same).over(by_seq) != same) | (F.first("seq").over(by_id) != F.col("seq"))
     conflict = clash | (F.col("_id").isNotNull() & ((F.col("_id") != F.col("event_id")) | (F.col("_digest") != F.col("digest")))) | (F.col("_seq").isNotNull() & (F.col("_seq") != F.col("seq")))
     batch = Window.partitionBy("batch_id")
     status = F.when(F.max(conflict.cast("int")).over(batch) == 1, "conflict").when(F.col("_id").isNotNull(), "replay").otherwise("new")

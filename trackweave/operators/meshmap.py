@@ -50,10 +50,11 @@ def surface(triangles: DataFrame, points: DataFrame, radius: float = 20.0, k: in
     asked = asked.withColumns({"gx": F.floor(F.col("px") / size).cast("long"), "gy": F.floor(F.col("py") / size).cast("long")})
     apart = [F.greatest(F.col(f"lo{c}") - F.col(f"p{c}"), F.lit(0.0), F.col(f"p{c}") - F.col(f"hi{c}")) for c in "xyz"]
     near = placed.join(asked, ["gx", "gy"]).where(sum((d * d for d in apart[1:]), apart[0] * apart[0]) <= radius * radius)
-    hit = T.staged(near, T.CLOSEST).where(F.col("distance") <= radius)
+    hit = T.staged(near, T.CLOSEST)
     seen = F.struct("distance", "triangle_id", "semantic", "kx", "ky", "kz", "ux", "uy", "uz")
     best = hit.groupBy("query_id", "entity_id").agg(F.min_by(seen, F.struct("distance", "triangle_id")).alias("h"))
-    best = best.select("query_id", "entity_id", "h.*")
+    # The radius is tested on the least distance: a filter below would repeat the whole computation.
+    best = best.select("query_id", "entity_id", "h.*").where(F.col("distance") <= radius)
     return top_k(best, ["query_id"], [F.col("distance"), F.col("entity_id")], k, "rank").select(
         "query_id", "rank", "entity_id", "semantic", "triangle_id", "distance", F.array("kx", "ky", "kz").alias("point"), F.array("ux", "uy", "uz").alias("normal")
     )

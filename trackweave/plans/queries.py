@@ -92,8 +92,8 @@ def event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN event_id >= 9000 THEN event_id - 9000 ELSE event_id END AS eid, CASE WHEN event_id % 1013 = 1000 THEN 'x' ELSE 'same' END AS digest FROM events),
   stored AS (SELECT * FROM d WHERE event_id < 9000 AND event_id % 2 = 0), incoming AS (SELECT * FROM d WHERE event_id >= 9000 OR event_id % 2 = 0),
   met AS (SELECT i.*, s.eid AS s_eid, s.digest AS s_digest,
-    min((i.eid, i.digest)) OVER (PARTITION BY i.node_id, i.seq) <> max((i.eid, i.digest)) OVER (PARTITION BY i.node_id, i.seq)
-      OR min(i.seq) OVER (PARTITION BY i.node_id, i.eid) <> max(i.seq) OVER (PARTITION BY i.node_id, i.eid) AS clash
+    first_value((i.eid, i.digest)) OVER (PARTITION BY i.node_id, i.seq ORDER BY i.batch_id, i.eid, i.digest) <> (i.eid, i.digest)
+      OR first_value(i.seq) OVER (PARTITION BY i.node_id, i.eid ORDER BY i.batch_id, i.seq) <> i.seq AS clash
     FROM incoming i LEFT JOIN stored s ON s.node_id = i.node_id AND s.seq = i.seq)
   SELECT batch_id, node_id, seq, CASE WHEN max(clash OR coalesce(s_eid <> eid OR s_digest <> digest, FALSE)) OVER (PARTITION BY batch_id) THEN 'conflict' WHEN s_eid IS NOT NULL THEN 'replay' ELSE 'new' END AS status FROM met""")
 def replay_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
