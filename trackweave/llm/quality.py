@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: The classifier is fitted on at most so many labelled rows, the first by a hash of their id.
 MAX_LABELLED = 20_000
 #: Sites up to this number are broadcast; more are joined by a shuffle of the documents.
@@ -131,10 +133,11 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     """Posterior mean quality of each (_host, _path), shrunk to its host's, and that to the global one.
 
     scored: _host, _path, _logit. Partial sums are made before the shuffle, so a hot
-    host costs a row for each task.
+    host costs a row for each task. The sums are written to the checkpoint folder: all that follows
+    reads them, not the texts again.
     """
     p = 1 / (1 + F.exp(-F.col("_logit")))
-    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(p).alias("s"))
+    paths = checkpoint(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     base = float(np.clip((total["s"] or 0.5) / (total["n"] or 1), 0.01, 0.99))
