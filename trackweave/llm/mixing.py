@@ -51,8 +51,8 @@ def pareto_mix(
     so that a source misses its target by at most half of one row. The random number is a
     hash of seed, key and text, so reruns agree.
 
-    A hot source doesn't meet in one task: ranks are cut into slices by value, slices
-    are summed first, and the order within a slice is made there.
+    A hot source doesn't meet in one task: its rows are cut into slices by the random number, which
+    the rank within a source follows; slices are summed first, and the order within a slice is made there.
 
     Size is the number of words; null and empty texts have none and are never taken.
     A null source is a source of its own, after all others. Ties in rank go by key and text
@@ -88,7 +88,7 @@ def pareto_mix(
         slim.join(F.broadcast(table), slim["_source"].eqNullSafe(table["_source"]))
         .drop("_source")
         .withColumn("_rank", F.when(F.col("_part") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
-        .withColumn("_slice", F.when(F.col("_part") > 0, F.least(F.floor(F.col("_rank") * slices), F.lit(slices - 1))).otherwise(F.pmod("_hash", F.lit(slices))).cast("int"))
+        .withColumn("_slice", F.least(F.floor(u * slices), F.lit(slices - 1)).cast("int"))
     )
     sums = ranked.groupBy("_i", "_slice").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_i").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
