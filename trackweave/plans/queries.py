@@ -389,7 +389,7 @@ def mesh_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT p_partkey, radians((p_partkey*37) % 360 - 180.0::DOUBLE) AS lo, radians((p_partkey*53) % 180 - 90.0::DOUBLE) AS la, p_size::DOUBLE AS h FROM part),
   n AS (SELECT *, 6378137.0::DOUBLE / sqrt(1 - (1 - 6356752.314245179::DOUBLE**2 / 6378137.0::DOUBLE**2) * sin(la)**2) AS n, 6356752.314245179::DOUBLE**2 / 6378137.0::DOUBLE**2 AS r FROM p)
-  SELECT p_partkey, round((n + h)*cos(la)*cos(lo), 3) AS x, round((n + h)*cos(la)*sin(lo), 3) AS y, round((n*r + h)*sin(la), 3) AS z, round(-sin(la)*cos(lo), 6) AS north_x FROM n""")
+  SELECT p_partkey, round((n + h)*cos(la)*cos(lo), 3) + 0.0::DOUBLE AS x, round((n + h)*cos(la)*sin(lo), 3) + 0.0::DOUBLE AS y, round((n*r + h)*sin(la), 3) + 0.0::DOUBLE AS z, round(-sin(la)*cos(lo), 6) + 0.0::DOUBLE AS north_x FROM n""")
 def enu_to_ecef(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.table(spark, sf_dir, "part").selectExpr("p_partkey", "(p_partkey*37) % 360 - 180.0D AS lon", "(p_partkey*53) % 180 - 90.0D AS lat", "cast(p_size as double) AS h")
     m = p.select("p_partkey", geodesy.enu_to_ecef(F.col("lon"), F.col("lat"), F.col("h")).alias("m"))
