@@ -11,7 +11,7 @@ from trackweave.operators import associate, fusion, graph, identity, tracklets,
 from trackweave.sources import adapters
 
 EVENT = "node_id string, camera_id string, session_id long, local_id long, seq long, type string, event_time_ns long, class_id long, position array<double>, covariance array<double>, velocity array<double>, quality double, frame string, map_revision string"
-EYE = [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
+EYE = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
 def seen(node, seq, ns, x, kind="update", cov=EYE, cls=0):
@@ -158,7 +158,7 @@ def member(i, **more):
 
 @pytest.mark.parametrize(
     "change, reason",
-    [({}, "ci_position_only"), ({"domain": None}, "source_unverified_or_unlocalized"), ({"label": ""}, "semantic_class_unverified"), ({"s_map": "x"}, "clock_map_or_class_mismatch"), ({"clock_uncertainty_ns": 90_000_000}, "clock_uncertainty_unverified"), ({"covariance": [300.0, 0, 0, 0, 1, 0, 0, 0, 1]}, "covariance_outside_bounds"), ({"covariance": [0.0] * 9}, "covariance_not_spd"), ({"node_id": "n0"}, "duplicate_physical_node"), ({"event_ns": 3 * 10**9}, "time_extrapolation_limit"), ({"position": [90.0, 2.0, 3.0]}, "position_residual_exceeds_gate"), ({"ray": {"origin": [9.0, 2.0, 3.0], "direction": [1.0, 0.0, 0.0], "sigma": 0.01, "timestamp_ns": 10**9}}, "bearing_geometry_contradiction")],
+    [({}, "ci_position_only"), ({"domain": None}, "source_unverified_or_unlocalized"), ({"label": ""}, "semantic_class_unverified"), ({"s_map": "x"}, "clock_map_or_class_mismatch"), ({"clock_uncertainty_ns": 90_000_000}, "clock_uncertainty_unverified"), ({"covariance": [300.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]}, "covariance_outside_bounds"), ({"covariance": [0.0] * 9}, "covariance_not_spd"), ({"node_id": "n0"}, "duplicate_physical_node"), ({"event_ns": 3 * 10**9}, "time_extrapolation_limit"), ({"position": [90.0, 2.0, 3.0]}, "position_residual_exceeds_gate"), ({"ray": {"origin": [9.0, 2.0, 3.0], "direction": [1.0, 0.0, 0.0], "sigma": 0.01, "timestamp_ns": 10**9}}, "bearing_geometry_contradiction")],
 )
 def test_group_estimates(spark, change, reason):
     g = pd.DataFrame([member(0), member(1, **change), member(2)])
