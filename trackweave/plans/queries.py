@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy, triangles
 from ..functions import vectors as V
-from ..operators import associate, fusion, graph, identity, ingest, meshmap, tracklets, window_ls
+from ..operators import associate, checkpoints, fusion, graph, identity, ingest, meshmap, tracklets, window_ls
 from ..sources import adapters as A
+from ..streaming import inbox, world
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,14 +215,19 @@ def clique_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- identity ----------------------------------------------------------------------------------------
 
 
-def snapshot(spark: SparkSession, sf_dir: str, part: float = 1.0, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Members (uid, group_id, global_id) and tracklets of the first part of the events."""
+def grouped(spark: SparkSession, sf_dir: str, part: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Groups (uid, group_id) and tracklets of the first part of the events."""
     events = A.track_events(spark, sf_dir)
     if part < 1:
         cut = int(A.table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] * part)
         events = events.where(F.col("event_id") < cut)
     found = tracklets.tracklets(tracklets.segmented(events))
-    groups = graph.pair_groups(graph.greedy_pairs(pairs_of(spark, found)), found)
+    return graph.SOLVERS["greedy"](pairs_of(spark, found), found), found
+
+
+def snapshot(spark: SparkSession, sf_dir: str, part: float = 1.0, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (uid, group_id, global_id) and tracklets of the first part of the events."""
+    groups, found = grouped(spark, sf_dir, part)
     none = spark.createDataFrame([], "uid string, global_id string")
     return identity.assign_ids(groups, none if old is None else old), found
 
@@ -410,3 +416,43 @@ def unsupported_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = A.table(spark, sf_dir, "part").selectExpr("p_partkey AS query_id", "element_at(array('occupancy', 'esdf', 'reachability', 'road_topology', 'surface'), cast(p_partkey % 5 AS int) + 1) AS op")
     return meshmap.unsupported(ops)
 
+
+
+# --- streams -----------------------------------------------------------------------------------------
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, read to its end. A stream takes a single file by a pattern alone."""
+    rows = A.table(spark, sf_dir, "events")
+    return spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+@query("""WITH e AS (SELECT 'node_' || (event_id % 4) AS node_id, event_id // 4 + 1 AS seq FROM events WHERE event_id % 997 <> 500)
+  SELECT node_id, coalesce(max(seq) FILTER (WHERE seq = rn), 0)::BIGINT AS contiguous FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY seq) AS rn FROM (SELECT DISTINCT * FROM e)) GROUP BY node_id""")
+def stream_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _event_stream(spark, sf_dir).where("event_id % 997 <> 500").selectExpr("concat('node_', event_id % 4) AS node_id", "cast(floor(event_id / 4) + 1 AS long) AS seq")
+    at = checkpoints.new_folder(spark, "watermarks")
+    inbox.follow_watermarks(events, f"{at}/bitmaps", f"{at}/checkpoint").awaitTermination()
+    return inbox.watermarks(spark, f"{at}/bitmaps")
+
+
+@query("""WITH d AS (SELECT event_id // 100 AS batch_id, 'node_' || (event_id // 100 % 4) AS node_id, event_id % 9000 AS seq, 'e' || event_id AS event_id, CASE WHEN event_id % 1013 = 1000 THEN 'x' ELSE 'same' END AS digest FROM events),
+  met AS (SELECT *, first_value((event_id, digest)) OVER (PARTITION BY node_id, seq ORDER BY batch_id, event_id, digest) <> (event_id, digest) OR first_value(seq) OVER (PARTITION BY node_id, event_id ORDER BY batch_id, seq) <> seq AS clash FROM d)
+  SELECT DISTINCT node_id, seq, event_id FROM met QUALIFY NOT max(clash) OVER (PARTITION BY batch_id)""")
+def stream_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that a stream of deliveries stores; batches with a conflict are left out."""
+    rows = _event_stream(spark, sf_dir).selectExpr(
+        "cast(floor(event_id / 100) AS long) AS batch_id", "concat('node_', floor(event_id / 100) % 4) AS node_id", "event_id % 9000 AS seq", "concat('e', event_id) AS event_id", "CASE WHEN event_id % 1013 = 1000 THEN 'x' ELSE 'same' END AS digest",
+    )
+    at = checkpoints.new_folder(spark, "inbox")
+    inbox.keep_deliveries(rows, f"{at}/events", f"{at}/checkpoint").awaitTermination()
+    return inbox.epochs(spark, f"{at}/events", rows.schema).select("node_id", "seq", "event_id")
+
+
+@query()
+def world_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of two published snapshots: of the first half of the events, then of all."""
+    at = checkpoints.new_folder(spark, "world")
+    for part in (0.5, 1.0):
+        groups, found = grouped(spark, sf_dir, part)
+        world.publish(groups, found, A.labels(spark), at)
+    return world.revisions_after(spark, at, 0)
