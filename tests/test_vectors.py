@@ -29,7 +29,7 @@ def test_what_is_no_covariance(spark, c):
 
 def test_rays(spark):
     def ray(o, d):
-        return (o, d, 0.01, 1)
+        return ([float(x) for x in o], [float(x) for x in d], 0.01, 1)
 
     cases = [
         (ray([0.0, 0, 0], [1.0, 0, 0]), ray([5.0, -5, 0], [0.0, 1, 0]), True, True, "ray-consistent"),
