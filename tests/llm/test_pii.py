@@ -34,6 +34,35 @@ def test_values_keep_their_format_and_come_back():
     assert Pseudonyms(b"k").replace(new, back=True)[0] == TEXT
 
 
+def test_numbers_outside_the_ranges_in_use():
+    made = Pseudonyms(b"k")
+    for kind, values, used in (
+        ("phone", ["+1 (017) 555-7713", "(199) 999-9999", "000-000-0000", "200-199-0001", "999.000.1234", "999-199-9999"], lambda v: min(re.sub(r"\D", "", v)[-10], re.sub(r"\D", "", v)[-7]) > "1"),
+        ("ip", ["233.254.104.120", "248.40.198.62", "0.0.0.0", "0.255.255.255", "224.0.0.0", "255.255.255.255"], lambda v: 1 <= int(v.split(".")[0]) <= 223),
+    ):
+        for v in values:
+            new, found = made.replace(v)
+            assert [f[0] for f in found] == [kind] and new != v and not used(new) and made.replace(new, back=True)[0] == v
+            if kind == "phone":
+                assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", v)
+    assert len({made.replace(f"({a:03d}) {e:03d}-0000")[0] for a in range(0, 1000, 7) for e in range(0, 1000, 7)}) == 143 * 143
+
+
+def test_recall_on_the_whole_table(spark):
+    """All that the documents hold by formats counted apart from the operator's patterns."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want = dict.fromkeys(("phone", "ip", "email", "card"), 0)
+    for (text,) in docs.select("text").where("text is not null").collect():
+        want["phone"] += len(re.findall(r"\(\d{3}\) \d{3}-\d{4}", text))
+        want["ip"] += sum(max(map(int, v.split("."))) < 256 for v in re.findall(r"\d+\.\d+\.\d+\.\d+", text))
+        want["email"] += text.count("@")
+        want["card"] += sum(luhn(v[:-1]) == int(v[-1]) for v in re.findall(r"(?<!\d)\d{16}(?!\d)", text))
+    made = pseudonymise(docs, b"k")
+    got = made.selectExpr(*(f"sum(n_{k}) {k}" for k in want)).first().asDict()
+    assert got == want and min(want.values()) > 0
+    assert pseudonymise(made, b"k", back=True).select("doc_id", "text").exceptAll(docs).isEmpty()
+
+
 def test_what_fails_validation_stays():
     assert Pseudonyms(b"k").replace(PLAIN) == (PLAIN, [])
 

@@ -72,8 +72,9 @@ class Pseudonyms:
     """Finds personal data and permutes each value within its format.
 
     Cards keep length, separators, first digit and a valid Luhn digit; IBANs keep country,
-    classes of characters and a valid checksum; phone and social security numbers stay in
-    the ranges that such numbers use; addresses of hosts stay unicast; dates stay real dates of their notation, with one permutation for
+    classes of characters and a valid checksum; social security numbers stay in
+    the ranges that such numbers use; phone numbers and addresses of hosts in use (area and exchange from 200,
+    unicast) stay so, and all others of the format stay among the others; dates stay real dates of their notation, with one permutation for
     all notations; e-mail addresses keep their domain and each character's class. Values
     that fail validation are left alone. One key gives one pseudonym for a value everywhere.
     """
@@ -131,8 +132,12 @@ class Pseudonyms:
     def _phone(self, value: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", value)
         d = digits[-10:]
-        if d[0] in "01" or d[3] in "01":
-            return None
+        if d[0] in "01" or d[3] in "01":  # written like a phone number, outside the ranges in use
+            area, exchange = int(d[:3]), int(d[3:6])
+            x = area * 1000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange
+            x, line = divmod(self.permuted("phone other", x * 10_000 + int(d[6:]), 360_000 * 10_000, back), 10_000)
+            area, exchange = divmod(x, 1000) if x < 200_000 else divmod(x - 200_000 + 200 * 200, 200)
+            return _refill(value, digits[:-10] + f"{area:03d}{exchange:03d}{line:04d}")
         x = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:])
         x = self.permuted("phone", x, 800 * 800 * 10_000, back)
         x, line = divmod(x, 10_000)
@@ -141,9 +146,13 @@ class Pseudonyms:
 
     def _ip(self, value: str, back: bool) -> str | None:
         parts = value.split(".")
-        if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts) or not 1 <= int(parts[0]) <= 223:
+        if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts):
             return None
-        x = int.from_bytes(bytes(map(int, parts)), "big") - (1 << 24)
+        x = int.from_bytes(bytes(map(int, parts)), "big")
+        if not 1 <= x >> 24 <= 223:  # first numbers 0 and 224 to 255
+            x = self.permuted("ip other", x if x < 1 << 24 else x - (223 << 24), 33 << 24, back)
+            return ".".join(map(str, (x if x < 1 << 24 else x + (223 << 24)).to_bytes(4, "big")))
+        x -= 1 << 24
         return ".".join(map(str, (self.permuted("ip", x, 223 << 24, back) + (1 << 24)).to_bytes(4, "big")))
 
     def _date(self, value: str, back: bool) -> str | None:
