@@ -170,6 +170,30 @@ def test_group_estimates(spark, change, reason):
         assert np.allclose(mean, [1, 2, 3]) and cov[0, 0] > 0.99
 
 
+def test_bearings_of_latest_observations_can_veto(spark):
+    """tracklets -> group_inputs -> fuse_groups: ahead, behind, to the side, too old, not valid, none."""
+    eye = {"valid": True, "camera_position_world_m": [-20.0, 2.0, 3.0], "direction_world": [1.0, 0.0, 0.0], "has_tangent_covariance": True, "tangent_covariance_rad2": [1e-4, 0.0, 0.0, 1e-4], "timestamp_ns": 10**9}
+    cases = {
+        "ahead": (eye, "ci_position_only"),
+        "behind": (eye | {"direction_world": [-1.0, 0.0, 0.0]}, "bearing_geometry_contradiction"),
+        "side": (eye | {"camera_position_world_m": [-20.0, 42.0, 3.0]}, "bearing_geometry_contradiction"),
+        "old": (eye | {"direction_world": [-1.0, 0.0, 0.0], "timestamp_ns": 10**9 + 251_000_000}, "ci_position_only"),
+        "invalid": (eye | {"direction_world": [-1.0, 0.0, 0.0], "valid": False}, "ci_position_only"),
+        "no time": (eye | {"direction_world": [-1.0, 0.0, 0.0], "timestamp_ns": None}, "ci_position_only"),
+        "none": (None, "ci_position_only"),
+    }
+    kind = "struct<valid:boolean,camera_position_world_m:array<double>,direction_world:array<double>,has_tangent_covariance:boolean,tangent_covariance_rad2:array<double>,timestamp_ns:bigint>"
+    rows = [(*seen(f"node_{i}", 1, 10**9, 1 + i)[:1], name, *seen(f"node_{i}", 1, 10**9, 1 + i)[2:], b if i else None) for name, (b, _) in cases.items() for i in range(2)]
+    t = tracklets.tracklets(tracklets.segmented(spark.createDataFrame(rows, f"{EVENT}, bearing {kind}")))
+    got = fusion.fuse_groups(fusion.group_inputs(t.selectExpr("uid", "camera_id AS group_id"), t, adapters.sources(spark), adapters.labels(spark))).collect()
+    assert {r["group_id"]: r["reason"] for r in got} == {name: why for name, (_, why) in cases.items()}
+
+
+def test_some_events_of_the_adapter_contradict(spark):
+    rows = {tuple(r) for r in adapters.bearing_events(spark, "/root/testdata/sf0.001").selectExpr("bearing IS NOT NULL", "bearing.direction_world[0] < 0", "bearing.timestamp_ns < event_time_ns").distinct().collect()}
+    assert rows == {(False, None, None), (True, True, False), (True, False, False), (True, False, True)}
+
+
 def watcher(i, origin, target, ns=10**9, **more):
     d = np.array(target, float) - origin
     d /= np.linalg.norm(d)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+
 
 @dataclass(frozen=True)
 class FusionPolicy:
@@ -88,13 +90,16 @@ def intersect_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def group_inputs(members: DataFrame, tracklets: DataFrame, sources: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each member of a group with what the group estimators read."""
+    """One row for each member of a group with what the group estimators read; `ray` is that of latest.bearing, null without one that holds up."""
     rows = members.join(tracklets, "uid").join(labels, ["node_id", "class_id"], "left")
+    ray = F.lit(None).cast("struct<origin:array<double>,direction:array<double>,sigma:double,timestamp_ns:bigint>")
+    if "bearing" in tracklets.schema["latest"].dataType.names:
+        ray = V.ray(F.col("latest.bearing"))
     known = sources.where("verified").select("node_id", "domain", "alignment_id", "offset_ns", "clock_uncertainty_ns", F.col("frame").alias("s_frame"), F.col("map_revision").alias("s_map"))
     return rows.join(known, "node_id", "left").select(
         "group_id", "uid", "node_id", "label", "domain", "alignment_id", "s_frame", "s_map", "offset_ns", "clock_uncertainty_ns", F.col("latest.event_time_ns").alias("event_ns"),
         F.col("latest.position").alias("position"), F.col("latest.covariance").alias("covariance"), F.col("latest.velocity").alias("velocity"), F.col("latest.quality").alias("quality"),
-        F.col("latest.frame").alias("frame"), F.col("latest.map_revision").alias("map_revision"),
+        F.col("latest.frame").alias("frame"), F.col("latest.map_revision").alias("map_revision"), ray.alias("ray"),
     )
 
 
@@ -176,7 +181,7 @@ def contradicting(g: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, epoch: int
 def fuse_groups(rows: DataFrame, policy: FusionPolicy | None = None) -> DataFrame:
     """One row for each group: accepted, reason, epoch, mean and covariance.
 
-    rows: `group_inputs`, with an optional `ray` struct. Estimates of unknown correlation are intersected in
+    rows: `group_inputs`; `ray` may be left out. Estimates of unknown correlation are intersected in
     order of uid at the members' median time; rays can only veto. Groups are small (a group has a sensor once), so each is one call.
     """
     policy = policy or FusionPolicy()

@@ -322,7 +322,7 @@ def position_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ci_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = all_tracklets(spark, sf_dir)
+    found = tracklets.tracklets(tracklets.segmented(A.bearing_events(spark, sf_dir)))
     members = graph.clique_groups(pairs_of(spark, found), found)
     return fusion.fuse_groups(fusion.group_inputs(members, found, A.sources(spark), A.labels(spark)))
 

@@ -36,6 +36,15 @@ def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("n", F.col("n").cast("long")).withColumnRenamed("n", "seq")
 
 
+def bearing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracking events, every third located one with a bearing: a half of them look away from the position, a quarter are too old to count."""
+    turn = "CASE WHEN event_id % 2 = 0 THEN -1.0D ELSE 1.0D END"
+    bearing = f"""named_struct('valid', true, 'camera_position_world_m', array(position[0] - 20.0D, position[1], position[2]), 'direction_world', array({turn}, 0.0D, 0.0D),
+        'tangent_basis_world', array(0.0D, 1.0D, 0.0D, 0.0D, 0.0D, {turn}), 'has_tangent_covariance', true, 'tangent_covariance_rad2', array(1e-4D, 0.0D, 0.0D, 1e-4D),
+        'timestamp_ns', event_time_ns - CASE WHEN event_id % 4 = 1 THEN 300000000L ELSE 0L END)"""
+    return track_events(spark, sf_dir).withColumn("bearing", F.expr(f"CASE WHEN event_id % 3 = 0 AND position IS NOT NULL THEN {bearing} END"))
+
+
 def received_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without those that were lost on the way."""
     return track_events(spark, sf_dir).where("event_id % 997 <> 500")
