@@ -116,6 +116,28 @@ def test_matching_and_cliques_against_sequential_ones(spark, seed):
     assert {r["uid"]: r["group_id"] for r in groups} == {u: min(g) for u, g in of.items()}
 
 
+def test_large_components_are_matched_exactly(spark):
+    # Triangles in a row, each linked to the next: 60 nodes in one component, odd cycles everywhere.
+    name = lambda k, i: f"t{k:02d}{i}"
+    edges = [(name(k, i), name(k, j), 1.0 + k / 10) for k in range(20) for i, j in ((0, 1), (0, 2), (1, 2))]
+    edges += [(name(k, 2), name(k + 1, 0), 0.25) for k in range(0, 19, 2)] + [(name(k, 2), name(k + 1, 0), 9.0) for k in range(1, 19, 2)]
+    got = graph.exact_pairs(edges_of(spark, edges)).collect()
+    # All 60 nodes are paired by the cheap links of two triangles and the edge that each has left.
+    assert len(got) == 30 and sum(r["cost"] for r in got) == pytest.approx(10 * 0.25 + sum(1.0 + k / 10 for k in range(20)))
+    assert len({u for r in got for u in (r["left_uid"], r["right_uid"])}) == 60
+
+
+def test_blossoms_weigh_as_much_as_the_subset_search():
+    for seed in range(400):
+        rng = random.Random(seed)
+        n, p = rng.randint(2, 12), rng.choice([0.2, 0.4, 0.7, 1])
+        edges = [(a, b, rng.randint(1, 10)) for a, b in itertools.combinations(range(n), 2) if rng.random() < p]
+        weight = {(a, b): w for a, b, w in edges}
+        pairs = graph.Blossoms(edges, n).pairs()
+        assert len({u for pair in pairs for u in pair}) == 2 * len(pairs)
+        assert sum(weight[k] for k in pairs) == sum(edges[i][2] for i in graph._best_matching(edges, n))
+
+
 def test_sticky_ids_and_revisions(spark):
     groups = lambda *g: spark.createDataFrame([(u, min(x)) for x in g for u in x], "uid string, group_id string")
     old = spark.createDataFrame([("A", identity.minted("A")), ("B", identity.minted("A"))], "uid string, global_id string")

@@ -78,11 +78,226 @@ def _best_matching(edges: list[tuple[int, int, int]], n: int) -> list[int]:
     return list(solve((1 << n) - 1)[1])
 
 
+class Blossoms:
+    """A matching of greatest weight in any graph, by the primal-dual blossom method: polynomial in its size.
+
+    Nodes are 0 .. n - 1, weights positive integers, edges between two nodes at most one; blossoms have numbers from n on.
+    All duals stay integers, since the slack of an edge counts its weight twice.
+    """
+
+    def __init__(self, edges: list[tuple[int, int, int]], n: int):
+        self.n = n
+        #: For each node or blossom its neighbours, with the edge (own end, other end, weight) of least slack.
+        self.near: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(n)]
+        for a, b, w in edges:
+            self.near[a][b], self.near[b][a] = (a, b, w), (b, a, w)
+        self.dual = [max((w for *_, w in edges), default=0)] * n
+        self.top = list(range(n))  # the outermost blossom; -1: not in use
+        self.mate, self.slack, self.parent = [-1] * n, [-1] * n, [-1] * n
+        self.side = [-1] * n  # 0 outer, 1 inner, -1 free
+        self.ring: list[list[int]] = [[] for _ in range(n)]
+        self.part: list[dict[int, int]] = [{i: i} for i in range(n)]  # which member of the ring holds a node
+        self.queue: list[int] = []
+
+    def left(self, e: tuple[int, int, int]) -> int:
+        return self.dual[e[0]] + self.dual[e[1]] - 2 * e[2]
+
+    def nodes(self, x: int) -> list[int]:
+        return [x] if x < self.n else list(self.part[x])
+
+    def set_top(self, x: int, b: int) -> None:
+        todo = [x]
+        while todo:
+            y = todo.pop()
+            self.top[y] = b
+            todo += self.ring[y]
+
+    def offer(self, u: int, x: int) -> None:
+        if self.slack[x] < 0 or self.left(self.near[u][x]) < self.left(self.near[self.slack[x]][x]):
+            self.slack[x] = u
+
+    def set_slack(self, x: int) -> None:
+        self.slack[x] = -1
+        for u in self.near[x]:
+            if u < self.n and self.top[u] != x and self.side[self.top[u]] == 0:
+                self.offer(u, x)
+
+    def entry(self, b: int, x: int) -> int:
+        """The place of x in b's ring, which is turned round if need be so that the place is even."""
+        ring = self.ring[b]
+        at = ring.index(x)
+        if at % 2:
+            ring[1:] = ring[:0:-1]
+            at = len(ring) - at
+        return at
+
+    def set_mate(self, u: int, v: int) -> None:
+        todo = [(u, v)]
+        while todo:
+            u, v = todo.pop()
+            a, b, _ = self.near[u][v]
+            self.mate[u] = b
+            if u >= self.n:
+                x = self.part[u][a]
+                at, ring = self.entry(u, x), self.ring[u]
+                todo += [(ring[i], ring[i ^ 1]) for i in range(at)]
+                todo.append((x, v))
+                self.ring[u] = ring[at:] + ring[:at]
+
+    def augment(self, u: int, v: int) -> None:
+        while True:
+            after = self.top[self.mate[u]] if self.mate[u] >= 0 else -1
+            self.set_mate(u, v)
+            if after < 0:
+                return
+            u, v = self.top[self.parent[after]], after
+            self.set_mate(v, u)
+
+    def common(self, u: int, v: int) -> int:
+        seen = set()
+        while u >= 0 or v >= 0:
+            if u >= 0:
+                if u in seen:
+                    return u
+                seen.add(u)
+                u = self.top[self.mate[u]] if self.mate[u] >= 0 else -1
+                if u >= 0:
+                    u = self.top[self.parent[u]]
+            u, v = v, u
+        return -1
+
+    def shrink(self, u: int, base: int, v: int) -> None:
+        b = next((k for k in range(self.n, len(self.top)) if self.top[k] < 0), len(self.top))
+        if b == len(self.top):
+            for column, value in ((self.dual, 0), (self.top, -1), (self.mate, -1), (self.slack, -1), (self.parent, -1), (self.side, -1)):
+                column.append(value)
+            self.ring.append([])
+            self.near.append({})
+            self.part.append({})
+        self.dual[b], self.side[b], self.mate[b] = 0, 0, self.mate[base]
+        arms = []
+        for x in (u, v):
+            arm = []
+            while x != base:
+                y = self.top[self.mate[x]]
+                arm += [x, y]
+                self.queue += self.nodes(y)
+                x = self.top[self.parent[y]]
+            arms.append(arm)
+        self.ring[b] = [base, *reversed(arms[0]), *arms[1]]
+        self.set_top(b, b)
+        for x in self.near[b]:
+            self.near[x].pop(b, None)
+        near: dict[int, tuple[int, int, int]] = {}
+        self.part[b] = {}
+        for y in self.ring[b]:
+            for x, e in self.near[y].items():
+                if x != b and (x not in near or self.left(e) < self.left(near[x])):
+                    near[x] = e
+            self.part[b].update(dict.fromkeys(self.nodes(y), y))
+        self.near[b] = near
+        for x, (a, c, w) in near.items():
+            self.near[x][b] = (c, a, w)
+        self.set_slack(b)
+
+    def expand(self, b: int) -> None:
+        for x in self.ring[b]:
+            self.set_top(x, x)
+        x = self.part[b][self.near[b][self.parent[b]][0]]
+        at = self.entry(b, x)
+        ring = self.ring[b]
+        for i in range(0, at, 2):
+            inner, outer = ring[i], ring[i + 1]
+            self.parent[inner] = self.near[outer][inner][0]
+            self.side[inner], self.side[outer], self.slack[inner] = 1, 0, -1
+            self.set_slack(outer)
+            self.queue += self.nodes(outer)
+        self.side[x], self.parent[x] = 1, self.parent[b]
+        for y in ring[at + 1 :]:
+            self.side[y] = -1
+            self.set_slack(y)
+        self.top[b], self.ring[b] = -1, []
+
+    def tight(self, e: tuple[int, int, int]) -> bool:
+        """Takes in an edge without slack from an outer blossom; whether the matching grew."""
+        u, v = self.top[e[0]], self.top[e[1]]
+        if self.side[v] == -1:
+            self.parent[v], self.side[v] = e[0], 1
+            after = self.top[self.mate[v]]
+            self.slack[v] = self.slack[after] = -1
+            self.side[after] = 0
+            self.queue += self.nodes(after)
+        elif self.side[v] == 0:
+            base = self.common(u, v)
+            if base < 0:
+                self.augment(u, v)
+                self.augment(v, u)
+                return True
+            self.shrink(u, base, v)
+        return False
+
+    def outer_tops(self) -> list[int]:
+        return [x for x in range(len(self.top)) if self.top[x] == x]
+
+    def grow(self) -> bool:
+        """One more pair, if it gains weight."""
+        self.side, self.slack, self.queue = [-1] * len(self.top), [-1] * len(self.top), []
+        for x in self.outer_tops():
+            if self.mate[x] < 0:
+                self.parent[x], self.side[x] = -1, 0
+                self.queue += self.nodes(x)
+        if not self.queue:
+            return False
+        while True:
+            while self.queue:
+                u = self.queue.pop()
+                if self.side[self.top[u]] == 1:
+                    continue
+                for v, e in list(self.near[u].items()):
+                    if v < self.n and self.top[u] != self.top[v]:
+                        if self.left(e) == 0:
+                            if self.tight(e):
+                                return True
+                        else:
+                            self.offer(u, self.top[v])
+            tops = self.outer_tops()
+            # By how much the outer nodes' duals can fall before an edge gets tight, an inner blossom opens or a dual is gone.
+            steps = [self.dual[u] for u in range(self.n) if self.side[self.top[u]] == 0]
+            gone = min(steps)
+            steps += [self.dual[b] // 2 for b in tops if b >= self.n and self.side[b] == 1]
+            for x in tops:
+                if self.slack[x] >= 0 and self.side[x] != 1:
+                    left = self.left(self.near[self.slack[x]][x])
+                    steps.append(left if self.side[x] == -1 else left // 2)
+            d = min(steps)
+            if d == gone:
+                return False
+            for u in range(self.n):
+                side = self.side[self.top[u]]
+                self.dual[u] += -d if side == 0 else d if side == 1 else 0
+            for b in tops:
+                if b >= self.n and self.side[b] >= 0:
+                    self.dual[b] += 2 * d if self.side[b] == 0 else -2 * d
+            for x in tops:
+                if self.top[x] == x and self.slack[x] >= 0 and self.top[self.slack[x]] != x:
+                    e = self.near[self.slack[x]][x]
+                    if self.left(e) == 0 and self.tight(e):
+                        return True
+            for b in range(self.n, len(self.top)):
+                if self.top[b] == b and self.side[b] == 1 and self.dual[b] == 0:
+                    self.expand(b)
+
+    def pairs(self) -> set[tuple[int, int]]:
+        while self.grow():
+            pass
+        return {(u, v) for u, v in enumerate(self.mate[: self.n]) if u < v}
+
+
 def exact_pairs(edges: DataFrame, most_nodes: int = 26) -> DataFrame:
     """Pairs with the most edges, and among those the least cost in thousandths, component by component.
 
-    Components are solved exactly or not at all: one with more than `most_nodes` nodes raises, since the
-    subset search grows with 2 ** nodes.
+    Components of up to `most_nodes` nodes are solved by a search over subsets, which grows with 2 ** nodes, larger
+    ones by the blossom method. Both are exact. A component is one task.
     """
     label = components(edges)
     total = int(label.count() // 2)
@@ -90,11 +305,19 @@ def exact_pairs(edges: DataFrame, most_nodes: int = 26) -> DataFrame:
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*pdf["left_uid"], *pdf["right_uid"]})
-        if len(names) > most_nodes:
-            raise ValueError(f"a component of {len(names)} nodes has no exact matching here")
         pdf = pdf.sort_values(["cost", "left_uid", "right_uid"]).reset_index(drop=True)
         at = {x: i for i, x in enumerate(names)}
-        chosen = _best_matching([(at[r.left_uid], at[r.right_uid], matching_weight(r.cost, total)) for r in pdf.itertuples()], len(names))
+        weighted = [(at[r.left_uid], at[r.right_uid], matching_weight(r.cost, total)) for r in pdf.itertuples()]
+        if len(names) <= most_nodes:
+            chosen = _best_matching(weighted, len(names))
+        else:
+            best: dict[tuple[int, int], int] = {}
+            for i, (a, b, w) in enumerate(weighted):
+                k = (min(a, b), max(a, b))
+                if a != b and (k not in best or w > weighted[best[k]][2]):
+                    best[k] = i
+            made = Blossoms([(*k, weighted[i][2]) for k, i in best.items()], len(names))
+            chosen = [best[k] for k in made.pairs()]
         return pdf.loc[sorted(chosen), ["left_uid", "right_uid", "cost"]]
 
     return placed.groupBy("component").applyInPandas(solve, "left_uid string, right_uid string, cost double")
