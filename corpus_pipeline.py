@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import documents
+from trackweave.llm.common import checkpoint, documents
 from trackweave.llm.mixing import pareto_mix
 from trackweave.llm.ngrams import ngram_components
 from trackweave.llm.pieces import encode_pieces
@@ -21,9 +21,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group that n-gram Jaccard links connect."""
-    others = ngram_components(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One document, the one of least id, of each group that n-gram Jaccard links connect.
+
+    Where ids are null or repeat, rows go by a key of id and hashes of the whole row instead: rows that share
+    an id are told apart, those without one come after all others, and equal rows, which share the key, are
+    one document. Texts without words are linked with nothing and all stay.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        others = ngram_components(docs).where("component_id <> doc_id").select("doc_id")
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), *docs.columns, *(F.col(c).isNull() for c in docs.columns)), F.lit(10**18)).cast("decimal(20,0)")
+    keyed = docs.withColumns({"_low": part(0), "_high": F.coalesce(F.col("doc_id").cast("decimal(20,0)"), part(1) + F.expr("10000000000000000000BD"))})
+    keyed = keyed.withColumn("_key", F.expr("cast(_high * 1000000000000000000BD + _low AS decimal(38,0))")).drop("_low", "_high")
+    found = checkpoint(ngram_components(keyed, key="_key"))
+    worded = found.where("n_shingles > 0")
+    others = worded.where("component_id <> _key").select("_key").distinct()
+    repeated = worded.where("component_id = _key").groupBy("_key").count().where("count > 1").select("_key")
+    kept = keyed.join(others.union(repeated), "_key", "left_anti").unionByName(keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +48,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = pareto_mix(docs).where("copies > 0").select("doc_id", "copies")
-    rows = docs.join(copies, "doc_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    taken = pareto_mix(docs, rows=True).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

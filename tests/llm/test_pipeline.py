@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 
 from tests.llm.test_ngrams import brute
+from trackweave.llm.mixing import pareto_mix
 from trackweave.llm.secrets import find_secrets, train_forest
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,38 @@ def test_ids_are_the_librarys(stages):
     for r in rows:
         ids = library.encode(text[r["doc_id"]] or "", add_bos=True, add_eos=True)
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids)
+
+
+ROW = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_mix_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c", "en", "s", 5)] * 2 + [(None, f"w{i} x y", "en", "s", 6) for i in range(9)] + [(2, "one two", None, "t", 7), (2, "other text", "en", "t", 9), (3, None, "en", None, 0)]
+    docs = spark.createDataFrame(rows, ROW).repartition(3)
+    got = Counter(tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    copies = pareto_mix(docs).collect()
+    assert sum(got.values()) == sum(r["copies"] for r in copies) and got.keys() <= set(rows)
+    for i in (1, 2, None):
+        assert sum(n for r, n in got.items() if r[0] == i) == sum(r["copies"] for r in copies if r["doc_id"] == i)
+    words = Counter()
+    for r, n in got.items():
+        words[r[3]] += n * len(r[1].split())
+    target = {s: t for s, t in {(r["source_size"], r["target"]) for r in copies}}
+    for s, size in (("s", 33), ("t", 4)):
+        assert abs(words[s] - target[size]) <= 1.5
+    assert sum(n for r, n in got.items() if r[0] is None) > 0
+
+
+def test_near_copies_among_repeated_rows_and_null_ids(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [
+        *[(7, near, "en", "s", 1)] * 3, (9, near + " more", "en", "s", 1), (None, near, "en", "s", 1),  # one group: 7 stays, once
+        *[(None, "alone " + near[::-1], "en", "s", 1)] * 2, (None, "alone " + near[::-1], "fr", "s", 1),  # one group without ids
+        (5, "an id with quite other words", "en", "s", 1), (5, "the same id on a second text", "en", "s", 1),  # no copies
+        (-4, "an id with quite other words", "en", "t", 1),  # a copy of the first of them, with a lesser id
+        *[(8, " ", "en", "s", 1)] * 2, (None, None, None, None, None),  # without words
+    ]
+    got = Counter(tuple(r) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, ROW).repartition(4), SF).collect())
+    reverse = [r for r in got if r[1] and r[1].startswith("alone")]
+    assert len(reverse) == 1 and got.pop(reverse[0]) == 1
+    assert got == {rows[0]: 1, (5, "the same id on a second text", "en", "s", 1): 1, (-4, "an id with quite other words", "en", "t", 1): 1, (8, " ", "en", "s", 1): 2, (None,) * 5: 1}

@@ -41,6 +41,7 @@ def pareto_mix(
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    rows: bool = False,
 ) -> DataFrame:
     """Decides how many copies of each row a mix of the sources takes.
 
@@ -58,7 +59,8 @@ def pareto_mix(
     A null source is a source of its own, after all others. Ties in rank go by key and text
     hash. Full copies of a row have equal ranks and are told apart by position alone.
     An empty table gives no rows.
-    Returns key, size, source_size, target, copies and taken (copies * size).
+    Returns key, size, source_size, target, copies and taken (copies * size); with `rows` also the
+    struct `row` of the input's columns, so that nothing needs to be joined back by a key that may be null or repeat.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -67,6 +69,7 @@ def pareto_mix(
         F.col(source).alias("_source"),
         F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(key), body).alias("_hash"),
+        *([F.struct(*map(F.col, docs.columns)).alias("row")] if rows else []),
     )
     totals = slim.groupBy("_source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -93,12 +96,12 @@ def pareto_mix(
     sums = ranked.groupBy("_i", "_slice").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_i").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("_i"), F.col("_slice"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_i", "_slice").orderBy("_rank", F.col(key).asc_nulls_first(), "_hash").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_i", "_slice").orderBy("_rank", F.col(key).asc_nulls_first(), "_hash", *([F.xxhash64("row")] if rows else [])).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("_before") + F.col("_upto") - F.col("size") / 2
     extra = ((F.col("_part") > 0) & (F.col("size") > 0) & (F.col("_whole") < most) & (middle < F.col("_lack"))).cast("int")
     return (
         ranked.withColumn("_upto", F.sum("size").over(inside))
         .join(sums, ["_i", "_slice"])
         .withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + extra).otherwise(0).cast("int"))
-        .select(key, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+        .select(key, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(["row"] if rows else []))
     )
