@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from trackweave.llm.secrets import CONTEXT, features, find_secrets, labelled_findings, redact_secrets, train_forest
+from trackweave.llm.secrets import CONTEXT, KEYED_FORMATS, candidates, features, find_secrets, keyed_findings, labelled_findings, redact_secrets, train_forest
 
 import numpy as np
 
@@ -36,3 +36,25 @@ def test_rows(spark, docs, nothing, forest):
     assert clean[1].endswith(clean[0]) and clean[2:4] == [None, ""]
     assert find_secrets(nothing, forest).collect() == [] == redact_secrets(nothing, forest).collect()
     assert redact_secrets(docs, forest).columns == docs.columns
+
+
+def test_values_after_a_name(spark, forest):
+    secret = ['password = "Tr0ub4dor&3"', "pwd: hunter2!", "db_password='pa$$W0rd,x9'", 'TOKEN = "9233A8C01BD45EF67A8890CC12EF34AB56CD78EF"', 'api_key="QWMZKXVBNPRLTDHG"', "secret: qzmwkxvbnprltdhgcj"]
+    plain = ["password = getpass(prompt)", "token: required", 'key = "[SECRET]"', "password=${DB_PASSWORD}", "secret: config.secret_name", "the key: another day", "token = None"]
+    df = spark.createDataFrame([(i, f"words before {t} words after", "src1") for i, t in enumerate(secret + plain)], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in find_secrets(df, forest).collect()) == list(range(len(secret)))
+    masked = redact_secrets(df, forest)
+    assert [r["text"] for r in masked.where("doc_id < 3").orderBy("doc_id").collect()] == ['words before password = "[SECRET]" words after', "words before pwd: [SECRET] words after", "words before db_password='[SECRET]' words after"]
+    assert find_secrets(masked, forest).isEmpty()
+
+
+@pytest.mark.parametrize("held", [f for f in KEYED_FORMATS if f != "lower_run"])
+def test_held_out_formats(held):
+    """A format that training has not seen at all. Runs of small letters alone are found only since training has them (README)."""
+    forest = train_forest(labelled_findings() + keyed_findings(formats=tuple(f for f in KEYED_FORMATS if f != held)))
+    rows = keyed_findings(800, seed=77, formats=(held,))
+    found = [any(b + v == (b + v + a)[:e] and s == len(b) for s, e in candidates(b + v + a)) for v, b, a, _, _ in rows]
+    x = np.array([features(v, b[-CONTEXT:], a[:CONTEXT], p) for v, b, a, p, _ in rows], float)
+    y, said = np.array([r[4] for r in rows]) == 1, (forest.predict(x) >= 0.5) & np.array(found)
+    print(held, said[y].mean(), said[~y].mean())
+    assert said[y].mean() > 0.8 and said[~y].mean() < 0.05

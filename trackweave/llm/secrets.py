@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/\-]{14,}={0,2}")
+#: A name that speaks of a secret, a sign, and a value of any printable characters, in quotes or up to white space.
+NAMED = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|key|credentials?|auth)[a-z0-9_\-]{0,20}[\"']?\s{0,4}(?:=>|:=|==?|:)\s{0,4}"
+KEYED = re.compile(NAMED + r"""(?:"(?P<two>[^"\n]{6,200})"|'(?P<one>[^'\n]{6,200})'|(?P<bare>[^\s"'<>\[\]{}]{6,200}))""", re.I)
+AFTER_NAME = re.compile(NAMED + r"[\"']?$", re.I)
+#: What stands for a value that is not there, and marks of an earlier run.
+PLACEHOLDER = re.compile(r"\[[A-Z_ ]+\]|<[^<>]*>|\$?\{+[^{}]*\}+|\$\w+|%\w+%|\*+|\.+")
 #: Words of a neighbourhood or path that speak for, or against, a secret.
 FOR = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "credential", "bearer", "auth", "private")
 AGAINST = ("commit", "sha", "md5", "checksum", "digest", "uuid", "guid", "build", "card", "isbn", "image", "hash", "revision", "id")
@@ -54,7 +60,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         float(value.isdigit()),
         float(re.match(r"AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|sk-|eyJ|AIza|glpat-", value) is not None),
         sum(map(len, DICTIONARY.findall(lower))) / n,
-        max(map(len, re.findall(r"(.)\1*", value)), default=0) if n < 14 else max(len(m.group()) for m in re.finditer(r"(.)\1*", value)) / n,
+        max(len(m.group()) for m in re.finditer(r"(.)\1*", value, re.S)) / n,
         float(any(w in x for x in near for w in FOR)),
         float(any(x == w or x.startswith(w) and w != "id" for x in near for w in AGAINST)),
         float(re.search(r"[=:]\s*[\"']?$", before) is not None),
@@ -63,6 +69,11 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         float(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value) is not None),
         float(any(w in path for w in PATHS_FOR)),
         float(any(w in path for w in PATHS_AGAINST)),
+        float(AFTER_NAME.search(before) is not None),
+        float(len(set(kinds))),
+        float(re.fullmatch(r"[A-Za-z_]+(?:[.\-/ ]+[A-Za-z_]+)*[,;.]?", value) is not None and (lower == value or value[1:] == lower[1:])),
+        float(re.search(r"\w\(|\)$|^https?:|^[./~]*/|\w\[|->|\w\.[a-z]{2,}$", value) is not None),
+        sum(c in "0123456789" for c in value) + sum(value.count(c) for c in "!@#$%&^*?"),
     ]
 
 
@@ -169,28 +180,102 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     return out
 
 
+KEYED_FORMATS = ("word_digits_sign", "leet_word", "signs", "short_mixed", "lower_run", "upper_run", "upper_hex", "phrase")
+
+
+def keyed_findings(n: int = 3000, seed: int = 12, formats: tuple[str, ...] = KEYED_FORMATS) -> list[tuple[str, str, str, str, int]]:
+    """Made findings after a name and a sign: values of the given formats, and what else stands there."""
+    rng = np.random.default_rng(seed)
+    lower, digits, signs = "abcdefghijklmnopqrstuvwxyz", "0123456789", "!@#$%&^*?.,-_+=~"
+    mixed = lower + lower.upper() + digits
+    size = lambda a, b: int(rng.integers(a, b + 1))
+    pick = lambda a: a[int(rng.integers(len(a)))]
+    draw = lambda a, k: "".join(a[i] for i in rng.integers(0, len(a), k))
+    word = lambda: "".join(pick(WORDS) for _ in range(size(1, 3)))
+    prose = lambda: " ".join(pick(WORDS) + pick(WORDS) for _ in range(4)) + " "
+    leet = str.maketrans("aeios", "43105")
+    make = {
+        "word_digits_sign": lambda: word().capitalize() + draw(digits, size(1, 4)) + draw(signs, size(1, 2)),
+        "leet_word": lambda: (word() + word()).capitalize().translate(leet) + draw(signs, 1) + draw(digits, size(0, 2)),
+        "signs": lambda: draw(mixed + 2 * signs, size(7, 24)),
+        "short_mixed": lambda: draw(mixed, size(7, 13)),
+        "lower_run": lambda: draw(lower, size(14, 48)),
+        "upper_run": lambda: draw(lower.upper(), size(14, 48)),
+        "upper_hex": lambda: draw("0123456789ABCDEF", size(16, 64)),
+        "phrase": lambda: pick(["-", "_", ".", "!"]).join(word().capitalize() + pick(["", draw(digits, 1)]) for _ in range(size(2, 4))) + draw(digits, size(1, 2)),
+    }
+    plain = [
+        lambda: word() + word(),
+        lambda: word().capitalize() + word(),
+        lambda: f"{word()}.{word()}" + pick(["", "()", "_" + word()]),
+        lambda: f"{word()}_{word()}({word()})",
+        lambda: f"{word()}-{word()}",
+        lambda: pick(["changeme", "required", "optional", "undefined", "password", "string", "xxxxxxxx", "disabled", "enabled", "********", "example", "your_password", "secret", "PASSWORD", "API_KEY"]) + pick(["", "", ",", ";"]),
+        lambda: f"/{word()}/{word()}/{word()}.{pick(['pem', 'key', 'json', 'txt'])}",
+        lambda: f"https://{word()}.{word()}.org/{word()}",
+        lambda: f"os.environ[{word()}]",
+        lambda: f"{draw(digits, 4)}-{draw('01', 2)}-{draw('012', 2)}",
+        lambda: draw(digits, size(6, 8)),
+    ]
+    names = ["password", "PASSWORD", "db_password", "passwd", "pwd", "token", "TOKEN", "secret", "client_secret", "api_key", "key", "auth_token", "passphrase"]
+    out = []
+    for _ in range(n // 2):
+        for label in (1, 0):
+            name, sign, q = pick(names), pick(["=", " = ", ": ", ":", " => "]), pick(["", '"', "'"] if label else ["", "", "", '"'])
+            value = make[pick(formats)]() if label else pick(plain)()
+            if q == "":
+                value = value.rstrip(",;.")
+            if len(value) >= 6 and not PLACEHOLDER.fullmatch(value):
+                path = pick(["src1", "app.env", "web/config.py", "src7", "", "docs/readme", "test/example.py"])
+                out.append((value, prose() + name + sign + q, q + " " + prose(), path, label))
+    return out
+
+
 def train_forest(findings: list[tuple[str, str, str, str, int]] | None = None) -> Forest:
     """A forest from labelled findings (value, before, after, path, label); made ones by default. Bounded by the list."""
-    rows = labelled_findings() if findings is None else findings
+    rows = labelled_findings() + keyed_findings() if findings is None else findings
     return Forest().fit(np.array([features(v, b[-CONTEXT:], a[:CONTEXT], p) for v, b, a, p, _ in rows], float), np.array([r[4] for r in rows], float))
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Places of runs long and varied enough for a secret: with a digit, or with capitals inside."""
-    return [m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m.group()) or re.search(r"[a-z][A-Z]", m.group())]
-
+    """Places of runs long and varied enough for a secret, with a digit or with capitals inside, and of values after a name and a sign.
 
-def _scan(texts: list[str | None], paths: list[str | None], forest: Forest) -> list[list[tuple[int, int, float]]]:
+    Placeholders such as `[SECRET]` or `${TOKEN}` are not values. Places may overlap.
+    """
+    found = {m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m.group()) or re.search(r"[a-z][A-Z]", m.group())}
+    for m in KEYED.finditer(text):
+        start, end = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            end = start + len(text[start:end].rstrip(",;.)"))
+        if end - start >= 6 and not PLACEHOLDER.fullmatch(text, start, end):
+            found.add((start, end))
+    return sorted(found)
+
+
+def _scan(texts: list[str | None], paths: list[str | None], forest: Forest, threshold: float) -> list[list[tuple[int, int, float]]]:
+    """The places of each text that reach the threshold; those that overlap become one."""
     places = [candidates(t) if t else [] for t in texts]
     rows = [features(t[s:e], t[max(0, s - CONTEXT) : s], t[e : e + CONTEXT], p or "") for t, p, at in zip(texts, paths, places, strict=True) for s, e in at]
     scores = iter(forest.predict(np.array(rows, float)).tolist() if rows else [])
-    return [[(s, e, next(scores)) for s, e in at] for at in places]
+    out = []
+    for at in places:
+        kept: list[tuple[int, int, float]] = []
+        for s, e in at:
+            p = next(scores)
+            if p < threshold:
+                continue
+            if kept and s < kept[-1][1]:
+                kept[-1] = (kept[-1][0], max(e, kept[-1][1]), max(p, kept[-1][2]))
+            else:
+                kept.append((s, e, p))
+        out.append(kept)
+    return out
 
 
 def find_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """One row for each secret: key, start, length (code points), score, preview and sha256 of the value.
 
-    Candidates come from a pattern; a random forest (broadcast: of bounded size) scores
+    Candidates come from a pattern of long runs and from what follows a name and a sign; a random forest (broadcast: of bounded size) scores
     them by their own characters, the path and the words around, and those under the threshold
     are dropped. Nothing is shuffled. Null and empty texts have none; a null path counts as empty. Repeated
     rows repeat their findings; an empty table gives no rows; other columns are ignored.
@@ -201,11 +286,10 @@ def find_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, key: s
         for b in batches:
             texts = b.column(1).to_pylist()
             at, rows = [], []
-            for i, found in enumerate(_scan(texts, b.column(2).to_pylist(), shared.value)):
+            for i, found in enumerate(_scan(texts, b.column(2).to_pylist(), shared.value, threshold)):
                 for s, e, p in found:
-                    if p >= threshold:
-                        at.append(i)
-                        rows.append((s, e - s, p, texts[i][s : s + 4] + "*" * (e - s - 4), hashlib.sha256(texts[i][s:e].encode()).hexdigest()))
+                    at.append(i)
+                    rows.append((s, e - s, p, texts[i][s : s + 4] + "*" * (e - s - 4), hashlib.sha256(texts[i][s:e].encode()).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], [key, "start", "length", "score", "preview", "sha256"])
@@ -222,10 +306,9 @@ def redact_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, mark
         for b in batches:
             texts = b.column(text).to_pylist()
             paths = [None if p is None else str(p) for p in b.column(path).to_pylist()]
-            for i, found in enumerate(_scan(texts, paths, shared.value)):
-                for s, e, p in reversed(found):
-                    if p >= threshold:
-                        texts[i] = texts[i][:s] + mark + texts[i][e:]
+            for i, found in enumerate(_scan(texts, paths, shared.value, threshold)):
+                for s, e, _ in reversed(found):
+                    texts[i] = texts[i][:s] + mark + texts[i][e:]
             at = b.schema.get_field_index(text)
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
