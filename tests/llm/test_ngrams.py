@@ -12,7 +12,7 @@ def grams(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(texts):
+def brute(texts, share=(80, 100)):
     sets = {i: grams(t) for i, t in texts.items()}
     root = {i: i for i in sets}
 
@@ -25,7 +25,7 @@ def brute(texts):
     for n, i in enumerate(ids):
         for j in ids[:n]:
             common = len(sets[i] & sets[j])
-            if common and 100 * common >= 80 * len(sets[i] | sets[j]):
+            if common and share[1] * common >= share[0] * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -65,6 +65,35 @@ def test_long_runs_lose_no_link(spark, monkeypatch, small, block, cell):
     assert result(df) == brute(texts)
 
 
+def test_null_keys_in_long_runs_cost_no_link(spark, monkeypatch):
+    """Near copies whose run is long, with each member in turn as the one without a key."""
+    monkeypatch.setattr(ngrams, "SMALL", 3)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = {}
+    for group in range(12):
+        for i in range(12):
+            w = [f"g{group}", *base[: 40 + group]] if group % 2 else [*base, f"g{group}"]
+            w = [f"{x}.{group}" for x in w]
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts[100 * group + i] = " ".join(w)
+    rows = [(None if k % 100 == k // 100 else k, t) for k, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngrams.ngram_components(df).collect() if r["doc_id"] is not None}
+    assert got == brute({k: t for k, t in rows if k is not None})
+
+
+def test_another_share_loses_no_link(spark, monkeypatch):
+    for name, value in (("SMALL", 3), ("BLOCK", 8), ("CELL_NODES", 4)):
+        monkeypatch.setattr(ngrams, name, value)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join(base[: rng.randrange(25, 60)] + [f"y{rng.randrange(30)}"] * rng.randrange(3)) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngrams.ngram_components(df, share=(1, 2)).collect()}
+    assert got == brute(texts, (1, 2))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(200, 201)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

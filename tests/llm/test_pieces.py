@@ -44,7 +44,19 @@ def test_texts_come_back_and_columns_stay(docs):
 
 
 def test_a_full_cache_changes_nothing(monkeypatch):
-    monkeypatch.setattr(pieces, "CACHE", 2)
+    monkeypatch.setattr(pieces, "CACHE", 1500)
     codec = PieceCodec(PATH)
     for text in ("one two three four", "five six", "one six " + "z" * 100, "z" * 100):
         assert codec.encode(text) == LIBRARY.encode(text, add_bos=True, add_eos=True)
+    rng = random.Random(5)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(20))
+        assert codec.encode(text) == LIBRARY.encode(text, add_bos=True, add_eos=True)
+    assert codec.cache.held < 10_000 and len(codec.cache.old) + len(codec.cache.now) < 60
+
+
+def test_the_librarys_ids_are_taken_where_the_agenda_differs(monkeypatch):
+    codec = PieceCodec(PATH)
+    monkeypatch.setattr(codec, "agenda", lambda text: [5])
+    assert codec.encode("other words") == LIBRARY.encode("other words", add_bos=True, add_eos=True)
+    assert codec.differed == 2 and codec.packed(codec.prepare(["other words"])[0])[1] == "other words"

@@ -1,7 +1,9 @@
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from trackweave.llm import tokens
+from trackweave.llm.common import Recent
 from trackweave.llm.tokens import token_counts
 
 PATH = P.path("byte_bpe_50k.json")
@@ -21,16 +23,35 @@ def test_counts_are_the_librarys(docs, texts, nothing):
     assert result(nothing) == {}
 
 
-def test_small_caches_change_nothing(docs, texts, monkeypatch):
-    monkeypatch.setattr(tokens, "FREQUENT", 3)
-    tokens._splitters.clear()
-    split = tokens.splitter(PATH, P.PATTERN)
-    monkeypatch.setattr(tokens, "CACHE", 5)
+def test_small_caches_change_nothing(texts, monkeypatch):
     monkeypatch.setattr(tokens, "AT_ONCE", 40)
-    for text in [t for t in texts.values() if t and len(t) < 500]:
-        split.known.clear()
-        total = sum(n + sum(split.lengths(p)) for p, n in split.parts(text))
-        assert total == len(split.tokenizer.encode(text, add_special_tokens=False).ids)
+    split, shared = tokens.splitter(PATH, P.PATTERN), type("Shared", (), {"value": tokens.packed_table({"the": 1, " w": 1})})
+    split.known = Recent(3000)
+    some = [(i, t) for i, t in texts.items() if not t or len(t) < 500] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in some]), pa.array([t for _, t in some])], ["row", "text"])
+    got = next(tokens._count(PATH, P.PATTERN, shared)(iter([batch]))).column("n_tokens").to_pylist()
+    assert got == [len(split.tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in some]
+    assert split.known.held < 10_000
+    tokens._splitters.clear()
+
+
+def test_tables_come_back():
+    table = {"": 3, "é": 4, " word": 1, "\n\n": 2, "\U0001d4b3": 9}
+    assert tokens.unpacked_table(tokens.packed_table(table)) == table
+    assert tokens.unpacked_table(tokens.packed_table({})) == {}
+
+
+def test_frequent_tokens_are_counted_over_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "FREQUENT", 2)
+    rows = [("zz a",)] * 3 + [("b b b b",)] * 5 + [(None,), ("",)]
+    texts = spark.createDataFrame(rows, "text string").repartition(3)
+    assert tokens.frequent_tokens(texts, PATH, P.PATTERN) == [" b", "b"]
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "one two", "x", "y", 5)], "doc_id long, text string, _text string, `row` string, N int")
+    got = token_counts(df, PATH, P.PATTERN)
+    assert got.columns == ["doc_id", "_text", "row", "N", "n_bytes", "n_tokens", "over_limit"] and got.first()["_text"] == "x"
 
 
 def test_other_columns_stay_and_new_ones_replace(docs):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +21,68 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The session's spark.checkpoint.dir is used where it is set; only where there is
-    none (local tests) a temporary folder is made.
+    The session's spark.checkpoint.dir is used where it is set. Without it a temporary folder is made on a local
+    master; anywhere else, where executors don't share the driver's folders, it is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint()
 
 
+def free_name(taken: list[str], base: str) -> str:
+    """`base`, with underscores in front until no column of the table has that name (whatever its case)."""
+    used = {c.lower() for c in taken}
+    while base.lower() in used:
+        base = "_" + base
+    return base
+
+
+class Recent:
+    """A cache of strings and small values, bounded by bytes: two generations, the older one dropped when the newer is full.
+
+    What is looked up moves to the newer generation, so entries in use stay. `now` holds all that was looked up
+    or put since the last `turn`.
+    """
+
+    #: Bytes of a dictionary entry, a string and a small value besides their contents (CPython).
+    ENTRY = 200
+
+    def __init__(self, most_bytes: int):
+        self.half = most_bytes // 2
+        self.now: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+        self.held = 0
+
+    def turn(self) -> None:
+        """To be called where nothing looked up before is needed any more."""
+        if self.held > self.half:
+            self.old, self.now, self.held = self.now, {}, 0
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those of distinct keys that aren't held; all others are in `now` afterwards."""
+        now, old, out = self.now, self.old, []
+        for k in keys:
+            if k not in now:
+                if k in old:
+                    now[k] = old[k]
+                    self.held += self.ENTRY + len(k)
+                else:
+                    out.append(k)
+        return out
+
+    def put(self, key: str, value: Any, size: int = 0) -> None:
+        self.now[key] = value
+        self.held += self.ENTRY + len(key) + size
+
+    def forget(self, key: str, size: int = 0) -> None:
+        del self.now[key]
+        self.held -= self.ENTRY + len(key) + size
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ FILTER_BITS = 23
 #: Runs of up to so many nodes are paired in full; longer ones first with one node of each block.
 SMALL, BLOCK = 32, 4096
 #: A cell of the all-pairs comparison holds two blocks of about so many nodes and n-grams at most.
-CELL_NODES, CELL_GRAMS = 1024, 2_000_000
+CELL_NODES, CELL_GRAMS = 512, 2_000_000
 #: Hash ranges of the suffix filter.
 RANGES = 64
 WORDS_AT_ONCE = 500_000
@@ -199,7 +199,7 @@ def _pairs(share: tuple[int, int]):
             for a, b in zip(x.tolist(), y.tolist(), strict=True):
                 row = (kind, a, b) if a < b else (kind, b, a)
                 if a != b and row not in made:
-                    if len(made) > 300_000:
+                    if len(made) > 100_000:
                         made.clear()
                     made.add(row)
                     out.append(row)
@@ -334,26 +334,24 @@ def _compared(size: int, share: tuple[int, int]):
     return run
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """Deals members (cluster, id, n, label) to cells (cluster, lo, hi) so that any two whose sizes allow a link meet in one.
+def _cells(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Deals members (cluster, id, n, label) to cells (cluster, lo, hi) so that any two of different labels whose sizes allow a link meet in one.
 
     Sizes fall into classes as wide as the length filter; each class is split by hash into blocks of bounded
-    size, and each pair of blocks of the same or neighbouring classes is a cell.
+    size, apart for the cluster's largest label and the rest. Two blocks of the same or neighbouring classes are a cell, unless
+    both are of the largest label: its members hang together already. So a cluster of m members, k of them outside its largest label, takes about k * m comparisons.
     """
-    rows = members.withColumn("size", F.floor(F.log(F.col("n")) / float(np.log(1.25)) + 1e-9).cast("int"))
-    counts = rows.groupBy("cluster", "size").agg(F.ceil(F.greatest(F.count("*") / CELL_NODES, F.sum("n") / CELL_GRAMS)).cast("int").alias("blocks"))
-    near = lambda d: counts.select("cluster", (F.col("size") - d).alias("size"), F.col("blocks").alias("above" if d > 0 else "below"))
-    rows = rows.join(counts, ["cluster", "size"]).join(near(1), ["cluster", "size"], "left").join(near(-1), ["cluster", "size"], "left")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    name = lambda size, b: F.struct(size.alias("size"), b.alias("block"))
-    rows = rows.withColumn("own", name(F.col("size"), block))
-    others = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: name(F.col("size"), b)),
-        F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda b: name(F.col("size") + 1, b))).otherwise(F.array()),
-        F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda b: name(F.col("size") - 1, b))).otherwise(F.array()),
-    )
-    rows = rows.withColumn("other", F.explode(others))
-    return rows.select("cluster", "id", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("m", "label")).alias("largest"))
+    width = float(np.log(share[1] / share[0]))
+    rows = members.join(largest, "cluster").withColumns({"main": F.col("label") == F.col("largest"), "size": F.floor(F.log(F.col("n")) / width + 1e-9).cast("int")})
+    counts = rows.groupBy("cluster", "main", "size").agg(F.ceil(F.greatest(F.count("*") / CELL_NODES, F.sum("n") / CELL_GRAMS)).cast("int").alias("blocks"))
+    name = lambda main, size, block: F.struct(main.alias("main"), size.alias("size"), block.alias("block"))
+    rows = rows.join(counts, ["cluster", "main", "size"]).withColumn("own", name(F.col("main"), F.col("size"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    others = counts.select("cluster", F.col("main").alias("o_main"), F.col("size").alias("o_size"), F.col("blocks").alias("o_blocks"))
+    near = rows.drop("blocks").join(others, "cluster").where("abs(size - o_size) <= 1 AND NOT (main AND o_main)")
+    near = near.withColumn("o_block", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1))).withColumn("other", name(F.col("o_main"), F.col("o_size"), F.col("o_block")))
+    return near.select("cluster", "id", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
 # --- the join -------------------------------------------------------------------------------------
@@ -405,8 +403,8 @@ def ngram_components(docs: DataFrame, words: int = 5, share: tuple[int, int] = (
        each node is paired with one node of its block. Pairs pass a suffix filter, then
        the texts of what is left are compared, once for each pair; the links' components follow.
     4. Nodes that long runs connect, but links don't yet, are compared in cells: pairs of blocks of bounded
-       size. A cell looks at all its pairs and returns only links that join components, so a large group of near copies
-       leaves fewer rows than it has members, and no link between components is lost.
+       size, those of the cluster's largest component among themselves left out. A cell returns only links that join components,
+       so a large group of near copies leaves fewer rows than it has members, and no link between components is lost.
 
     n-grams are 64-bit hashes. Words are runs of anything but ASCII white space, A-Z in lower case. Null,
     empty and blank texts have no n-grams and are linked with nothing; a text of fewer words
@@ -422,7 +420,8 @@ def ngram_components(docs: DataFrame, words: int = 5, share: tuple[int, int] = (
     frequency = _merged(both.where("block is not null").select("block", "cells"), "u8")
     grade = spark.sparkContext.broadcast(np.floor(4 * np.log2(frequency + 1.0)).astype(np.uint8))
 
-    grams = docs.select("text").mapInArrow(_prefixes(words, share, grade), "gram long, node long, at long")
+    # Rows without a key have no place in the groups, so they must not stand between others in a run.
+    grams = docs.where("id IS NOT NULL").select("text").mapInArrow(_prefixes(words, share, grade), "gram long, node long, at long")
     runs = grams.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "at", "node")
     met = checkpoint(runs.mapInArrow(_pairs(share), "kind int, a long, b long").distinct())
 
@@ -442,7 +441,7 @@ def ngram_components(docs: DataFrame, words: int = 5, share: tuple[int, int] = (
         mixed = members.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         members = checkpoint(members.join(mixed, "cluster", "left_semi").select("cluster", "id", "n", "label"))
         texts = _among(members.select("id"), docs)
-        cells = _cells(members).join(texts, "id").groupBy("cluster", "lo", "hi")
+        cells = _cells(members, share).join(texts, "id").groupBy("cluster", "lo", "hi")
         links = checkpoint(links.union(cells.applyInPandas(_compared(words, share), f"a {kind}, b {kind}")))
 
     groups = components(links).withColumnRenamed("node", "least")

@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Recent
+
 SPACE = "▁"
-#: A worker's cache of chunks; when full, it keeps those in use.
-CACHE = 700_000
+#: Bytes of a worker's cache of chunks.
+CACHE = 48_000_000
 KEEP_CHARS = 64
 MARKS, LETTER = string.punctuation, "[A-Za-z\u00c0-\u024f]"
 #: Characters of text encoded at a time.
@@ -51,10 +53,14 @@ class PieceCodec:
         m = re.escape("".join(sorted(set(MARKS) - behind)))
         self.cut = re.compile(rf" *[{m}]*[^ \n{m}]+(?:(?<!{LETTER})[{m}]+[^ \n{m}]*)*| *[{m}]+| +|\n" if m else r" *[^ \n]+| +|\n").findall
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
+        self.cache = Recent(CACHE)
+        self.long: list[str] = []  # chunks of the last call that aren't kept
+        #: Chunks whose decoded text isn't the chunk itself; and how often the library's ids were not the agenda's.
+        self.odd: dict[str, str] = {}
+        self.differed = 0
         for text in ("", " a", "a  b\n\n c\t\x00d", "<s>é\U0001d4b3 ▁x"):  # normalisation other than this codec's
-            assert self.decode(self.encode(text)) == self.library.decode(self.library.encode(text)), "unsupported normalisation"
+            if self.decode(self.encode(text)) != self.library.decode(self.library.encode(text)):
+                raise ValueError("unsupported normalisation")
 
     def agenda(self, text: str) -> list[int]:
         """Ids of one chunk, spaces already marked."""
@@ -97,15 +103,19 @@ class PieceCodec:
         return self.cut((" " + text).replace(SPACE, " ")) if text else []
 
     def learn(self, new: list[str]) -> None:
-        """Encodes chunks and holds each against the library."""
+        """Encodes chunks and holds each against the library, whose ids are taken (and counted) where they differ."""
         mine = [self.agenda(c.replace(" ", SPACE)) for c in new]
         theirs = self.library.encode(["\n" + c for c in new], num_threads=1)
         back = self.library.decode([t[2:] for t in theirs], num_threads=1)
         for chunk, ids, other, their_text in zip(new, mine, theirs, back, strict=True):
             text = self.pieces_text(ids)
             if ids != other[2:] or (text[1:] if text[:1] == " " else text) != their_text:
-                raise ValueError(f"the library gives other pieces for {chunk[:50]!r}")
-            self.ids[chunk], self.text[chunk] = np.array(ids, "<u4").tobytes(), text
+                self.differed += 1
+                ids = other[2:]
+                text = self.pieces_text(ids)
+            self.cache.put(chunk, np.array(ids, "<u4").tobytes(), 4 * len(ids))
+            if text != chunk:
+                self.odd[chunk] = text
 
     def prepare(self, texts: list[str | None]) -> list[list[str]]:
         """The texts' chunks, all of them known from here to the next call."""
@@ -113,19 +123,21 @@ class PieceCodec:
         used: set[str] = set()
         for chunks in cut:
             used.update(chunks)
-        for c in [c for c in self.ids if len(c) > KEEP_CHARS]:
-            del self.ids[c], self.text[c]
-        new = [c for c in used if c not in self.ids]
-        if len(self.ids) + len(new) > CACHE:
-            self.ids = {c: self.ids[c] for c in used if c in self.ids}
-            self.text = {c: self.text[c] for c in self.ids}
+        self.cache.turn()
+        for c in self.long:
+            self.cache.forget(c, len(self.cache.now[c])) if c in self.cache.now else None
+        if self.odd:
+            self.odd = {c: t for c, t in self.odd.items() if c in self.cache.now or c in self.cache.old}
+        new = self.cache.missing(used)
         self.learn(new)
+        self.long = [c for c in new if len(c) > KEEP_CHARS]
         return cut
 
     def packed(self, chunks: list[str]) -> tuple[bytes, str]:
         """All ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
-        ids = b"".join(map(self.ids.__getitem__, chunks))
-        return self.bos.to_bytes(4, "little") + ids + self.eos.to_bytes(4, "little"), "".join(map(self.text.__getitem__, chunks))[1:]
+        ids = b"".join(map(self.cache.now.__getitem__, chunks))
+        text = "".join([self.odd.get(c, c) for c in chunks] if self.odd else chunks)
+        return self.bos.to_bytes(4, "little") + ids + self.eos.to_bytes(4, "little"), text[1:]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(self.prepare([text])[0])[0], "<u4").tolist()
@@ -139,7 +151,7 @@ _codecs: dict[str, PieceCodec] = {}
 
 
 def codec(path: str) -> PieceCodec:
-    """A worker's codec; it outlives tasks, and so does what it has learnt."""
+    """A worker's codec; it outlives tasks, and so does what it has learnt, in a cache of CACHE bytes."""
     if path not in _codecs:
         _codecs[path] = PieceCodec(path)
     return _codecs[path]
