@@ -12,6 +12,8 @@ from .common import WORD, partitions
 
 #: Sources are a configured list; more than this many are an error, not a silent slow path.
 MAX_SOURCES = 100_000
+#: Size classes of rows, each four times as wide as the one before.
+CLASSES = 16
 
 
 def share_targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -33,11 +35,32 @@ def share_targets(sizes: list[int], weights: list[float], most: float) -> list[f
     return target
 
 
+def inclusion(sizes: list[int], target: float, lean: float, most: float) -> list[float]:
+    """Expected copies of a row of each size class, in proportion to its weight up to `most`, so that sizes times copies add up to the target.
+
+    sizes: the summed sizes of the rows of class k, those with 4 ** k to 4 ** (k + 1) - 1 words. A class weighs 4 ** (k * lean).
+    """
+    weight = [4.0 ** (k * lean) for k in range(len(sizes))]
+    copies, left = [0.0] * len(sizes), min(target, most * sum(sizes))
+    open_ = [k for k, s in enumerate(sizes) if s]
+    while open_ and left > 0:
+        unit = left / sum(weight[k] * sizes[k] for k in open_)
+        full = [k for k in open_ if unit * weight[k] > most]
+        for k in full or open_:
+            copies[k] = float(most) if full else unit * weight[k]
+        if not full:
+            break
+        left -= sum(most * sizes[k] for k in full)
+        open_ = [k for k in open_ if k not in full]
+    return copies
+
+
 def pareto_mix(
     docs: DataFrame,
     weight_of: Callable[[int], float] = lambda i: 1 + i % 3,
     most: int = 3,
     seed: int = 17,
+    lean: float = 0.125,
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
@@ -45,15 +68,16 @@ def pareto_mix(
 ) -> DataFrame:
     """Decides how many copies of each row a mix of the sources takes.
 
-    A source's rate is its target over its size. Every row gets floor(rate) whole
-    copies. For the rest, rows are ranked by random odds over inclusion odds
-    (Pareto order sampling; the inclusion probability is the rate's fraction) and taken
+    Within a source longer rows are taken more often, gently: expected copies rise with (size class) ** lean, up to `most`, and
+    add up to the source's target (`inclusion`). Every row gets the whole part of its expected copies. The fraction is its
+    inclusion probability: rows are ranked by random odds over inclusion odds (Pareto order sampling) and taken
     in that order while the row's middle word lies below what the target still lacks,
     so that a source misses its target by at most half of one row. The random number is a
     hash of seed, key and text, so reruns agree.
 
-    A hot source doesn't meet in one task: its rows are cut into slices by the random number, which
-    the rank within a source follows; slices are summed first, and the order within a slice is made there.
+    A hot source doesn't meet in one task: its rows are cut into slices of near equal numbers by the share of the
+    source's rows that rank before, which the inclusion odds of its few size classes give in closed form; slices are summed first,
+    and the order within a slice is made there.
 
     Size is the number of words; null and empty texts have none and are never taken.
     A null source is a source of its own, after all others. Ties in rank go by key and text
@@ -65,43 +89,56 @@ def pareto_mix(
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(
-        F.col(key),
+        F.col(key).alias("_key"),
         F.col(source).alias("_source"),
         F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(key), body).alias("_hash"),
         *([F.struct(*map(F.col, docs.columns)).alias("row")] if rows else []),
     )
-    totals = slim.groupBy("_source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
+    slim = slim.withColumn("_class", F.when(F.col("size") > 0, F.least(F.floor((F.length(F.bin("size")) - 1) / 2), F.lit(CLASSES - 1))).otherwise(0).cast("int"))
+    counted = slim.groupBy("_source", "_class").agg(F.sum("size").alias("s"), F.count_if(F.col("size") > 0).alias("n")).limit(CLASSES * MAX_SOURCES + 1).collect()
+    found: dict[str | None, tuple[list[int], list[int]]] = {}
+    for r in counted:
+        sizes, n = found.setdefault(r["_source"], ([0] * CLASSES, [0] * CLASSES))
+        sizes[r["_class"]], n[r["_class"]] = r["s"], r["n"]
+    if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = sorted(totals, key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    targets = share_targets([r["s"] for r in totals], [weight_of(i) for i in range(len(totals))], most)
+    names = sorted(found, key=lambda s: (s is None, s or ""))
+    targets = share_targets([sum(found[s][0]) for s in names], [weight_of(i) for i in range(len(names))], most)
     plan = []
-    for i, (row, target) in enumerate(zip(totals, targets, strict=True)):
-        rate = min(float(most), target / row["s"]) if row["s"] else 0.0
-        whole = min(int(rate), most)
-        plan.append((row["_source"], i, row["s"], target, whole, rate - whole, target - whole * row["s"]))
-    table = spark.createDataFrame(plan, "_source string, _i int, source_size long, target double, _whole int, _part double, _lack double")
+    for i, (name, target) in enumerate(zip(names, targets, strict=True)):
+        sizes, n = found[name]
+        copies = inclusion(sizes, target, lean, most)
+        whole = [min(most, int(c + 1e-9)) for c in copies]
+        part = [c - w if 1e-9 < c - w < 1 else 0.0 for c, w in zip(copies, whole, strict=True)]
+        odds = [p / (1 - p) for p in part]
+        ranked = float(sum(k for k, p in zip(n, part, strict=True) if p))
+        share = [k / ranked if p else 0.0 for k, p in zip(n, part, strict=True)]
+        plan.append((name, i, sum(sizes), target, whole, odds, share, target - sum(w * s for w, s in zip(whole, sizes, strict=True))))
+    table = spark.createDataFrame(plan, "_source string, _i int, source_size long, target double, _wholes array<int>, _odds array<double>, _shares array<double>, _lack double")
 
     slices = 4 * partitions(spark)
     # Uniform in (0, 1), from the upper 52 bits.
     u = (F.shiftrightunsigned("_hash", 12).cast("double") + 0.5) / float(1 << 52)
-    odds = (u / (1 - u)) / (F.col("_part") / (1 - F.col("_part")))
+    drawn = F.get("_odds", F.col("_class"))
+    before = F.aggregate(F.zip_with("_shares", "_odds", lambda n, o: n * o * F.col("_rank") / (1 + o * F.col("_rank"))), F.lit(0.0), lambda a, x: a + x)
     ranked = (
         slim.join(F.broadcast(table), slim["_source"].eqNullSafe(table["_source"]))
         .drop("_source")
-        .withColumn("_rank", F.when(F.col("_part") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
-        .withColumn("_slice", F.least(F.floor(u * slices), F.lit(slices - 1)).cast("int"))
+        .withColumn("_rank", F.when((drawn > 0) & (F.col("size") > 0), u / (1 - u) / drawn))
+        .withColumn("_slice", F.greatest(F.lit(0), F.least(F.floor(F.coalesce(before, u) * slices), F.lit(slices - 1))).cast("int"))
+        .withColumns({"_whole": F.get("_wholes", F.col("_class")), "_size": F.when(F.col("_rank").isNotNull(), F.col("size")).otherwise(0)})
+        .drop("_wholes", "_odds", "_shares")
     )
-    sums = ranked.groupBy("_i", "_slice").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_i").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("_i"), F.col("_slice"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_i", "_slice").orderBy("_rank", F.col(key).asc_nulls_first(), "_hash", *([F.xxhash64("row")] if rows else [])).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranked.groupBy("_i", "_slice").agg(F.sum("_size").alias("_sum"))
+    earlier = Window.partitionBy("_i").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("_i"), F.col("_slice"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_i", "_slice").orderBy("_rank", F.col("_key").asc_nulls_first(), "_hash", *([F.xxhash64("row")] if rows else [])).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("_before") + F.col("_upto") - F.col("size") / 2
-    extra = ((F.col("_part") > 0) & (F.col("size") > 0) & (F.col("_whole") < most) & (middle < F.col("_lack"))).cast("int")
+    extra = (F.col("_rank").isNotNull() & (F.col("_whole") < most) & (middle < F.col("_lack"))).cast("int")
     return (
-        ranked.withColumn("_upto", F.sum("size").over(inside))
+        ranked.withColumn("_upto", F.sum("_size").over(inside))
         .join(sums, ["_i", "_slice"])
         .withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + extra).otherwise(0).cast("int"))
-        .select(key, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(["row"] if rows else []))
+        .select(F.col("_key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(["row"] if rows else []))
     )

@@ -74,19 +74,19 @@ class Pseudonyms:
     Cards keep length, separators, first digit and a valid Luhn digit; IBANs keep country,
     classes of characters and a valid checksum; social security numbers stay in
     the ranges that such numbers use; phone numbers and addresses of hosts in use (area and exchange from 200,
-    unicast) stay so, and all others of the format stay among the others; dates stay real dates of their notation, with one permutation for
+    unicast) stay so, and all others of the format stay among the others; those of other countries keep their country's digits; dates stay real dates of their notation, with one permutation for
     all notations; e-mail addresses keep their domain and each character's class. Values
     that fail validation are left alone. One key gives one pseudonym for a value everywhere.
     """
 
     PATTERN = re.compile(
-        r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+        r"(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,})"
         r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
         r"|(?P<date>(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-]))"
         r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
         r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
         r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\7\d{4}\7\d{4}(?:\7\d{3})?|\d{4}([ -])\d{6}\8\d{5})(?!\w))"
-        r"|(?P<phone>(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
+        r"|(?P<phone>(?<![\w+])(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?!1[ .(-])\d{1,3}(?:[ .-]\(?\d{1,5}\)?){2,5})(?!\w))"
     )
     NEED = re.compile(r"[0-9@]")
 
@@ -131,6 +131,12 @@ class Pseudonyms:
 
     def _phone(self, value: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", value)
+        if value[0] == "+" and not re.match(r"\+1[ .(-]|\+1\d{3}[ .-]", value):  # other countries: all digits after the country's
+            country = re.match(r"\d+", value[1:]).group()
+            k = len(digits) - len(country)
+            if not 8 <= len(digits) <= 15 or k < 6:
+                return None
+            return _refill(value, country + f"{self.permuted('phone' + country, int(digits[len(country) :]), 10**k, back):0{k}d}")
         d = digits[-10:]
         if d[0] in "01" or d[3] in "01":  # written like a phone number, outside the ranges in use
             area, exchange = int(d[:3]), int(d[3:6])
