@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's part of spark.checkpoint.dir; a temporary folder only where there is none (tests)."""
+    """The session's part of spark.checkpoint.dir. Without it: a temporary folder on a local master, an error elsewhere."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return context.getCheckpointDir()
 
 
