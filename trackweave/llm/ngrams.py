@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -357,24 +358,31 @@ def _cells(members: DataFrame, share: tuple[int, int]) -> DataFrame:
 # --- the join -------------------------------------------------------------------------------------
 
 
-def _among(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of `docs` (id, text) that may be among `ids` (id): a fixed-size filter before the shuffle, for the join that follows."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("bit")
+def bit_table(bits: DataFrame) -> Broadcast:
+    """The numbers below 2 ** FILTER_BITS in a one-column table, as a broadcast bitmap of that fixed size: a filter before a join."""
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << FILTER_BITS, bool)
         for b in batches:
             table[b.column(0).to_numpy()] = True
         found = list(_blocks(np.packbits(table, bitorder="little")))
         yield pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], ["block", "cells"])
 
-    shared = docs.sparkSession.sparkContext.broadcast(_merged(ids.select(bit).mapInArrow(bits, "block int, cells binary"), "u1"))
+    return bits.sparkSession.sparkContext.broadcast(_merged(bits.mapInArrow(run, "block int, cells binary"), "u1"))
+
+
+def in_table(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _among(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of `docs` (id, text) that may be among `ids` (id): a fixed-size filter before the shuffle, for the join that follows."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("bit")
+    shared = bit_table(ids.select(bit))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for b in batches:
-            at = b.column("bit").to_numpy()
-            yield b.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)).drop_columns(["bit"])
+            yield b.filter(pa.array(in_table(shared.value, b.column("bit").to_numpy()))).drop_columns(["bit"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text", bit).mapInArrow(kept, f"id {kind}, text string")

@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint
 
 #: The classifier is fitted on at most so many labelled rows, the first by a hash of their id.
 MAX_LABELLED = 20_000
-#: Sites up to this number are broadcast; more are joined by a shuffle of the documents.
+#: So many sites with the most rows are broadcast; the rows of others, of which none is hot, are shuffled to theirs.
 BROADCAST_SITES = 20_000
 FEATURES = 14
 #: Characters told apart: white space, symbols of noise, shouts, bars, digits, ends of sentences; then the rest.
@@ -84,33 +85,37 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> n
     return w
 
 
+def _texts(b: pa.RecordBatch, text: str) -> pa.Array:
+    return b.column("row").field(b.schema.field("row").type.get_field_index(text))
+
+
 def _rows(text: str, weights: np.ndarray | None):
-    """Adds features (no weights) or the log odds that they give."""
+    """Adds to rows with a struct `row` the features of its text (no weights), or the log odds that they give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t.as_py()) for t in b.column(text)], float).reshape(-1, FEATURES)
+            x = np.array([features(t.as_py()) for t in _texts(b, text)], float).reshape(-1, FEATURES)
             if weights is None:
-                new, name = pa.array(list(x), pa.list_(pa.float64())), "_x"
+                new, name = pa.array(list(x), pa.list_(pa.float64())), "x"
             else:
-                new, name = pa.array(np.clip(_expand(x) @ weights, -12, 12)), "_logit"
+                new, name = pa.array(np.clip(_expand(x) @ weights, -12, 12)), "logit"
             yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, name])
 
     return run
 
 
 def _map(df: DataFrame, text: str, weights: np.ndarray | None) -> DataFrame:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(_rows(text, weights), fields + (", _x array<double>" if weights is None else ", _logit double"))
+    new = T.StructField("x", T.ArrayType(T.DoubleType())) if weights is None else T.StructField("logit", T.DoubleType())
+    return df.mapInArrow(_rows(text, weights), T.StructType([*df.schema.fields, new]))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
     """Weights from at most MAX_LABELLED labelled rows, chosen by a hash of their key."""
-    some = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y"))
-    some = F.broadcast(some.orderBy(F.xxhash64("_k"), "_k", "_y").limit(MAX_LABELLED))
-    found = _map(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(some, "_k"), "_t", None).select("_k", "_y", "_x")
-    got = sorted(found.limit(2 * MAX_LABELLED).collect(), key=lambda r: (r["_k"], r["_y"]))
-    return fit(np.array([r["_x"] for r in got]).reshape(-1, FEATURES), np.array([r["_y"] for r in got]))
+    some = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("double").alias("y"))
+    some = F.broadcast(some.orderBy(F.xxhash64("k"), "k", "y").limit(MAX_LABELLED))
+    found = _map(docs.select(F.col(key).alias("k"), F.struct(F.col(text)).alias("row")).join(some, "k"), text, None).select("k", "y", "x")
+    got = sorted(found.limit(2 * MAX_LABELLED).collect(), key=lambda r: (r["k"], r["y"]))
+    return fit(np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["y"] for r in got]))
 
 
 def _strength(groups: DataFrame, prior: str) -> float:
@@ -129,23 +134,23 @@ def _strength(groups: DataFrame, prior: str) -> float:
     return float(np.clip(got["spread"] / got["n"] / variance - 1, 1.0, 10_000.0)) if variance > 1e-9 else 10_000.0
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """Posterior mean quality of each (_host, _path), shrunk to its host's, and that to the global one.
+def site_sums(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """n and s (summed probabilities) of each (host, path), host_n and host_s of its host; the global mean; the pseudo-counts of hosts and of paths.
 
-    scored: _host, _path, _logit. Partial sums are made before the shuffle, so a hot
+    scored: host, path, logit. Partial sums are made before the shuffle, so a hot
     host costs a row for each task. The sums are written to the checkpoint folder: all that follows
     reads them, not the texts again.
     """
-    p = 1 / (1 + F.exp(-F.col("_logit")))
-    paths = checkpoint(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    p = 1 / (1 + F.exp(-F.col("logit")))
+    paths = checkpoint(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     base = float(np.clip((total["s"] or 0.5) / (total["n"] or 1), 0.01, 0.99))
-    k = _strength(hosts.withColumn("prior", F.lit(base)), "prior")
-    hosts = hosts.select(F.col("_host").alias("_h"), ((F.col("s") + k * base) / (F.col("n") + k)).alias("p_host"))
-    placed = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
-    k = _strength(placed, "p_host")
-    return placed.select("_host", "_path", "p_host", ((F.col("s") + k * F.col("p_host")) / (F.col("n") + k)).alias("p_path")), base
+    k_host = _strength(hosts.withColumn("prior", F.lit(base)), "prior")
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    placed = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    k_path = _strength(placed.withColumn("prior", (F.col("host_s") + k_host * base) / (F.col("host_n") + k_host)), "prior")
+    return placed, base, k_host, k_path
 
 
 def quality(
@@ -155,26 +160,36 @@ def quality(
 
     A logistic regression on the text's shape gives document evidence. Summed over
     all rows it gives hosts and paths posterior means; sparse paths lean to their host, sparse
-    hosts to the global mean, by pseudo-counts that come from the data's own moments.
+    hosts to the global mean, by pseudo-counts that come from the data's own moments. A row's own evidence is left out of
+    what it gets from its site, so that none is counted twice: p_host and p_path are the posteriors of the others.
     The result's log odds are the document's plus what its path's differ from the global ones.
 
+    The BROADCAST_SITES sites with the most rows are broadcast; rows of others, none of which is hot, meet theirs by a shuffle.
+
     Null and empty texts are scored by their features like any other; a null host or path is one
     of its own. With no labels, or one class, evidence is the clipped prior. Rows may repeat; an empty table
-    gives no rows. Columns named as the new ones are replaced; all others stay.
+    gives no rows. Columns named as the new ones are replaced; all others stay, whatever their names.
     """
     new = ["p_doc", "p_host", "p_path", "p_quality", "keep"]
+    kept = docs.drop(*new).columns
     weights = train(docs, labels, key, text, label) if weights is None else weights
-    slim = docs.select(F.col(host).alias("_host"), F.col(path).alias("_path"), F.col(text).alias("_t"))
-    sites, base = site_posteriors(_map(slim, "_t", weights).select("_host", "_path", "_logit"))
-    few = len(sites.limit(BROADCAST_SITES + 1).select("p_path").collect()) <= BROADCAST_SITES
-    sites = sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "p_host", "p_path")
-    rows = _map(docs.drop(*new), text, weights)
-    met = rows.join(F.broadcast(sites) if few else sites, rows[host].eqNullSafe(sites["_h"]) & rows[path].eqNullSafe(sites["_p"]), "left")
+    site = [F.col(host).alias("host"), F.col(path).alias("path")]
+    sums, base, k_host, k_path = site_sums(_map(docs.select(F.struct(F.col(text)).alias("row"), *site), text, weights).select("host", "path", "logit"))
+    of = sums.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", "s", "host_n", "host_s")
+    ranked = of.orderBy(F.desc("n"), "h", "p")
+    rows = docs.select(F.struct(*kept).alias("row"), *site)
+    same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    if of.count() <= BROADCAST_SITES:
+        met = _map(rows.join(F.broadcast(of), same, "left").drop("h", "p"), text, weights)
+    else:
+        most = checkpoint(ranked.limit(BROADCAST_SITES))
+        first = rows.join(F.broadcast(most), same, "left").drop("h", "p")
+        rest = first.where("n IS NULL").select("row", "host", "path").join(of.hint("shuffle_merge"), same, "left").drop("h", "p")
+        met = _map(first.where("n IS NOT NULL"), text, weights).unionByName(_map(rest, text, weights))
     odds = lambda c: F.log(c / (1 - c))
+    met = met.withColumn("p_doc", 1 / (1 + F.exp(-F.col("logit"))))
+    met = met.withColumn("p_host", (F.col("host_s") - F.col("p_doc") + k_host * base) / (F.col("host_n") - 1 + k_host))
+    met = met.withColumn("p_path", (F.col("s") - F.col("p_doc") + k_path * F.col("p_host")) / (F.col("n") - 1 + k_path))
     clipped = F.least(F.greatest(F.col("p_path"), F.lit(0.01)), F.lit(0.99))
-    final = F.col("_logit") + odds(clipped) - float(np.log(base / (1 - base)))
-    return (
-        met.withColumns({"p_doc": 1 / (1 + F.exp(-F.col("_logit"))), "p_quality": 1 / (1 + F.exp(-final))})
-        .withColumn("keep", F.col("p_quality") >= threshold)
-        .select(*docs.drop(*new).columns, *new)
-    )
+    met = met.withColumn("p_quality", 1 / (1 + F.exp(-(F.col("logit") + odds(clipped) - float(np.log(base / (1 - base)))))))
+    return met.select("row.*", "p_doc", "p_host", "p_path", "p_quality", (F.col("p_quality") >= threshold).alias("keep"))
