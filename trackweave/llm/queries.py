@@ -73,4 +73,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality, op4_token_counts, op5_media, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, pipeline)}
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of the operators that it can express; the others need hashes, tokenizers or models that it lacks.
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+  shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+  sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+  common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+  links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+  walk AS (SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT w.id, l.b FROM walk w JOIN links l ON l.a = w.at)
+  SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(w.at) AS component_id FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN walk w ON w.id = d.doc_id GROUP BY ALL""",
+    # The checksum is worked out byte by byte with the usual table of 256 remainders.
+    "op8_sharding": """WITH RECURSIVE step(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM step WHERE k < 8),
+  crc AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8),
+  sized AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+  summed AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(h, lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a // 256, t[(xor(a % 256, x) + 1)::INT])), 4294967295)::BIGINT AS text_crc32 FROM sized, crc),
+  placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size / 2.0::DOUBLE AS middle, sum(size) OVER () AS total FROM summed),
+  dealt AS (SELECT *, least(floor(middle * 8 / total), 7)::INT AS shard FROM placed)
+  SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id)::BIGINT - 1 AS slot, NULL::INT AS grown_shard FROM dealt""",
+}

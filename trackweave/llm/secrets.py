@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/\-]{14,}={0,2}")
+#: Values that hold together beyond a run: tokens of parts with dots between, and private key blocks as a whole.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_\-.])[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]{6,}){1,3}(?![A-Za-z0-9_\-])")
+BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{20,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----")
 #: A name that speaks of a secret, a sign, and a value of any printable characters, in quotes or up to white space.
 NAMED = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|key|credentials?|auth)[a-z0-9_\-]{0,20}[\"']?\s{0,4}(?:=>|:=|==?|:)\s{0,4}"
 KEYED = re.compile(NAMED + r"""(?:"(?P<two>[^"\n]{6,200})"|'(?P<one>[^'\n]{6,200})'|(?P<bare>[^\s"'<>\[\]{}]{6,200}))""", re.I)
@@ -58,7 +61,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         _entropy(value),
         float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None),
         float(value.isdigit()),
-        float(re.match(r"AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|sk-|eyJ|AIza|glpat-", value) is not None),
+        float(re.match(r"AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|sk-|eyJ|AIza|glpat-|-----BEGIN ", value) is not None),
         sum(map(len, DICTIONARY.findall(lower))) / n,
         max(len(m.group()) for m in re.finditer(r"(.)\1*", value, re.S)) / n,
         float(any(w in x for x in near for w in FOR)),
@@ -155,9 +158,12 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
                 lambda: "ghp_" + draw(mixed, 36),
                 lambda: "sk_live_" + draw(mixed, 24),
                 lambda: "xoxb-" + draw("0123456789", 11) + "-" + draw(mixed, 24),
+                lambda: "eyJ" + ".".join(draw(mixed + "-_", k) for k in (int(rng.integers(15, 40)), int(rng.integers(30, 120)), 43)),
+                lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(draw(mixed + "+/", 64) for _ in range(int(rng.integers(2, 12)))) + "\n-----END RSA PRIVATE KEY-----",
             ]
         )()
-        bare = value[:4] in ("AKIA", "ghp_", "sk_l", "xoxb") and rng.random() < 0.6
+        bare = value[:4] in ("AKIA", "ghp_", "sk_l", "xoxb", "eyJ", "----") or value[:3] == "eyJ"
+        bare = bare and rng.random() < 0.6
         out.append((value, prose() if bare else prose() + name + sign + q, " " + prose() if bare else q + " " + prose(), path, 1))
         before, value = pick(
             [
@@ -173,6 +179,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
                 lambda: (prose() + "see ", "/".join(pick(WORDS) + pick(WORDS) for _ in range(4)) + pick(["", "2", "/v1"])),
                 lambda: (prose(), draw("0123456789", 4) + "-" + "-".join(draw("0123456789", k) for k in (2, 2, 6))),
                 lambda: (prose() + "data:image ", draw(mixed + "+/", 120)),
+                lambda: (prose() + "see ", ".".join(long_word() + pick(["", "2"]) for _ in range(int(rng.integers(2, 4))))),
             ]
         )()
         if len(value) >= 14:
@@ -238,11 +245,13 @@ def train_forest(findings: list[tuple[str, str, str, str, int]] | None = None) -
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Places of runs long and varied enough for a secret, with a digit or with capitals inside, and of values after a name and a sign.
+    """Places of runs long and varied enough for a secret, with a digit or with capitals inside, of dotted tokens and key blocks, and of values after a name and a sign.
 
     Placeholders such as `[SECRET]` or `${TOKEN}` are not values. Places may overlap.
     """
     found = {m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m.group()) or re.search(r"[a-z][A-Z]", m.group())}
+    found |= {m.span() for m in DOTTED.finditer(text) if any(c.isdigit() for c in m.group())}
+    found |= {m.span() for m in BLOCK.finditer(text)} if "PRIVATE KEY-----" in text else set()
     for m in KEYED.finditer(text):
         start, end = m.span(m.lastgroup)
         if m.lastgroup == "bare":
@@ -299,7 +308,10 @@ def find_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, key: s
 
 
 def redact_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, mark: str = "[SECRET]", text: str = "text", path: str = "source") -> DataFrame:
-    """The rows with each secret in the text replaced by `mark`; all columns stay."""
+    """The rows with each secret in the text replaced by `mark`; all columns stay.
+
+    Null and empty texts stay as they are; a null path counts as empty; repeated rows stay repeated; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
