@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,13 @@ from trackweave.llm.secrets import redact_secrets, train_forest
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps, as `quality` rates them.
+
+    Null and empty texts are rated like others; repeated rows are kept or rejected alike; an empty table stays empty; extra columns stay, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality(docs, labels).where("keep").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
+    return quality(rows, labels).where("keep").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,35 +31,46 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Where ids are null or repeat, rows go by a key of id and hashes of the whole row instead: rows that share
     an id are told apart, those without one come after all others, and equal rows, which share the key, are
-    one document. Texts without words are linked with nothing and all stay.
+    one document. Texts without words are linked with nothing and all stay. An empty table stays empty; extra columns stay, whatever their names.
     """
     if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
         others = ngram_components(docs).where("component_id <> doc_id").select("doc_id")
         return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
     part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), *docs.columns, *(F.col(c).isNull() for c in docs.columns)), F.lit(10**18)).cast("decimal(20,0)")
-    keyed = docs.withColumns({"_low": part(0), "_high": F.coalesce(F.col("doc_id").cast("decimal(20,0)"), part(1) + F.expr("10000000000000000000BD"))})
-    keyed = keyed.withColumn("_key", F.expr("cast(_high * 1000000000000000000BD + _low AS decimal(38,0))")).drop("_low", "_high")
-    found = checkpoint(ngram_components(keyed, key="_key"))
+    high = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), part(1) + F.lit(Decimal(10**19)))
+    # The row's own columns stay apart in a struct, so that no name clashes.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", (high * F.lit(Decimal(10**18)) + part(0)).cast("decimal(38,0)").alias("key"))
+    found = checkpoint(ngram_components(keyed, key="key"))
     worded = found.where("n_shingles > 0")
-    others = worded.where("component_id <> _key").select("_key").distinct()
-    repeated = worded.where("component_id = _key").groupBy("_key").count().where("count > 1").select("_key")
-    kept = keyed.join(others.union(repeated), "_key", "left_anti").unionByName(keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
-    return kept.select(*docs.columns)
+    others = worded.where("component_id <> key").select("key").distinct()
+    repeated = worded.where("component_id = key").groupBy("key").count().where("count > 1").select("key")
+    kept = keyed.join(others.union(repeated), "key", "left_anti").unionByName(keyed.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets replaced by a mark, and n_chars to match."""
+    """Documents with secrets replaced by a mark, and n_chars (null for a null text) to match.
+
+    Null and empty texts stay as they are; repeated rows stay repeated; an empty table stays empty; extra columns stay.
+    """
     return redact_secrets(docs, train_forest()).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, copies as rows of their own.
+
+    Null and empty texts have no words and are never taken; a null source is one of its own; repeated rows and null ids are
+    rows like others; an empty table stays empty; extra columns stay, whatever their names.
+    """
     taken = pareto_mix(docs, rows=True).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with begin and end, as little-endian unsigned 32-bit integers."""
+    """Token ids, with begin and end, as little-endian unsigned 32-bit integers: doc_id, source, n_tokens, ids, round_trip.
+
+    Null texts are encoded like empty ones, with a null round_trip; repeated rows stay repeated; an empty table stays empty; other columns are dropped.
+    """
     rows = encode_pieces(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return rows.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
