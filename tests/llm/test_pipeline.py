@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tests.llm.test_ngrams import brute
 from trackweave.llm.mixing import pareto_mix
@@ -102,3 +103,35 @@ def test_near_copies_among_repeated_rows_and_null_ids(spark):
     reverse = [r for r in got if r[1] and r[1].startswith("alone")]
     assert len(reverse) == 1 and got.pop(reverse[0]) == 1
     assert got == {rows[0]: 1, (5, "the same id on a second text", "en", "s", 1): 1, (-4, "an id with quite other words", "en", "t", 1): 1, (8, " ", "en", "s", 1): 2, (None,) * 5: 1}
+
+
+CLASHING = ["_key", "key", "row", "copies", "_rank", "size", "ids", "decoded", "logit", "host", "p_doc", "keep", "component_id", "Node", "_hash", "n_tokens"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]], ids=lambda f: f.__name__)
+def test_stages_on_odd_tables(spark, stage):
+    """Nulls in every column, empty, blank and long texts, repeated rows, no rows, and extra columns whose names clash."""
+    long = " ".join(f"word{k}" for k in range(20_000)) + "."
+    near = "A sentence of quite some words that says something, and goes on for a while, until it comes to its end."
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "  ", None, "s", 2), (3, near, "en", None, 9), (4, near, "en", "s", 9), (4, near, "en", "s", 9), (None, near + " More.", "de", "t", 9), (5, long, "en", "t", 9)]
+    plain = spark.createDataFrame(rows, ROW)
+    docs = plain.withColumns({c: F.lit(f"x{i}") for i, c in enumerate(CLASHING)}).repartition(3)
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    expected = Counter(tuple(r) for r in stage(spark, plain, SF).collect())
+    kept = got.collect()
+    assert all(r[c] == f"x{i}" for r in kept for i, c in enumerate(CLASHING))
+    if stage is not corpus_pipeline.mix_sources and stage is not corpus_pipeline.drop_near_copies:  # these two go by a hash of the whole row
+        assert Counter(tuple(r)[:5] for r in kept) == expected
+    assert stage(spark, docs.limit(0), SF).collect() == []
+    if stage is corpus_pipeline.drop_near_copies:
+        assert sum(r["text"] is not None and r["text"].startswith(near) for r in kept) == 1 and len(kept) == 5
+    if stage is corpus_pipeline.mask_secrets:
+        assert Counter(tuple(r) for r in kept) == Counter((*r[:4], None if r[1] is None else len(r[1]), *(f"x{i}" for i in range(len(CLASHING)))) for r in rows)
+
+
+def test_encoding_of_odd_tables(spark):
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], ROW).withColumns({c: F.lit(1) for c in ("n_tokens", "round_trip", "decoded")})
+    got = corpus_pipeline.encode(spark, docs, SF).collect()
+    assert [(r["n_tokens"], r["round_trip"]) for r in got] == [(2, None), (2, True), (2, True)]
+    assert corpus_pipeline.encode(spark, docs.limit(0), SF).collect() == []
