@@ -23,6 +23,8 @@ FILTER_BITS = 23
 SMALL, BLOCK = 32, 4096
 #: A cell of the all-pairs comparison holds two blocks of about so many nodes and n-grams at most.
 CELL_NODES, CELL_GRAMS = 512, 2_000_000
+#: Copies of a cluster's row, for the join with its members.
+SALTS = 16
 #: Hash ranges of the suffix filter.
 RANGES = 64
 WORDS_AT_ONCE = 500_000
@@ -139,7 +141,7 @@ def _profile(size: int):
                 hists.append(np.minimum(np.bincount((u >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() if len(u) else None)
                 seen.append(u)
                 held += len(u)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     count()
                     seen, held = [], 0
             if seen:
@@ -335,24 +337,34 @@ def _compared(size: int, share: tuple[int, int]):
     return run
 
 
+def _salted(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table of one row for each key, of which SALTS copies are made, so that a hot key's rows are spread over tasks."""
+    salts = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salts.hint("shuffle_hash"), [key, "salt"]).drop("salt")
+
+
 def _cells(members: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Deals members (cluster, id, n, label) to cells (cluster, lo, hi) so that any two of different labels whose sizes allow a link meet in one.
 
     Sizes fall into classes as wide as the length filter; each class is split by hash into blocks of bounded
     size, apart for the cluster's largest label and the rest. Two blocks of the same or neighbouring classes are a cell, unless
     both are of the largest label: its members hang together already. So a cluster of m members, k of them outside its largest label, takes about k * m comparisons.
+    Clusters of a single label are left out.
     """
     sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("m", "label")).alias("largest"))
+    labels = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     width = float(np.log(share[1] / share[0]))
-    rows = members.join(largest, "cluster").withColumns({"main": F.col("label") == F.col("largest"), "size": F.floor(F.log(F.col("n")) / width + 1e-9).cast("int")})
+    rows = _salted(members, labels, "cluster").select("cluster", "id", "label", "n", (F.col("label") == F.col("largest")).alias("main"), F.floor(F.log(F.col("n")) / width + 1e-9).cast("int").alias("size"))
+    rows = checkpoint(rows)
     counts = rows.groupBy("cluster", "main", "size").agg(F.ceil(F.greatest(F.count("*") / CELL_NODES, F.sum("n") / CELL_GRAMS)).cast("int").alias("blocks"))
+    every = counts.groupBy("cluster").agg(F.collect_list(F.struct("main", "size", "blocks")).alias("every"))  # as many as a cluster has size classes, twice
     name = lambda main, size, block: F.struct(main.alias("main"), size.alias("size"), block.alias("block"))
-    rows = rows.join(counts, ["cluster", "main", "size"]).withColumn("own", name(F.col("main"), F.col("size"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    others = counts.select("cluster", F.col("main").alias("o_main"), F.col("size").alias("o_size"), F.col("blocks").alias("o_blocks"))
-    near = rows.drop("blocks").join(others, "cluster").where("abs(size - o_size) <= 1 AND NOT (main AND o_main)")
-    near = near.withColumn("o_block", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1))).withColumn("other", name(F.col("o_main"), F.col("o_size"), F.col("o_block")))
-    return near.select("cluster", "id", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    met = _salted(rows, every, "cluster")
+    mine = F.filter("every", lambda c: (c["main"] == F.col("main")) & (c["size"] == F.col("size")))[0]["blocks"]
+    near = F.filter("every", lambda c: (F.abs(c["size"] - F.col("size")) <= 1) & ~(c["main"] & F.col("main")))
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda b: name(c["main"], c["size"], b))))
+    met = met.withColumns({"own": name(F.col("main"), F.col("size"), F.pmod(F.xxhash64("id"), mine).cast("int")), "other": F.explode(others)})
+    return met.select("cluster", "id", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
 # --- the join -------------------------------------------------------------------------------------
@@ -446,10 +458,9 @@ def ngram_components(docs: DataFrame, words: int = 5, share: tuple[int, int] = (
         clusters = components(ties).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
         label = components(links).withColumnRenamed("node", "id")
         members = clusters.join(nodes.select("id", "n"), "id").join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
-        mixed = members.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        members = checkpoint(members.join(mixed, "cluster", "left_semi").select("cluster", "id", "n", "label"))
-        texts = _among(members.select("id"), docs)
-        cells = _cells(members, share).join(texts, "id").groupBy("cluster", "lo", "hi")
+        cells = checkpoint(_cells(members.select("cluster", "id", "n", "label"), share))
+        texts = _among(cells.select("id").distinct(), docs)
+        cells = cells.join(texts, "id").groupBy("cluster", "lo", "hi")
         links = checkpoint(links.union(cells.applyInPandas(_compared(words, share), f"a {kind}, b {kind}")))
 
     groups = components(links).withColumnRenamed("node", "least")

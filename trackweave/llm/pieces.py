@@ -17,11 +17,11 @@ from .common import Recent
 
 SPACE = "▁"
 #: Bytes of a worker's cache of chunks.
-CACHE = 48_000_000
+CACHE = 32_000_000
 KEEP_CHARS = 64
 MARKS, LETTER = string.punctuation, "[A-Za-z\u00c0-\u024f]"
 #: Characters of text encoded at a time.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 
 class PieceCodec:
