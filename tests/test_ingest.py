@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from trackweave.operators import ingest
 
 
 def event(seq, **more):
-    return {"event_id": f"e{seq}", "node_id": "n", "camera_id": "c", "session_id": 1, "local_id": 2, "seq": seq, "type": "update", "event_time_ns": seq * 10, "class_id": 0} | more
+    return {"event_id": f"e{seq}", "node_id": "n", "camera_id": "c", "session_id": 1, "local_id": 2, "seq": seq, "type": "update", "event_time_ns": seq * 10, "class_id": 0, "blobs": []} | more
 
 
 def batches(spark, *bodies):
@@ -30,6 +31,94 @@ def test_batches(spark):
     assert batches(spark, wrap(event(1), event(2))).count() == 2
 
 
+WRONG = [
+    {"event_id": 5}, {"camera_id": {"a": 1}}, {"node_id": ["n"]}, {"session_id": 1.5}, {"session_id": "7"}, {"session_id": True}, {"seq": 2.0}, {"local_id": "3"}, {"event_time_ns": 1e3}, {"type": 1}, {"type": None},
+    {"blobs": None}, {"blobs": {}}, {"blobs": [5]}, {"blobs": [{"sha256": "a" * 64, "size": 5, "mime": 7}]}, {"blobs": [{"sha256": "a" * 64, "size": "5", "mime": ""}]}, {"event_id": ""}, {"event_id": "a\n"}, {"event_id": "x" * 513},
+]
+
+
+def test_wrongly_typed_events(spark):
+    got = errors(spark, *[json.dumps({"version": 1, "events": [event(1), event(2) | wrong]}) for wrong in WRONG])
+    assert got == dict.fromkeys(range(len(WRONG)), "event")
+
+
+def test_odd_batches(spark):
+    blob = {"sha256": "b" * 64, "size": 0, "mime": "", "more": [1, {"x": None}]}
+    good = json.dumps({"version": 1, "events": [event(1, blobs=[blob]), event(2, extra={"a": [1, 2.5]}), event(3, session_id=2**64 - 1)]})
+    missing = event(4)
+    del missing["blobs"]
+    bodies = [good, '{"version":true,"events":[]}', '{"version":1,"events":[5]}', json.dumps({"version": 1, "events": [missing]}), "", "[]", None]
+    assert errors(spark, *bodies) == {0: None, 1: "version", 2: "event", 3: "event", 4: "size", 5: "version", 6: "size"}
+
+
+WORLD = {"valid": True, "coordinate_frame_id": "f", "x_m": 1, "y_m": 2.5, "z_m": -3.0, "velocity_valid": True, "vx_mps": 1.0, "vy_mps": 0.0, "vz_mps": 2, "position_covariance_m2": [1.0, 0.1, 0, 0.1, 2, 0, 0, 0, 3], "quality": 0.5}
+PLACE = {"valid": True, "map": {"valid": True, "revision": "m"}}
+
+
+def look(spark, *spatial, **more):
+    body = json.dumps({"version": 1, "events": [event(i + 1, spatial=s, **more) for i, s in enumerate(spatial)]})
+    return ingest.observed(batches(spark, body)).orderBy("seq").collect()
+
+
+def test_observations(spark):
+    bearing = {"valid": True, "timestamp_ns": 7, "camera_position_world_m": [0, 0, 0], "direction_world": [1, 0, 0], "tangent_basis_world": [0, 1, 0, 0, 0, 1], "has_tangent_covariance": True, "tangent_covariance_rad2": [1e-4, 0, 0, 1e-4]}
+    cases = [
+        ({"world": WORLD, "localization_quality": PLACE, "bearing": bearing}, (True, True, True, 0.5, "f", "m", True)),
+        ({"world": WORLD | {"valid": 1}, "localization_quality": PLACE}, (False, False, True, 0.5, "f", "m", False)),
+        ({"world": WORLD | {"coordinate_frame_id": 5}, "localization_quality": PLACE}, (False, False, True, 0.5, "", "m", False)),
+        ({"world": WORLD, "localization_quality": {"map": {"valid": "true", "revision": "m"}}}, (False, False, True, 0.5, "f", "", False)),
+        ({"world": WORLD, "localization_quality": {"map": {"valid": True, "revision": 3}}}, (False, False, True, 0.5, "f", "", False)),
+        ({"world": WORLD | {"position_covariance_m2": [0] * 9, "velocity_valid": False, "quality": "0.9"}, "localization_quality": PLACE}, (True, False, False, 0.0, "f", "m", False)),
+        ({"world": WORLD | {"position_covariance_m2": [1, 2, 0, 2, 1, 0, 0, 0, 1], "quality": True}, "localization_quality": PLACE}, (True, False, True, 0.0, "f", "m", False)),
+        ({"world": WORLD | {"position_covariance_m2": [1, 0.2, 0, 0.1, 2, 0, 0, 0, 3], "vx_mps": "1"}, "localization_quality": PLACE}, (True, False, False, 0.5, "f", "m", False)),
+        ({"world": WORLD | {"y_m": None}, "localization_quality": PLACE, "bearing": 5}, (False, False, True, 0.5, "f", "m", False)),
+        ({"world": [1]}, (False, False, False, 0.0, "", "", False)),
+        (7, (False, False, False, 0.0, "", "", False)),
+        (None, (False, False, False, 0.0, "", "", False)),
+    ]
+    got = look(spark, *[c for c, _ in cases])
+    there = lambda r: (r["position"] is not None, r["covariance"] is not None, r["velocity"] is not None, r["quality"], r["frame"], r["map_revision"], r["bearing"] is not None)
+    assert [there(r) for r in got] == [e for _, e in cases]
+    assert got[0]["position"] == [1.0, 2.5, -3.0] and got[0]["bearing"]["direction_world"] == [1.0, 0.0, 0.0] and got[0]["class_id"] == 0
+    assert look(spark, None, class_id=None)[0]["class_id"] == -1
+
+
+def test_an_older_sound_covariance_is_taken(spark):
+    """The newest observation has a covariance that is none: `latest` goes back to the one before."""
+    from trackweave.operators import tracklets
+
+    bad = WORLD | {"position_covariance_m2": [0.0] * 9}
+    body = json.dumps({"version": 1, "events": [event(1, spatial={"world": WORLD, "localization_quality": PLACE}), event(2, spatial={"world": bad, "localization_quality": PLACE})]})
+    found = tracklets.tracklets(tracklets.segmented(ingest.observed(batches(spark, body)))).first()
+    assert found["latest"]["seq"] == 1 and found["uid"] == '["n","c",1,2,1]'
+
+
+def decided(batches_, stored=()):
+    """Batches one by one, as a store takes them."""
+    by_seq, by_id = {(n, s): (e, d) for n, s, e, d in stored}, {(n, e): s for n, s, e, d in stored}
+    out = {}
+    for b in sorted({r[0] for r in batches_}):
+        seqs, ids, ok = dict(by_seq), dict(by_id), True
+        for _, n, s, e, d in (r for r in batches_ if r[0] == b):
+            ok &= seqs.setdefault((n, s), (e, d)) == (e, d) and ids.setdefault((n, e), s) == s
+        for _, n, s, e, d in (r for r in batches_ if r[0] == b):
+            out[b, n, s, e, d] = "conflict" if not ok else "replay" if any((n, s) == x[:2] for x in stored) else "new"
+        if ok:
+            by_seq, by_id = seqs, ids
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_batches_are_decided_as_if_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda: ("n", rng.randint(1, 12), f"e{rng.randint(1, 12)}", rng.choice("xxxy"))
+    stored = [("n", k, f"e{k}", "x") for k in (1, 2)]
+    rows = [(b, *pick()) for b in range(14) for _ in range(rng.randint(1, 3))]
+    form = "batch_id long, node_id string, seq long, event_id string, digest string"
+    got = ingest.classify(spark.createDataFrame(rows, form), spark.createDataFrame([(-1, *s) for s in stored], form))
+    assert {tuple(r[c] for c in ("batch_id", "node_id", "seq", "event_id", "digest")): r["status"] for r in got.collect()} == decided(rows, stored)
+
+
 @pytest.mark.parametrize("seqs, contiguous, missing", [([2, 4], 0, [(1, 1), (3, 3)]), ([2, 4, 1], 2, [(3, 3)]), ([2, 4, 1, 3], 4, []), ([1, 2, 3, 4, 5], 5, [])])
 @pytest.mark.parametrize("width", [2, 4096])
 def test_watermark_and_gaps(spark, monkeypatch, seqs, contiguous, missing, width):

@@ -52,6 +52,20 @@ def test_deliveries_are_kept_once(spark, tmp_path):
     assert sorted((r["node_id"], r["seq"], r["event_id"]) for r in kept.collect()) == [("m", 1, "a"), ("n", 1, "a"), ("n", 2, "b"), ("n", 3, "c"), ("n", 4, "e")]
 
 
+def test_triggers_may_be_cut_anywhere(spark, tmp_path):
+    """A batch that an accepted one contradicts, and one that only a rejected one does: the same events are kept from one trigger as from many."""
+    rows = [(1, "n", 2, "b", "y"), (2, "n", 1, "a", "x"), (2, "n", 2, "b", "x"), (3, "n", 1, "c", "z"), (4, "n", 1, "a", "x")]
+    kept = []
+    for name, parts in (("one", [rows]), ("many", [[r for r in rows if r[0] == b] for b in (1, 2, 3, 4)])):
+        for part in parts:
+            put(spark, tmp_path / name / "in", part, DELIVERY)
+            stream = spark.readStream.schema(DELIVERY).parquet(str(tmp_path / name / "in"))
+            inbox.keep_deliveries(stream, str(tmp_path / name / "out"), str(tmp_path / name / "ckpt")).awaitTermination()
+        found = inbox.epochs(spark, str(tmp_path / name / "out"), spark.createDataFrame([], DELIVERY).schema).collect()
+        kept.append(sorted((r["seq"], r["event_id"], r["digest"]) for r in found))
+    assert kept == [[(1, "c", "z"), (2, "b", "y")]] * 2
+
+
 def test_unblocked(spark):
     refs = spark.createDataFrame([("a", 1, "s", 5), ("b", 2, "s", 6), ("c", 1, "s", 5)], "node_id string, seq long, sha string, size long")
     assert sorted(r[0] for r in inbox.unblocked(refs, spark.createDataFrame([("s", 5)], "sha string, size long")).collect()) == ["a", "c"]

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import vectors as V
+from .checkpoints import checkpoint
+
 #: Limits of the wire format (fixed values).
 MAX_EVENTS, MAX_BATCH_BYTES = 512, 4 * 1024 * 1024
 MAX_BLOBS, MAX_BLOB_BYTES, MAX_MIME = 128, 16 * 1024 * 1024, 200
@@ -38,42 +41,57 @@ def _identifier(c: Column, most: int) -> Column:
 def event_error(e: Column | None = None) -> Column:
     """The first rule that an event breaks, or null. `e` is a struct; without it, columns of the row."""
     col = (lambda n: e[n]) if e is not None else F.col
-    blobs = F.coalesce(col("blobs"), F.array().cast(T.ArrayType(BLOB)))
+    blobs = col("blobs")
     good_blob = lambda b: (
-        F.coalesce(b["sha256"].rlike(r"\A[0-9a-f]{64}\z"), F.lit(False)) & F.coalesce(b["size"].between(0, MAX_BLOB_BYTES), F.lit(False)) & F.coalesce(F.length(b["mime"]).between(1, MAX_MIME), F.lit(False))
+        F.coalesce(b["sha256"].rlike(r"\A[0-9a-f]{64}\z"), F.lit(False)) & F.coalesce(b["size"].between(0, MAX_BLOB_BYTES), F.lit(False)) & F.coalesce(F.length(b["mime"]) <= MAX_MIME, F.lit(False))
     )
     rules = [
-        ("event_id", _identifier(col("event_id"), 512)),
         ("node_id", _identifier(col("node_id"), 128)),
         ("camera_id", _identifier(col("camera_id"), 128)),
         ("session_id", (col("session_id") >= 0) & (col("session_id") < F.lit("18446744073709551616").cast("decimal(20,0)"))),
-        ("local_id", col("local_id") >= 0),
         ("seq", col("seq") >= 1),
+        ("event_id", _identifier(col("event_id"), 512)),
         ("type", col("type").isin(*TYPES)),
+        ("local_id", col("local_id") >= 0),
         ("event_time_ns", col("event_time_ns") >= 0),
-        ("blobs", (F.size(blobs) <= MAX_BLOBS) & F.forall(blobs, good_blob) & (F.size(F.array_distinct(F.transform(blobs, lambda b: b["sha256"]))) == F.size(blobs))),
+        ("blobs", blobs.isNotNull() & (F.size(blobs) <= MAX_BLOBS) & F.forall(blobs, good_blob) & (F.size(F.array_distinct(F.transform(blobs, lambda b: b["sha256"]))) == F.size(blobs))),
     ]
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])
 
 
+#: Types that an event's values must be written with: a number in quotes is no number, a number no name.
+WRITTEN = {"node_id": "STRING", "camera_id": "STRING", "session_id": "WHOLE", "seq": "WHOLE", "event_id": "STRING", "type": "STRING", "local_id": "WHOLE", "event_time_ns": "WHOLE", "blobs": "BLOBS"}
+
+
+def type_error(event: Column) -> Column:
+    """The first value of an event (a variant) that is written with the wrong type, or null."""
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(event, f"$.{name}", "variant"))
+    fits = {
+        "STRING": lambda k: k == "STRING",
+        "WHOLE": lambda k: (k == "BIGINT") | k.rlike(r"^DECIMAL\((19|20),0\)$"),
+        "BLOBS": lambda k: (k == "ARRAY<VOID>") | (k == "ARRAY<>") | (k.rlike("^ARRAY<OBJECT<") & k.contains("mime: STRING") & k.contains("sha256: STRING") & k.contains("size: BIGINT")),
+    }
+    return F.coalesce(*[F.when(~F.coalesce(fits[t](kind(name)), F.lit(False)), F.lit(name)) for name, t in WRITTEN.items()])
+
+
 def decode_batches(raw: DataFrame, body: str = "body") -> DataFrame:
     """Parses JSON batches to rows (batch_id, error, event, payload, digest).
 
     A batch must be strict JSON (no repeated keys, no NaN), of version 1, at most MAX_BATCH_BYTES, with 1 to
-    MAX_EVENTS events of one node that are all valid; else it gives one row with an error and no events.
+    MAX_EVENTS events of one node that are all valid, each value written with its own type (`WRITTEN`); else it gives one row with an error and no events.
     """
     form = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("events", T.ArrayType(T.StringType()))])
     strict = {"allowNonNumericNumbers": "false"}
     parsed = raw.select("batch_id", F.col(body).alias("_b")).withColumns({"_strict": F.try_parse_json("_b"), "_batch": F.from_json("_b", form, strict)})
-    events = F.transform(F.col("_batch.events"), lambda s: F.struct(F.from_json(s, EVENT, strict).alias("event"), s.alias("payload")))
-    parsed = parsed.withColumn("_events", events)
+    one = lambda s: F.struct(F.from_json(s, EVENT, strict).alias("event"), s.alias("payload"), type_error(F.try_parse_json(s)).alias("fault"))
+    parsed = parsed.withColumn("_events", F.transform("_batch.events", one))
     rules = [
-        ("size", F.octet_length("_b") <= MAX_BATCH_BYTES),
+        ("size", F.octet_length("_b").between(1, MAX_BATCH_BYTES)),
         ("json", F.col("_strict").isNotNull() & F.col("_batch").isNotNull()),
         ("version", F.col("_batch.version") == 1),
         ("count", F.size("_batch.events").between(1, MAX_EVENTS)),
+        ("event", F.forall("_events", lambda x: x["fault"].isNull() & event_error(x["event"]).isNull())),
         ("nodes", F.size(F.array_distinct(F.transform("_events", lambda x: x["event"]["node_id"]))) == 1),
-        ("event", F.forall("_events", lambda x: event_error(x["event"]).isNull())),
     ]
     error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])
     rows = parsed.withColumn("error", error).select("batch_id", "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("_events"))).alias("_x"))
@@ -81,24 +99,78 @@ def decode_batches(raw: DataFrame, body: str = "body") -> DataFrame:
     return rows.select("batch_id", "error", F.col("_x.event").alias("event"), F.col("_x.payload").alias("payload"), F.when(F.col("_x").isNotNull(), F.sha2(canonical, 256)).alias("digest"))
 
 
+#: What an observation is read from; names may be of any JSON type and count only as strings.
+SPATIAL = (
+    "frame_id bigint, spatial struct<world:struct<valid:boolean,coordinate_frame_id:variant,x_m:double,y_m:double,z_m:double,velocity_valid:boolean,vx_mps:double,vy_mps:double,vz_mps:double,position_covariance_m2:array<double>,quality:double>,"
+    "localization_quality:struct<map:struct<valid:boolean,revision:variant>>,bearing:struct<valid:boolean,timestamp_ns:bigint,camera_position_world_m:array<double>,direction_world:array<double>,tangent_basis_world:array<double>,"
+    "has_tangent_covariance:boolean,tangent_covariance_rad2:array<double>>>"
+)
+
+
+def observed(events: DataFrame) -> DataFrame:
+    """Observations of decoded events (event, payload): the envelope's columns, and position, covariance, velocity, quality, frame, map_revision and bearing.
+
+    Values of the wrong type count as absent. A position needs a valid world estimate with a frame and a valid map with a revision; its covariance must be
+    symmetric and positive definite, else it is null, and so is one without a position. Velocity counts where it is valid, quality is 0 where there is none.
+    A missing class is -1. Rows without an event are left out.
+    """
+    rows = events.where("event IS NOT NULL").select("event", F.from_json("payload", SPATIAL, {"allowNonNumericNumbers": "false"}).alias("o"))
+    world, place = F.col("o.spatial.world"), F.col("o.spatial.localization_quality.map")
+    name = lambda v: F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.lit(""))
+    rows = rows.withColumns({"frame": name(world["coordinate_frame_id"]), "map_revision": F.when(place["valid"], name(place["revision"])).otherwise("")})
+    xyz = lambda *keys: F.array(*[world[k] for k in keys])
+    seen = world["valid"] & V.all_finite(xyz("x_m", "y_m", "z_m"), 3) & (F.col("frame") != "") & (F.col("map_revision") != "")
+    rows = rows.withColumn("position", F.when(seen, xyz("x_m", "y_m", "z_m")))
+    c, v = world["position_covariance_m2"], xyz("vx_mps", "vy_mps", "vz_mps")
+    return rows.select(
+        *[F.col(f"event.{n}").alias(n) for n in ("event_id", "node_id", "camera_id", "session_id", "local_id", "seq", "type", "event_time_ns")],
+        F.coalesce("event.class_id", F.lit(-1).cast("long")).alias("class_id"), F.col("o.frame_id").alias("frame_id"), "position",
+        F.when(F.col("position").isNotNull() & V.is_covariance(c), c).alias("covariance"),
+        F.when(world["velocity_valid"] & V.all_finite(v, 3), v).alias("velocity"),
+        F.when(V.finite(world["quality"]), world["quality"]).otherwise(0.0).alias("quality"),
+        "frame", "map_revision", F.col("o.spatial.bearing").alias("bearing"),
+    )
+
+
+def _claims(rows: DataFrame) -> DataFrame:
+    """(batch_id, node_id, kind, key, value): what events hold fast: a number its event, an event its number."""
+    by_seq = F.struct(F.lit("seq").alias("kind"), F.col("seq").cast("string").alias("key"), F.to_json(F.array("event_id", "digest")).alias("value"))
+    by_id = F.struct(F.lit("id").alias("kind"), F.col("event_id").cast("string").alias("key"), F.col("seq").cast("string").alias("value"))
+    return rows.withColumn("_c", F.explode(F.array(by_seq, by_id))).select("batch_id", "node_id", "_c.*")
+
+
 def classify(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds `status` to incoming events (batch_id, node_id, seq, event_id, digest): new, replay or conflict.
 
     A replay has the stored event's id and digest. Anything else at a stored (node, seq), or a stored
-    (node, event_id) at another seq, is a conflict, and so is what differs from an earlier batch of
-    the delivery (one that is rejected included) or within its batch; a conflict rejects its whole batch.
+    (node, event_id) at another seq, is a conflict, and so is what differs from another event of its batch or of an earlier batch that is
+    accepted; a conflict rejects its whole batch, which then leaves nothing. So it is as if batches came one by one in the order of batch_id, however
+    they are delivered.
+
+    Batches are decided in rounds: those that no undecided earlier batch can contradict are accepted, then those that contradict them are rejected. Without
+    contradictions one round decides all. Each claim is compared with the least and greatest value before it, not with each rival.
     """
-    known = stored.select("node_id", "seq", F.col("event_id").alias("_id"), F.col("digest").alias("_digest"))
-    ids = stored.select("node_id", "event_id", F.col("seq").alias("_seq"))
-    met = incoming.join(known, ["node_id", "seq"], "left").join(ids, ["node_id", "event_id"], "left")
-    by_seq = Window.partitionBy("node_id", "seq").orderBy("batch_id", "event_id", "digest")
-    by_id = Window.partitionBy("node_id", "event_id").orderBy("batch_id", "seq")
-    same = F.struct("event_id", "digest")
-    clash = (F.first(same).over(by_seq) != same) | (F.first("seq").over(by_id) != F.col("seq"))
-    conflict = clash | (F.col("_id").isNotNull() & ((F.col("_id") != F.col("event_id")) | (F.col("_digest") != F.col("digest")))) | (F.col("_seq").isNotNull() & (F.col("_seq") != F.col("seq")))
-    batch = Window.partitionBy("batch_id")
-    status = F.when(F.max(conflict.cast("int")).over(batch) == 1, "conflict").when(F.col("_id").isNotNull(), "replay").otherwise("new")
-    return met.withColumn("status", status).drop("_id", "_digest", "_seq")
+    key, claims = ["node_id", "kind", "key"], checkpoint(_claims(incoming).distinct())
+    own = claims.groupBy("batch_id", *key).agg(F.count("*").alias("n")).where("n > 1").select("batch_id")
+    held = _claims(stored.select("node_id", "seq", "event_id", "digest").withColumn("batch_id", F.lit(None).cast("long"))).select(*key, F.col("value").alias("held"))
+    against = claims.join(held, key).where("value <> held").select("batch_id")
+    refused = checkpoint(own.union(against).distinct())
+    left = checkpoint(claims.join(refused, "batch_id", "left_anti"))
+    while True:
+        before = Window.partitionBy(*key).orderBy("batch_id").rangeBetween(Window.unboundedPreceding, -1)
+        rival = left.withColumns({"lo": F.min("value").over(before), "hi": F.max("value").over(before)}).where("lo <> value OR hi <> value").select("batch_id").distinct()
+        undecided = checkpoint(rival)
+        if undecided.isEmpty():
+            break
+        accepted = left.join(undecided, "batch_id", "left_anti").select(*key, F.col("value").alias("held")).distinct()
+        waiting = left.join(undecided, "batch_id", "left_semi")
+        beaten = checkpoint(waiting.join(accepted, key).where("value <> held").select("batch_id").distinct())
+        refused = refused.union(beaten)
+        left = checkpoint(left.join(beaten, "batch_id", "left_anti"))
+    known = stored.select("node_id", "seq", F.lit(True).alias("_known"))
+    met = incoming.join(known, ["node_id", "seq"], "left").join(refused.withColumn("_refused", F.lit(True)), "batch_id", "left")
+    status = F.when(F.col("_refused"), "conflict").when(F.col("_known"), "replay").otherwise("new")
+    return met.withColumn("status", status).drop("_known", "_refused")
 
 
 def missing_blobs(refs: DataFrame, blobs: DataFrame) -> DataFrame:
