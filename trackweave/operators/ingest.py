@@ -134,7 +134,7 @@ def observed(events: DataFrame) -> DataFrame:
 
 def _claims(rows: DataFrame) -> DataFrame:
     """(batch_id, node_id, kind, key, value): what events hold fast: a number its event, an event its number."""
-    by_seq = F.struct(F.lit("seq").alias("kind"), F.col("seq").cast("string").alias("key"), F.to_json(F.array("event_id", "digest")).alias("value"))
+    by_seq = F.struct(F.lit("seq").alias("kind"), F.col("seq").cast("string").alias("key"), F.to_json(F.array(F.col("event_id").cast("string"), F.col("digest"))).alias("value"))
     by_id = F.struct(F.lit("id").alias("kind"), F.col("event_id").cast("string").alias("key"), F.col("seq").cast("string").alias("value"))
     return rows.withColumn("_c", F.explode(F.array(by_seq, by_id))).select("batch_id", "node_id", "_c.*")
 

@@ -12,6 +12,7 @@ from ..functions import geodesy, triangles
 from ..functions import vectors as V
 from ..operators import associate, checkpoints, fusion, graph, identity, ingest, meshmap, tracklets, window_ls
 from ..sources import adapters as A
+from ..sources import scenes
 from ..streaming import inbox, world
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,19 +85,26 @@ def event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN k = 13 THEN 0L ELSE event_id + 1 END AS seq",
         "CASE WHEN k = 17 THEN 'stop' ELSE 'update' END AS type",
         "CASE WHEN k = 19 THEN -5L ELSE event_id END AS event_time_ns",
-        f"CASE WHEN k = 23 THEN array({blob}, {blob}) WHEN k = 29 THEN array(named_struct('sha256', 'xyz', 'size', 10L, 'mime', 'a')) WHEN k = 31 THEN array({blob}) END AS blobs",
+        f"CASE WHEN k = 23 THEN array({blob}, {blob}) WHEN k = 29 THEN array(named_struct('sha256', 'xyz', 'size', 10L, 'mime', 'a')) WHEN k = 31 THEN array({blob}) ELSE slice(array({blob}), 1, 0) END AS blobs",
     )
     return rows.withColumn("error", ingest.event_error()).select(F.col("id").alias("event_id"), "error")
 
 
-@query("""WITH d AS (SELECT event_id, event_id // 100 AS batch_id, 'node_' || (event_id // 100 % 4) AS node_id, event_id % 9000 AS seq,
+def _one_by_one(stored: str) -> str:
+    """Batches of d (batch_id, node_id, seq, eid, digest) taken one after another: `done` has the list `ok` of those accepted, `stored` being there before."""
+    return f"""claims AS (SELECT DISTINCT batch_id, node_id, 'seq' AS kind, seq::VARCHAR AS key, eid || '/' || digest AS value FROM d UNION SELECT DISTINCT batch_id, node_id, 'id', eid::VARCHAR, seq::VARCHAR FROM d),
+  held AS (SELECT node_id, 'seq' AS kind, seq::VARCHAR AS key, eid || '/' || digest AS value FROM {stored} UNION SELECT node_id, 'id', eid::VARCHAR, seq::VARCHAR FROM {stored}),
+  faulty AS (SELECT batch_id FROM claims GROUP BY batch_id, node_id, kind, key HAVING count(*) > 1 UNION SELECT c.batch_id FROM claims c JOIN held h USING (node_id, kind, key) WHERE c.value <> h.value),
+  rivals AS (SELECT b.batch_id, list(DISTINCT a.batch_id) AS earlier FROM claims b JOIN claims a USING (node_id, kind, key) WHERE a.batch_id < b.batch_id AND a.value <> b.value GROUP BY b.batch_id),
+  queue AS (SELECT batch_id, row_number() OVER (ORDER BY batch_id) AS k, batch_id IN (SELECT batch_id FROM faulty) AS bad, coalesce(earlier, []) AS earlier FROM (SELECT DISTINCT batch_id FROM d) LEFT JOIN rivals USING (batch_id)),
+  walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ok UNION ALL SELECT q.k, CASE WHEN q.bad OR list_has_any(w.ok, q.earlier) THEN w.ok ELSE list_append(w.ok, q.batch_id) END FROM walk w JOIN queue q ON q.k = w.k + 1),
+  done AS (SELECT ok FROM walk ORDER BY k DESC LIMIT 1)"""
+
+
+@query(f"""WITH RECURSIVE all_d AS (SELECT event_id, event_id // 100 AS batch_id, 'node_' || (event_id // 100 % 4) AS node_id, event_id % 9000 AS seq,
     CASE WHEN event_id >= 9000 THEN event_id - 9000 ELSE event_id END AS eid, CASE WHEN event_id % 1013 = 1000 THEN 'x' ELSE 'same' END AS digest FROM events),
-  stored AS (SELECT * FROM d WHERE event_id < 9000 AND event_id % 2 = 0), incoming AS (SELECT * FROM d WHERE event_id >= 9000 OR event_id % 2 = 0),
-  met AS (SELECT i.*, s.eid AS s_eid, s.digest AS s_digest,
-    first_value((i.eid, i.digest)) OVER (PARTITION BY i.node_id, i.seq ORDER BY i.batch_id, i.eid, i.digest) <> (i.eid, i.digest)
-      OR first_value(i.seq) OVER (PARTITION BY i.node_id, i.eid ORDER BY i.batch_id, i.seq) <> i.seq AS clash
-    FROM incoming i LEFT JOIN stored s ON s.node_id = i.node_id AND s.seq = i.seq)
-  SELECT batch_id, node_id, seq, CASE WHEN max(clash OR coalesce(s_eid <> eid OR s_digest <> digest, FALSE)) OVER (PARTITION BY batch_id) THEN 'conflict' WHEN s_eid IS NOT NULL THEN 'replay' ELSE 'new' END AS status FROM met""")
+  s AS (SELECT * FROM all_d WHERE event_id < 9000 AND event_id % 2 = 0), d AS (SELECT * FROM all_d WHERE event_id >= 9000 OR event_id % 2 = 0), {_one_by_one("s")}
+  SELECT d.batch_id, d.node_id, d.seq, CASE WHEN NOT list_contains(ok, d.batch_id) THEN 'conflict' WHEN s.eid IS NOT NULL THEN 'replay' ELSE 'new' END AS status FROM d CROSS JOIN done LEFT JOIN s ON s.node_id = d.node_id AND s.seq = d.seq""")
 def replay_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries of events, part of them stored before and some changed."""
     rows = A.table(spark, sf_dir, "events").selectExpr(
@@ -112,6 +120,26 @@ def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.page(A.received_events(spark, sf_dir).where("node_id = 'node_1'"), 20, 100).select("event_id", "seq")
 
 
+BATCHED = A.duckdb("track_events", "batched", "observed")
+
+
+@query(f"""{BATCHED}, told AS (SELECT batch_id, seq, CASE batch_id % 23 WHEN 1 THEN 'version' WHEN 2 THEN 'event' WHEN 3 THEN 'json' WHEN 5 THEN 'json' WHEN 6 THEN 'nodes' WHEN 7 THEN 'count' END AS error FROM batched)
+  SELECT DISTINCT batch_id, error, CASE WHEN error IS NULL THEN seq END AS seq FROM told""")
+def decoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON batches of events: the events of sound ones, the fault of others."""
+    return ingest.decode_batches(A.event_batches(spark, sf_dir)).select("batch_id", "error", F.col("event.seq").alias("seq"))
+
+
+def _observed(spark, sf_dir):
+    return ingest.observed(ingest.decode_batches(A.event_batches(spark, sf_dir)))
+
+
+@query(f"""{BATCHED} SELECT 'e' || event_id AS event_id, node_id, seq, class_id, round(x, 6) AS x, CASE WHEN sound THEN cx END AS cov_x, vx AS velocity_x, quality, frame, map_revision FROM observed""")
+def observed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a JSON payload says of place, covariance, velocity and quality, with wrongly typed and unsound values left out."""
+    return _observed(spark, sf_dir).select("event_id", "node_id", "seq", "class_id", F.round(F.col("position")[0], 6).alias("x"), F.col("covariance")[0].alias("cov_x"), F.col("velocity")[0].alias("velocity_x"), "quality", "frame", "map_revision")
+
+
 # --- tracklets ---------------------------------------------------------------------------------------
 
 COMMITTED = f"{INBOX}, committed AS (SELECT e.* FROM received_events e JOIN cursors c ON c.node_id = e.node_id AND e.seq <= c.contiguous)"
@@ -212,6 +240,30 @@ def clique_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.clique_groups(pairs_of(spark, found), found)
 
 
+MOVING = BATCHED + ", " + _segments("observed") + ", " + TRACKLETS.replace("'q': quality}", "'q': quality, 'vx': vx}").replace("WHERE x IS NOT NULL", "WHERE sound")
+
+
+@query(f"""{MOVING} SELECT uid, start_ns, end_ns, n_events, closed, class_id, l.t AS latest_ns, round(l.x, 6) AS latest_x, l.vx AS latest_vx FROM latest""")
+def ingested_tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From JSON batches to tracklets: where the newest covariance is unsound, the latest observation is an older one."""
+    found = tracklets.tracklets(tracklets.segmented(_observed(spark, sf_dir)))
+    return found.select("uid", "start_ns", "end_ns", "n_events", "closed", "class_id", F.col("latest.event_time_ns").alias("latest_ns"), F.round(F.col("latest.position")[0], 6).alias("latest_x"), F.col("latest.velocity")[0].alias("latest_vx"))
+
+
+#: The earlier of two observations is moved on by its velocity, (1.5, -0.5, 0) where it has one.
+MOVED_PAIRS = (
+    PAIRS.replace("a.l.x - b.l.x AS dx", "a.l.x + coalesce(a.l.vx, 0) * greatest(b.l.t - a.l.t, 0) / 1e9 - b.l.x - coalesce(b.l.vx, 0) * greatest(a.l.t - b.l.t, 0) / 1e9 AS dx")
+    .replace("a.l.y - b.l.y AS dy", "a.l.y - coalesce(a.l.vx, 0) / 3 * greatest(b.l.t - a.l.t, 0) / 1e9 - b.l.y + coalesce(b.l.vx, 0) / 3 * greatest(a.l.t - b.l.t, 0) / 1e9 AS dy")
+)
+
+
+@query(f"{MOVING}, {MOVED_PAIRS} SELECT left_uid, right_uid, round(cost, 6) AS cost, round(d2, 6) AS d2, round(elapsed_s, 6) AS elapsed_s FROM pairs")
+def moving_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of ingested tracklets, the earlier observation moved on by its velocity."""
+    found = pairs_of(spark, tracklets.tracklets(tracklets.segmented(_observed(spark, sf_dir))))
+    return found.select("left_uid", "right_uid", F.round("cost", 6).alias("cost"), F.round("d2", 6).alias("d2"), F.round("elapsed_s", 6).alias("elapsed_s"))
+
+
 # --- identity ----------------------------------------------------------------------------------------
 
 
@@ -393,6 +445,16 @@ def mesh_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meshmap.bounds(A.triangles(spark, sf_dir))
 
 
+@query(f"""{A.duckdb('triangles')}, numbered AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY triangle_id) - 1 AS k FROM triangles)
+  SELECT entity_id AS source_name, CASE entity_id WHEN 'ent_1' THEN 'terrain' WHEN 'ent_3' THEN 'road' ELSE 'unknown' END AS semantic, k AS triangle_id, round(2 * ax + 1, 3) + 0.0::DOUBLE AS ax, round(-(2 * az + 3), 3) + 0.0::DOUBLE AS ay, round(2 * ay + 2, 3) + 0.0::DOUBLE AS az,
+    round(2 * bx + 1, 3) + 0.0::DOUBLE AS bx, round(2 * cy + 2, 3) + 0.0::DOUBLE AS cz FROM numbered""")
+def imported_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary scene files, one for each entity, read back as triangles in the map's axes with labels by name."""
+    rows = scenes.labelled(scenes.glb_triangles(A.scene_files(spark, sf_dir)), {"ent_1": "terrain", "ent_3": "road"})
+    at = lambda c, i, name: (F.round(F.col(c)[i], 3) + 0.0).alias(name)
+    return rows.select("source_name", "semantic", "triangle_id", at("a", 0, "ax"), at("a", 1, "ay"), at("a", 2, "az"), at("b", 0, "bx"), at("c", 2, "cz"))
+
+
 @query("""WITH p AS (SELECT p_partkey, radians((p_partkey*37) % 360 - 180.0::DOUBLE) AS lo, radians((p_partkey*53) % 180 - 90.0::DOUBLE) AS la, p_size::DOUBLE AS h FROM part),
   n AS (SELECT *, 6378137.0::DOUBLE / sqrt(1 - (1 - 6356752.314245179::DOUBLE**2 / 6378137.0::DOUBLE**2) * sin(la)**2) AS n, 6356752.314245179::DOUBLE**2 / 6378137.0::DOUBLE**2 AS r FROM p)
   SELECT p_partkey, round((n + h)*cos(la)*cos(lo), 3) + 0.0::DOUBLE AS x, round((n + h)*cos(la)*sin(lo), 3) + 0.0::DOUBLE AS y, round((n*r + h)*sin(la), 3) + 0.0::DOUBLE AS z, round(-sin(la)*cos(lo), 6) + 0.0::DOUBLE AS north_x FROM n""")
@@ -435,9 +497,8 @@ def stream_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inbox.watermarks(spark, f"{at}/bitmaps")
 
 
-@query("""WITH d AS (SELECT event_id // 100 AS batch_id, 'node_' || (event_id // 100 % 4) AS node_id, event_id % 9000 AS seq, 'e' || event_id AS event_id, CASE WHEN event_id % 1013 = 1000 THEN 'x' ELSE 'same' END AS digest FROM events),
-  met AS (SELECT *, first_value((event_id, digest)) OVER (PARTITION BY node_id, seq ORDER BY batch_id, event_id, digest) <> (event_id, digest) OR first_value(seq) OVER (PARTITION BY node_id, event_id ORDER BY batch_id, seq) <> seq AS clash FROM d)
-  SELECT DISTINCT node_id, seq, event_id FROM met QUALIFY NOT max(clash) OVER (PARTITION BY batch_id)""")
+@query(f"""WITH RECURSIVE d AS (SELECT event_id // 100 AS batch_id, 'node_' || (event_id // 100 % 4) AS node_id, event_id % 9000 AS seq, 'e' || event_id AS eid, CASE WHEN event_id % 1013 = 1000 THEN 'x' ELSE 'same' END AS digest FROM events),
+  {_one_by_one("(SELECT * FROM d LIMIT 0)")} SELECT DISTINCT node_id, seq, eid AS event_id FROM d CROSS JOIN done WHERE list_contains(ok, batch_id)""")
 def stream_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that a stream of deliveries stores; batches with a conflict are left out."""
     rows = _event_stream(spark, sf_dir).selectExpr(

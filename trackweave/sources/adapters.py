@@ -5,6 +5,11 @@ The formulas are those of FIXTURES.md, part B; `DUCKDB` holds the same for the o
 
 from __future__ import annotations
 
+import json
+import struct
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +108,48 @@ def bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch_id, body): the tracking events as JSON batches of one sensor, some broken in one way each.
+
+    Within sound batches some events have values of a wrong type, a covariance that is none, or no valid map.
+    """
+    rows = track_events(spark, sf_dir).selectExpr(
+        "event_id", "seq", "cast(floor(event_id / 50) * 4 + cast(right(node_id, 1) AS int) AS long) AS batch_id",
+        """concat('{"event_id":"e', event_id, '","node_id":"', node_id, '","camera_id":"cam_0","session_id":1,"local_id":', local_id, ',"seq":', seq, ',"type":"', type, '","event_time_ns":', event_time_ns,
+        ',"class_id":', class_id, ',"frame_id":1,"blobs":[],"spatial":{"world":{"valid":', CASE WHEN event_id % 11 = 0 THEN 'false' WHEN event_id % 19 = 4 THEN '1' ELSE 'true' END,
+        ',"coordinate_frame_id":', CASE WHEN event_id % 29 = 6 THEN '5' ELSE '"local_enu_v1"' END,
+        ',"x_m":', coalesce(position[0], 0.0D), ',"y_m":', coalesce(position[1], 0.0D), ',"z_m":', coalesce(position[2], 0.0D),
+        ',"velocity_valid":', event_id % 3 = 0, ',"vx_mps":1.5,"vy_mps":-0.5,"vz_mps":0,"position_covariance_m2":', CASE WHEN event_id % 17 = 3 OR covariance IS NULL THEN '[0,0,0,0,0,0,0,0,0]' ELSE to_json(covariance) END,
+        ',"quality":', CASE WHEN event_id % 31 = 2 THEN '"0.9"' ELSE cast(quality AS string) END, '},"localization_quality":{"valid":true,"map":{"valid":', event_id % 23 <> 5, ',"revision":"map-1"}}}}') AS payload""",
+    )
+    listed = rows.groupBy("batch_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"]), ",").alias("e"))  # 50 events at most
+    return listed.selectExpr(
+        "batch_id",
+        """CASE batch_id % 23 WHEN 1 THEN concat('{"version":2,"events":[', e, ']}') WHEN 2 THEN concat('{"version":1,"events":[', replace(e, '"session_id":1', '"session_id":"1"'), ']}')
+        WHEN 3 THEN concat('{"version":1,"events":[', replace(e, '"frame_id":1', '"frame_id":NaN'), ']}') WHEN 5 THEN concat('{"version":1,"version":1,"events":[', e, ']}')
+        WHEN 6 THEN concat('{"version":1,"events":[', e, ',', regexp_replace(e, 'node_[0-9]', 'node_9'), ']}') WHEN 7 THEN '{"version":1,"events":[]}' ELSE concat('{"version":1,"events":[', e, ']}') END AS body""",
+    )
+
+
+def scene_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): each entity of `triangles` as a binary glTF file of one node, scaled by 2 and moved by (1, 2, 3)."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("triangle_id")
+        data = np.array([list(p) for r in rows.itertuples() for p in (r.a, r.b, r.c)], "<f4").tobytes()
+        doc = {
+            "asset": {"version": "2.0"}, "buffers": [{"byteLength": len(data)}], "bufferViews": [{"buffer": 0, "byteLength": len(data)}],
+            "accessors": [{"bufferView": 0, "componentType": 5126, "count": 3 * len(rows), "type": "VEC3"}], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}}]}],
+            "nodes": [{"mesh": 0, "name": rows["entity_id"].iloc[0], "scale": [2, 2, 2], "translation": [1, 2, 3]}], "scenes": [{"nodes": [0]}],
+        }
+        text = json.dumps(doc).encode()
+        text += b" " * (-len(text) % 4)
+        parts = [b"glTF" + struct.pack("<II", 2, 28 + len(text) + len(data)), struct.pack("<I", len(text)) + b"JSON" + text, struct.pack("<I", len(data)) + b"BIN\0" + data]
+        return pd.DataFrame([(rows["entity_id"].iloc[0], b"".join(parts))], columns=["name", "content"])
+
+    return triangles(spark, sf_dir).groupBy("entity_id").applyInPandas(write, "name string, content binary")
+
+
 #: The same tables for DuckDB.
 DUCKDB = {
     "track_events": f"""track_events AS (
@@ -124,6 +171,11 @@ DUCKDB = {
   SELECT *, ax + w AS bx, ay AS b_y, az AS bz, ax AS cx, ay + w AS cy, az + 0.5::DOUBLE AS cz FROM (
   SELECT 'ent_' || (p_partkey // 40) AS entity_id, (['terrain', 'road', 'building'])[(p_partkey % 3 + 1)::INT] AS semantic, p_partkey % 40 AS triangle_id,
     (p_partkey * 37) % 200 - 100.0::DOUBLE AS ax, (p_partkey * 53) % 200 - 100.0::DOUBLE AS ay, p_size / 5.0::DOUBLE AS az, 2.0::DOUBLE + p_size % 3 AS w FROM part))""",
+    "batched": """batched AS (SELECT *, event_id // 50 * 4 + right(node_id, 1)::BIGINT AS batch_id FROM track_events)""",
+    "observed": """observed AS (
+  SELECT * REPLACE (CASE WHEN seen THEN x END AS x, CASE WHEN event_id % 31 = 2 THEN 0.0::DOUBLE ELSE quality END AS quality), seen AND event_id % 17 <> 3 AS sound, CASE WHEN event_id % 3 = 0 THEN 1.5::DOUBLE END AS vx,
+    CASE WHEN event_id % 29 = 6 THEN '' ELSE 'local_enu_v1' END AS frame, CASE WHEN event_id % 23 = 5 THEN '' ELSE 'map-1' END AS map_revision
+  FROM (SELECT *, x IS NOT NULL AND event_id % 19 <> 4 AND event_id % 29 <> 6 AND event_id % 23 <> 5 AS seen FROM batched WHERE batch_id % 23 NOT IN (1, 2, 3, 5, 6, 7)))""",
     "points": "points AS (SELECT p_partkey AS query_id, (p_partkey * 37) % 200 - 100.0::DOUBLE + 0.5::DOUBLE AS px, (p_partkey * 53) % 200 - 100.0::DOUBLE + 0.25::DOUBLE AS py, 3.0::DOUBLE AS pz FROM part WHERE p_partkey % 10 = 0)",
     "bearings": """bearings AS (
   SELECT vec_id, vec_id % 3 AS node, e[1]/n AS dx, e[2]/n AS dy, e[3]/n AS dz, 10*e[4] AS ox, 10*e[5] AS oy, 10*e[6] AS oz,
