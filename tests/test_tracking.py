@@ -184,12 +184,13 @@ def member(i, **more):
 )
 def test_group_estimates(spark, change, reason):
     g = pd.DataFrame([member(0), member(1, **change), member(2)])
-    ok, why, epoch, mean, cov = fusion.estimate(g, fusion.FusionPolicy())
-    if ok and fusion.contradicting(g, mean, cov, epoch, fusion.FusionPolicy()):
-        why = "bearing_geometry_contradiction"
-    assert why == reason
-    if reason == "ci_position_only":
-        assert np.allclose(mean, [1, 2, 3]) and cov[0, 0] > 0.99
+    got = fusion.estimate(g, fusion.FusionPolicy())
+    assert got["reason"] == reason and got["accepted"] == (reason == "ci_position_only")
+    if got["accepted"]:
+        assert np.allclose(got["mean"], [1, 2, 3]) and got["covariance"][0, 0] > 0.99
+        assert sum(got["weights"].values()) == pytest.approx(1) and set(got["residual_d2"]) == {"t0", "t1", "t2"} and got["bearing_count"] == 0
+    if reason == "bearing_geometry_contradiction":
+        assert got["contradicting"] == ["t1"]
 
 
 def test_bearings_of_latest_observations_can_veto(spark):
@@ -221,37 +222,82 @@ def watcher(i, origin, target, ns=10**9, **more):
     d /= np.linalg.norm(d)
     e1 = np.cross(d, [0, 0, 1.0])
     e1 /= np.linalg.norm(e1)
-    bearing = {"valid": True, "camera_position_world_m": list(map(float, origin)), "direction_world": d.tolist(), "tangent_basis_world": [*e1, *np.cross(d, e1)], "tangent_covariance_rad2": [1e-4, 0, 0, 1e-4], "timestamp_ns": ns}
+    bearing = {"valid": True, "camera_position_world_m": list(map(float, origin)), "direction_world": d.tolist(), "tangent_basis_world": [float(x) for x in (*e1, *np.cross(d, e1))], "has_tangent_covariance": True, "tangent_covariance_rad2": [1e-4, 0.0, 0.0, 1e-4], "timestamp_ns": ns}
     return {"group_id": "g", "uid": f"t{i}", "node_id": f"n{i}", "seq": 1, "event_time_ns": ns, "position": None, "covariance": None, "quality": 0.9, "frame": "f", "map_revision": "m", "bearing": bearing, "label": "0", "domain": "d", "alignment_id": "a", "s_frame": "f", "s_map": "m", "offset_ns": 0, "clock_uncertainty_ns": 5_000_000} | more
 
 
 READY = {"independent_source_errors_verified": True, "bearing_world_pose_frame_verified": True, "stationary_target_verified": True}
+OBSERVED = (
+    "group_id string, uid string, node_id string, seq long, event_time_ns long, position array<double>, covariance array<double>, quality double, frame string, map_revision string,"
+    " bearing struct<valid:boolean,camera_position_world_m:array<double>,direction_world:array<double>,tangent_basis_world:array<double>,has_tangent_covariance:boolean,tangent_covariance_rad2:array<double>,timestamp_ns:bigint>,"
+    " label string, domain string, alignment_id string, s_frame string, s_map string, offset_ns long, clock_uncertainty_ns long"
+)
 
 
-def test_window_estimates():
-    policy = window_ls.WindowPolicy(**READY)
-    g = pd.DataFrame([watcher(0, (0, 0, 0), (10, 5, 3)), watcher(1, (0, 10, 0), (10, 5, 3))])
-    assert np.allclose(window_ls.solve(g, policy)["position"], [10, 5, 3], atol=1e-5)
-    moving = window_ls.WindowPolicy(model="constant_velocity", **READY)
+def windows(spark, groups, **policy):
+    rows = [r | {"group_id": name} for name, g in groups.items() for r in g]
+    names = [c.split()[0] for c in OBSERVED.replace(":bigint>", ">").split(", ")]
+    found = window_ls.window_estimates(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], OBSERVED), window_ls.WindowPolicy(**{**READY, **policy}))
+    return {r["group_id"]: r for r in found.collect()}
+
+
+def test_static_windows(spark):
+    a, b, far = (0, 0, 0), (0, 10, 0), (10, 5, 3)
+    pair = [watcher(0, a, far), watcher(1, b, far)]
+    seen = {"position": [10.0, 5.0, 3.0], "covariance": EYE}
+    broken = lambda **change: watcher(1, b, far) | {"bearing": watcher(1, b, far)["bearing"] | change}
+    cases = {
+        "good": (pair, "conditional_fixed_lag_solution_requires_validation"),
+        "anchored": ([watcher(0, a, far), watcher(1, b, far, bearing=None, **seen)], "conditional_fixed_lag_solution_requires_validation"),
+        "alone": (pair[:1], "requires_preassociated_multi_node_group"),
+        "many": ([watcher(i, (0, i, 0), far) for i in range(9)], "requires_preassociated_multi_node_group"),
+        "opposite": ([pair[0], watcher(1, (-10, -5, -3), far)], "insufficient_cross_node_parallax"),
+        "same node": ([pair[0], watcher(1, b, far, node_id="n0")], "duplicate_physical_node"),
+        "unknown source": ([pair[0], watcher(1, b, far, domain=None)], "unverified_source"),
+        "other map": ([pair[0], watcher(1, b, far, s_map="x")], "unverified_class_clock_or_map"),
+        "no label": ([watcher(0, a, far, label=None), watcher(1, b, far, label=None)], "unverified_class_clock_or_map"),
+        "clock": ([pair[0], watcher(1, b, far, clock_uncertainty_ns=40_000_000)], "clock_uncertainty_exceeds_limit"),
+        "no bearing": ([pair[0], watcher(1, b, far, bearing=None)], "insufficient_cross_node_bearing_factors"),
+        "not valid": ([pair[0], broken(valid=None)], "insufficient_cross_node_bearing_factors"),
+        "no covariance": ([pair[0], broken(has_tangent_covariance=False)], "insufficient_cross_node_bearing_factors"),
+        "skew basis": ([pair[0], broken(tangent_basis_world=[0.0, 0.0, 1.0, 0.0, 0.1, 1.0])], "insufficient_cross_node_bearing_factors"),
+        "nothing": ([watcher(0, a, far, bearing=None), watcher(1, b, far, bearing=None)], "no_valid_observations"),
+        "old": ([watcher(0, a, far, ns=10**9), watcher(1, b, far, ns=3 * 10**9)], "insufficient_cross_node_bearing_factors"),
+        "zero covariance": ([pair[0], watcher(1, b, far, position=[1.0, 1.0, 1.0], covariance=[0.0] * 9)], "conditional_fixed_lag_solution_requires_validation"),
+        "anchor behind": ([watcher(0, a, far), watcher(1, b, far, bearing=None, position=[-10.0, -5.0, -3.0], covariance=EYE)], "anchor_behind_bearing_ray"),
+        "residual": ([watcher(0, a, far), watcher(1, b, far), watcher(2, (0, 20, 0), (10, -5, 30))], "factor_residual_exceeds_gate"),
+    }
+    got = windows(spark, {k: g for k, (g, _) in cases.items()}, model="static_position")
+    assert {k: r["reason"] for k, r in got.items()} == {k: why for k, (_, why) in cases.items()}
+    assert np.allclose(got["good"]["position"], far, atol=1e-5) and np.allclose(got["anchored"]["position"], far, atol=1e-5)
+    assert (got["good"]["bearing_nodes"], got["good"]["anchor_uid"], got["anchored"]["anchor_uid"]) == (["n0", "n1"], None, "t1") and got["good"]["condition"] > 1
+
+
+def test_moving_windows(spark):
     v = np.array([1, -0.5, 0.4])
     rows = [watcher(i, o, np.array([10, 5, 3]) + v * 0.2 * i, 10**9 + i * 200_000_000) for i, o in enumerate([(0, 0, 0), (0, 10, 0), (20, 0, 1), (18, 12, 2)])]
-    assert np.allclose(window_ls.solve(pd.DataFrame(rows), moving)["velocity"], v, atol=0.05)
-    for rows, p, why in [
-        ([watcher(0, (0, 0, 0), (10, 5, 3))], policy, "requires_preassociated_multi_node_group"),
-        ([watcher(0, (0, 0, 0), (10, 5, 3)), watcher(1, (0, 10, 0), (10, 5, 3))], window_ls.WindowPolicy(), "independent_source_errors_not_verified"),
-        ([watcher(0, (0, 0, 0), (10, 5, 3)), watcher(1, (-10, -5, -3), (10, 5, 3))], policy, "insufficient_cross_node_parallax"),
-        ([watcher(0, (0, 0, 0), (10, 5, 3)), watcher(1, (0, 10, 0), (10, 5, 3), node_id="n0")], policy, "duplicate_physical_node"),
-        ([watcher(0, (0, 0, 0), (10, 5, 3)), watcher(1, (0, 10, 0), (10, 5, 3), bearing=None)], policy, "insufficient_cross_node_bearing_factors"),
-        ([watcher(0, (0, 0, 0), (10, 5, 3)), watcher(1, (0, 10, 0), (10, 5, 3))], moving, "insufficient_temporal_baseline_for_velocity"),
-    ]:
-        with pytest.raises(window_ls.Refused, match=why):
-            window_ls.solve(pd.DataFrame(rows), p)
+    got = windows(spark, {"moving": rows, "at once": [watcher(0, (0, 0, 0), (10, 5, 3)), watcher(1, (0, 10, 0), (10, 5, 3))]})
+    assert np.allclose(got["moving"]["velocity"], v, atol=0.05) and got["moving"]["span_s"] == pytest.approx(0.6)
+    assert got["at once"]["reason"] == "insufficient_temporal_baseline_for_velocity"
+    for policy, why in (({"independent_source_errors_verified": False}, "independent_source_errors_not_verified"), ({"bearing_world_pose_frame_verified": False}, "bearing_camera_pose_frame_not_verified"), ({"model": "static_position", "stationary_target_verified": False}, "static_motion_model_not_verified")):
+        assert windows(spark, {"g": rows}, **policy)["g"]["reason"] == why
+    many = [watcher(i, (0, 10 * i, 0), (10, 5, 3), seq=k) for i in range(2) for k in range(3)]
+    assert windows(spark, {"g": many}, model="static_position", max_observations=4, independent_temporal_errors_verified=True)["g"]["reason"] == "window_observation_limit_exceeded"
 
 
 def test_policies():
     for cls in (fusion.FusionPolicy, window_ls.WindowPolicy):
         with pytest.raises(ValueError):
             cls.from_dict({"nonsense": 1})
+        with pytest.raises(ValueError):
+            cls.from_dict({"min_quality": 0.5})
+    assert fusion.FusionPolicy.from_dict({"method": "ci_position_bearing_veto", "max_residual_d2": 30}).max_residual_d2 == 30
+    for bad in ({"method": "other"}, {"max_residual_d2": -5}, {"min_position_sources": 1}, {"min_position_sources": 2.0}, {"max_epoch_offset_s": True}):
+        with pytest.raises(ValueError):
+            fusion.FusionPolicy.from_dict(bad)
+    for bad in ({"model": "other"}, {"window_seconds": 6}, {"min_time_baseline_seconds": 2.0}, {"max_observations": 3}, {"max_observations": 64.0}, {"stationary_target_verified": 1}):
+        with pytest.raises(ValueError):
+            window_ls.WindowPolicy.from_dict(bad)
     for bad in ({"max_pair_dt_s": 0}, {"min_quality": float("nan")}, {"maximum_speed_mps": True}):
         with pytest.raises(ValueError):
             associate.AssociationPolicy(**bad)

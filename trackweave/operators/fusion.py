@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .policies import in_range, known_keys
+
+
+#: Ranges of the policy's values, and the name of the method (fixed values).
+FUSION_RANGES = {
+    "max_epoch_offset_s": (0.001, 1), "max_clock_uncertainty_s": (0.000001, 1), "motion_sigma_speed_mps": (0.1, 200), "max_input_sigma_m": (0.001, 100),
+    "max_residual_d2": (0.1, 200), "max_bearing_residual_sigma": (0.1, 20), "max_bearing_sample_age_s": (0.001, 1),
+}
+METHOD = "ci_position_bearing_veto"
 
 
 @dataclass(frozen=True)
@@ -26,11 +35,19 @@ class FusionPolicy:
     min_position_sources: int = 2
     min_quality: float = 0.0
 
+    def __post_init__(self):
+        for name, (low, high) in FUSION_RANGES.items():
+            in_range(name, getattr(self, name), low, high)
+        if type(self.min_position_sources) is not int or not 2 <= self.min_position_sources <= 4:
+            raise ValueError("min_position_sources must be 2 to 4")
+
     @classmethod
     def from_dict(cls, data: dict) -> FusionPolicy:
-        if unknown := set(data) - {f.name for f in fields(cls)}:
-            raise ValueError(f"unknown keys: {sorted(unknown)}")
-        return cls(**data)
+        """A policy from configured values; `method`, where it is given, must be the one that there is."""
+        known_keys(data, {*(f.name for f in fields(cls)), "method"} - {"min_quality"})
+        if data.get("method", METHOD) != METHOD:
+            raise ValueError(f"method must be {METHOD}")
+        return cls(**{k: v for k, v in data.items() if k != "method"})
 
 
 def usable(c: np.ndarray) -> np.ndarray:
@@ -103,7 +120,10 @@ def group_inputs(members: DataFrame, tracklets: DataFrame, sources: DataFrame, l
     )
 
 
-RESULT = "group_id string, accepted boolean, reason string, epoch_ns long, mean array<double>, covariance array<double>, n_sources int"
+RESULT = (
+    "group_id string, accepted boolean, reason string, epoch_ns long, mean array<double>, covariance array<double>, n_sources int, weights map<string,double>, residual_d2 map<string,double>,"
+    " bearing_count int, bearing_residual_max double, contradicting array<string>, domain string, alignment_id string, frame string, map_revision string"
+)
 
 
 def _first_fault(g: pd.DataFrame, policy: FusionPolicy) -> str | None:
@@ -128,40 +148,49 @@ def _first_fault(g: pd.DataFrame, policy: FusionPolicy) -> str | None:
     return "duplicate_physical_node" if g["node_id"].duplicated().any() else None
 
 
-def estimate(g: pd.DataFrame, policy: FusionPolicy) -> tuple:
-    """(accepted, reason, epoch_ns, mean, covariance) of one group's rows."""
+def estimate(g: pd.DataFrame, policy: FusionPolicy) -> dict:
+    """What is known of one group's rows: accepted and reason always, and epoch_ns, mean, covariance, weights and residual_d2 as far as it came."""
+    refused = lambda reason, **known: {"accepted": False, "reason": reason, **known}
     if len(g) < policy.min_position_sources:
-        return False, "not_enough_verified_position_sources", None, None, None
+        return refused("not_enough_verified_position_sources")
     g = g.sort_values("uid")
     if fault := _first_fault(g, policy):
-        return False, fault, None, None, None
+        return refused(fault)
     times = [int(a) + int(b) for a, b in zip(g["event_ns"], g["offset_ns"], strict=True)]
     ranked, n = sorted(times), len(times)
     epoch = (ranked[(n - 1) // 2] + ranked[n // 2]) // 2
     if epoch < 0:
-        return False, "aligned_event_time_negative", epoch, None, None
+        return refused("aligned_event_time_negative", epoch_ns=epoch)
     dt = np.array([(epoch - t) / 1e9 for t in times])
     if np.abs(dt).max() > policy.max_epoch_offset_s:
-        return False, "time_extrapolation_limit", epoch, None, None
+        return refused("time_extrapolation_limit", epoch_ns=epoch)
     p = np.array(g["position"].tolist(), float)
     p += np.array([[0.0] * 3 if v is None else list(v) for v in g["velocity"]], float) * dt[:, None]
     widen = (policy.motion_sigma_speed_mps * (np.abs(dt) + g["clock_uncertainty_ns"].to_numpy(float) / 1e9)) ** 2
     c = np.array(g["covariance"].tolist(), float).reshape(-1, 3, 3) + widen[:, None, None] * np.eye(3)
     if not usable(c).all():
-        return False, "inflated_covariance_not_spd", epoch, None, None
-    mean, cov = p[:1], c[:1]
+        return refused("inflated_covariance_not_spd", epoch_ns=epoch)
+    mean, cov, weight = p[:1], c[:1], np.ones(1)
     for i in range(1, n):
-        mean, cov, _ = intersect(mean, cov, p[i : i + 1], c[i : i + 1])
+        mean, cov, w = intersect(mean, cov, p[i : i + 1], c[i : i + 1])
+        weight = np.append(weight * w, 1 - w)
         if not (np.isfinite(mean).all() and usable(cov).all()):
-            return False, "ci_numerical_degeneracy", epoch, None, None
+            return refused("ci_numerical_degeneracy", epoch_ns=epoch)
     d = mean - p
-    if (np.einsum("ni,nij,nj->n", d, np.linalg.inv(c), d) > policy.max_residual_d2).any():
-        return False, "position_residual_exceeds_gate", epoch, None, None
-    return True, "ci_position_only", epoch, mean[0], cov[0]
-
-
-def contradicting(g: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, epoch: int, policy: FusionPolicy) -> bool:
-    """Whether a member's ray misses the estimate: behind its origin, or further off than its spread allows."""
+    d2 = np.einsum("ni,nij,nj->n", d, np.linalg.inv(c), d)
+    uids = g["uid"].tolist()
+    known = {"epoch_ns": epoch, "weights": dict(zip(uids, weight.tolist(), strict=True)), "residual_d2": dict(zip(uids, d2.tolist(), strict=True))}
+    if not (d2 <= policy.max_residual_d2).all():
+        return refused("position_residual_exceeds_gate", **known)
+    known |= {"mean": mean[0], "covariance": cov[0]} | bearings(g, mean[0], cov[0], epoch, policy)
+    if known["contradicting"]:
+        return refused("bearing_geometry_contradiction", **known)
+    return {"accepted": True, "reason": "ci_position_only", **known}
+
+
+def bearings(g: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, epoch: int, policy: FusionPolicy) -> dict:
+    """How the members' rays fit the estimate: their number, the largest miss in spreads, and the members whose ray is behind its origin or misses by more than it may."""
+    count, most, against = 0, 0.0, []
     for r in g.itertuples():
         ray = getattr(r, "ray", None)
         if ray is None or ray["timestamp_ns"] is None:
@@ -171,26 +200,35 @@ def contradicting(g: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, epoch: int
             continue
         away, along = mean - np.array(ray["origin"], float), np.array(ray["direction"], float)
         reach = float(away @ along)
+        if reach <= 0.05:
+            against.append(r.uid)
+            continue
         late = abs(epoch - int(r.event_ns) - int(r.offset_ns)) / 1e9 + r.clock_uncertainty_ns / 1e9 + age
         spread = np.sqrt(cov.diagonal().max() + (reach * ray["sigma"]) ** 2 + (policy.motion_sigma_speed_mps * late) ** 2)
-        if reach <= 0.05 or np.linalg.norm(away - reach * along) / max(spread, 1e-6) > policy.max_bearing_residual_sigma:
-            return True
-    return False
+        miss = float(np.linalg.norm(away - reach * along) / max(spread, 1e-6))
+        count, most = count + 1, max(most, miss)
+        if miss > policy.max_bearing_residual_sigma:
+            against.append(r.uid)
+    return {"bearing_count": count, "bearing_residual_max": most, "contradicting": against}
 
 
 def fuse_groups(rows: DataFrame, policy: FusionPolicy | None = None) -> DataFrame:
-    """One row for each group: accepted, reason, epoch, mean and covariance.
+    """One row for each group: accepted, reason, epoch, mean and covariance (null unless accepted), weights and residuals by member, how rays fit, and the context.
 
     rows: `group_inputs`; `ray` may be left out. Estimates of unknown correlation are intersected in
     order of uid at the members' median time; rays can only veto. Groups are small (a group has a sensor once), so each is one call.
     """
     policy = policy or FusionPolicy()
+    names = ["group_id", "accepted", "reason", "epoch_ns", "mean", "covariance", "n_sources", "weights", "residual_d2", "bearing_count", "bearing_residual_max", "contradicting", "domain", "alignment_id", "frame", "map_revision"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        ok, reason, epoch, mean, cov = estimate(g, policy)
-        if ok and contradicting(g, mean, cov, epoch, policy):
-            ok, reason = False, "bearing_geometry_contradiction"
-        show = lambda x: x.reshape(-1).tolist() if ok else None
-        return pd.DataFrame([(g["group_id"].iloc[0], ok, reason, epoch, show(mean) if ok else None, show(cov) if ok else None, len(g))], columns=["group_id", "accepted", "reason", "epoch_ns", "mean", "covariance", "n_sources"]).astype({"epoch_ns": "Int64"})
+        found = estimate(g, policy)
+        first = g.sort_values("uid").iloc[0]
+        row = {"group_id": g["group_id"].iloc[0], "n_sources": len(g), **found}
+        for c in ("mean", "covariance"):
+            row[c] = row[c].reshape(-1).tolist() if found["accepted"] else None
+        if found["accepted"]:
+            row |= {"domain": first["domain"], "alignment_id": first["alignment_id"], "frame": first["s_frame"], "map_revision": first["s_map"]}
+        return pd.DataFrame([[row.get(n) for n in names]], columns=names).astype({"epoch_ns": "Int64", "bearing_count": "Int64"})
 
     return rows.groupBy("group_id").applyInPandas(run, RESULT)

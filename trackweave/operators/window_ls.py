@@ -6,16 +6,26 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions import vectors as V
+from .policies import in_range, known_keys, number, truth
+
+
+#: Ranges of the policy's values (fixed values).
+WINDOW_RANGES = {
+    "window_seconds": (0.05, 5.0), "min_time_baseline_seconds": (0.01, 3.0), "min_ray_intersection_degrees": (0.1, 45.0), "max_clock_uncertainty_seconds": (0.000001, 0.2),
+    "max_bearing_timestamp_delta_seconds": (0.001, 1.0), "max_condition_number": (10.0, 1e9), "max_normalized_rms": (0.1, 30.0), "max_target_speed_mps": (0.1, 300.0),
+}
+MODELS = ("constant_velocity", "static_position")
 
 
 @dataclass(frozen=True)
 class WindowPolicy:
-    """Gates of the window estimate; defaults are fixed values of the domain."""
+    """Gates of the window estimate; defaults are fixed values of the domain. `min_quality` is that of the association and can't be configured here."""
 
-    model: str = "static_position"
+    model: str = "constant_velocity"
     window_seconds: float = 1.5
     min_time_baseline_seconds: float = 0.15
     min_ray_intersection_degrees: float = 4.0
@@ -25,24 +35,36 @@ class WindowPolicy:
     max_normalized_rms: float = 4.0
     max_target_speed_mps: float = 80.0
     max_observations: int = 64
-    min_quality: float = 0.0
-    allow_single_position_anchor: bool = False
     independent_source_errors_verified: bool = False
     independent_temporal_errors_verified: bool = False
     bearing_world_pose_frame_verified: bool = False
     stationary_target_verified: bool = False
+    allow_single_position_anchor: bool = True
+    min_quality: float = 0.0
+
+    def __post_init__(self):
+        if self.model not in MODELS:
+            raise ValueError(f"model must be one of {MODELS}")
+        for name, (low, high) in WINDOW_RANGES.items():
+            in_range(name, getattr(self, name), low, high)
+        if self.min_time_baseline_seconds >= self.window_seconds:
+            raise ValueError("the time baseline must be shorter than the window")
+        if type(self.max_observations) is not int or not 4 <= self.max_observations <= 256:
+            raise ValueError("max_observations must be 4 to 256")
+        for name in ("independent_source_errors_verified", "independent_temporal_errors_verified", "bearing_world_pose_frame_verified", "stationary_target_verified", "allow_single_position_anchor"):
+            truth(name, getattr(self, name))
+        number("min_quality", self.min_quality)
 
     @classmethod
     def from_dict(cls, data: dict) -> WindowPolicy:
-        if unknown := set(data) - {f.name for f in fields(cls)}:
-            raise ValueError(f"unknown keys: {sorted(unknown)}")
+        known_keys(data, {f.name for f in fields(cls)} - {"min_quality"})
         return cls(**data)
 
 
 def fixed_lag(rows: DataFrame, group: str, time: str, seconds: float) -> DataFrame:
-    """Rows no more than the lag older than their group's newest, both ends included."""
-    newest = F.max(time).over(Window.partitionBy(group))
-    return rows.where(F.col(time).isNotNull()).withColumn("_cut", newest - round(seconds * 1e9)).where(F.col(time) >= F.col("_cut")).drop("_cut")
+    """Rows no more than the lag older than their group's newest, both ends included; rows without a time are left out."""
+    newest = rows.groupBy(F.col(group).alias("_g")).agg((F.max(time) - round(seconds * 1e9)).alias("_cut"))
+    return rows.join(newest, F.col(group).eqNullSafe(F.col("_g"))).where(F.col(time) >= F.col("_cut")).drop("_g", "_cut")
 
 
 def latest_per_node(rows: DataFrame, group: str) -> DataFrame:
@@ -56,26 +78,65 @@ def anchors(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.min_by(F.struct(*rows.columns), F.struct(c[0] + c[4] + c[8], -F.col("t"), F.col("uid"))).alias("_r")).select("_r.*")
 
 
-def strict_ray(ray: dict | None) -> tuple | None:
-    """(origin, direction, basis, covariance, timestamp) of a ray with a sound tangent frame, else None."""
-    if not ray or ray.get("valid") is False:
-        return None
-    try:
-        o, d = np.array(ray["camera_position_world_m"], float), np.array(ray["direction_world"], float)
-        basis, cov = np.array(ray["tangent_basis_world"], float).reshape(2, 3), np.array(ray["tangent_covariance_rad2"], float).reshape(2, 2)
-        when = int(ray["timestamp_ns"])
-    except (KeyError, TypeError, ValueError):
-        return None
-    n = np.linalg.norm(d)
-    if o.shape != (3,) or d.shape != (3,) or when <= 0 or not all(np.isfinite(x).all() for x in (o, d, basis, cov)) or not 0.99 <= n <= 1.01:
-        return None
-    d = d / n
-    frame = np.vstack([basis, d])
-    if np.abs(frame @ frame.T - np.eye(3)).max() > 0.03:
-        return None
-    if not ((np.diag(cov) > 1e-10) & (np.diag(cov) <= 0.25)).all() or abs(cov[0, 1] - cov[1, 0]) > 1e-8 or np.linalg.det(cov) <= 1e-14:
-        return None
-    return o, d, basis, cov, when
+def strict_ray(bearing: Column) -> Column:
+    """struct(origin, direction, basis, covariance, timestamp_ns) of a bearing with a sound tangent frame, else null.
+
+    It must be marked valid and as having a tangent covariance; direction and basis are orthonormal within tolerance, the covariance positive definite.
+    """
+    o, d, e, c, t = (bearing[n] for n in ("camera_position_world_m", "direction_world", "tangent_basis_world", "tangent_covariance_rad2", "timestamp_ns"))
+    n = V.norm(d)
+    e1, e2, u = F.slice(e, 1, 3), F.slice(e, 4, 3), V.scale(d, 1 / n)
+    off = [V.dot(e1, e1) - 1, V.dot(e2, e2) - 1, V.dot(e1, u), V.dot(e2, u), V.dot(e1, e2)]
+    good = bearing["valid"] & bearing["has_tangent_covariance"] & V.all_finite(o, 3) & V.all_finite(d, 3) & V.all_finite(e, 6) & V.all_finite(c, 4) & (t > 0) & n.between(0.99, 1.01)
+    for x in off:
+        good &= F.abs(x) <= 0.03
+    good &= (F.least(c[0], c[3]) > 1e-10) & (F.greatest(c[0], c[3]) <= 0.25) & (F.abs(c[1] - c[2]) <= 1e-8) & (c[0] * c[3] - c[1] * c[1] > 1e-14)
+    return F.when(good, F.struct(o.alias("origin"), u.alias("direction"), e.alias("basis"), c.alias("covariance"), t.alias("timestamp_ns")))
+
+
+CONTEXT = ("domain", "alignment_id", "s_frame", "s_map", "label")
+
+
+def member_faults(members: DataFrame, policy: WindowPolicy) -> DataFrame:
+    """(group_id, n_members, fault) of members (group_id, uid, node_id, CONTEXT, clock_uncertainty_ns): the first rule that the first member, by uid, breaks.
+
+    Each member is held against the group's first one, so no task needs a whole group.
+    """
+    context = F.struct(*CONTEXT)
+    first = members.groupBy("group_id").agg(F.count("*").alias("n_members"), F.min_by(context, "uid").alias("first"))
+    owner = members.groupBy("group_id", "node_id").agg(F.min("uid").alias("owner"))
+    met = members.join(first, "group_id").join(owner, ["group_id", "node_id"])
+    fault = (
+        F.when(F.col("domain").isNull(), "unverified_source")
+        .when(F.coalesce(F.col("label"), F.lit("")).eqNullSafe("") | ~context.eqNullSafe(F.col("first")), "unverified_class_clock_or_map")
+        .when(F.col("uid") != F.col("owner"), "duplicate_physical_node")
+        .when(F.col("clock_uncertainty_ns") / 1e9 > policy.max_clock_uncertainty_seconds, "clock_uncertainty_exceeds_limit")
+    )
+    return met.withColumn("f", fault).groupBy("group_id").agg(F.first("n_members").alias("n_members"), F.min_by("f", F.when(F.col("f").isNotNull(), F.col("uid"))).alias("fault"))
+
+
+def factors(rows: DataFrame, policy: WindowPolicy) -> DataFrame:
+    """(group_id, uid, node_id, seq, kind, t, position, covariance, ray): the sound bearings and positions of observations that lie in their group's window, in aligned time."""
+    ray = strict_ray(F.col("bearing"))
+    late = F.abs(F.col("ray.timestamp_ns") - F.col("event_time_ns")) / 1e9
+    place = F.col("position").isNotNull() & V.is_covariance(F.col("covariance")) & (F.col("frame") == F.col("s_frame")) & (F.col("map_revision") == F.col("s_map")) & (F.col("quality") >= policy.min_quality)
+    both = rows.withColumn("ray", ray).withColumns(
+        {
+            "t_ray": F.when(late <= policy.max_bearing_timestamp_delta_seconds, F.col("ray.timestamp_ns") + F.col("offset_ns")),
+            "t_place": F.when(place, F.col("event_time_ns") + F.col("offset_ns")),
+        }
+    )
+    kinds = F.explode(F.array(F.struct(F.lit("ray").alias("kind"), F.col("t_ray").alias("t")), F.struct(F.lit("place").alias("kind"), F.col("t_place").alias("t"))))
+    flat = both.withColumn("_k", kinds).where("_k.t IS NOT NULL").select("group_id", "uid", "node_id", "seq", "_k.kind", "_k.t", "position", "covariance", "ray")
+    return fixed_lag(flat, "group_id", "t", policy.window_seconds)
+
+
+def chosen(found: DataFrame, policy: WindowPolicy) -> DataFrame:
+    """The factors that the estimate uses: at most one position, the best of the window, and bearings of other sensors, one for each unless errors in time are independent."""
+    best = anchors(found.where("kind = 'place'"), "group_id") if policy.allow_single_position_anchor else found.where("false")
+    seen = best.select("group_id", F.col("node_id").alias("_anchor"))
+    rays = found.where("kind = 'ray'").join(seen, "group_id", "left").where("_anchor IS NULL OR _anchor <> node_id").drop("_anchor")
+    return (rays if policy.independent_temporal_errors_verified else latest_per_node(rays, "group_id")).unionByName(best)
 
 
 class Refused(Exception):
@@ -87,38 +148,7 @@ def _need(ok: bool, reason: str) -> None:
         raise Refused(reason)
 
 
-def _select(g: pd.DataFrame, p: WindowPolicy) -> tuple[list[dict], dict | None]:
-    """The window's bearings and its position anchor."""
-    seen, rays, places, nodes = None, [], [], set()
-    for uid, rows in g.sort_values(["uid", "seq"]).groupby("uid", sort=True):
-        r = rows.iloc[0]
-        _need(isinstance(r["domain"], str), "unverified_source")
-        context = (r["domain"], r["alignment_id"], r["s_frame"], r["s_map"], r["label"])
-        _need(isinstance(r["label"], str) and r["label"] != "" and seen in (None, context), "unverified_class_clock_or_map")
-        seen = context
-        _need(r["node_id"] not in nodes, "duplicate_physical_node")
-        nodes.add(r["node_id"])
-        _need(r["clock_uncertainty_ns"] / 1e9 <= p.max_clock_uncertainty_seconds, "clock_uncertainty_exceeds_limit")
-        for o in rows.to_dict("records"):
-            shift = int(o["offset_ns"])
-            ray = strict_ray(o.get("bearing"))
-            if ray and abs(ray[4] - int(o["event_time_ns"])) / 1e9 <= p.max_bearing_timestamp_delta_seconds:
-                rays.append({"node": r["node_id"], "uid": uid, "seq": o["seq"], "t": ray[4] + shift, "ray": ray})
-            if o["position"] is not None and o["covariance"] is not None and o["frame"] == r["s_frame"] and o["map_revision"] == r["s_map"] and o["quality"] >= p.min_quality:
-                places.append({"node": r["node_id"], "uid": uid, "t": int(o["event_time_ns"]) + shift, "p": np.array(o["position"], float), "c": np.array(o["covariance"], float).reshape(3, 3)})
-    _need(bool(rays or places), "no_valid_observations")
-    cut = max(x["t"] for x in rays + places) - round(p.window_seconds * 1e9)
-    near = [x for x in places if x["t"] >= cut]
-    anchor = min(near, key=lambda x: (np.trace(x["c"]), -x["t"], x["uid"])) if near and p.allow_single_position_anchor else None
-    rays = sorted((x for x in rays if x["t"] >= cut and (anchor is None or x["node"] != anchor["node"])), key=lambda x: (x["t"], x["uid"], x["seq"]))
-    if not p.independent_temporal_errors_verified:
-        rays = sorted({x["node"]: x for x in rays}.values(), key=lambda x: (x["t"], x["uid"]))
-    return rays, anchor
-
-
 def _geometry(rays: list[dict], anchor: dict | None, p: WindowPolicy) -> None:
-    _need(len(rays) + (anchor is not None) <= p.max_observations, "window_observation_limit_exceeded")
-    _need(len(rays) >= (1 if anchor else 2), "insufficient_cross_node_bearing_factors")
     if anchor is None:
         d, node = np.array([x["ray"][1] for x in rays]), np.array([x["node"] for x in rays])
         cos = np.abs(d @ d.T)[node[:, None] != node[None]]
@@ -150,12 +180,11 @@ def _minimise(residual, x: np.ndarray, steps: int = 120) -> tuple[np.ndarray, np
 
 
 def solve(g: pd.DataFrame, p: WindowPolicy) -> dict:
-    """The estimate of one group's observations; raises Refused with the first gate that fails."""
-    _need(2 <= g["uid"].nunique() <= 8, "requires_preassociated_multi_node_group")
-    _need(p.independent_source_errors_verified, "independent_source_errors_not_verified")
-    _need(p.bearing_world_pose_frame_verified, "bearing_camera_pose_frame_not_verified")
-    _need(p.model != "static_position" or p.stationary_target_verified, "static_motion_model_not_verified")
-    rays, anchor = _select(g, p)
+    """The estimate from one group's `chosen` factors; raises Refused with the first gate that fails."""
+    shaped = lambda r: (*(np.array(r[n], float) for n in ("origin", "direction")), np.array(r["basis"], float).reshape(2, 3), np.array(r["covariance"], float).reshape(2, 2))
+    rows = g.sort_values(["t", "uid", "seq"]).to_dict("records")
+    rays = [{"node": o["node_id"], "uid": o["uid"], "t": int(o["t"]), "ray": shaped(o["ray"])} for o in rows if o["kind"] == "ray"]
+    anchor = next(({"node": o["node_id"], "uid": o["uid"], "t": int(o["t"]), "p": np.array(o["position"], float), "c": np.array(o["covariance"], float).reshape(3, 3)} for o in rows if o["kind"] == "place"), None)
     _geometry(rays, anchor, p)
     times = [x["t"] for x in rays] + ([anchor["t"]] if anchor else [])
     epoch, moving = max(times), p.model == "constant_velocity"
@@ -170,13 +199,16 @@ def solve(g: pd.DataFrame, p: WindowPolicy) -> dict:
     _need(len(a) >= dim and np.linalg.matrix_rank(a, tol=1e-8) == dim, "unobservable_linear_geometry")
     seed = np.linalg.lstsq(a, b, rcond=None)[0]
     _need(np.isfinite(seed).all(), "invalid_initial_state")
-    weights = [np.linalg.inv(np.linalg.cholesky(x["ray"][3])) for x in rays]
-    anchor_weight = np.linalg.inv(np.linalg.cholesky(anchor["c"])) if anchor else None
+    try:
+        weights = [np.linalg.inv(np.linalg.cholesky(x["ray"][3])) for x in rays]
+        anchor_weight = np.linalg.inv(np.linalg.cholesky(anchor["c"])) if anchor else None
+    except np.linalg.LinAlgError:
+        raise Refused("optimization_numerical_failure") from None
 
     def residual(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r, j = [], []
         for w, ray in zip(weights, rays, strict=True):
-            m, (o, _, basis, _, _) = at(ray["t"]), ray["ray"]
+            m, (o, _, basis, _) = at(ray["t"]), ray["ray"]
             away = m @ x - o
             n = max(np.linalg.norm(away), 1e-6)
             r.append(w @ basis @ away / n)
@@ -202,26 +234,60 @@ def solve(g: pd.DataFrame, p: WindowPolicy) -> dict:
     scale = np.diag([1.0] * 3 + [1 / p.window_seconds] * (dim - 3))
     cov = scale @ np.linalg.inv(j.T @ j) @ scale
     _need(np.isfinite(cov).all(), "invalid_conditional_curvature")
-    return {"position": x[:3].tolist(), "velocity": velocity.tolist() if moving else None, "epoch_ns": int(epoch), "covariance": cov.reshape(-1).tolist(), "rms": rms, "n_bearings": len(rays)}
+    return {
+        "position": x[:3].tolist(), "velocity": velocity.tolist() if moving else None, "epoch_ns": int(epoch), "covariance": cov.reshape(-1).tolist(), "rms": rms, "n_bearings": len(rays),
+        "condition": float(values[0] / values[-1]), "span_s": (epoch - min(times)) / 1e9, "anchor_uid": anchor["uid"] if anchor else None, "bearing_nodes": sorted({y["node"] for y in rays}),
+    }
 
 
-RESULT = "group_id string, accepted boolean, reason string, epoch_ns long, position array<double>, velocity array<double>, covariance array<double>, rms double, n_bearings int"
+#: Columns of the result that `solve` fills.
+SOLVED = ["epoch_ns", "position", "velocity", "covariance", "rms", "n_bearings", "condition", "span_s", "anchor_uid", "bearing_nodes"]
+RESULT = (
+    "group_id string, accepted boolean, reason string, epoch_ns long, position array<double>, velocity array<double>, covariance array<double>, rms double, n_bearings int,"
+    " condition double, span_s double, anchor_uid string, bearing_nodes array<string>"
+)
 
 
 def window_estimates(rows: DataFrame, policy: WindowPolicy | None = None) -> DataFrame:
-    """One row for each group_id: the estimate, or the reason why there is none.
+    """One row for each group_id: the estimate with its diagnostics, or the reason why there is none.
 
     rows: one for each observation of a member: group_id, uid, node_id, seq, event_time_ns, position, covariance, quality, frame,
     map_revision, bearing, and its sensor's label, domain, alignment_id, s_frame, s_map, offset_ns, clock_uncertainty_ns.
+
+    Gates and the choice of observations are joins and aggregates; what goes to the solver is a group's chosen factors, at most
+    max_observations of them. Groups that fail a gate before never get there.
     """
     policy = policy or WindowPolicy()
+    constant = [
+        (policy.independent_source_errors_verified, "independent_source_errors_not_verified"), (policy.bearing_world_pose_frame_verified, "bearing_camera_pose_frame_not_verified"),
+        (policy.model != "static_position" or policy.stationary_target_verified, "static_motion_model_not_verified"),
+    ]
+    gate = next((reason for ok, reason in constant if not ok), None)
+    members = rows.groupBy("group_id", "uid").agg(*[F.first(c).alias(c) for c in ("node_id", *CONTEXT, "clock_uncertainty_ns")])
+    groups = member_faults(members, policy)
+    found = factors(rows, policy)
+    use = chosen(found, policy)
+    counts = use.groupBy("group_id").agg(F.count_if(F.col("kind") == "ray").alias("n_rays"), F.count_if(F.col("kind") == "place").alias("n_places"))
+    groups = groups.join(found.select("group_id").distinct().withColumn("any", F.lit(True)), "group_id", "left").join(counts, "group_id", "left")
+    n_rays, n_places = F.coalesce("n_rays", F.lit(0)), F.coalesce("n_places", F.lit(0))
+    early = (
+        F.when(~F.col("n_members").between(2, 8), "requires_preassociated_multi_node_group")
+        .when(F.lit(gate is not None), F.lit(gate))
+        .when(F.col("fault").isNotNull(), F.col("fault"))
+        .when(F.col("any").isNull(), "no_valid_observations")
+        .when(n_rays + n_places > policy.max_observations, "window_observation_limit_exceeded")
+        .when(n_rays < F.when(n_places > 0, 1).otherwise(2), "insufficient_cross_node_bearing_factors")
+    )
+    groups = groups.withColumn("early", early).select("group_id", "early")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         try:
-            found, reason = solve(g, policy), "conditional_fixed_lag_solution_requires_validation"
+            solved, reason = solve(g, policy), "conditional_fixed_lag_solution_requires_validation"
         except Refused as e:
-            found, reason = {}, str(e)
-        row = [g["group_id"].iloc[0], bool(found), reason, *(found.get(k) for k in ("epoch_ns", "position", "velocity", "covariance", "rms", "n_bearings"))]
-        return pd.DataFrame([row], columns=["group_id", "accepted", "reason", "epoch_ns", "position", "velocity", "covariance", "rms", "n_bearings"]).astype({"epoch_ns": "Int64", "n_bearings": "Int64"})
+            solved, reason = {}, str(e)
+        row = [g["group_id"].iloc[0], bool(solved), reason, *(solved.get(k) for k in SOLVED)]
+        return pd.DataFrame([row], columns=["group_id", "accepted", "reason", *SOLVED]).astype({"epoch_ns": "Int64", "n_bearings": "Int64"})
 
-    return rows.groupBy("group_id").applyInPandas(run, RESULT)
+    tried = use.join(groups.where("early IS NULL").select("group_id"), "group_id", "left_semi").groupBy("group_id").applyInPandas(run, RESULT)
+    refused = groups.where("early IS NOT NULL").select("group_id", F.lit(False).alias("accepted"), F.col("early").alias("reason"))
+    return tried.unionByName(refused, allowMissingColumns=True)

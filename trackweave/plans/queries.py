@@ -379,7 +379,12 @@ def ci_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse_groups(fusion.group_inputs(members, found, A.sources(spark), A.labels(spark)))
 
 
-@query()
+@query(f"""{A.duckdb('bearings')}, seen AS (SELECT vec_id, i, ox + 20*dx AS x, oy + 20*dy AS y, oz + 20*dz AS z, 20*dx - 7.0::DOUBLE*i AS gx, 20*dy + 5.0::DOUBLE*i*i AS gy, 20*dz - 3.0::DOUBLE*i AS gz FROM bearings, range(3) r(i)),
+  u AS (SELECT vec_id, i, x, y, z, gx/n AS ux, gy/n AS uy, gz/n AS uz FROM (SELECT *, sqrt(gx*gx + gy*gy + gz*gz) AS n FROM seen) WHERE n > 0.01),
+  met AS (SELECT a.vec_id, degrees(acos(least(1.0, abs(a.ux*b.ux + a.uy*b.uy + a.uz*b.uz)))) AS angle FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i < b.i),
+  g AS (SELECT vec_id, max(angle) AS widest FROM met GROUP BY vec_id)
+  SELECT vec_id::VARCHAR AS group_id, widest >= 4 AS accepted, CASE WHEN widest >= 4 THEN 'conditional_fixed_lag_solution_requires_validation' ELSE 'insufficient_cross_node_parallax' END AS reason,
+    CASE WHEN widest >= 4 THEN round(x, 3) + 0.0::DOUBLE END AS x, CASE WHEN widest >= 4 THEN round(y, 3) + 0.0::DOUBLE END AS y, CASE WHEN widest >= 4 THEN round(z, 3) + 0.0::DOUBLE END AS z FROM g JOIN seen USING (vec_id) WHERE i = 0""")
 def window_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of three sensors that watch the point in front of a vector's ray."""
     b = A.bearings(spark, sf_dir)
@@ -388,13 +393,14 @@ def window_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("o", F.expr("array(position[0] + 7.0D * i, position[1] - 5.0D * i * i, position[2] + 3.0D * i)")).withColumn("d", F.expr("transform(sequence(0, 2), k -> x[k] - o[k])"))
     rows = rows.withColumn("n", V.norm(F.col("d"))).where("n > 0.01").withColumn("u", F.expr("transform(d, v -> v / n)"))
     rows = rows.withColumn("h", F.expr("CASE WHEN abs(u[2]) < 0.9D THEN array(u[1], -u[0], 0.0D) ELSE array(0.0D, u[2], -u[1]) END")).withColumn("e1", V.scale(F.col("h"), 1 / V.norm(F.col("h")))).withColumn("e2", V.cross(F.col("u"), F.col("e1")))
-    bearing = "named_struct('valid', true, 'camera_position_world_m', o, 'direction_world', u, 'tangent_basis_world', concat(e1, e2), 'tangent_covariance_rad2', array(1e-4D, 0.0D, 0.0D, 1e-4D), 'timestamp_ns', 1000000000L)"
+    bearing = "named_struct('valid', true, 'camera_position_world_m', o, 'direction_world', u, 'tangent_basis_world', concat(e1, e2), 'has_tangent_covariance', true, 'tangent_covariance_rad2', array(1e-4D, 0.0D, 0.0D, 1e-4D), 'timestamp_ns', 1000000000L)"
     rows = rows.selectExpr(
         "cast(vec_id as string) AS group_id", "concat('t', i) AS uid", "concat('node_', i) AS node_id", "1L AS seq", "1000000000L AS event_time_ns", "cast(NULL AS array<double>) AS position", "cast(NULL AS array<double>) AS covariance", "0.9D AS quality",
         f"'{A.FRAME}' AS frame", f"'{A.MAP}' AS map_revision", f"{bearing} AS bearing", "'0' AS label", "'shared_utc' AS domain", "'align-1' AS alignment_id", f"'{A.FRAME}' AS s_frame", f"'{A.MAP}' AS s_map", "0L AS offset_ns", "5000000L AS clock_uncertainty_ns",
     )
-    policy = window_ls.WindowPolicy(independent_source_errors_verified=True, bearing_world_pose_frame_verified=True, stationary_target_verified=True)
-    return window_ls.window_estimates(rows, policy)
+    policy = window_ls.WindowPolicy(model="static_position", independent_source_errors_verified=True, bearing_world_pose_frame_verified=True, stationary_target_verified=True)
+    found, at = window_ls.window_estimates(rows, policy), F.col("position")
+    return found.select("group_id", "accepted", "reason", *[(F.round(at[i], 3) + 0.0).alias(c) for i, c in enumerate("xyz")])
 
 
 # --- map ---------------------------------------------------------------------------------------------
