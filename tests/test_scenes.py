@@ -185,10 +185,9 @@ def test_the_active_map(spark, tmp_path):
     first, swapped = mappackage.activate(spark, root, at, CONFIG)
     assert swapped and mappackage.activate(spark, root, at, CONFIG) == (first, False) and mappackage.changed(spark, root, "")["changed"]
     (tmp_path / "in" / "buildings" / "scene.glb").write_bytes(b"broken")
-    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
-    query = mappackage.reload_on(ticks, root, at, CONFIG, str(tmp_path / "ckpt"), {"availableNow": True})
-    query.processAllAvailable()
-    query.stop()
+    spark.range(1).write.parquet(str(tmp_path / "ticks"))
+    ticks = spark.readStream.schema("id long").parquet(str(tmp_path / "ticks"))
+    mappackage.reload_on(ticks, root, at, CONFIG, str(tmp_path / "ckpt"), {"availableNow": True}).awaitTermination()
     assert mappackage.active(spark, root) == (first, 0), "a broken source leaves the active map"
     (tmp_path / "in" / "buildings" / "scene.glb").write_bytes(glb(*floor(name="other")))
     second, swapped = mappackage.activate(spark, root, at, CONFIG)

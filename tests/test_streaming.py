@@ -1,5 +1,7 @@
 """Streams against what the batch operators and the plain rules give."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,12 +95,12 @@ def test_worlds_follow_one_another(spark, tmp_path):
     assert world.publish(groups(("a", "a"), ("b", "a")), seen(spark, "ab"), labels, root) == 2
     log = sorted(tuple(r) for r in world.revisions_after(spark, root, 0).collect())
     a, b = identity.minted("a"), identity.minted("b")
-    assert b < a and log == [(1, "a", None, a), (2, "b", None, b), (3, "a", a, b)], "of two ids with equal overlap the smaller stays"
+    assert b < a and log == [(1, "a", None, a, "new", 1), (2, "b", None, b, "new", 1), (3, "a", a, b, "identity_revised", 2)], "of two ids with equal overlap the smaller stays"
     assert [r["revision"] for r in world.revisions_after(spark, root, 1, limit=1).collect()] == [2]
     track = world.tracks(spark, root).collect()
     assert [(t["global_id"], t["status"], t["class_name"]) for t in track] == [(b, "associated_pair", "person")]
     # A run that failed before it published leaves rows that nobody reads.
-    spark.createDataFrame([(4, "z", None, "g")], world.REVISIONS).write.parquet(f"{root}/revisions/world=3")
+    spark.createDataFrame([(4, "z", None, "g", "new")], world.REVISIONS).write.parquet(f"{root}/revisions/world=3")
     assert world.revisions_after(spark, root, 0).count() == 3
     told = lambda node, frame: world.wire(world.tracks(spark, root), seen(spark, "ab"), spark.createDataFrame([(node, frame, "m")], "node_id string, frame string, map_revision string")).first()
     assert told("na", "f")["position"] == [1.0, 2.0, 3.0]
@@ -112,3 +114,46 @@ def test_a_stream_of_changes_publishes(spark, tmp_path):
     given = lambda s: (s.createDataFrame([("a", "a")], "uid string, group_id string"), seen(s, "a"), labels)
     world.follow(stream, given, str(tmp_path / "world"), str(tmp_path / "ckpt"), {"availableNow": True}).awaitTermination()
     assert world.latest(spark, str(tmp_path / "world"))["world"] == 1
+
+
+def test_identity_revisions_facts_and_messages(spark, tmp_path):
+    root, labels = str(tmp_path / "w"), spark.createDataFrame([("na", 0, "person"), ("nb", 0, "person"), ("nc", 0, "person")], "node_id string, class_id long, label string")
+    groups = lambda *rows: spark.createDataFrame(rows, "uid string, group_id string")
+    estimates = spark.createDataFrame([("a", True, "ci_position_only", [1.0, 2.0, 3.0], [1.0])], "group_id string, accepted boolean, reason string, mean array<double>, covariance array<double>")
+    first = groups(("a", "a"), ("b", "a"), ("c", "c"))
+    pairs = spark.createDataFrame([("a", "b", 0.5)], "left_uid string, right_uid string, cost double")
+    world.publish(first, seen(spark, "abc"), labels, root, world.facts(pairs, pairs, first, estimates), "p1", fusion=estimates)
+    assert world.latest(spark, root)["facts"] == {"candidate_count": 1, "selected_pair_count": 1, "associated_group_count": 0, "experimental_fusion_accepted": 1, "experimental_window_accepted": 0}
+    track = {r["representative"]: r for r in world.tracks(spark, root).collect()}
+    assert (track["a"]["identity_revision"], track["a"]["fusion_estimate_status"], track["a"]["fusion_position"], track["c"]["fusion_estimate_status"]) == (1, "experimental_ci", [1.0, 2.0, 3.0], None)
+    assert world.publish(first, seen(spark, "abc"), labels, root, policy="p2") == 2, "another policy is another world"
+    assert {r["identity_revision"] for r in world.tracks(spark, root).collect()} == {1}, "the same members"
+    world.publish(groups(("a", "a"), ("b", "a"), ("c", "a")), seen(spark, "abc"), labels, root, policy="p2")
+    only = world.tracks(spark, root).first()
+    assert (only["identity_revision"], only["status"], only["members"]) == (2, "associated_group", ["a", "b", "c"])
+
+    sent = []
+    alignment = spark.createDataFrame([("na", "f", "m")], "node_id string, frame string, map_revision string")
+    state = lambda s, w: (seen(s, "abc"), alignment)
+    send = lambda df: sent.append([tuple(r) for r in df.orderBy("topic", "key").collect()])
+    for k in range(2):
+        put(spark, tmp_path / "ticks", [(k,)], "tick long")
+        ticks = spark.readStream.schema("tick long").parquet(str(tmp_path / "ticks"))
+        world.announce(ticks, root, state, send, str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
+    states = [m for m in sent if m[0][0] == world.STATE_TOPIC]
+    hints = [m for m in sent if m[0][0] == world.HINT_TOPIC]
+    assert len(hints) == 1 and [json.loads(v)["revision"] for _, _, v in hints[0]] == list(range(1, len(hints[0]) + 1)), "hints once, in order"
+    assert len(states) == 2 and json.loads(states[0][0][2])["position"] == [1.0, 2.0, 3.0] and json.loads(states[0][0][2])["world_revision"] == 3
+
+
+def test_late_blobs_move_watermarks(spark, tmp_path):
+    form, blob = "node_id string, seq long", "sha string, size long"
+    refs = spark.createDataFrame([("n", 2, "s", 5), ("n", 3, "t", 5), ("n", 3, "s", 5), ("m", 1, "s", 5), ("k", 1, "u", 1)], "node_id string, seq long, sha string, size long")
+    put(spark, tmp_path / "events", [("n", 1), ("n", 4), ("m", 2), ("k", 2)], form)  # those without missing blobs
+    inbox.follow_watermarks(spark.readStream.schema(form).parquet(str(tmp_path / "events")), str(tmp_path / "seen"), str(tmp_path / "c1")).awaitTermination()
+    told = []
+    for arrived in ([("s", 6)], [("s", 5)], [("t", 5), ("s", 5)]):
+        put(spark, tmp_path / "blobs", arrived, blob)
+        inbox.follow_blobs(spark.readStream.schema(blob).parquet(str(tmp_path / "blobs")), lambda s: refs, str(tmp_path / "late"), str(tmp_path / "c2")).awaitTermination()
+        told.append({r["node_id"]: r["contiguous"] for r in inbox.watermarks(spark, str(tmp_path / "seen"), str(tmp_path / "late/bits")).collect()})
+    assert told == [{"n": 1, "m": 0, "k": 0}, {"n": 2, "m": 2, "k": 0}, {"n": 4, "m": 2, "k": 0}]

@@ -76,7 +76,8 @@ def edges_of(spark, edges):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_matching_and_cliques_against_sequential_ones(spark, seed):
+def test_matching_and_cliques_against_sequential_ones(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", [0, 100_000][seed % 2])  # in rounds, or by one task
     rng = random.Random(seed)
     names = [f"u{i:02d}" for i in range(16)]
     edges = [(a, b, float(rng.randrange(6))) for a, b in itertools.combinations(names, 2) if rng.random() < 0.18]
@@ -89,6 +90,12 @@ def test_matching_and_cliques_against_sequential_ones(spark, seed):
     df = edges_of(spark, edges)
     assert sorted((r[0], r[1]) for r in graph.greedy_pairs(df).collect()) == sorted(want)
 
+    least = {u: u for e in edges for u in e[:2]}
+    for _ in names:
+        for a, b, _ in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {r["uid"]: r["component"] for r in graph.components(df).collect()} == least
+
     best = (0, 0.0)
 
     def search(k, used, n, cost):
@@ -146,11 +153,18 @@ def test_sticky_ids_and_revisions(spark):
     assert got == {"B": identity.minted("A"), "C": identity.minted("A"), "A": identity.minted("A", 1)}
     new = spark.createDataFrame(list(got.items()), "uid string, global_id string")
     log = [tuple(r) for r in identity.revisions(old, new, 7).orderBy("revision").collect()]
-    assert log == [(8, "A", identity.minted("A"), identity.minted("A", 1)), (9, "C", None, identity.minted("A"))]
+    assert log == [(8, "A", identity.minted("A"), identity.minted("A", 1), "identity_revised"), (9, "C", None, identity.minted("A"), "new")]
     assert identity.revisions(new, new).isEmpty()
     assert identity.signature(new) == identity.signature(new.repartition(3)) != identity.signature(old)
 
 
+def test_taken_ids_are_salted_on(spark):
+    groups = spark.createDataFrame([("A", "A")], "uid string, group_id string")
+    old = spark.createDataFrame([(f"x{k}", identity.minted("A", k)) for k in range(6)], "uid string, global_id string")
+    assert [r["global_id"] for r in identity.assign_ids(groups, old).collect()] == [identity.minted("A", 6)]
+    assert identity.assign_ids(groups.limit(0), old).collect() == []
+
+
 def test_track_status(spark):
     t = found(spark, seen("node_0", 1, 100, 1), seen("node_1", 1, 100, 1), seen("node_2", 1, 100, 1, cov=[0.0] * 9), seen("node_3", 1, 100, 1, cov=None))
     uid = '["node_{}","cam",1,1,1]'.format

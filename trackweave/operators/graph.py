@@ -2,47 +2,91 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .checkpoints import checkpoint
 
 
+#: Edge tables up to this size are solved by one task, larger ones in rounds over all tasks; the results are the same.
+LOCAL_EDGES = 100_000
+
+
+def _at_most(edges: DataFrame, most: int) -> bool:
+    return edges.limit(most + 1).count() <= most
+
+
+def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of all edges of a task: trees that point to lesser names."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for b in batches:
+        for x, y in zip(b["left_uid"], b["right_uid"], strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"uid": list(root), "component": [find(x) for x in root]}, dtype="object")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(uid, component): each node with the least uid that its edges reach, by hooking and pointer jumping."""
+    """(uid, component): each node with the least uid that its edges reach.
+
+    A table of up to LOCAL_EDGES edges is one task's work. Larger ones go by hooking and pointer jumping, in rounds; how many labels moved
+    is counted while a round is written.
+    """
+    edges = checkpoint(edges.select("left_uid", "right_uid"))
+    if _at_most(edges, LOCAL_EDGES):
+        return checkpoint(edges.coalesce(1).mapInPandas(_labels, "uid string, component string"))
     both = checkpoint(edges.select(F.col("left_uid").alias("a"), F.col("right_uid").alias("b")).union(edges.select("right_uid", "left_uid")).distinct())
-    now = checkpoint(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    now = both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
     while True:
         seen = both.join(now.select(F.col("uid").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("uid")).agg(F.min("other").alias("other"))
         hooked = now.join(seen, "uid").select("uid", F.least("component", "other").alias("new"), "component")
         jumps = hooked.select(F.col("uid").alias("new"), F.col("new").alias("next"))
-        after = checkpoint(hooked.join(jumps, "new").select("uid", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("moved")))
-        now = after.select("uid", "component")
-        if after.where("moved").isEmpty():
+        after = hooked.join(jumps, "new").select("uid", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("moved"))
+        told = Observation()
+        now = checkpoint(after.observe(told, F.count_if("moved").alias("moved"))).select("uid", "component")
+        if told.get["moved"] == 0:
             return now
 
 
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    used: set[str] = set()
+    rows = pd.concat([*batches, pd.DataFrame({"left_uid": [], "right_uid": [], "cost": []})]).sort_values(["cost", "left_uid", "right_uid"])
+    taken = []
+    for left, right, cost in zip(rows["left_uid"], rows["right_uid"], rows["cost"], strict=True):
+        if left not in used and right not in used:
+            used |= {left, right}
+            taken.append((left, right, cost))
+    yield pd.DataFrame(taken, columns=["left_uid", "right_uid", "cost"])
+
+
 def greedy_pairs(edges: DataFrame) -> DataFrame:
     """One-to-one pairs: what taking edges in order of (cost, left_uid, right_uid) selects.
 
-    In each round the edges that come first at both of their ends are taken and their ends leave; under
+    A table of up to LOCAL_EDGES edges is one task's work. For larger ones, in each round the edges that come first at both of their
+    ends are taken and their ends leave; under
     a total order that is the sequential result. All edges of a round are handled in parallel.
     """
     rank = F.struct("cost", "left_uid", "right_uid")
     left, taken = checkpoint(edges.select("left_uid", "right_uid", "cost")), None
-    while not left.isEmpty():
+    while not _at_most(left, LOCAL_EDGES):
         ends = left.select(F.col("left_uid").alias("uid"), rank.alias("r")).union(left.select("right_uid", rank))
         best = ends.groupBy("uid").agg(F.min("r").alias("r"))
-        wins = best.groupBy("r").agg(F.count("*").alias("n")).where("n = 2").select("r.left_uid", "r.right_uid", "r.cost")
-        wins = checkpoint(wins)
+        wins = checkpoint(best.groupBy("r").agg(F.count("*").alias("n")).where("n = 2").select("r.left_uid", "r.right_uid", "r.cost"))
         taken = wins if taken is None else taken.union(wins)
         gone = wins.select(F.col("left_uid").alias("uid")).union(wins.select("right_uid"))
         left = left.join(gone.withColumnRenamed("uid", "left_uid"), "left_uid", "left_anti").join(gone.withColumnRenamed("uid", "right_uid"), "right_uid", "left_anti")
         left = checkpoint(left.select("left_uid", "right_uid", "cost"))
-    return taken if taken is not None else left
+    rest = checkpoint(left.coalesce(1).mapInPandas(_greedy, "left_uid string, right_uid string, cost double"))
+    return rest if taken is None else taken.union(rest)
 
 
 def matching_weight(cost: float, pairs: int) -> int:

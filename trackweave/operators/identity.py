@@ -7,9 +7,8 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .checkpoints import numbered
+from .checkpoints import checkpoint, numbered
 from .graph import components
 
 
@@ -22,53 +21,81 @@ def new_ids(uids: DataFrame) -> DataFrame:
     return uids.select("uid", F.concat(F.lit("g-"), F.substring(F.sha2("uid", 256), 1, 20)).alias("global_id"))
 
 
+#: Salts that are tried at a time for ids that are taken.
+SALTS = 4
+
+
+def _free_ids(groups: DataFrame, taken: DataFrame) -> DataFrame:
+    """(group_id, global_id) minted from `first` with the least salt whose id isn't among `taken` (global_id)."""
+    left, start, done = groups.select("group_id", "first"), 0, None
+    while True:
+        salted = lambda k: F.concat(F.lit("g-"), F.substring(F.sha2(F.when(k == 0, F.col("first")).otherwise(F.concat("first", F.lit("#"), k.cast("string"))), 256), 1, 20))
+        tries = left.withColumn("salt", F.explode(F.sequence(F.lit(start), F.lit(start + SALTS - 1)))).withColumn("global_id", salted(F.col("salt")))
+        free = tries.join(taken, "global_id", "left_anti").groupBy("group_id").agg(F.min_by("global_id", "salt").alias("global_id"))
+        found = checkpoint(left.join(free, "group_id", "left"))
+        done = found.where("global_id IS NOT NULL").select("group_id", "global_id") if done is None else done.union(found.where("global_id IS NOT NULL").select("group_id", "global_id"))
+        left, start = found.where("global_id IS NULL").select("group_id", "first"), start + SALTS
+        if left.isEmpty():
+            return done
+
+
 def assign_ids(groups: DataFrame, old: DataFrame) -> DataFrame:
     """(uid, group_id, global_id): groups keep the old id that most of their members had, if it is free.
 
     groups: uid, group_id. old: uid, global_id of the previous snapshot. Groups with the largest overlap
     come first, then larger ones, then by member uids; ties between old ids go to the smaller. A group
-    without a free old id gets one minted from its first uid, salted while taken.
+    without a free old id gets one minted from its first uid, salted while the previous snapshot has it.
 
     Only groups that share an old id can contend for it, so contention is solved in one task for each
     connected component of groups and old ids, not for all.
     """
-    was = groups.join(old, "uid", "left")
-    overlap = was.where("global_id IS NOT NULL").select(F.concat(F.lit("n:"), "group_id").alias("left_uid"), F.concat(F.lit("o:"), "global_id").alias("right_uid"))
+    groups = checkpoint(groups.select("uid", "group_id"))
+    taken = checkpoint(old.select("global_id").distinct())
+    if taken.isEmpty():
+        ids = _free_ids(groups.groupBy("group_id").agg(F.min("uid").alias("first")), taken)
+        return groups.join(ids, "group_id").select("uid", "group_id", "global_id")
+    was = checkpoint(groups.join(old.select("uid", "global_id"), "uid", "left"))
+    overlap = was.where("global_id IS NOT NULL").select(F.concat(F.lit("n:"), "group_id").alias("left_uid"), F.concat(F.lit("o:"), "global_id").alias("right_uid")).distinct()
     label = components(overlap).where("uid LIKE 'n:%'").select(F.substring("uid", 3, 1_000_000).alias("group_id"), "component")
-    placed = was.join(label, "group_id", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("alone:"), "group_id")))
+    placed = was.join(label, "group_id")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         plans = []
         for group, rows in pdf.groupby("group_id"):
             counts = rows["global_id"].dropna().value_counts().to_dict()
             plans.append((-max(counts.values(), default=0), -len(rows), tuple(sorted(rows["uid"])), group, sorted(counts, key=lambda g: (-counts[g], g))))
-        known, used, out = set(pdf["global_id"].dropna()), set(), []
-        for *_, uids, group, wanted in sorted(plans):
+        used, out = set(), []
+        for *_, group, wanted in sorted(plans):
             gid = next((g for g in wanted if g not in used), None)
-            salt = 0
-            while gid is None:
-                name = minted(uids[0], salt)
-                gid = None if name in used or name in known else name
-                salt += 1
             used.add(gid)
-            out += [(u, group, gid) for u in uids]
-        return pd.DataFrame(out, columns=["uid", "group_id", "global_id"])
+            out.append((group, gid))
+        return pd.DataFrame(out, columns=["group_id", "global_id"])
 
-    found = placed.select("uid", "group_id", "global_id", "component").groupBy("component").applyInPandas(solve, "uid string, group_id string, global_id string")
-    # A minted id may equal one that another component's groups had before: salt it.
-    taken = old.select(F.col("global_id").alias("_taken")).distinct()
-    own = was.where("global_id IS NOT NULL").select(F.col("group_id").alias("_group"), F.col("global_id").alias("_own")).distinct()
-    mine = (F.col("group_id") == F.col("_group")) & (F.col("global_id") == F.col("_own"))
-    clash = found.join(own, mine, "left_anti").join(taken, F.col("global_id") == F.col("_taken"), "left_semi").select("group_id").distinct().withColumn("_clash", F.lit(True))
-    salted = F.concat(F.lit("g-"), F.substring(F.sha2(F.concat(F.min("uid").over(Window.partitionBy("group_id")), F.lit("#1")), 256), 1, 20))
-    return found.join(clash, "group_id", "left").withColumn("global_id", F.when(F.col("_clash"), salted).otherwise(F.col("global_id"))).select("uid", "group_id", "global_id")
+    kept = checkpoint(placed.select("uid", "group_id", "global_id", "component").groupBy("component").applyInPandas(solve, "group_id string, global_id string").where("global_id IS NOT NULL"))
+    rest = groups.join(kept, "group_id", "left_anti").groupBy("group_id").agg(F.min("uid").alias("first"))
+    return groups.join(kept.union(_free_ids(rest, taken)), "group_id").select("uid", "group_id", "global_id")
 
 
 def revisions(old: DataFrame, new: DataFrame, last: int = 0) -> DataFrame:
-    """(revision, uid, old_global_id, new_global_id) of members that changed, numbered from last + 1 by uid."""
+    """(revision, uid, old_global_id, new_global_id, reason) of members that changed, numbered from last + 1 by uid.
+
+    The reason is new, retired or identity_revised.
+    """
     met = old.select("uid", F.col("global_id").alias("old_global_id")).join(new.select("uid", F.col("global_id").alias("new_global_id")), "uid", "full_outer")
     changed = met.where(~F.col("old_global_id").eqNullSafe(F.col("new_global_id")))
-    return numbered(changed, ["uid"], "revision", last + 1).select("revision", "uid", "old_global_id", "new_global_id")
+    reason = F.when(F.col("old_global_id").isNull(), "new").when(F.col("new_global_id").isNull(), "retired").otherwise("identity_revised")
+    return numbered(changed, ["uid"], "revision", last + 1).select("revision", "uid", "old_global_id", "new_global_id", reason.alias("reason"))
+
+
+def identity_revisions(tracks: DataFrame, before: DataFrame) -> DataFrame:
+    """Adds identity_revision to tracks (global_id, members): kept where the id had the same members before, one more where others, 1 for a new id.
+
+    before: global_id, members and identity_revision of the previous snapshot; members are sorted arrays.
+    """
+    was = before.select("global_id", F.col("members").alias("_members"), F.col("identity_revision").alias("_revision"))
+    met = tracks.join(was, "global_id", "left")
+    revision = F.when(F.col("_revision").isNull(), 1).when(F.col("members") == F.col("_members"), F.col("_revision")).otherwise(F.col("_revision") + 1)
+    return met.withColumn("identity_revision", revision.cast("long")).drop("_members", "_revision")
 
 
 def global_tracks(members: DataFrame, tracklets: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ again after a failure, so a lost executor or driver leaves neither copies nor ho
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,9 +77,15 @@ def _leading_ones(bits: str) -> F.Column:
     return whole * 8 + F.bit_count(byte.bitwiseXOR(byte + 1)) - 1
 
 
-def watermarks(spark: SparkSession, path: str) -> DataFrame:
-    """(node_id, contiguous) from the newest bitmaps: full ones from the first on, then the next one's first set bits."""
-    now = epochs(spark, path, BITMAPS).groupBy("node_id", "bucket").agg(F.max_by("bits", EPOCH).alias("bits"))
+def watermarks(spark: SparkSession, *paths: str) -> DataFrame:
+    """(node_id, contiguous) from all bitmaps together: full ones from the first on, then the next one's first set bits.
+
+    More than one path: bits that events set, and bits that blobs set which events had waited for.
+    """
+    rows = epochs(spark, paths[0], BITMAPS)
+    for path in paths[1:]:
+        rows = rows.unionByName(epochs(spark, path, BITMAPS))
+    now = rows.groupBy("node_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
     sizes = now.select("node_id", "bucket", F.bitmap_count("bits").alias("n"), "bits")
     in_order = Window.partitionBy("node_id").orderBy("bucket")
     full = sizes.where(F.col("n") == BUCKET).select("node_id", "bucket").withColumn("k", F.row_number().over(in_order)).where("bucket = k").groupBy("node_id").agg(F.max("k").cast("long").alias("full"))
@@ -89,3 +97,37 @@ def watermarks(spark: SparkSession, path: str) -> DataFrame:
 def unblocked(refs: DataFrame, arrived: DataFrame) -> DataFrame:
     """Sensors whose watermark newly arrived blobs (sha, size) may move."""
     return refs.join(arrived.select("sha", "size"), ["sha", "size"], "left_semi").select("node_id").distinct()
+
+
+def bitmaps(rows: DataFrame) -> DataFrame:
+    """BITMAPS of rows (node_id, seq)."""
+    return rows.groupBy("node_id", F.bitmap_bucket_number("seq").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("seq")).alias("bits"))
+
+
+def completed(refs: DataFrame, arrived: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(node_id, seq) of events that waited for one of the arrived blobs (sha, size) and wait for none any more. `blobs` are all stored ones, the arrived among them."""
+    touched = refs.join(arrived.select("sha", "size").distinct(), ["sha", "size"], "left_semi").select("node_id", "seq").distinct()
+    waiting = ingest.missing_blobs(refs.join(touched, ["node_id", "seq"], "left_semi"), blobs)
+    return touched.join(waiting.select("node_id", "seq").distinct(), ["node_id", "seq"], "left_anti")
+
+
+BLOBS = T.StructType([T.StructField("sha", T.StringType()), T.StructField("size", T.LongType())])
+
+
+def follow_blobs(arrivals: DataFrame, refs: Callable[[SparkSession], DataFrame], path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Stores a stream of blobs (sha, size), and sets the bits of the events that each trigger's blobs complete.
+
+    A late blob may so move the watermarks of several sensors; only events that refer to it are looked at. `refs` gives the references (node_id, seq, sha, size) of the stored events.
+    Bits go to `path`/bits, to be read by `watermarks` beside those of the events without missing blobs. Run after the events' own trigger: references of events stored later are checked when these are.
+    """
+    spark = arrivals.sparkSession
+    begun(spark, f"{path}/blobs", BLOBS)
+    begun(spark, f"{path}/bits", BITMAPS)
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        write_epoch(batch.select("sha", "size").distinct(), f"{path}/blobs", epoch)
+        session = batch.sparkSession
+        stored = epochs(session, f"{path}/blobs", BLOBS, before=epoch + 1).select("sha", "size")
+        write_epoch(bitmaps(completed(refs(session), batch, stored)), f"{path}/bits", epoch)
+
+    return arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -15,21 +15,23 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import identity
 
 MEMBERS = "uid string, group_id string, global_id string"
-REVISIONS = "revision long, uid string, old_global_id string, new_global_id string"
+REVISIONS = "revision long, uid string, old_global_id string, new_global_id string, reason string"
+POINTER = "signature string, last_revision long, facts map<string,long>"
+IDENTITIES = "global_id string, members array<string>, identity_revision long"
 
 
 def opened(spark: SparkSession, root: str) -> str:
     """Makes an empty world, revision 0, at `root` if there is none."""
     spark.createDataFrame([], MEMBERS).coalesce(1).write.mode("ignore").parquet(f"{root}/members/world=0")
     spark.createDataFrame([], REVISIONS).coalesce(1).write.mode("ignore").parquet(f"{root}/revisions/world=0")
-    spark.createDataFrame([(0, "", 0)], "world long, signature string, last_revision long").coalesce(1).write.mode("ignore").parquet(f"{root}/pointer/world=0")
+    spark.createDataFrame([], IDENTITIES).coalesce(1).write.mode("ignore").parquet(f"{root}/tracks/world=0")
+    spark.createDataFrame([("", 0, {})], POINTER).coalesce(1).write.mode("ignore").parquet(f"{root}/pointer/world=0")
     return root
 
 
 def latest(spark: SparkSession, root: str) -> Row:
-    """The newest published pointer: world, signature and last_revision."""
-    form = "world long, signature string, last_revision long"
-    return spark.read.schema(form).parquet(f"{root}/pointer").groupBy().agg(F.max_by(F.struct("world", "signature", "last_revision"), "world").alias("p")).first()["p"]
+    """The newest published pointer: world, signature, last_revision and facts (counts of the snapshot)."""
+    return spark.read.schema(f"{POINTER}, world long").parquet(f"{root}/pointer").groupBy().agg(F.max_by(F.struct("world", "signature", "last_revision", "facts"), "world").alias("p")).first()["p"]
 
 
 def members(spark: SparkSession, root: str, world: int) -> DataFrame:
@@ -44,28 +46,55 @@ def tracks(spark: SparkSession, root: str) -> DataFrame:
 def revisions_after(spark: SparkSession, root: str, revision: int, limit: int | None = None) -> DataFrame:
     """The published part of the append-only log above `revision`; with `limit` its first rows, in order."""
     newest = latest(spark, root)
-    log = spark.read.schema(f"{REVISIONS}, world long").parquet(f"{root}/revisions").where((F.col("world") <= newest["world"]) & (F.col("revision") > revision)).drop("world")
+    log = spark.read.schema(f"{REVISIONS}, world long").parquet(f"{root}/revisions").where((F.col("world") <= newest["world"]) & (F.col("revision") > revision)).withColumnRenamed("world", "world_revision")
     return log.orderBy("revision").limit(limit) if limit else log
 
 
-def publish(groups: DataFrame, tracklets: DataFrame, labels: DataFrame, root: str) -> int:
+def facts(candidates: DataFrame, selected: DataFrame, groups: DataFrame, fusion: DataFrame | None = None, windows: DataFrame | None = None) -> dict[str, int]:
+    """Counts that a snapshot tells of its making: candidate and selected pairs, groups of three and more, accepted estimates."""
+    count = lambda df: 0 if df is None else df.where("accepted").count()
+    large = groups.groupBy("group_id").count().where("count >= 3").count()
+    return {"candidate_count": candidates.count(), "selected_pair_count": selected.count(), "associated_group_count": large, "experimental_fusion_accepted": count(fusion), "experimental_window_accepted": count(windows)}
+
+
+def with_estimates(tracks: DataFrame, members: DataFrame, fusion: DataFrame | None, windows: DataFrame | None) -> DataFrame:
+    """Tracks with the group estimates beside them (status, reason, and values where accepted); they never replace the representative."""
+    group = members.select("global_id", "group_id").distinct()
+    rows = tracks.join(group, "global_id", "left")
+    for name, found, value in (("fusion", fusion, "mean"), ("window", windows, "position")):
+        if found is not None:
+            status = F.when(F.col("accepted"), "experimental_ci" if name == "fusion" else "experimental_conditional").otherwise("rejected")
+            told = found.select("group_id", status.alias(f"{name}_estimate_status"), F.col("reason").alias(f"{name}_reason"), F.col(value).alias(f"{name}_position"), F.col("covariance").alias(f"{name}_covariance"))
+            rows = rows.join(told, "group_id", "left")
+    return rows.drop("group_id")
+
+
+def publish(
+    groups: DataFrame, tracklets: DataFrame, labels: DataFrame, root: str, told: dict[str, int] | None = None, policy: str = "", fusion: DataFrame | None = None, windows: DataFrame | None = None
+) -> int:
     """Publishes the next snapshot of groups (uid, group_id) and returns its number.
 
-    Nothing is written when neither membership nor tracklets changed. Ids stick to their members; what
+    Nothing is written, and no estimate computed, when neither membership nor tracklets nor `policy` (a text that stands for all settings) changed; that is looked at
+    again just before the pointer is written. Ids stick to their members; what
     changed is appended to the log, numbered on from the snapshot before. There is one writer for each root.
     """
     spark = groups.sparkSession
     was = latest(spark, opened(spark, root))
-    told = identity.signature(groups.join(tracklets.select("uid", "start_ns", "end_ns", "n_events", "class_id", F.col("latest").cast("string").alias("latest")), "uid"))
-    if told == was["signature"]:
+    seen = tracklets.select("uid", "start_ns", "end_ns", "n_events", "class_id", F.col("latest").cast("string").alias("latest"))
+    signature = identity.signature(groups.select("uid", "group_id").join(seen, "uid").withColumn("policy", F.lit(policy)))
+    if signature == was["signature"]:
         return was["world"]
     world, old = was["world"] + 1, members(spark, root, was["world"])
     identity.assign_ids(groups, old.select("uid", "global_id")).select("uid", "group_id", "global_id").write.mode("overwrite").parquet(f"{root}/members/world={world}")
     new = members(spark, root, world)
     identity.revisions(old, new, was["last_revision"]).write.mode("overwrite").parquet(f"{root}/revisions/world={world}")
-    identity.global_tracks(new.select("uid", "global_id"), tracklets, labels).write.mode("overwrite").parquet(f"{root}/tracks/world={world}")
+    rows = with_estimates(identity.global_tracks(new.select("uid", "global_id"), tracklets, labels), new, fusion, windows)
+    before = spark.read.schema(IDENTITIES).parquet(f"{root}/tracks/world={was['world']}")
+    identity.identity_revisions(rows, before).write.mode("overwrite").parquet(f"{root}/tracks/world={world}")
     count = spark.read.schema(REVISIONS).parquet(f"{root}/revisions/world={world}").count()
-    pointer = spark.createDataFrame([(told, was["last_revision"] + count)], "signature string, last_revision long")
+    if (now := latest(spark, root))["world"] != was["world"]:
+        raise RuntimeError(f"another writer has published world {now['world']}")
+    pointer = spark.createDataFrame([(signature, was["last_revision"] + count, told or {})], POINTER)
     pointer.coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer/world={world}")
     return world
 
@@ -107,3 +136,51 @@ def wire(tracks: DataFrame, tracklets: DataFrame, alignment: DataFrame) -> DataF
     met = tracks.join(seen, "representative", "left")
     aligned = (F.col("latest.frame") == F.col("_frame")) & (F.col("latest.map_revision") == F.col("_map"))
     return met.select("global_id", "status", "class_name", "source_count", "representative", F.when(aligned, F.col("latest.position")).alias("position"), F.when(aligned, F.col("latest.covariance")).alias("covariance"))
+
+
+# --- messages ----------------------------------------------------------------------------------------
+
+STATE_TOPIC, HINT_TOPIC = "world-state", "identity-hints"
+
+
+def state_messages(tracks: DataFrame, tracklets: DataFrame, alignment: DataFrame, world: int) -> DataFrame:
+    """(topic, key, value) of a snapshot: one JSON message for each track, as `wire` tells it, with the snapshot's number."""
+    rows = wire(tracks, tracklets, alignment).withColumn("world_revision", F.lit(world))
+    return rows.select(F.lit(STATE_TOPIC).alias("topic"), F.col("global_id").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def hint_messages(log: DataFrame, after: int) -> DataFrame:
+    """(topic, key, value) of the revisions above `after`, in JSON, up to the first that is missing; keys are numbers with leading zeros, in order."""
+    rows = consecutive(log, after)
+    return rows.select(F.lit(HINT_TOPIC).alias("topic"), F.lpad(F.col("revision").cast("string"), 20, "0").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def swaps(spark: SparkSession, root: str) -> DataFrame:
+    """A stream of published snapshots (world, signature, last_revision, facts), for those who wait for the next."""
+    return spark.readStream.schema(f"{POINTER}, world long").parquet(f"{root}/pointer")
+
+
+def announce(ticks: DataFrame, root: str, state: Callable[[SparkSession, int], tuple[DataFrame, DataFrame]], send: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Sends the newest snapshot after every trigger of a stream of ticks, each second by default, and the revisions that have come since in order.
+
+    `state` gives (tracklets, alignment) of a world; `send` takes messages (topic, key, value), as a Kafka writer does. How far hints have been
+    sent is a row in `root`, written after they are, so that a failure repeats messages and never leaves any out. A snapshot older than one sent before is never sent.
+    """
+
+    def again(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        newest = latest(spark, opened(spark, root))
+        if newest["world"] == 0:
+            return
+        spark.createDataFrame([(0, 0)], "revision long, world long").coalesce(1).write.mode("ignore").parquet(f"{root}/announced/epoch=-1")
+        sent = spark.read.schema("revision long, world long, epoch long").parquet(f"{root}/announced").agg(F.max("revision").alias("revision"), F.max("world").alias("world")).first()
+        if newest["world"] < sent["world"]:
+            return
+        tracklets, alignment = state(spark, newest["world"])
+        send(state_messages(tracks(spark, root), tracklets, alignment, newest["world"]))
+        hints = hint_messages(revisions_after(spark, root, sent["revision"]), sent["revision"])
+        if newest["last_revision"] > sent["revision"]:
+            send(hints)
+        spark.createDataFrame([(newest["last_revision"], newest["world"])], "revision long, world long").coalesce(1).write.mode("overwrite").parquet(f"{root}/announced/epoch={epoch}")
+
+    return ticks.writeStream.foreachBatch(again).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
