@@ -126,8 +126,28 @@ def test_watermark_and_gaps(spark, monkeypatch, seqs, contiguous, missing, width
     rows = spark.createDataFrame([("n", s) for s in seqs] + [("m", s) for s in range(1, 12)], "node_id string, seq long")
     cursors = ingest.contiguous(rows)
     assert {r["node_id"]: r["contiguous"] for r in cursors.collect()} == {"n": contiguous, "m": 11}
-    got = ingest.gaps(rows, cursors).collect()
-    assert sorted((r["lo"], r["hi"]) for r in got) == missing
+    assert sorted((r["lo"], r["hi"]) for r in ingest.gaps(rows).collect()) == missing
+    assert sorted((r["lo"], r["hi"]) for r in ingest.gaps(rows, 1).collect()) == missing[:1]
+
+
+@pytest.mark.parametrize("width", [2, 5, 4096])
+def test_ledgers_of_random_numbers(spark, monkeypatch, width):
+    """Watermark, highest number and gaps of sensors with lost events and missing blobs, against plain sets."""
+    monkeypatch.setattr(ingest, "SEQ_RANGE", width)
+    rng = random.Random(width)
+    seqs = {f"n{i}": {s for s in range(1, rng.randint(2, 40)) if rng.random() < 0.93} | {rng.randint(1, 50)} for i in range(25)}
+    lost = {(n, s) for n, some in seqs.items() for s in some if rng.random() < 0.04}
+    rows = spark.createDataFrame([(n, s) for n, some in seqs.items() for s in some] * 2, "node_id string, seq long").repartition(3)
+    known = ingest.ledger(rows, spark.createDataFrame(sorted(lost), "node_id string, seq long"))
+    got = {r["node_id"]: (r["contiguous"], r["highest"]) for r in ingest.cursors_of(known).collect()}
+    runs = {}
+    for r in ingest.gaps_of(known).collect():
+        runs.setdefault(r["node_id"], set()).update(range(r["lo"], r["hi"] + 1))
+    for n, some in seqs.items():
+        upto = 0
+        while upto + 1 in some and (n, upto + 1) not in lost:
+            upto += 1
+        assert got[n] == (upto, max(some)) and runs.get(n, set()) == set(range(1, max(some))) - some
 
 
 def test_blob_stall(spark):

@@ -178,53 +178,68 @@ def missing_blobs(refs: DataFrame, blobs: DataFrame) -> DataFrame:
     return refs.join(blobs.select("sha", "size").distinct(), ["sha", "size"], "left_anti").select("node_id", "seq", "sha", "size")
 
 
-def contiguous(events: DataFrame, missing: DataFrame | None = None) -> DataFrame:
-    """(node_id, contiguous): the largest n of each node with events 1 .. n all present and complete.
+def ledger(events: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """(node_id, r, n_ok, first, last, upto, gaps): what is there of each node's SEQ_RANGE numbers from r * SEQ_RANGE + 1 on.
 
-    Sequence numbers are counted by range first; only the first range that isn't full is looked
-    at row by row, so a sensor with very many events costs one task no more than SEQ_RANGE rows.
+    n_ok counts those without a missing blob, upto is the last number up to which all from the range's start are, gaps are the runs of absent numbers between first
+    and last. One pass over the events; a sensor with very many is spread over tasks. The table is small and written once, for all that is asked of it.
     """
     seen = events.select("node_id", "seq").distinct()
-    if missing is not None:
-        seen = seen.join(missing.select("node_id", "seq").distinct(), ["node_id", "seq"], "left_anti")
-    seen = seen.withColumn("_r", F.floor((F.col("seq") - 1) / SEQ_RANGE))
-    ranges = seen.groupBy("node_id", "_r").agg(F.count("*").alias("_n"))
-    nth = F.row_number().over(Window.partitionBy("node_id").orderBy("_r"))
-    full = ranges.where(F.col("_n") == SEQ_RANGE).withColumn("_k", nth).where("_r = _k - 1").groupBy("node_id").agg(F.max("_k").cast("long").alias("_full"))
-    nodes = events.select("node_id").distinct().join(full, "node_id", "left").withColumn("_full", F.coalesce("_full", F.lit(0).cast("long")))
-    edge = seen.join(nodes, (seen["node_id"] == nodes["node_id"]) & (seen["_r"] == nodes["_full"])).select(seen["node_id"], "seq", "_full")
-    row = F.row_number().over(Window.partitionBy("node_id").orderBy("seq"))
-    tail = edge.withColumn("_k", row).where(F.col("seq") == F.col("_full") * SEQ_RANGE + F.col("_k")).groupBy("node_id").agg(F.max("seq").alias("_last"))
-    return nodes.join(tail, "node_id", "left").select("node_id", F.coalesce("_last", F.col("_full") * SEQ_RANGE).alias("contiguous"))
-
-
-def gaps(events: DataFrame, cursors: DataFrame, most: int | None = None) -> DataFrame:
-    """(node_id, lo, hi): runs of absent numbers above the watermark, the first `most` of each node.
-
-    Neighbours are found within ranges; ranges are stitched by their ends.
-    """
-    after = events.select("node_id", "seq").distinct().join(cursors, "node_id").where("seq > contiguous")
-    after = after.withColumn("_r", F.floor((F.col("seq") - 1) / SEQ_RANGE))
-    inside = Window.partitionBy("node_id", "_r").orderBy("seq")
-    ends = after.groupBy("node_id", "_r").agg(F.max("seq").alias("_last"), F.first("contiguous").alias("_c"))
-    before = ends.select("node_id", "_r", F.coalesce(F.lag("_last").over(Window.partitionBy("node_id").orderBy("_r")), F.col("_c")).alias("_before"))
-    found = after.withColumn("_prev", F.lag("seq").over(inside)).join(before, ["node_id", "_r"])
-    found = found.withColumn("_prev", F.coalesce("_prev", "_before")).where("seq > _prev + 1").select("node_id", (F.col("_prev") + 1).alias("lo"), (F.col("seq") - 1).alias("hi"))
+    if missing is None:
+        seen = seen.withColumn("ok", F.lit(True))
+    else:
+        seen = seen.join(missing.select("node_id", "seq", F.lit(False).alias("ok")).distinct(), ["node_id", "seq"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
+    seen = seen.withColumn("r", F.floor((F.col("seq") - 1) / SEQ_RANGE))
+    w = Window.partitionBy("node_id", "r").orderBy("seq")
+    seen = seen.withColumns({"prev": F.lag("seq").over(w), "k": F.row_number().over(w), "bad": F.sum((~F.col("ok")).cast("int")).over(w)})
+    whole = (F.col("bad") == 0) & (F.col("seq") == F.col("r") * SEQ_RANGE + F.col("k"))
+    gap = F.when(F.col("seq") > F.col("prev") + 1, F.struct((F.col("prev") + 1).alias("lo"), (F.col("seq") - 1).alias("hi")))
+    return checkpoint(
+        seen.groupBy("node_id", "r").agg(
+            F.count_if("ok").alias("n_ok"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.coalesce(F.max(F.when(whole, F.col("seq"))), F.col("r") * SEQ_RANGE).alias("upto"), F.sort_array(F.collect_list(gap)).alias("gaps")
+        )
+    )
+
+
+def cursors_of(ledger: DataFrame) -> DataFrame:
+    """(node_id, contiguous, highest) of a `ledger`: the largest n of each node with events 1 .. n all present and complete, and the largest of all."""
+    by_range = Window.partitionBy("node_id").orderBy("r")
+    before = F.row_number().over(by_range) - 1  # full ranges from the first on have their own number
+    led = F.coalesce(F.min(((F.col("n_ok") == SEQ_RANGE) & (F.col("r") == F.col("k"))).cast("int")).over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1)) == 1
+    rows = ledger.withColumn("k", before).withColumn("reached", led & (F.col("r") == F.col("k")))
+    return rows.groupBy("node_id").agg(F.coalesce(F.max(F.when(F.col("reached"), F.col("upto"))), F.lit(0)).cast("long").alias("contiguous"), F.max("last").alias("highest"))
+
+
+def gaps_of(ledger: DataFrame, most: int | None = None) -> DataFrame:
+    """(node_id, lo, hi) of a `ledger`: runs of absent numbers below the highest, the first `most` of each node. All lie above the watermark, which stops at the first."""
+    before = F.coalesce(F.lag("last").over(Window.partitionBy("node_id").orderBy("r")), F.lit(0))
+    edge = F.when(F.col("first") > F.col("before") + 1, F.array(F.struct((F.col("before") + 1).alias("lo"), (F.col("first") - 1).alias("hi")))).otherwise(F.array())
+    found = ledger.withColumn("before", before).select("node_id", F.explode(F.concat(edge, "gaps")).alias("g")).select("node_id", "g.lo", "g.hi")
     if most is None:
         return found
     return found.withColumn("_k", F.row_number().over(Window.partitionBy("node_id").orderBy("lo"))).where(F.col("_k") <= most).drop("_k")
 
 
+def contiguous(events: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """(node_id, contiguous): the largest n of each node with events 1 .. n all present and complete."""
+    return cursors_of(ledger(events, missing)).select("node_id", "contiguous")
+
+
+def gaps(events: DataFrame, most: int | None = None) -> DataFrame:
+    """(node_id, lo, hi): runs of absent numbers, the first `most` of each node."""
+    return gaps_of(ledger(events), most)
+
+
 def acknowledgements(events: DataFrame, refs: DataFrame, blobs: DataFrame) -> DataFrame:
     """One row for each node: contiguous, highest, missing (lo, hi) and missing_blobs, as an ACK lists them."""
-    missing = missing_blobs(refs, blobs)
-    cursors = contiguous(events, missing)
-    listed = gaps(events, cursors, MAX_LISTED).groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("missing"))
+    missing = checkpoint(missing_blobs(refs, blobs))
+    known = ledger(events, missing)
+    cursors = cursors_of(known)
+    listed = gaps_of(known, MAX_LISTED).groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("missing"))
     wanted = missing.join(cursors, "node_id").where("seq > contiguous").select("node_id", "sha").distinct()
     first = F.row_number().over(Window.partitionBy("node_id").orderBy("sha"))
     wanted = wanted.withColumn("_k", first).where(F.col("_k") <= MAX_LISTED).groupBy("node_id").agg(F.sort_array(F.collect_list("sha")).alias("missing_blobs"))
-    top = events.groupBy("node_id").agg(F.max("seq").alias("highest"))
-    return cursors.join(top, "node_id").join(listed, "node_id", "left").join(wanted, "node_id", "left")
+    return cursors.join(listed, "node_id", "left").join(wanted, "node_id", "left")
 
 
 def page(rows: DataFrame, after: int, limit: int, by: str = "seq") -> DataFrame:

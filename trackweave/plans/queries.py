@@ -42,24 +42,22 @@ INBOX = A.duckdb("track_events", "received_events", "blob_refs", "blobs") + ", "
 
 
 def _inbox(spark, sf_dir):
+    """Received events, and what their ledger holds."""
     events = A.received_events(spark, sf_dir)
-    missing = ingest.missing_blobs(A.blob_refs(spark, sf_dir), A.blobs(spark, sf_dir))
-    return events, missing, ingest.contiguous(events, missing)
+    return events, ingest.ledger(events, ingest.missing_blobs(A.blob_refs(spark, sf_dir), A.blobs(spark, sf_dir)))
 
 
 @query(f"""{INBOX}, {GAPS} SELECT c.node_id, c.contiguous, (SELECT max(seq) FROM received_events e WHERE e.node_id = c.node_id) AS highest,
   (SELECT count(*) FROM gaps g WHERE g.node_id = c.node_id)::BIGINT AS gap_count FROM cursors c""")
 def source_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, _, cursors = _inbox(spark, sf_dir)
-    counts = ingest.gaps(events, cursors).groupBy("node_id").agg(F.count("*").alias("n"))
-    top = events.groupBy("node_id").agg(F.max("seq").alias("highest"))
-    return cursors.join(top, "node_id").join(counts, "node_id", "left").select("node_id", "contiguous", "highest", F.coalesce("n", F.lit(0)).alias("gap_count"))
+    _, known = _inbox(spark, sf_dir)
+    counts = ingest.gaps_of(known).groupBy("node_id").agg(F.count("*").alias("n"))
+    return ingest.cursors_of(known).join(counts, "node_id", "left").select("node_id", "contiguous", "highest", F.coalesce("n", F.lit(0)).alias("gap_count"))
 
 
 @query(f"{INBOX}, {GAPS} SELECT node_id, lo, hi FROM gaps QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY lo) <= 128")
 def source_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, _, cursors = _inbox(spark, sf_dir)
-    return ingest.gaps(events, cursors, ingest.MAX_LISTED)
+    return ingest.gaps_of(_inbox(spark, sf_dir)[1], ingest.MAX_LISTED)
 
 
 @query(f"""{INBOX}, wanted AS (SELECT DISTINCT m.node_id, m.sha FROM missing m JOIN cursors c USING (node_id) WHERE m.seq > c.contiguous)
@@ -166,14 +164,14 @@ def all_tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{COMMITTED} SELECT node_id, seq, event_id FROM committed")
 def committed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, _, cursors = _inbox(spark, sf_dir)
-    return tracklets.committed(events, cursors).select("node_id", "seq", "event_id")
+    events, known = _inbox(spark, sf_dir)
+    return tracklets.committed(events, ingest.cursors_of(known)).select("node_id", "seq", "event_id")
 
 
 @query(f"{COMMITTED}, {_segments('committed')} SELECT uid, min(event_time_ns) AS start_ns, max(event_time_ns) AS end_ns, count(*)::BIGINT AS n_events, arg_max(type, (event_time_ns, seq)) = 'end' AS closed FROM segments GROUP BY uid")
 def committed_tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, _, cursors = _inbox(spark, sf_dir)
-    found = tracklets.tracklets(tracklets.segmented(tracklets.committed(events, cursors)))
+    events, known = _inbox(spark, sf_dir)
+    found = tracklets.tracklets(tracklets.segmented(tracklets.committed(events, ingest.cursors_of(known))))
     return found.select("uid", "start_ns", "end_ns", "n_events", "closed")
 
 
@@ -216,9 +214,22 @@ def pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("left_uid", "right_uid", F.round("cost", 6).alias("cost"), F.round("d2", 6).alias("d2"), F.round("elapsed_s", 6).alias("elapsed_s"), "evidence")
 
 
-@query()
+#: Edges one after another: `taken` has those whose ends were free.
+GREEDY = """ordered AS (SELECT *, row_number() OVER (ORDER BY cost, left_uid, right_uid) AS k FROM pairs),
+  walk AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS used, []::BIGINT[] AS took UNION ALL
+    SELECT o.k, CASE WHEN list_has_any(used, [left_uid, right_uid]) THEN used ELSE list_concat(used, [left_uid, right_uid]) END, CASE WHEN list_has_any(used, [left_uid, right_uid]) THEN took ELSE list_append(took, o.k) END FROM walk w JOIN ordered o ON o.k = w.k + 1),
+  taken AS (SELECT o.* FROM ordered o CROSS JOIN (SELECT took FROM walk ORDER BY k DESC LIMIT 1) WHERE list_contains(took, o.k)),
+  mates AS (SELECT left_uid AS uid, least(left_uid, right_uid) AS g FROM taken UNION ALL SELECT right_uid, least(left_uid, right_uid) FROM taken),
+  grouped AS (SELECT latest.*, coalesce(g, latest.uid) AS g FROM latest LEFT JOIN mates ON mates.uid = latest.uid)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{_recursive(ALL)}, {PAIRS}, {GREEDY} SELECT left_uid, right_uid, round(cost, 6) AS cost FROM taken")
 def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.greedy_pairs(pairs_of(spark, all_tracklets(spark, sf_dir)))
+    return graph.greedy_pairs(pairs_of(spark, all_tracklets(spark, sf_dir))).withColumn("cost", F.round("cost", 6))
 
 
 @query()
@@ -284,14 +295,37 @@ def snapshot(spark: SparkSession, sf_dir: str, part: float = 1.0, old: DataFrame
     return identity.assign_ids(groups, none if old is None else old), found
 
 
-@query()
+@query(f"""{_recursive(ALL)}, {PAIRS}, {GREEDY} SELECT 'g-' || left(sha256(g), 20) AS global_id, CASE WHEN count(*) >= 3 THEN 'associated_group' WHEN count(*) = 2 THEN 'associated_pair' WHEN count(l) > 0 THEN 'provisional' ELSE 'unlocalized' END AS status,
+  min(start_ns) AS start_ns, max(end_ns) AS end_ns, count(DISTINCT node_id)::BIGINT AS source_count, count(*)::BIGINT AS member_count, arg_min(uid, (-l.q, l.cx + l.cy + l.cz, -l.t, uid)) FILTER (WHERE l IS NOT NULL) AS representative,
+  CASE WHEN count(DISTINCT class_id) = 1 THEN max(class_id)::VARCHAR ELSE '' END AS class_name FROM grouped GROUP BY g""")
 def global_track_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, found = snapshot(spark, sf_dir)
     rows = identity.global_tracks(members.select("uid", "global_id"), found, A.labels(spark))
     return rows.select("global_id", "status", "start_ns", "end_ns", "source_count", "member_count", "representative", "class_name")
 
 
-@query()
+def _members_of(events: str) -> str:
+    """(uid, g) of the groups of one set of events."""
+    return f"(WITH RECURSIVE {_segments(events)}, {TRACKLETS}, {PAIRS}, {GREEDY} SELECT uid, g FROM grouped)"
+
+
+#: Two snapshots: groups of the second take, in their order, the best id of the first that is still free.
+STICKY = f"""{_recursive(A.duckdb('track_events'))}, early AS (SELECT * FROM track_events WHERE event_id < (SELECT max(event_id) // 2 FROM events)),
+  before AS (SELECT uid, 'g-' || left(sha256(g), 20) AS gid FROM {_members_of('early')}), now AS (SELECT * FROM {_members_of('track_events')}),
+  shared AS (SELECT g, gid, count(*) AS n FROM now JOIN before USING (uid) GROUP BY ALL),
+  wishes AS (SELECT g, list(gid ORDER BY n DESC, gid) AS wanted, max(n) AS most FROM shared GROUP BY g),
+  sizes AS (SELECT g, count(*) AS size, list(uid ORDER BY uid) AS uids FROM now GROUP BY g),
+  queue AS (SELECT w.*, row_number() OVER (ORDER BY most DESC, size DESC, uids) AS k FROM wishes w JOIN sizes USING (g)),
+  choose AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS g, NULL::VARCHAR AS gid, []::VARCHAR[] AS used UNION ALL
+    SELECT q.k, q.g, list_filter(q.wanted, lambda x: NOT list_contains(c.used, x))[1], list_append(c.used, list_filter(q.wanted, lambda x: NOT list_contains(c.used, x))[1]) FROM choose c JOIN queue q ON q.k = c.k + 1),
+  fresh AS (SELECT s.g, arg_min(id, salt) AS gid FROM (SELECT g, salt, 'g-' || left(sha256(uids[1] || CASE WHEN salt = 0 THEN '' ELSE '#' || salt END), 20) AS id FROM sizes, range(8) r(salt)) s WHERE id NOT IN (SELECT gid FROM before) GROUP BY s.g),
+  after AS (SELECT n.uid, coalesce(c.gid, f.gid) AS gid FROM now n LEFT JOIN choose c ON c.g = n.g LEFT JOIN fresh f ON f.g = n.g)"""
+FIRST = "SELECT row_number() OVER (ORDER BY uid)::BIGINT AS revision, uid, NULL::VARCHAR AS old_global_id, gid AS new_global_id, 'new' AS reason, 1 AS world_revision FROM before"
+SECOND = """SELECT row_number() OVER (ORDER BY coalesce(b.uid, a.uid))::BIGINT AS revision, coalesce(b.uid, a.uid) AS uid, b.gid AS old_global_id, a.gid AS new_global_id,
+  CASE WHEN b.gid IS NULL THEN 'new' WHEN a.gid IS NULL THEN 'retired' ELSE 'identity_revised' END AS reason FROM before b FULL JOIN after a ON a.uid = b.uid WHERE b.gid IS DISTINCT FROM a.gid"""
+
+
+@query(f"{STICKY} {SECOND}")
 def identity_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, _ = snapshot(spark, sf_dir, 0.5)
     new, _ = snapshot(spark, sf_dir, 1.0, old.select("uid", "global_id"))
@@ -515,11 +549,11 @@ def stream_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inbox.epochs(spark, f"{at}/events", rows.schema).select("node_id", "seq", "event_id")
 
 
-@query()
+@query(f"{STICKY}, first AS ({FIRST}), second AS ({SECOND}) SELECT * FROM first UNION ALL SELECT revision + (SELECT count(*) FROM first), uid, old_global_id, new_global_id, reason, 2 FROM second")
 def world_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of two published snapshots: of the first half of the events, then of all."""
     at = checkpoints.new_folder(spark, "world")
     for part in (0.5, 1.0):
         groups, found = grouped(spark, sf_dir, part)
         world.publish(groups, found, A.labels(spark), at)
-    return world.revisions_after(spark, at, 0)
+    return world.revisions_after(spark, at, 0).withColumn("world_revision", F.col("world_revision").cast("int"))
