@@ -71,6 +71,30 @@ def test_slots_find_what_a_nested_loop_finds(spark):
     assert got == want and want
 
 
+def test_cells_and_fast_rows_lose_no_pair(spark):
+    """Places over several cells, and velocities that carry some of them across: what a nested loop finds."""
+    rng = random.Random(6)
+    form = "uid string, node_id string, class_id long, start_ns long, latest struct<event_time_ns:long,position:array<double>,covariance:array<double>,velocity:array<double>,quality:double,frame:string,map_revision:string>"
+    rows = []
+    for i in range(90):
+        v = rng.choice([None, [rng.uniform(-40, 40), 0.0, 0.0], [rng.uniform(-3000, 3000), 0.0, 0.0]])
+        x, spread = rng.uniform(-600, 600), rng.choice([1.0, 150.0])
+        rows.append((f"u{i:02d}", f"node_{i % 4}", 0, i, (10**9 + rng.randrange(10**9), [x, rng.uniform(-3, 3), 0.0], [spread, 0.0, 0.0, 0.0, spread, 0.0, 0.0, 0.0, spread], v, 0.9, adapters.FRAME, adapters.MAP)))
+    policy = associate.AssociationPolicy()
+    got = {(r["left_uid"], r["right_uid"]) for r in associate.candidate_pairs(spark.createDataFrame(rows, form), adapters.sources(spark), adapters.labels(spark), policy).collect()}
+    want = set()
+    for a, b in itertools.combinations(rows, 2):
+        (ta, pa, ca, va, *_), (tb, pb, cb, vb, *_) = a[4], b[4]
+        dt, p, q = (tb - ta) / 1e9, np.array(pa), np.array(pb)
+        p = p + np.array(va) * dt if va and dt > 0 else p
+        q = q - np.array(vb) * dt if vb and dt < 0 else q
+        reach = 30 * (abs(dt) + 0.01)
+        d2 = sum((p - q) ** 2 / (ca[0] + cb[0] + (reach / 2) ** 2))
+        if a[1] != b[1] and abs(dt) <= 0.25 and d2 <= 11.344866730144373 and np.linalg.norm(p - q) <= reach + 3.5 * max(ca[0], cb[0]) ** 0.5:
+            want.add((a[0], b[0]))
+    assert got == want and len(want) > 40
+
+
 def edges_of(spark, edges):
     return spark.createDataFrame(edges, "left_uid string, right_uid string, cost double")
 

@@ -38,7 +38,7 @@ def test_rays(spark):
     ]
     form = "struct<origin:array<double>,direction:array<double>,sigma:double,timestamp_ns:bigint>"
     df = spark.createDataFrame([(c[0], c[1]) for c in cases], f"a {form}, b {form}")
-    got = df.select(V.compare_rays(F.col("a"), F.col("b"), F.lit(0.5), 3.0, 4.0).alias("r")).select("r.*").collect()
+    got = V.compared_rays(df, "a", "b", F.lit(0.5), 3.0, 4.0, "r").select("r.*").collect()
     for r, (_, _, consistent, forward, label) in zip(got, cases, strict=True):
         assert (r["consistent"], r["forward"], r["label"]) == (consistent, forward, label)
     assert got[0]["separation_m"] == pytest.approx(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOOR_PIVOT = 1e-10
@@ -112,29 +112,37 @@ def ray(bearing: Column, least: float = 0.98, most: float = 1.02) -> Column:
     return F.when(good, F.struct(bearing["camera_position_world_m"].alias("origin"), scale(d, 1 / n).alias("direction"), sigma.alias("sigma"), bearing["timestamp_ns"].alias("timestamp_ns")))
 
 
-def compare_rays(a: Column, b: Column, clock_sigma: Column, least_degrees: float, most_sigma: float) -> Column:
-    """How two rays fit: informative, forward, separation_m, normalised, consistent and a label.
+def compared_rays(df: DataFrame, a: str, b: str, clock_sigma: Column, least_degrees: float, most_sigma: float, name: str) -> DataFrame:
+    """Adds the struct `name`: how the rays of columns a and b fit: informative, forward, separation_m, normalised, consistent and a label; null where a ray is.
 
-    Rays that are nearly parallel, or cross at a small angle, say nothing and count as consistent.
+    Rays that are nearly parallel, or cross at a small angle, say nothing and count as consistent. The steps are columns of their own, so that none is
+    worked out, or planned, more than once.
     """
-    u, v = a["direction"], b["direction"]
-    w = sub(a["origin"], b["origin"])
-    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v)))
-    angle = F.acos(F.least(F.lit(1.0), F.abs(c)))
-    det = 1 - c * c
-    du, dv = dot(u, w), dot(v, w)
-    s, t = (c * dv - du) / det, (dv - c * du) / det
-    apart = norm(sub(add(w, scale(u, s)), scale(v, t)))
-    spread = F.greatest(F.lit(1e-3), F.sqrt(clock_sigma * clock_sigma + (s * a["sigma"]) ** 2 + (t * b["sigma"]) ** 2))
-    enough = (det >= 1e-8) & (angle >= F.radians(F.lit(float(least_degrees))))
-    forward = (s > 0) & (t > 0)
-    fits = F.when(~enough, True).otherwise(forward & (apart / spread <= most_sigma))
-    return F.struct(
-        enough.alias("informative"),
-        F.when(det >= 1e-8, forward).otherwise(F.lit(False)).alias("forward"),
-        F.degrees(angle).alias("angle_deg"),
-        F.when(det >= 1e-8, apart).alias("separation_m"),
-        F.when(det >= 1e-8, apart / spread).alias("normalised"),
-        fits.alias("consistent"),
-        F.when(~enough, "weak-parallax-not-used").when(fits, "ray-consistent").otherwise("ray-geometry-contradiction").alias("label"),
+    c = lambda x: F.col(f"_ray_{x}")
+    u, v, p, q = F.col(f"{a}.direction"), F.col(f"{b}.direction"), F.col(f"{a}.origin"), F.col(f"{b}.origin")
+    flat = {f"{x}{k}": y[k] for x, y in (("u", u), ("v", v)) for k in range(3)} | {f"w{k}": p[k] - q[k] for k in range(3)} | {"clock": clock_sigma}
+    by = lambda x, y: c(f"{x}0") * c(f"{y}0") + c(f"{x}1") * c(f"{y}1") + c(f"{x}2") * c(f"{y}2")
+    stages = [
+        flat,
+        {"cos": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), by("u", "v"))), "du": by("u", "w"), "dv": by("v", "w")},
+        {"det": 1 - c("cos") * c("cos"), "angle": F.acos(F.least(F.lit(1.0), F.abs(c("cos"))))},
+        {"s": F.try_divide(c("cos") * c("dv") - c("du"), c("det")), "t": F.try_divide(c("dv") - c("cos") * c("du"), c("det"))},
+        {f"g{k}": c(f"w{k}") + c("s") * c(f"u{k}") - c("t") * c(f"v{k}") for k in range(3)},
+        {"apart": F.sqrt(by("g", "g")), "spread": F.greatest(F.lit(1e-3), F.sqrt(c("clock") * c("clock") + (c("s") * F.col(f"{a}.sigma")) ** 2 + (c("t") * F.col(f"{b}.sigma")) ** 2))},
+        {"enough": (c("det") >= 1e-8) & (c("angle") >= F.radians(F.lit(float(least_degrees)))), "forward": (c("s") > 0) & (c("t") > 0)},
+        {"fits": F.when(~c("enough"), True).otherwise(c("forward") & (c("apart") / c("spread") <= most_sigma))},
+    ]
+    kept = df.columns
+    for stage in stages:
+        df = df.withColumns({f"_ray_{k}": x for k, x in stage.items()})
+    sharp = c("det") >= 1e-8
+    told = F.struct(
+        c("enough").alias("informative"),
+        F.when(sharp, c("forward")).otherwise(F.lit(False)).alias("forward"),
+        F.degrees(c("angle")).alias("angle_deg"),
+        F.when(sharp, c("apart")).alias("separation_m"),
+        F.when(sharp, c("apart") / c("spread")).alias("normalised"),
+        c("fits").alias("consistent"),
+        F.when(~c("enough"), "weak-parallax-not-used").when(c("fits"), "ray-consistent").otherwise("ray-geometry-contradiction").alias("label"),
     )
+    return df.select(*kept, F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), told).alias(name))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .checkpoints import checkpoint
 
 #: Longest time between an observation and the ray that it is held against (fixed value).
 RAY_AGE_NS = 250_000_000
@@ -56,21 +57,48 @@ def localised(tracklets: DataFrame, sources: DataFrame, labels: DataFrame, polic
 
 
 CONTEXT = ["label", "domain", "alignment_id", "frame", "map_revision"]
+#: Rows faster than this times the policy's speed are paired without cells: their own velocity may carry them out of reach of the cells around.
+FAST = 4.0
+
+
+def _covered(low, high, width):
+    """The slots of a width that low .. high touches."""
+    return F.explode(F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long")))
+
+
+def _met(rows: DataFrame, policy: AssociationPolicy) -> DataFrame:
+    """Pairs (a_.., b_..) of rows of one context, near in time and, on the ground, not further apart than the gates can bridge.
+
+    Both gates become join keys: time is cut into slots and the ground into cells, one side is put into all that its reach touches (two or three on average) and
+    the other into its own. So pairs meet by hash, and a join of any size is split by label, context, time and place.
+    """
+    width = int(policy.max_pair_dt_s * 1e9)
+    most = policy.max_pair_dt_s + policy.clock_error_gate_s
+    reach = policy.maximum_speed_mps * (most + FAST * policy.max_pair_dt_s) + 3.5 * policy.maximum_sigma_m
+    cell = max(2 * reach, 1.0)
+    names = ("uid", "node_id", "start_ns", "clock_uncertainty_ns", "t", "p", "c", "v", "ray")
+    side = lambda x, df, *more: df.select(*CONTEXT, *[F.col(c).alias(f"{x}_{c}") for c in names], *more)
+    x, y = F.col("p")[0], F.col("p")[1]
+    rows = checkpoint(rows.withColumn("fast", F.coalesce(V.norm(F.col("v")) > FAST * policy.maximum_speed_mps, F.lit(False))))
+    around = rows.withColumn("slot", _covered(F.col("t") - width, F.col("t") + width, 4 * width))
+    placed = rows.withColumn("slot", F.floor(F.col("t") / (4 * width)).cast("long"))
+    near = around.where("NOT fast").withColumn("gx", _covered(x - reach, x + reach, cell)).withColumn("gy", _covered(y - reach, y + reach, cell))
+    own = placed.where("NOT fast").withColumns({"gx": F.floor(x / cell).cast("long"), "gy": F.floor(y / cell).cast("long")})
+    keys = [*CONTEXT, "slot"]
+    met = side("a", near, "slot", "gx", "gy").join(side("b", own, "slot", "gx", "gy"), [*keys, "gx", "gy"]).drop("gx", "gy")
+    if not rows.where("fast").isEmpty():
+        met = met.unionByName(side("a", around.where("fast"), "slot").join(side("b", placed, "slot"), keys))
+        met = met.unionByName(side("a", around.where("NOT fast"), "slot").join(side("b", placed.where("fast"), "slot"), keys))
+    return met
 
 
 def candidate_pairs(tracklets: DataFrame, sources: DataFrame, labels: DataFrame, policy: AssociationPolicy | None = None, most: int | None = None) -> DataFrame:
     """(left_uid, right_uid, cost, d2, elapsed_s, evidence) of pairs that pass all gates; left starts first.
 
-    The time gate becomes a join key: aligned time is cut into slots as wide as the gate, and one side
-    looks into its own and the neighbouring slots. So pairs meet by hash, not in a nested loop, and a
-    join of any size is split by label, context and time. `most` raises on more pairs.
+    Rows meet in slots of time and cells of the ground (`_met`), not in a nested loop. `most` raises on more pairs.
     """
     policy = policy or AssociationPolicy()
-    width = int(policy.max_pair_dt_s * 1e9)
-    rows = localised(tracklets, sources, labels, policy).withColumn("slot", F.floor(F.col("t") / width))
-    side = lambda x: rows.select(*CONTEXT, *[F.col(c).alias(f"{x}_{c}") for c in ("uid", "node_id", "start_ns", "clock_uncertainty_ns", "t", "p", "c", "v", "ray")], "slot")
-    left = side("a").withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
-    met = left.join(side("b"), [*CONTEXT, "slot"])
+    met = _met(localised(tracklets, sources, labels, policy), policy)
     first = F.struct("a_start_ns", "a_uid") < F.struct("b_start_ns", "b_uid")
     delta = (F.col("b_t") - F.col("a_t")) / 1e9
     uncertain = (F.col("a_clock_uncertainty_ns") + F.col("b_clock_uncertainty_ns")) / 1e9
@@ -88,8 +116,7 @@ def candidate_pairs(tracklets: DataFrame, sources: DataFrame, labels: DataFrame,
     largest = F.greatest(*[F.col(s)[i] for s in ("a_c", "b_c") for i in (0, 4, 8)])
     met = met.withColumns({"d2": V.mahalanobis_sq(F.col("diff"), F.col("both")), "sigma": F.sqrt(largest)})
     met = met.where((F.col("d2") <= policy.max_mahalanobis_sq) & (V.norm(F.col("diff")) <= F.col("reach") + 3.5 * F.col("sigma")))
-    compared = V.compare_rays(F.col("a_ray"), F.col("b_ray"), F.sqrt(F.col("sigma") ** 2 + F.col("reach") ** 2), policy.minimum_ray_crossing_deg, policy.maximum_ray_separation_sigma)
-    met = met.withColumn("rays", F.when(F.col("a_ray").isNotNull() & F.col("b_ray").isNotNull(), compared)).where("rays IS NULL OR rays.consistent")
+    met = V.compared_rays(met, "a_ray", "b_ray", F.sqrt(F.col("sigma") ** 2 + F.col("reach") ** 2), policy.minimum_ray_crossing_deg, policy.maximum_ray_separation_sigma, "rays").where("rays IS NULL OR rays.consistent")
     found = met.select(
         F.col("a_uid").alias("left_uid"), F.col("b_uid").alias("right_uid"), (F.col("d2") + 0.25 * F.abs("delta") / max(policy.max_pair_dt_s, 1e-6)).alias("cost"),
         "d2", F.abs("delta").alias("elapsed_s"), F.coalesce("rays.label", F.lit("position-only")).alias("evidence"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import triangles as T
+from .checkpoints import checkpoint
 from .ranking import top_k
 
 #: Limits of a query (fixed values).
@@ -28,15 +29,22 @@ def bounds(triangles: DataFrame) -> DataFrame:
     return flat.agg(*axes, F.count_distinct("entity_id").alias("entities"), F.count_if(good).alias("triangles"), F.count_if(~good).alias("degenerate"))
 
 
-def _cells(lo: str, hi: str, size: float, pad: float):
+def _cells(lo: str, hi: str, size, pad: float):
     return F.explode(F.sequence(F.floor((F.col(lo) - pad) / size).cast("long"), F.floor((F.col(hi) + pad) / size).cast("long")))
 
 
+def _levelled(area: DataFrame, size: float) -> tuple[DataFrame, list[int]]:
+    """Adds `level`: cells of level k are size * 2 ** k wide, and a triangle is put where a cell is as wide as it is, so that it touches few. And the levels in use (about as many as the extents have binary orders)."""
+    extent = F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))
+    area = area.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / size))).cast("int"))
+    return area, sorted(r["level"] for r in area.select("level").distinct().collect())
+
+
 def surface(triangles: DataFrame, points: DataFrame, radius: float = 20.0, k: int = 4, semantics: list[str] | None = None, min_up: float = -1.0) -> DataFrame:
     """The k nearest entities of each point (query_id, point) within `radius`, by (distance, entity_id).
 
     semantics: None for all, a list for those in it. min_up bounds the normal's upward part. Triangles are
-    put into all ground cells that they come near to and points into their own, so both sides
+    put into all ground cells of their own size that they come near to and points into their own cell of each size in use, so both sides
     meet by hash of the cell; the exact distance follows. Points that aren't finite have no hits.
     """
     if not 0 <= radius <= MAX_RADIUS or not 1 <= k <= MAX_K or not -1 <= min_up <= 1:
@@ -45,11 +53,14 @@ def surface(triangles: DataFrame, points: DataFrame, radius: float = 20.0, k: in
     area = mesh(triangles).where(F.col("uz") >= min_up)
     if semantics is not None:
         area = area.where(F.col("semantic").isin(*semantics) if semantics else F.lit(False))
-    placed = area.withColumn("gx", _cells("lox", "hix", size, radius)).withColumn("gy", _cells("loy", "hiy", size, radius))
+    area, levels = _levelled(area, size)
+    wide = F.pow(F.lit(2.0), F.col("level")) * size
+    placed = area.withColumn("gx", _cells("lox", "hix", wide, radius)).withColumn("gy", _cells("loy", "hiy", wide, radius))
     asked = points.select("query_id", *[F.col("point")[i].alias(f"p{c}") for i, c in enumerate("xyz")]).where("abs(px) < 1e15 AND abs(py) < 1e15 AND abs(pz) < 1e15")
-    asked = asked.withColumns({"gx": F.floor(F.col("px") / size).cast("long"), "gy": F.floor(F.col("py") / size).cast("long")})
+    asked = asked.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    asked = asked.withColumns({"gx": F.floor(F.col("px") / wide).cast("long"), "gy": F.floor(F.col("py") / wide).cast("long")})
     apart = [F.greatest(F.col(f"lo{c}") - F.col(f"p{c}"), F.lit(0.0), F.col(f"p{c}") - F.col(f"hi{c}")) for c in "xyz"]
-    near = placed.join(asked, ["gx", "gy"]).where(sum((d * d for d in apart[1:]), apart[0] * apart[0]) <= radius * radius)
+    near = placed.join(asked, ["level", "gx", "gy"]).where(sum((d * d for d in apart[1:]), apart[0] * apart[0]) <= radius * radius)
     hit = T.staged(near, T.CLOSEST)
     seen = F.struct("distance", "triangle_id", "semantic", "kx", "ky", "kz", "ux", "uy", "uz")
     best = hit.groupBy("query_id", "entity_id").agg(F.min_by(seen, F.struct("distance", "triangle_id")).alias("h"))
@@ -63,24 +74,28 @@ def surface(triangles: DataFrame, points: DataFrame, radius: float = 20.0, k: in
 def raycast(triangles: DataFrame, rays: DataFrame, limit: float | None = 500.0, cell: float = 16.0) -> DataFrame:
     """The first hit of each ray (query_id, origin, direction[, reach]), by (distance, entity_id, triangle_id).
 
-    Directions are normalised; a zero one is an error. A ray is cut into steps of a cell, each in the
+    `limit` must be 1e-6 to MAX_LENGTH. Directions are normalised; a zero one is an error. For each size of cells in use a ray is cut into steps of a cell, each in the
     ground cells of its own bounds, and meets there the triangles of these cells; the exact test follows. `reach`, a column,
     stands for `limit` where it is given.
     """
+    if limit is not None and not 1e-6 <= limit <= MAX_LENGTH:
+        raise ValueError("limit out of range")
     n = F.sqrt(sum((F.col("direction")[i] ** 2 for i in (1, 2)), F.col("direction")[0] ** 2))
     flat = rays.withColumn("_n", F.when(n > 0, n).otherwise(F.raise_error(F.lit("a ray needs a direction")).cast("double")))
     flat = flat.select("query_id", *[F.col("origin")[i].alias(f"o{c}") for i, c in enumerate("xyz")], *[(F.col("direction")[i] / F.col("_n")).alias(f"d{c}") for i, c in enumerate("xyz")], (F.col("reach") if "reach" in rays.columns else F.lit(limit)).alias("reach"))
-    area = mesh(triangles)
-    placed = area.withColumn("gx", _cells("lox", "hix", cell, 1e-6)).withColumn("gy", _cells("loy", "hiy", cell, 1e-6))
+    area, levels = _levelled(mesh(triangles), cell)
+    wide = F.pow(F.lit(2.0), F.col("level")) * cell
+    placed = area.withColumn("gx", _cells("lox", "hix", wide, 1e-6)).withColumn("gy", _cells("loy", "hiy", wide, 1e-6))
     # Steps are as long as a cell on the ground; an upright ray has one.
-    steps = F.ceil(F.greatest(F.abs("dx"), F.abs("dy")) * F.col("reach") / cell)
+    steps = F.ceil(F.greatest(F.abs("dx"), F.abs("dy")) * F.col("reach") / wide)
+    flat = flat.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
     parts = flat.where("reach > 0").withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(steps - 1, F.lit(0)))))
     width = F.greatest(steps, F.lit(1))
     at = lambda c, k: F.col(f"o{c}") + F.col(f"d{c}") * F.col("reach") * k / width
     for c in "xy":
         parts = parts.withColumns({f"s{c}": F.least(at(c, F.col("step")), at(c, F.col("step") + 1)), f"t{c}": F.greatest(at(c, F.col("step")), at(c, F.col("step") + 1))})
-    parts = parts.withColumn("gx", _cells("sx", "tx", cell, 0.0)).withColumn("gy", _cells("sy", "ty", cell, 0.0))
-    near = placed.join(parts.drop("sx", "sy", "tx", "ty", "step").distinct(), ["gx", "gy"])
+    parts = parts.withColumn("gx", _cells("sx", "tx", wide, 0.0)).withColumn("gy", _cells("sy", "ty", wide, 0.0))
+    near = placed.join(parts.drop("sx", "sy", "tx", "ty", "step").distinct(), ["level", "gx", "gy"])
     hit = T.staged(near, T.RAY).where((F.col("u") > 1e-6) & (F.col("u") <= F.col("reach")))
     seen = F.struct(F.col("u").alias("distance"), "entity_id", "triangle_id", "semantic", "ux", "uy", "uz", *[(F.col(f"o{c}") + F.col("u") * F.col(f"d{c}")).alias(f"k{c}") for c in "xyz"])
     best = hit.groupBy("query_id").agg(F.min_by(seen, F.struct("u", "entity_id", "triangle_id")).alias("h")).select("query_id", "h.*")
@@ -91,16 +106,19 @@ def visibility(triangles: DataFrame, lines: DataFrame, margin: float | None = No
     """Whether something stands between origin and target of each row: occluded, else unknown with confidence 0.
 
     The last `margin` metres don't count (the lesser of 0.05 and the distance by default). Nothing in
-    the way is no proof of sight, so there is no "visible".
+    the way is no proof of sight, so there is no "visible". Lines shorter than 1e-6 or longer than MAX_LENGTH metres, or shorter than the margin, come back as rejected.
     """
+    if margin is not None and not 0 <= margin <= MAX_LENGTH:
+        raise ValueError("margin out of range")
     away = F.zip_with("target", "origin", lambda t, o: t - o)
     length = F.sqrt(F.col("direction")[0] ** 2 + F.col("direction")[1] ** 2 + F.col("direction")[2] ** 2)
-    rows = lines.withColumn("direction", away).withColumn("length", length).where(F.col("length").between(1e-6, MAX_LENGTH))
+    rows = lines.withColumn("direction", away).withColumn("length", length)
     keep = F.least(F.lit(0.05), F.col("length")) if margin is None else F.lit(float(margin))
-    rows = rows.withColumn("reach", F.col("length") - keep - 1e-6)
-    hits = raycast(triangles, rows.select("query_id", "origin", "direction", "reach")).select("query_id", "entity_id", "distance")
+    fine = F.coalesce((F.col("length") > 1e-6) & (F.col("length") <= MAX_LENGTH) & (keep <= F.col("length")), F.lit(False))
+    rows = checkpoint(rows.withColumns({"fine": fine, "reach": F.greatest(F.lit(0.0), F.col("length") - keep - 1e-6)}))
+    hits = raycast(triangles, rows.where("fine").select("query_id", "origin", "direction", "reach")).select("query_id", "entity_id", "distance")
     met = rows.join(hits, "query_id", "left")
-    status = F.when(F.col("entity_id").isNotNull(), "occluded").otherwise("unknown")
+    status = F.when(~F.col("fine"), "rejected").when(F.col("entity_id").isNotNull(), "occluded").otherwise("unknown")
     return met.select("query_id", status.alias("status"), "entity_id", "distance")
 
 
@@ -113,3 +131,36 @@ def envelope(results: DataFrame, manifest: DataFrame, query_time: float) -> Data
 def unsupported(queries: DataFrame) -> DataFrame:
     """Answers to the operations that the map holds no data for."""
     return queries.where(F.col("op").isin(*UNKNOWN)).select("query_id", "op", F.lit("unknown").alias("status"), F.lit(0.0).alias("confidence"), F.lit("source_data_unavailable").alias("reason"))
+
+
+# --- query rows --------------------------------------------------------------------------------------
+
+#: Arguments of a query row: operation, those that must be finite numbers with their range and default, and those that must be vectors.
+ARGUMENTS = {
+    "surface": ({"radius_m": (0.0, MAX_RADIUS, 20.0), "max_candidates": (1, MAX_K, 4), "min_normal_up": (-1.0, 1.0, -1.0)}, ("point",)),
+    "raycast": ({"max_distance_m": (1e-6, MAX_LENGTH, 500.0)}, ("origin", "direction")),
+    "visibility": ({"target_margin_m": (0.0, MAX_LENGTH, 0.0)}, ("origin", "target")),
+}
+
+
+def query_errors(queries: DataFrame, map_revision: str) -> DataFrame:
+    """Adds `error` to query rows (op, map_revision, coordinate_frame, and the columns of ARGUMENTS): the first fault, or null.
+
+    A row of another map's revision is a revision_conflict, which a caller may repeat; anything else is a bad argument, by its name. Absent numbers have defaults; vectors
+    must have three finite numbers, directions and lines a length.
+    """
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rules = [("op", F.coalesce(F.col("op").isin(*ARGUMENTS, *UNKNOWN), F.lit(False))), ("revision_conflict", F.col("map_revision") == map_revision), ("coordinate_frame", F.col("coordinate_frame") == "local_ENU")]
+    for op, (numbers, vectors) in ARGUMENTS.items():
+        mine = F.col("op") == op
+        for name in vectors:
+            sound = F.coalesce((F.size(name) == 3) & F.forall(name, finite), F.lit(False))
+            rules.append((name, ~mine | sound))
+        for name, (low, high, default) in numbers.items():
+            value = F.coalesce(F.col(name), F.lit(default))
+            rules.append((name, ~mine | (finite(value) & value.between(low, high))))
+    long = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    away = F.zip_with("target", "origin", lambda t, o: t - o)
+    rules += [("direction", (F.col("op") != "raycast") | (long(F.col("direction")) > 0)), ("target", (F.col("op") != "visibility") | ((long(away) > 1e-6) & (long(away) <= MAX_LENGTH)))]
+    rules.append(("target_margin_m", (F.col("op") != "visibility") | (F.coalesce("target_margin_m", F.lit(0.0)) <= long(away))))
+    return queries.withColumn("error", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]))

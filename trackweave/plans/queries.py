@@ -381,8 +381,7 @@ def ci_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ray_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = A.bearings(spark, sf_dir)
     rows = b.select("vec_id", F.col("ray").alias("a")).join(b.select((F.col("vec_id") - 1).alias("vec_id"), F.col("ray").alias("b")), "vec_id")
-    r = V.compare_rays(F.col("a"), F.col("b"), F.lit(0.5), 3.0, 4.0)
-    return rows.select("vec_id", r.alias("r")).select("vec_id", F.round("r.angle_deg", 6).alias("angle_deg"), F.round("r.separation_m", 6).alias("separation_m"), "r.forward", F.col("r.label").alias("evidence"))
+    return V.compared_rays(rows, "a", "b", F.lit(0.5), 3.0, 4.0, "r").select("vec_id", F.round("r.angle_deg", 6).alias("angle_deg"), F.round("r.separation_m", 6).alias("separation_m"), "r.forward", F.col("r.label").alias("evidence"))
 
 
 def _window_rows(spark, sf_dir):
@@ -479,6 +478,17 @@ def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meshmap.visibility(A.triangles(spark, sf_dir), lines).select("query_id", "status", F.round("distance", 6).alias("distance"))
 
 
+@query(f"""{TRI}, hits AS (SELECT query_id, u FROM {_duck(triangles.RAY, LINES)} WHERE u > 1e-6 AND u <= reach),
+  told AS (SELECT p.query_id, CASE WHEN min(u) IS NULL THEN 'unknown' ELSE 'occluded' END AS status FROM points p LEFT JOIN hits USING (query_id) GROUP BY p.query_id)
+  SELECT query_id, status, 'map-1' AS map_revision, 'local_ENU' AS coordinate_frame, 7.5::DOUBLE AS query_time, CASE WHEN status = 'unknown' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM told""")
+def answer_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visibility answers as they are sent: with the map's revision, frame and confidence, 0 where nothing is known."""
+    lines = A.points(spark, sf_dir).selectExpr("query_id", "array(point[0], point[1], 30.0D) AS origin", "array(point[0] + 8.0D, point[1] + 4.0D, 3.0D) AS target")
+    manifest = spark.createDataFrame([(A.MAP, "local_ENU", 0.5)], "map_revision string, coordinate_frame string, confidence double")
+    told = meshmap.envelope(meshmap.visibility(A.triangles(spark, sf_dir), lines), manifest, 7.5)
+    return told.select("query_id", "status", "map_revision", "coordinate_frame", "query_time", "confidence")
+
+
 @query(f"""{A.duckdb('triangles')} SELECT min(least(ax, bx, cx)) AS min_x, max(greatest(ax, bx, cx)) AS max_x, min(least(ay, b_y, cy)) AS min_y, max(greatest(ay, b_y, cy)) AS max_y, min(least(az, bz, cz)) AS min_z,
   max(greatest(az, bz, cz)) AS max_z, count(DISTINCT entity_id) AS entities, count(*) FILTER (WHERE nl > 1e-10) AS triangles, count(*) FILTER (WHERE NOT nl > 1e-10) AS degenerate FROM {_duck(triangles.NORMAL, 'triangles')}""")
 def mesh_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -513,6 +523,20 @@ def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("p_partkey", "level", F.explode(tiles).alias("t")).select("p_partkey", "level", "t.x", "t.y")
 
 
+@query("""SELECT p_partkey AS query_id, CASE WHEN p_partkey % 13 = 3 THEN 'revision_conflict' WHEN p_partkey % 17 = 4 THEN 'coordinate_frame' WHEN p_partkey % 3 = 0 AND p_partkey % 7 = 2 THEN 'point' WHEN p_partkey % 3 = 0 AND p_partkey % 11 = 5 THEN 'radius_m'
+    WHEN p_partkey % 3 = 0 AND p_partkey % 19 = 6 THEN 'max_candidates' WHEN p_partkey % 3 = 1 AND p_partkey % 11 = 5 THEN 'max_distance_m' WHEN p_partkey % 3 = 1 AND p_partkey % 7 = 2 THEN 'direction' WHEN p_partkey % 3 = 2 AND p_partkey % 7 = 2 THEN 'target' END AS error FROM part""")
+def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query rows of three operations, some of them wrong in one way each."""
+    k = "p_partkey"
+    rows = A.table(spark, sf_dir, "part").selectExpr(
+        f"{k} AS query_id", f"element_at(array('surface', 'raycast', 'visibility'), cast({k} % 3 AS int) + 1) AS op", f"CASE WHEN {k} % 13 = 3 THEN 'old' ELSE 'now' END AS map_revision", f"CASE WHEN {k} % 17 = 4 THEN 'ecef' ELSE 'local_ENU' END AS coordinate_frame",
+        f"CASE WHEN {k} % 7 = 2 THEN array(1.0D, double('NaN'), 2.0D) ELSE array(1.0D, 2.0D, 3.0D) END AS point", f"CASE WHEN {k} % 11 = 5 THEN 1000.5D END AS radius_m", f"CASE WHEN {k} % 19 = 6 THEN 33 ELSE 4 END AS max_candidates", "cast(NULL AS double) AS min_normal_up",
+        "array(0.0D, 0.0D, 9.0D) AS origin", f"CASE WHEN {k} % 7 = 2 THEN array(0.0D, 0.0D, 0.0D) ELSE array(0.0D, 0.0D, -1.0D) END AS direction", f"CASE WHEN {k} % 11 = 5 THEN 0.0D END AS max_distance_m",
+        f"CASE WHEN {k} % 7 = 2 THEN array(0.0D, 0.0D, 90000.0D) ELSE array(0.0D, 0.0D, 1.0D) END AS target", "cast(NULL AS double) AS target_margin_m",
+    )
+    return meshmap.query_errors(rows, "now").select("query_id", "error")
+
+
 @query("SELECT p_partkey AS query_id, (['occupancy', 'esdf', 'reachability', 'road_topology'])[(p_partkey % 5 + 1)::INT] AS op, 'unknown' AS status, 0.0::DOUBLE AS confidence, 'source_data_unavailable' AS reason FROM part WHERE p_partkey % 5 < 4")
 def unsupported_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = A.table(spark, sf_dir, "part").selectExpr("p_partkey AS query_id", "element_at(array('occupancy', 'esdf', 'reachability', 'road_topology', 'surface'), cast(p_partkey % 5 AS int) + 1) AS op")
