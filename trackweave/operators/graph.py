@@ -343,6 +343,7 @@ def exact_pairs(edges: DataFrame, most_nodes: int = 26) -> DataFrame:
     Components of up to `most_nodes` nodes are solved by a search over subsets, which grows with 2 ** nodes, larger
     ones by the blossom method. Both are exact. A component is one task.
     """
+    edges = checkpoint(edges.select("left_uid", "right_uid", "cost"))
     label = components(edges)
     total = int(label.count() // 2)
     placed = edges.join(label.withColumnRenamed("uid", "left_uid"), "left_uid")
@@ -376,6 +377,7 @@ def clique_groups(edges: DataFrame, nodes: DataFrame, most: int = 4) -> DataFram
     """
     if not 2 <= most <= 8:
         raise ValueError("most must be 2 to 8")
+    edges = checkpoint(edges.select("left_uid", "right_uid", "cost"))
     label = components(edges)
     sensor = nodes.select("uid", "node_id")
     placed = edges.join(label.withColumnRenamed("uid", "left_uid"), "left_uid")
@@ -395,7 +397,7 @@ def clique_groups(edges: DataFrame, nodes: DataFrame, most: int = 4) -> DataFram
                 of.update(dict.fromkeys(both, both))
         return pd.DataFrame([(u, g[0]) for u, g in of.items()], columns=["uid", "group_id"])
 
-    grouped = placed.groupBy("component").applyInPandas(solve, "uid string, group_id string")
+    grouped = checkpoint(placed.groupBy("component").applyInPandas(solve, "uid string, group_id string"))
     alone = sensor.join(grouped, "uid", "left_anti").select("uid", F.col("uid").alias("group_id"))
     return grouped.unionByName(alone)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .checkpoints import checkpoint
 from .policies import in_range, known_keys, number, truth
 
 
@@ -265,8 +266,8 @@ def window_estimates(rows: DataFrame, policy: WindowPolicy | None = None) -> Dat
     gate = next((reason for ok, reason in constant if not ok), None)
     members = rows.groupBy("group_id", "uid").agg(*[F.first(c).alias(c) for c in ("node_id", *CONTEXT, "clock_uncertainty_ns")])
     groups = member_faults(members, policy)
-    found = factors(rows, policy)
-    use = chosen(found, policy)
+    found = checkpoint(factors(rows, policy))
+    use = checkpoint(chosen(found, policy))
     counts = use.groupBy("group_id").agg(F.count_if(F.col("kind") == "ray").alias("n_rays"), F.count_if(F.col("kind") == "place").alias("n_places"))
     groups = groups.join(found.select("group_id").distinct().withColumn("any", F.lit(True)), "group_id", "left").join(counts, "group_id", "left")
     n_rays, n_places = F.coalesce("n_rays", F.lit(0)), F.coalesce("n_places", F.lit(0))

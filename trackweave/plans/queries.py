@@ -245,7 +245,18 @@ def edge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(pairs_of(spark, all_tracklets(spark, sf_dir)))
 
 
-@query()
+#: Edges one after another: two groups become one if all their pairs are edges, no sensor comes twice and at most four are in it.
+CLIQUES = """ordered AS (SELECT *, row_number() OVER (ORDER BY cost, left_uid, right_uid) AS k FROM pairs),
+  known AS (SELECT list(left_uid || '|' || right_uid) || list(right_uid || '|' || left_uid) AS keys FROM pairs),
+  merged AS (SELECT 0::BIGINT AS k, []::VARCHAR[][] AS groups UNION ALL
+    SELECT k, CASE WHEN a <> b AND len(a) + len(b) <= 4 AND len(list_distinct(list_transform(a || b, lambda x: json_extract_string(x, '$[0]')))) = len(a) + len(b)
+        AND list_has_all(keys, flatten(list_transform(a, lambda x: list_transform(b, lambda y: x || '|' || y)))) THEN list_append(list_filter(groups, lambda g: g <> a AND g <> b), list_sort(a || b)) ELSE groups END
+    FROM (SELECT o.k, m.groups, keys, coalesce(list_filter(m.groups, lambda g: list_contains(g, o.left_uid))[1], [o.left_uid]) AS a, coalesce(list_filter(m.groups, lambda g: list_contains(g, o.right_uid))[1], [o.right_uid]) AS b
+      FROM merged m JOIN ordered o ON o.k = m.k + 1 CROSS JOIN known)),
+  cliques AS (SELECT unnest(g) AS uid, g[1] AS group_id FROM (SELECT unnest(groups) AS g FROM (SELECT groups FROM merged ORDER BY k DESC LIMIT 1)))"""
+
+
+@query(f"{_recursive(ALL)}, {PAIRS}, {CLIQUES} SELECT l.uid, coalesce(group_id, l.uid) AS group_id FROM latest l LEFT JOIN cliques c ON c.uid = l.uid")
 def clique_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = all_tracklets(spark, sf_dir)
     return graph.clique_groups(pairs_of(spark, found), found)
