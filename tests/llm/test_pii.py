@@ -77,3 +77,18 @@ def test_rows(spark, docs, nothing):
     assert [r["text"] for r in pseudonymise(made, b"k", back=True).collect()] == [r[1] for r in rows]
     assert pseudonymise(nothing, b"k").collect() == []
     assert pseudonymise(docs, b"k").count() == docs.count()
+
+
+def test_numbers_of_other_countries_keep_the_country():
+    made = Pseudonyms(b"k")
+    for text in ("call +44 20 7946 0958 now", "call +49 (30) 901820 12 now", "+33 1 23 45 67 89"):
+        new, found = made.replace(text)
+        assert [k for k, *_ in found] == ["phone"] and new != text and new[: text.index("+") + 3] == text[: text.index("+") + 3]
+        assert [c.isdigit() for c in new] == [c.isdigit() for c in text] and made.replace(new, back=True)[0] == text
+    assert made.replace("+44 12 34")[1] == []
+
+
+def test_long_runs_take_linear_time():
+    made = Pseudonyms(b"k")
+    for text in ("a%" * 200_000, "a.b-" * 100_000 + "@", "+1 (" * 100_000, "1 " * 200_000):
+        assert made.replace(text) == (text, [])

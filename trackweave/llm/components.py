@@ -14,6 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds, each an aggregation and a join, so a
     node with very many neighbours is never gathered in one row. Rounds stop
     when the edges no longer change; what they are is written to the checkpoint folder.
+
+    Edges with a null end and loops are left out, and so are their nodes if they have no other; repeated edges count once; no edges give no rows; other columns are ignored.
     """
     now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None

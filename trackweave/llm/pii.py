@@ -86,7 +86,7 @@ class Pseudonyms:
         r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
         r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
         r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\7\d{4}\7\d{4}(?:\7\d{3})?|\d{4}([ -])\d{6}\8\d{5})(?!\w))"
-        r"|(?P<phone>(?<![\w+])(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?!1[ .(-])\d{1,3}(?:[ .-]\(?\d{1,5}\)?){2,5})(?!\w))"
+        r"|(?P<phone>(?<![\w+])(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?!1[ .(-])\d{1,3}(?:[ .-]\(?\d{1,8}\)?){2,5})(?!\w))"
     )
     NEED = re.compile(r"[0-9@]")
 
