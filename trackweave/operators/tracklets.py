@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,6 +34,11 @@ def segmented(events: DataFrame) -> DataFrame:
     return runs.withColumn("uid", uid).drop("_open", "_run")
 
 
+def uid_part(uid: Column, part: int) -> Column:
+    """One part of a tracklet's uid, as text: 0 node, 1 camera, 2 session, 3 local id, 4 first seq; null for what is no uid."""
+    return F.get_json_object(uid, f"$[{part}]")
+
+
 def tracklets(events: DataFrame) -> DataFrame:
     """One row for each tracklet of `segmented` events.
 

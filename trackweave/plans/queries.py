@@ -113,6 +113,14 @@ def replay_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.classify(rows.where("id >= 9000 OR id % 2 = 0"), stored).select("batch_id", "node_id", "seq", "status")
 
 
+@query("""WITH f AS (SELECT event_id, 'blob-' || (event_id // 3) AS c, event_id % 7 = 3 AS wrong FROM events) SELECT DISTINCT sha256(c) AS sha, octet_length(encode(c))::BIGINT AS size, 'image/png' AS mime FROM f WHERE NOT wrong""")
+def stored_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs put under the hash of their contents, repeats and wrong hashes among them."""
+    files = A.table(spark, sf_dir, "events").selectExpr("concat('blob-', floor(event_id / 3)) AS c", "event_id % 7 = 3 AS wrong")
+    files = files.selectExpr("CASE WHEN wrong THEN sha2('other', 256) ELSE sha2(c, 256) END AS sha", "'image/png' AS mime", "encode(c, 'UTF-8') AS contents")
+    return ingest.valid_blobs(files).select("sha", "size", "mime")
+
+
 @query(f"{A.duckdb('track_events', 'received_events')} SELECT event_id, seq FROM received_events WHERE node_id = 'node_1' AND seq > 20 ORDER BY seq LIMIT 100")
 def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.page(A.received_events(spark, sf_dir).where("node_id = 'node_1'"), 20, 100).select("event_id", "seq")
@@ -181,6 +189,20 @@ def tracklet_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("uid", "start_ns", "end_ns", "n_events", "closed", "class_id", F.col("latest.event_time_ns").alias("latest_ns"), F.col("latest.seq").alias("latest_seq"), F.round(F.col("latest.position")[0], 6).alias("latest_x"))
 
 
+@query(f"{ALL} SELECT uid, json_extract_string(uid, '$[0]') AS node_id, json_extract_string(uid, '$[4]') AS first_seq FROM latest")
+def uid_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracklet uids read back: the sensor and the first number."""
+    u = F.col("uid")
+    return all_tracklets(spark, sf_dir).select("uid", tracklets.uid_part(u, 0).alias("node_id"), tracklets.uid_part(u, 4).alias("first_seq"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 201 - 100 >= 0 THEN 2 * (p_partkey % 201 - 100) ELSE -2 * (p_partkey % 201 - 100) - 1 END AS zigzag, round_even((p_partkey % 9) / 8.0::DOUBLE * 32767, 0)::INT AS quantised FROM part""")
+def tile_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as terrain tiles write them: zigzag steps, and places along a side rounded half to even."""
+    rows = A.table(spark, sf_dir, "part").selectExpr("p_partkey", "cast(p_partkey % 201 - 100 AS int) AS z", "cast(p_partkey % 9 AS double) AS x")
+    return rows.select("p_partkey", geodesy.zigzag(F.col("z")).cast("long").alias("zigzag"), geodesy.quantised(F.col("x"), F.lit(0.0), F.lit(8.0)).alias("quantised"))
+
+
 @query(f"{A.duckdb('track_events')}, {_segments('track_events')} SELECT uid, count(*)::BIGINT AS n, min(seq) AS least, string_agg(seq::VARCHAR, ',' ORDER BY event_time_ns, seq) AS seqs FROM segments GROUP BY uid")
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tracklets.observations(tracklets.segmented(A.track_events(spark, sf_dir)))
