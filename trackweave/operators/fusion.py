@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .checkpoints import checkpoint
 from .policies import in_range, known_keys
 
 
@@ -216,7 +217,8 @@ def fuse_groups(rows: DataFrame, policy: FusionPolicy | None = None) -> DataFram
     """One row for each group: accepted, reason, epoch, mean and covariance (null unless accepted), weights and residuals by member, how rays fit, and the context.
 
     rows: `group_inputs`; `ray` may be left out. Estimates of unknown correlation are intersected in
-    order of uid at the members' median time; rays can only veto. Groups are small (a group has a sensor once), so each is one call.
+    order of uid at the members' median time; rays can only veto. Groups are small (a group has a sensor once), so each is one call; those with too few members are
+    refused without one.
     """
     policy = policy or FusionPolicy()
     names = ["group_id", "accepted", "reason", "epoch_ns", "mean", "covariance", "n_sources", "weights", "residual_d2", "bearing_count", "bearing_residual_max", "contradicting", "domain", "alignment_id", "frame", "map_revision"]
@@ -231,4 +233,8 @@ def fuse_groups(rows: DataFrame, policy: FusionPolicy | None = None) -> DataFram
             row |= {"domain": first["domain"], "alignment_id": first["alignment_id"], "frame": first["s_frame"], "map_revision": first["s_map"]}
         return pd.DataFrame([[row.get(n) for n in names]], columns=names).astype({"epoch_ns": "Int64", "bearing_count": "Int64"})
 
-    return rows.groupBy("group_id").applyInPandas(run, RESULT)
+    rows = checkpoint(rows)
+    counts = rows.groupBy("group_id").agg(F.count("*").cast("int").alias("n_sources"))
+    enough = rows.join(counts.where(F.col("n_sources") >= policy.min_position_sources).select("group_id"), "group_id", "left_semi")
+    few = counts.where(F.col("n_sources") < policy.min_position_sources).select("group_id", F.lit(False).alias("accepted"), F.lit("not_enough_verified_position_sources").alias("reason"), "n_sources")
+    return enough.groupBy("group_id").applyInPandas(run, RESULT).unionByName(few, allowMissingColumns=True)

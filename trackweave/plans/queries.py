@@ -438,11 +438,48 @@ def position_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_ls.anchors(rows, "group_id").select("group_id", "event_id")
 
 
-@query()
+#: One covariance intersection of (m, c), a mean and diagonal covariance, with a member's (p, v), by stages.
+INTERSECT = [
+    [(f"r{k}", f"v{k} / c{k} - 1") for k in "xyz"],
+    [("e1", "rx + ry + rz"), ("e2", "rx * ry + rx * rz + ry * rz"), ("e3", "rx * ry * rz")],
+    [("s0", "-(2 * e2 + CASE WHEN e2 >= 0 THEN 1 ELSE -1 END * sqrt(greatest(4 * e2 * e2 - 12 * e3 * e1, 0))) / 2")],
+    [("w", "CASE WHEN e1 <= 1e-12 THEN 0.0::DOUBLE WHEN e1 + 2 * e2 + 3 * e3 >= 0 THEN 1.0::DOUBLE WHEN e3 <> 0 AND s0 / (3 * e3) > 0 AND s0 / (3 * e3) < 1 THEN s0 / (3 * e3) ELSE e1 / s0 END")],
+    [(f"d{k}", f"1 / (w / c{k} + (1 - w) / v{k})") for k in "xyz"],
+]
+
+
+def _intersected(source: str) -> str:
+    for stage in INTERSECT:
+        source = f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in stage)} FROM {source})"
+    return source
+
+
+CI_GROUPS = f"""{_recursive(A.duckdb('track_events'))}, {_segments('track_events')}, {TRACKLETS.replace("'q': quality}", "'q': quality, 'eid': event_id}")}, {PAIRS}, {CLIQUES},
+  members AS (SELECT coalesce(c.group_id, l.uid) AS g, l.uid, l.l FROM latest l LEFT JOIN cliques c ON c.uid = l.uid),
+  timed AS (SELECT g, count(*) AS n, list_sort(list(l.t)) AS ts FROM members GROUP BY g),
+  epochs AS (SELECT g, n, (ts[(n - 1) // 2 + 1] + ts[n // 2 + 1]) // 2 AS epoch FROM timed WHERE n >= 2),
+  sized AS (SELECT m.g, e.epoch, row_number() OVER (PARTITION BY m.g ORDER BY uid) AS i, e.n, l.x AS px, l.y AS py, l.z AS pz, l.cx AS kx, l.cy AS ky, l.cz AS kz, l.eid AS eid, abs(e.epoch - l.t) / 1e9 AS dt FROM members m JOIN epochs e USING (g)),
+  inputs AS (SELECT *, kx + (30 * (dt + 0.005)) ** 2 AS vx, ky + (30 * (dt + 0.005)) ** 2 AS vy, kz + (30 * (dt + 0.005)) ** 2 AS vz FROM sized),
+  fused AS (SELECT g, i, px AS mx, py AS my, pz AS mz, vx AS cx, vy AS cy, vz AS cz FROM inputs WHERE i = 1 UNION ALL
+    SELECT g, i, dx * (w * mx / cx + (1 - w) * px / vx), dy * (w * my / cy + (1 - w) * py / vy), dz * (w * mz / cz + (1 - w) * pz / vz), dx, dy, dz
+    FROM {_intersected("(SELECT f.g, q.i, f.mx, f.my, f.mz, f.cx, f.cy, f.cz, q.px, q.py, q.pz, q.vx, q.vy, q.vz FROM fused f JOIN inputs q ON q.g = f.g AND q.i = f.i + 1)")}),
+  results AS (SELECT f.* FROM fused f JOIN epochs e ON e.g = f.g AND e.n = f.i),
+  looked AS (SELECT q.*, r.mx, r.my, r.mz, r.cx, r.cy, r.cz, (r.mx - px) ** 2 / vx + (r.my - py) ** 2 / vy + (r.mz - pz) ** 2 / vz AS d2, CASE WHEN eid % 3 = 0 AND eid % 4 <> 1 THEN (r.mx - px + 20) * CASE WHEN eid % 2 = 0 THEN -1 ELSE 1 END END AS reach FROM inputs q JOIN results r USING (g)),
+  judged AS (SELECT *, CASE WHEN reach > 0.05 THEN sqrt((my - py) ** 2 + (mz - pz) ** 2) / sqrt(greatest(cx, cy, cz) + (reach * 0.01) ** 2 + (30 * (dt + 0.005)) ** 2) END AS miss FROM looked),
+  told AS (SELECT g, any_value(epoch) AS epoch, any_value(mx) AS mx, any_value(my) AS my, any_value(cx) AS cx, max(dt) AS late, max(d2) AS worst, count(miss) AS bearings, coalesce(bool_or(reach <= 0.05 OR miss > 4), FALSE) AS against FROM judged GROUP BY g),
+  said AS (SELECT DISTINCT m.g, t.* EXCLUDE (g), CASE WHEN t.g IS NULL THEN 'not_enough_verified_position_sources' WHEN late > 0.25 THEN 'time_extrapolation_limit' WHEN worst > 25 THEN 'position_residual_exceeds_gate' WHEN against THEN 'bearing_geometry_contradiction' ELSE 'ci_position_only' END AS reason FROM members m LEFT JOIN told t ON t.g = m.g)
+  SELECT g AS group_id, reason = 'ci_position_only' AS accepted, reason, epoch AS epoch_ns, CASE WHEN reason = 'ci_position_only' THEN round(mx, 5) END AS x, CASE WHEN reason = 'ci_position_only' THEN round(my, 5) END AS y,
+    CASE WHEN reason = 'ci_position_only' THEN round(cx, 5) END AS cov_x, CASE WHEN reason IN ('ci_position_only', 'bearing_geometry_contradiction') THEN bearings END AS bearing_count FROM said"""
+
+
+@query(CI_GROUPS)
 def ci_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of cliques whose sensors look along their bearings, some of which contradict."""
     found = tracklets.tracklets(tracklets.segmented(A.bearing_events(spark, sf_dir)))
     members = graph.clique_groups(pairs_of(spark, found), found)
-    return fusion.fuse_groups(fusion.group_inputs(members, found, A.sources(spark), A.labels(spark)))
+    fused = fusion.fuse_groups(fusion.group_inputs(members, found, A.sources(spark), A.labels(spark)))
+    mean, cov = F.col("mean"), F.col("covariance")
+    return fused.select("group_id", "accepted", "reason", "epoch_ns", F.round(mean[0], 5).alias("x"), F.round(mean[1], 5).alias("y"), F.round(cov[0], 5).alias("cov_x"), F.col("bearing_count").cast("long").alias("bearing_count"))
 
 
 @query(f"""{A.duckdb('bearings')}, seen AS (SELECT vec_id, i, ox + 20*dx AS x, oy + 20*dy AS y, oz + 20*dz AS z, 20*dx - 7.0::DOUBLE*i AS gx, 20*dy + 5.0::DOUBLE*i*i AS gy, 20*dz - 3.0::DOUBLE*i AS gz FROM bearings, range(3) r(i)),
