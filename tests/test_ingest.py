@@ -137,7 +137,8 @@ def test_ledgers_of_random_numbers(spark, monkeypatch, width):
     rng = random.Random(width)
     seqs = {f"n{i}": {s for s in range(1, rng.randint(2, 40)) if rng.random() < 0.93} | {rng.randint(1, 50)} for i in range(25)}
     lost = {(n, s) for n, some in seqs.items() for s in some if rng.random() < 0.04}
-    rows = spark.createDataFrame([(n, s) for n, some in seqs.items() for s in some] * 2, "node_id string, seq long").repartition(3)
+    odd = [(None, 1), ("n0", None), ("n1", 0), ("n1", -3)]
+    rows = spark.createDataFrame([(n, s) for n, some in seqs.items() for s in some] * 2 + odd, "node_id string, seq long").repartition(3)
     known = ingest.ledger(rows, spark.createDataFrame(sorted(lost), "node_id string, seq long"))
     got = {r["node_id"]: (r["contiguous"], r["highest"]) for r in ingest.cursors_of(known).collect()}
     runs = {}

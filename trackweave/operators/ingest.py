@@ -183,8 +183,9 @@ def ledger(events: DataFrame, missing: DataFrame | None = None) -> DataFrame:
 
     n_ok counts those without a missing blob, upto is the last number up to which all from the range's start are, gaps are the runs of absent numbers between first
     and last. One pass over the events; a sensor with very many is spread over tasks. The table is small and written once, for all that is asked of it.
+    Repeated events count once; rows without a node or with a number that is null or below 1 are left out.
     """
-    seen = events.select("node_id", "seq").distinct()
+    seen = events.where("node_id IS NOT NULL AND seq >= 1").select("node_id", "seq").distinct()
     if missing is None:
         seen = seen.withColumn("ok", F.lit(True))
     else:
