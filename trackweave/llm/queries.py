@@ -14,6 +14,7 @@ from .ngrams import ngram_components
 from .pieces import digest
 from .pii import pseudonymise
 from .quality import quality
+from .resampling import importance_resample
 from .secrets import find_secrets, train_forest
 from .sharding import balanced_shards
 from .tokens import token_counts
@@ -65,13 +66,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir), train_forest())
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality, op4_token_counts, op5_media, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality, op4_token_counts, op5_media, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, op13_resampling, pipeline)}
+
+#: Steps of a WITH RECURSIVE: `crc` has the usual table of 256 remainders, from which SQL works a checksum out byte by byte.
+CRC_TABLE = """step(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM step WHERE k < 8),
+  crc AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8)"""
+#: The checksum of the bytes whose hexadecimal forms the list h holds, with the table in t.
+CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(h, lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a // 256, t[(xor(a % 256, x) + 1)::INT])), 4294967295)::BIGINT"
 
 #: DuckDB SQL of the operators that it can express; the others need hashes, tokenizers or models that it lacks.
 ORACLES: dict[str, str] = {
@@ -82,12 +93,23 @@ ORACLES: dict[str, str] = {
   links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
   walk AS (SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT w.id, l.b FROM walk w JOIN links l ON l.a = w.at)
   SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(w.at) AS component_id FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN walk w ON w.id = d.doc_id GROUP BY ALL""",
-    # The checksum is worked out byte by byte with the usual table of 256 remainders.
-    "op8_sharding": """WITH RECURSIVE step(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM step WHERE k < 8),
-  crc AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8),
+    "op8_sharding": f"""WITH RECURSIVE {CRC_TABLE},
   sized AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
-  summed AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(h, lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a // 256, t[(xor(a % 256, x) + 1)::INT])), 4294967295)::BIGINT AS text_crc32 FROM sized, crc),
+  summed AS (SELECT doc_id, size, {CRC_OF} AS text_crc32 FROM sized, crc),
   placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size / 2.0::DOUBLE AS middle, sum(size) OVER () AS total FROM summed),
   dealt AS (SELECT *, least(floor(middle * 8 / total), 7)::INT AS shard FROM placed)
   SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id)::BIGINT - 1 AS slot, NULL::INT AS grown_shard FROM dealt""",
+    "op13_resampling": rf"""WITH RECURSIVE {CRC_TABLE},
+  texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT NULL, text FROM benchmark),
+  words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+  met AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(w) AS w FROM words) GROUP BY ALL),
+  hashed AS (SELECT w, {CRC_OF} % 10000 AS b FROM (SELECT w, regexp_extract_all(hex(encode(w)), '..') AS h FROM (SELECT DISTINCT w FROM met)), crc),
+  bucketed AS (SELECT doc_id, b, sum(c)::BIGINT AS c FROM met JOIN hashed USING (w) GROUP BY ALL),
+  counts AS (SELECT b, coalesce(sum(c) FILTER (doc_id IS NOT NULL), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (doc_id IS NULL), 0)::DOUBLE AS t FROM bucketed GROUP BY b),
+  gains AS (SELECT b, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM counts),
+  weighed AS (SELECT doc_id, sum(c * gain)::BIGINT AS weight FROM bucketed JOIN gains USING (b) WHERE doc_id IS NOT NULL GROUP BY doc_id),
+  scored AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM words d LEFT JOIN weighed USING (doc_id) WHERE d.doc_id IS NOT NULL),
+  placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20)
+  SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored s LEFT JOIN placed USING (doc_id)""",
 }
