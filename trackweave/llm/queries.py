@@ -18,6 +18,7 @@ from .resampling import importance_resample
 from .secrets import find_secrets, train_forest
 from .sharding import balanced_shards
 from .tokens import token_counts
+from .toxicity import toxicity
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir), train_forest())
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -76,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality, op4_token_counts, op5_media, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, op13_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality, op4_token_counts, op5_media, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, op12_toxicity, op13_resampling, pipeline)}
 
 #: Steps of a WITH RECURSIVE: `crc` has the usual table of 256 remainders, from which SQL works a checksum out byte by byte.
 CRC_TABLE = """step(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM step WHERE k < 8),
