@@ -44,7 +44,7 @@ def windows(data: bytes) -> np.ndarray:
         start[:1] = 0
         start = np.unique(start[start < n])
         end = np.minimum(start + WINDOW, n)
-        last = space[np.maximum(np.searchsorted(space, end, "right") - 1, 0)]
+        last = space[np.maximum(np.searchsorted(space, end) - 1, 0)]
         end = np.where((end < n) & (last > start + STEP), last + 1, end)
     return np.stack([start, end - start], 1).astype(np.uint64)
 
