@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import documents
 from .fingerprint import edited_fingerprints
 from .media import copies_report, edited, rendered
@@ -67,6 +68,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir), train_forest())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
@@ -82,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality, op4_token_counts, op5_media, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, op12_toxicity, op13_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_quality, op4_token_counts, op5_media, op6_fingerprints, op7_pieces, op8_sharding, op9_mixing, op10_secrets, op11_collocations, op12_toxicity, op13_resampling, pipeline)}
 
 #: Steps of a WITH RECURSIVE: `crc` has the usual table of 256 remainders, from which SQL works a checksum out byte by byte.
 CRC_TABLE = """step(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM step WHERE k < 8),
@@ -105,6 +110,19 @@ ORACLES: dict[str, str] = {
   placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size / 2.0::DOUBLE AS middle, sum(size) OVER () AS total FROM summed),
   dealt AS (SELECT *, least(floor(middle * 8 / total), 7)::INT AS shard FROM placed)
   SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id)::BIGINT - 1 AS slot, NULL::INT AS grown_shard FROM dealt""",
+    "op11_collocations": r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS p FROM documents),
+  worded AS (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS w FROM pieces),
+  grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, unnest(range(1, 6)) x(k))),
+  f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+  total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang),
+  c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+  cuts AS (SELECT c.lang, c.phrase, c.a, c.j, l.f AS l, r.f AS r, n, 1000 * c.a * n // (l.f * r.f) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.j + 1 :], ' ') JOIN total ON total.lang = c.lang),
+  best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+  within AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, unnest(range(2, 5)) x(m) WHERE m < k) GROUP BY ALL),
+  placed AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM best LEFT JOIN within USING (lang, phrase) WHERE longer IS NULL OR longer < a)
+  SELECT * FROM placed WHERE rank <= 2000""",
     "op13_resampling": rf"""WITH RECURSIVE {CRC_TABLE},
   texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT NULL, text FROM benchmark),
   words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
