@@ -4,7 +4,6 @@ import itertools
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from trackweave.operators import associate, fusion, graph, identity, tracklets, window_ls
@@ -216,19 +215,73 @@ def member(i, **more):
     return base | more
 
 
-@pytest.mark.parametrize(
-    "change, reason",
-    [({}, "ci_position_only"), ({"domain": None}, "source_unverified_or_unlocalized"), ({"label": ""}, "semantic_class_unverified"), ({"s_map": "x"}, "clock_map_or_class_mismatch"), ({"clock_uncertainty_ns": 90_000_000}, "clock_uncertainty_unverified"), ({"covariance": [300.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]}, "covariance_outside_bounds"), ({"covariance": [0.0] * 9}, "covariance_not_spd"), ({"node_id": "n0"}, "duplicate_physical_node"), ({"event_ns": 3 * 10**9}, "time_extrapolation_limit"), ({"position": [90.0, 2.0, 3.0]}, "position_residual_exceeds_gate"), ({"ray": {"origin": [9.0, 2.0, 3.0], "direction": [1.0, 0.0, 0.0], "sigma": 0.01, "timestamp_ns": 10**9}}, "bearing_geometry_contradiction")],
-)
-def test_group_estimates(spark, change, reason):
-    g = pd.DataFrame([member(0), member(1, **change), member(2)])
-    got = fusion.estimate(g, fusion.FusionPolicy())
-    assert got["reason"] == reason and got["accepted"] == (reason == "ci_position_only")
-    if got["accepted"]:
-        assert np.allclose(got["mean"], [1, 2, 3]) and got["covariance"][0, 0] > 0.99
-        assert sum(got["weights"].values()) == pytest.approx(1) and set(got["residual_d2"]) == {"t0", "t1", "t2"} and got["bearing_count"] == 0
-    if reason == "bearing_geometry_contradiction":
-        assert got["contradicting"] == ["t1"]
+GROUP_MEMBER = (
+    "group_id string, uid string, node_id string, label string, domain string, alignment_id string, s_frame string, s_map string, offset_ns long, clock_uncertainty_ns long, event_ns long, position array<double>,"
+    " covariance array<double>, velocity array<double>, quality double, frame string, map_revision string, ray struct<origin:array<double>,direction:array<double>,sigma:double,timestamp_ns:bigint>"
+)
+FAULTS = ([({}, "ci_position_only"), ({"domain": None}, "source_unverified_or_unlocalized"), ({"label": ""}, "semantic_class_unverified"), ({"s_map": "x"}, "clock_map_or_class_mismatch"), ({"clock_uncertainty_ns": 90_000_000}, "clock_uncertainty_unverified"), ({"covariance": [300.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]}, "covariance_outside_bounds"), ({"covariance": [0.0] * 9}, "covariance_not_spd"), ({"node_id": "n0"}, "duplicate_physical_node"), ({"event_ns": 3 * 10**9}, "time_extrapolation_limit"), ({"position": [90.0, 2.0, 3.0]}, "position_residual_exceeds_gate"), ({"ray": {"origin": [9.0, 2.0, 3.0], "direction": [1.0, 0.0, 0.0], "sigma": 0.01, "timestamp_ns": 10**9}}, "bearing_geometry_contradiction")])
+
+
+def fused(spark, groups, **policy):
+    rows = [tuple((m | {"group_id": name}).values()) for name, g in groups.items() for m in g]
+    return {r["group_id"]: r for r in fusion.fuse_groups(spark.createDataFrame(rows, GROUP_MEMBER).repartition(2), fusion.FusionPolicy(**policy)).collect()}
+
+
+def test_group_estimates(spark):
+    found = fused(spark, {str(k): [member(0), member(1, **change), member(2)] for k, (change, _) in enumerate(FAULTS)})
+    for k, (_, reason) in enumerate(FAULTS):
+        got = found[str(k)]
+        assert got["reason"] == reason and got["accepted"] == (reason == "ci_position_only") and got["n_sources"] == 3
+        if got["accepted"]:
+            assert np.allclose(got["mean"], [1, 2, 3]) and got["covariance"][0] > 0.99 and (got["domain"], got["frame"], got["map_revision"]) == ("d", "f", "m")
+            assert sum(got["weights"].values()) == pytest.approx(1) and set(got["residual_d2"]) == {"t0", "t1", "t2"} and got["bearing_count"] == 0
+        else:
+            assert got["mean"] is None and got["domain"] is None
+        if reason == "bearing_geometry_contradiction":
+            assert got["contradicting"] == ["t1"]
+
+
+def test_first_fault_by_uid_and_rule(spark):
+    odd = {
+        "two": ([member(0), member(2, label=""), member(1, clock_uncertainty_ns=90_000_000)], "clock_uncertainty_unverified"),
+        "first of one": ([member(0), member(1, label=None, quality=0.0)], "semantic_class_unverified"),
+        "low": ([member(0), member(1, quality=0.1)], "source_localization_quality_below_gate"),
+        "no quality": ([member(0), member(1, quality=None)], "source_localization_quality_below_gate"),
+        "no clock": ([member(0), member(1, clock_uncertainty_ns=None)], "clock_uncertainty_unverified"),
+        "frame": ([member(0), member(1, frame="x")], "clock_map_or_class_mismatch"),
+        "context of the first": ([member(3), member(1, label="bus"), member(2)], "clock_map_or_class_mismatch"),
+        "fault before duplicate": ([member(0), member(1, node_id="n0"), member(2, covariance=[0.0] * 9)], "covariance_not_spd"),
+        "alone": ([member(0)], "not_enough_verified_position_sources"),
+        "negative": ([member(0, event_ns=-5), member(1, event_ns=-7)], "aligned_event_time_negative"),
+    }
+    got = fused(spark, {k: g for k, (g, _) in odd.items()}, min_quality=0.5)
+    assert {k: r["reason"] for k, r in got.items()} == {k: why for k, (_, why) in odd.items()}
+
+
+def test_batched_folds_equal_single_ones(spark):
+    """Groups of 2 to 7 members in one batch: each as if it were alone, step by step."""
+    rng, groups = np.random.default_rng(9), {}
+    for k in range(60):
+        spread = lambda: (lambda x: (x @ x.T + 0.5 * np.eye(3)).ravel().tolist())(rng.normal(size=(3, 3)))
+        groups[f"g{k}"] = [
+            member(i, position=rng.normal(size=3).tolist(), covariance=spread(), velocity=rng.normal(size=3).tolist() if i % 2 else None, event_ns=10**9 + int(rng.integers(0, 10**8)), offset_ns=int(rng.integers(-1000, 1000)))
+            for i in rng.permutation(int(rng.integers(2, 8)))
+        ]
+    for name, r in fused(spark, groups).items():
+        g = sorted(groups[name], key=lambda m: m["uid"])
+        times = [m["event_ns"] + m["offset_ns"] for m in g]
+        ranked, n = sorted(times), len(g)
+        epoch = (ranked[(n - 1) // 2] + ranked[n // 2]) // 2
+        mean = cov = None
+        for m, t in zip(g, times, strict=True):
+            dt = (epoch - t) / 1e9
+            p = np.array(m["position"]) + dt * np.array(m["velocity"] or [0.0] * 3)
+            c = np.reshape(m["covariance"], (3, 3)) + (30 * (abs(dt) + 0.005)) ** 2 * np.eye(3)
+            if mean is None:
+                mean, cov = p[None], c[None]
+            else:
+                mean, cov, _ = fusion.intersect(mean, cov, p[None], c[None])
+        assert r["epoch_ns"] == epoch and r["accepted"] and np.allclose(r["mean"], mean[0]) and np.allclose(r["covariance"], cov[0].ravel()) and sum(r["weights"].values()) == pytest.approx(1)
 
 
 def test_bearings_of_latest_observations_can_veto(spark):

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .checkpoints import checkpoint
 from .policies import in_range, known_keys
+from .ragged import Ragged, Reasons
 
 
 #: Ranges of the policy's values, and the name of the method (fixed values).
@@ -127,114 +130,151 @@ RESULT = (
 )
 
 
-def _first_fault(g: pd.DataFrame, policy: FusionPolicy) -> str | None:
-    """The first rule that a member breaks, members by uid, rules in their fixed order."""
-    context = None
-    for r in g.itertuples():
-        seen = (r.domain, r.alignment_id, r.s_frame, r.s_map, r.label)
-        context = context or seen
-        located = r.position is not None and r.covariance is not None and isinstance(r.domain, str)
-        rules = [
-            ("source_unverified_or_unlocalized", lambda: located),
-            ("semantic_class_unverified", lambda: isinstance(r.label, str) and r.label != ""),  # noqa: B023
-            ("clock_map_or_class_mismatch", lambda: seen == context and r.frame == r.s_frame and r.map_revision == r.s_map),  # noqa: B023
-            ("source_localization_quality_below_gate", lambda: r.quality >= policy.min_quality),  # noqa: B023
-            ("clock_uncertainty_unverified", lambda: r.clock_uncertainty_ns / 1e9 <= policy.max_clock_uncertainty_s),  # noqa: B023
-            ("covariance_outside_bounds", lambda: max(r.covariance[i] for i in (0, 4, 8)) <= policy.max_input_sigma_m**2),  # noqa: B023
-            ("covariance_not_spd", lambda: bool(usable(np.array([r.covariance]))[0])),  # noqa: B023
-        ]
-        for name, holds in rules:
-            if not holds():
-                return name
-    return "duplicate_physical_node" if g["node_id"].duplicated().any() else None
-
-
-def estimate(g: pd.DataFrame, policy: FusionPolicy) -> dict:
-    """What is known of one group's rows: accepted and reason always, and epoch_ns, mean, covariance, weights and residual_d2 as far as it came."""
-    refused = lambda reason, **known: {"accepted": False, "reason": reason, **known}
-    if len(g) < policy.min_position_sources:
-        return refused("not_enough_verified_position_sources")
-    g = g.sort_values("uid")
-    if fault := _first_fault(g, policy):
-        return refused(fault)
-    times = [int(a) + int(b) for a, b in zip(g["event_ns"], g["offset_ns"], strict=True)]
-    ranked, n = sorted(times), len(times)
-    epoch = (ranked[(n - 1) // 2] + ranked[n // 2]) // 2
-    if epoch < 0:
-        return refused("aligned_event_time_negative", epoch_ns=epoch)
-    dt = np.array([(epoch - t) / 1e9 for t in times])
-    if np.abs(dt).max() > policy.max_epoch_offset_s:
-        return refused("time_extrapolation_limit", epoch_ns=epoch)
-    p = np.array(g["position"].tolist(), float)
-    p += np.array([[0.0] * 3 if v is None else list(v) for v in g["velocity"]], float) * dt[:, None]
-    widen = (policy.motion_sigma_speed_mps * (np.abs(dt) + g["clock_uncertainty_ns"].to_numpy(float) / 1e9)) ** 2
-    c = np.array(g["covariance"].tolist(), float).reshape(-1, 3, 3) + widen[:, None, None] * np.eye(3)
-    if not usable(c).all():
-        return refused("inflated_covariance_not_spd", epoch_ns=epoch)
-    mean, cov, weight = p[:1], c[:1], np.ones(1)
-    for i in range(1, n):
-        mean, cov, w = intersect(mean, cov, p[i : i + 1], c[i : i + 1])
-        weight = np.append(weight * w, 1 - w)
-        if not (np.isfinite(mean).all() and usable(cov).all()):
-            return refused("ci_numerical_degeneracy", epoch_ns=epoch)
-    d = mean - p
-    d2 = np.einsum("ni,nij,nj->n", d, np.linalg.inv(c), d)
-    uids = g["uid"].tolist()
-    known = {"epoch_ns": epoch, "weights": dict(zip(uids, weight.tolist(), strict=True)), "residual_d2": dict(zip(uids, d2.tolist(), strict=True))}
-    if not (d2 <= policy.max_residual_d2).all():
-        return refused("position_residual_exceeds_gate", **known)
-    known |= {"mean": mean[0], "covariance": cov[0]} | bearings(g, mean[0], cov[0], epoch, policy)
-    if known["contradicting"]:
-        return refused("bearing_geometry_contradiction", **known)
-    return {"accepted": True, "reason": "ci_position_only", **known}
-
-
-def bearings(g: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, epoch: int, policy: FusionPolicy) -> dict:
-    """How the members' rays fit the estimate: their number, the largest miss in spreads, and the members whose ray is behind its origin or misses by more than it may."""
-    count, most, against = 0, 0.0, []
-    for r in g.itertuples():
-        ray = getattr(r, "ray", None)
-        if ray is None or ray["timestamp_ns"] is None:
-            continue
-        age = abs(int(ray["timestamp_ns"]) - int(r.event_ns)) / 1e9
-        if age > policy.max_bearing_sample_age_s:
-            continue
-        away, along = mean - np.array(ray["origin"], float), np.array(ray["direction"], float)
-        reach = float(away @ along)
-        if reach <= 0.05:
-            against.append(r.uid)
-            continue
-        late = abs(epoch - int(r.event_ns) - int(r.offset_ns)) / 1e9 + r.clock_uncertainty_ns / 1e9 + age
-        spread = np.sqrt(cov.diagonal().max() + (reach * ray["sigma"]) ** 2 + (policy.motion_sigma_speed_mps * late) ** 2)
-        miss = float(np.linalg.norm(away - reach * along) / max(spread, 1e-6))
-        count, most = count + 1, max(most, miss)
-        if miss > policy.max_bearing_residual_sigma:
-            against.append(r.uid)
-    return {"bearing_count": count, "bearing_residual_max": most, "contradicting": against}
+def _sound(policy: FusionPolicy):
+    """Rules that each member of a group must keep, in their order: (reason, whether it holds). `first` is the context of the group's first member."""
+    c = F.col("covariance")
+
+    @F.pandas_udf("boolean")
+    def spd(covariance: pd.Series) -> pd.Series:
+        whole = covariance.map(lambda x: x is not None and len(x) == 9 and all(v is not None for v in x))
+        ok = np.zeros(len(covariance), bool)
+        ok[whole] = usable(np.array(covariance[whole].tolist(), float).reshape(-1, 9))
+        return pd.Series(ok)
+
+    return [
+        ("source_unverified_or_unlocalized", F.col("position").isNotNull() & c.isNotNull() & F.col("domain").isNotNull()),
+        ("semantic_class_unverified", F.col("label") != ""),
+        ("clock_map_or_class_mismatch", F.struct(*CONTEXT).eqNullSafe(F.col("first")) & F.col("frame").eqNullSafe(F.col("s_frame")) & F.col("map_revision").eqNullSafe(F.col("s_map"))),
+        ("source_localization_quality_below_gate", (F.col("quality") >= policy.min_quality) & ~F.isnan("quality")),
+        ("clock_uncertainty_unverified", F.col("clock_uncertainty_ns") / 1e9 <= policy.max_clock_uncertainty_s),
+        ("covariance_outside_bounds", F.greatest(c[0], c[4], c[8]) <= policy.max_input_sigma_m**2),
+        ("covariance_not_spd", spd(c)),
+    ]
+
+
+CONTEXT = ("domain", "alignment_id", "s_frame", "s_map", "label")
+#: What the numbers of a packed member are: position, velocity, covariance, and its ray's origin, direction and angular spread.
+NUMBERS = 22
+FOUND = "accepted boolean, reason string, epoch_ns long, mean array<double>, covariance array<double>, weights map<string,double>, residual_d2 map<string,double>, bearing_count int, bearing_residual_max double, contradicting array<string>"
+
+
+def packed_groups(rows: DataFrame, policy: FusionPolicy) -> DataFrame:
+    """One row for each group of `group_inputs`: group_id, n_sources, first (its first member's context), reason, members.
+
+    `reason` is that of the first member, by uid, that breaks a rule, or that a sensor is there twice. `members`, null then and in groups that are too small, has what the
+    estimate reads, in order of uid. Such a group has each sensor once at most, so its row is bounded by the number of sensors; all others are never gathered.
+    """
+    first = rows.groupBy("group_id").agg(F.count("*").cast("int").alias("n_sources"), F.min_by(F.struct(*CONTEXT), "uid").alias("first"), F.count_distinct("node_id").alias("nodes"))
+    met = rows.join(first, "group_id")
+    broken = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), reason) for reason, ok in _sound(policy)])
+    ray = "ray" in rows.columns
+    part = lambda c, n: F.slice(c, 1, n)
+    none = F.array_repeat(F.lit(float("nan")), 7)
+    sight = F.when(F.col("ray.timestamp_ns").isNotNull(), F.concat(part("ray.origin", 3), part("ray.direction", 3), F.array("ray.sigma"))) if ray else F.lit(None)
+    numbers = F.concat(part("position", 3), F.coalesce(part("velocity", 3), F.array_repeat(F.lit(0.0), 3)), part("covariance", 9), F.coalesce(sight, none))
+    seen = F.coalesce(F.col("ray.timestamp_ns"), F.lit(0)) if ray else F.lit(0)
+    member = F.struct("uid", F.col("event_ns").alias("event"), F.col("offset_ns").alias("offset"), F.col("clock_uncertainty_ns").alias("clock"), seen.cast("long").alias("seen"), numbers.alias("numbers"))
+    enough = (F.col("n_sources") >= policy.min_position_sources) & (F.col("nodes") == F.col("n_sources"))
+    met = met.withColumn("broken", broken)
+    groups = met.groupBy("group_id").agg(
+        F.first("n_sources").alias("n_sources"), F.first("first").alias("first"), F.first("nodes").alias("nodes"), F.min_by("broken", F.when(F.col("broken").isNotNull(), F.col("uid"))).alias("fault"),
+        F.sort_array(F.collect_list(F.when(enough & F.col("broken").isNull(), member))).alias("members"),
+    )
+    reason = (
+        F.when(F.col("n_sources") < policy.min_position_sources, "not_enough_verified_position_sources")
+        .when(F.col("fault").isNotNull(), F.col("fault"))
+        .when(F.col("nodes") < F.col("n_sources"), "duplicate_physical_node")
+    )
+    return groups.select("group_id", "n_sources", "first", reason.alias("reason"), F.when(reason.isNull(), F.col("members")).alias("members"))
+
+
+def estimates(lists: pa.Array, policy: FusionPolicy) -> dict[str, list]:
+    """The columns of FOUND for a batch of packed groups, all of them worked out at once: the fold over members takes one step for all groups that have so many."""
+    g, groups = Ragged.of_lists(lists), len(lists)
+    reasons, numbers = Reasons(groups), g.vectors("numbers", NUMBERS)
+    p, v, c, ray = numbers[:, :3], numbers[:, 3:6], numbers[:, 6:15].reshape(-1, 3, 3), numbers[:, 15:]
+    event, offset, clock, seen = (g.numbers(n) for n in ("event", "offset", "clock", "seen"))
+    every = lambda ok: np.logical_and.reduceat(ok, g.start) if groups else np.empty(0, bool)
+
+    times = event + offset
+    ranked = times[np.lexsort([times, g.of])]
+    low, high = ranked[g.start + (g.size - 1) // 2], ranked[g.start + g.size // 2]
+    epoch = low // 2 + high // 2 + (low % 2 + high % 2) // 2
+    reasons.need(epoch >= 0, "aligned_event_time_negative")
+    dt = (epoch[g.of] - times) / 1e9
+    reasons.need(every(np.abs(dt) <= policy.max_epoch_offset_s), "time_extrapolation_limit")
+    p = p + v * dt[:, None]
+    c = c + ((policy.motion_sigma_speed_mps * (np.abs(dt) + clock / 1e9)) ** 2)[:, None, None] * np.eye(3)
+    reasons.need(every(usable(c)), "inflated_covariance_not_spd")
+
+    mean, cov, weight = p[g.start].copy(), c[g.start].copy(), np.zeros((groups, int(g.size.max(initial=1))))
+    weight[:, 0] = 1
+    for k in range(1, weight.shape[1]):
+        at = np.flatnonzero((g.size > k) & reasons.open)
+        if not len(at):
+            break
+        mean[at], cov[at], w = intersect(mean[at], cov[at], p[g.start[at] + k], c[g.start[at] + k])
+        weight[at, :k] *= w[:, None]
+        weight[at, k] = 1 - w
+        bad = np.zeros(groups, bool)
+        bad[at] = ~(np.isfinite(mean[at]).all(axis=1) & usable(cov[at]))
+        reasons.need(~bad, "ci_numerical_degeneracy")
+    fused = reasons.open[g.of]
+    d, d2 = mean[g.of] - p, np.full(len(p), np.nan)
+    d2[fused] = np.einsum("ni,nij,nj->n", d[fused], np.linalg.inv(c[fused]), d[fused])
+    told = reasons.open
+    reasons.need(every(d2 <= policy.max_residual_d2), "position_residual_exceeds_gate")
+    near = reasons.open
+
+    # Rays can only veto: behind their origin, or further off than their spread allows.
+    age = np.abs(seen - event) / 1e9
+    looks = np.isfinite(ray).all(axis=1) & (age <= policy.max_bearing_sample_age_s) & near[g.of]
+    away, along = mean[g.of] - ray[:, :3], ray[:, 3:6]
+    reach = (away * along).sum(axis=1)
+    late = np.abs(epoch[g.of] - times) / 1e9 + clock / 1e9 + age
+    widest = cov.diagonal(axis1=1, axis2=2).max(axis=1)[g.of]
+    miss = np.linalg.norm(away - reach[:, None] * along, axis=1) / np.maximum(np.sqrt(widest + (reach * ray[:, 6]) ** 2 + (policy.motion_sigma_speed_mps * late) ** 2), 1e-6)
+    ahead = looks & (reach > 0.05)
+    against = (looks & ~ahead) | (ahead & (miss > policy.max_bearing_residual_sigma))
+    count = np.bincount(g.of[ahead], minlength=groups)
+    most = np.zeros(groups)
+    np.maximum.at(most, g.of[ahead], miss[ahead])
+    reasons.need(np.bincount(g.of[against], minlength=groups) == 0, "bearing_geometry_contradiction")
+
+    good, uids = reasons.open, g.column("uid").to_pylist()
+    by_uid = lambda values: [None if u is None else list(zip(u, x, strict=True)) for u, x in zip(g.lists(uids, told), g.lists(values.tolist(), told), strict=True)]
+    some = lambda values, mask: [x if m else None for x, m in zip(values.tolist(), mask.tolist(), strict=True)]
+    contradicting = [None if u is None else [x for x, a in zip(u, a, strict=True) if a] for u, a in zip(g.lists(uids, near), g.lists(against.tolist(), near), strict=True)]
+    return {
+        "accepted": good.tolist(), "reason": ["ci_position_only" if t is None else t for t in reasons.text], "epoch_ns": epoch.tolist(), "mean": some(mean, good), "covariance": some(cov.reshape(-1, 9), good),
+        "weights": by_uid(weight[g.of, g.place]), "residual_d2": by_uid(d2), "bearing_count": some(count, near), "bearing_residual_max": some(most, near), "contradicting": contradicting,
+    }
 
 
 def fuse_groups(rows: DataFrame, policy: FusionPolicy | None = None) -> DataFrame:
     """One row for each group: accepted, reason, epoch, mean and covariance (null unless accepted), weights and residuals by member, how rays fit, and the context.
 
     rows: `group_inputs`; `ray` may be left out. Estimates of unknown correlation are intersected in
-    order of uid at the members' median time; rays can only veto. Groups are small (a group has a sensor once), so each is one call; those with too few members are
-    refused without one.
+    order of uid at the members' median time; rays can only veto. Rules on single members are columns; groups that keep them all are packed into one row each
+    and solved in Arrow batches, a whole batch at a time.
     """
     policy = policy or FusionPolicy()
-    names = ["group_id", "accepted", "reason", "epoch_ns", "mean", "covariance", "n_sources", "weights", "residual_d2", "bearing_count", "bearing_residual_max", "contradicting", "domain", "alignment_id", "frame", "map_revision"]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        found = estimate(g, policy)
-        first = g.sort_values("uid").iloc[0]
-        row = {"group_id": g["group_id"].iloc[0], "n_sources": len(g), **found}
-        for c in ("mean", "covariance"):
-            row[c] = row[c].reshape(-1).tolist() if found["accepted"] else None
-        if found["accepted"]:
-            row |= {"domain": first["domain"], "alignment_id": first["alignment_id"], "frame": first["s_frame"], "map_revision": first["s_map"]}
-        return pd.DataFrame([[row.get(n) for n in names]], columns=names).astype({"epoch_ns": "Int64", "bearing_count": "Int64"})
-
-    rows = checkpoint(rows)
-    counts = rows.groupBy("group_id").agg(F.count("*").cast("int").alias("n_sources"))
-    enough = rows.join(counts.where(F.col("n_sources") >= policy.min_position_sources).select("group_id"), "group_id", "left_semi")
-    few = counts.where(F.col("n_sources") < policy.min_position_sources).select("group_id", F.lit(False).alias("accepted"), F.lit("not_enough_verified_position_sources").alias("reason"), "n_sources")
-    return enough.groupBy("group_id").applyInPandas(run, RESULT).unionByName(few, allowMissingColumns=True)
+    groups = checkpoint(packed_groups(rows, policy))
+    kinds = {"accepted": pa.bool_(), "reason": pa.string(), "epoch_ns": pa.int64(), "mean": pa.list_(pa.float64()), "covariance": pa.list_(pa.float64()), "weights": pa.map_(pa.string(), pa.float64()),
+             "residual_d2": pa.map_(pa.string(), pa.float64()), "bearing_count": pa.int32(), "bearing_residual_max": pa.float64(), "contradicting": pa.list_(pa.string())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                found = estimates(b.column("members"), policy)
+                arrays = [pa.array(found[n], kind) for n, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays([b.column("group_id"), b.column("n_sources"), b.column("first"), *arrays], ["group_id", "n_sources", "first", *kinds])
+
+    kept = groups.schema
+    form = f"group_id {kept['group_id'].dataType.simpleString()}, n_sources int, first {kept['first'].dataType.simpleString()}, {FOUND}"
+    solved = groups.where("reason IS NULL").select("group_id", "n_sources", "first", "members").mapInArrow(run, form)
+    context = {"domain": "domain", "alignment_id": "alignment_id", "s_frame": "frame", "s_map": "map_revision"}
+    solved = solved.select("*", *[F.when(F.col("accepted"), F.col(f"first.{c}")).alias(name) for c, name in context.items()]).drop("first")
+    refused = groups.where("reason IS NOT NULL").select("group_id", F.lit(False).alias("accepted"), "reason", "n_sources")
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    return solved.unionByName(refused, allowMissingColumns=True).select(*names)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .checkpoints import checkpoint
 from .policies import in_range, known_keys, number, truth
+from .ragged import Ragged, Reasons
 
 
 #: Ranges of the policy's values (fixed values).
@@ -140,109 +142,186 @@ def chosen(found: DataFrame, policy: WindowPolicy) -> DataFrame:
     return (rays if policy.independent_temporal_errors_verified else latest_per_node(rays, "group_id")).unionByName(best)
 
 
-class Refused(Exception):
-    """A gate that a group doesn't pass; its text is the reason code."""
+#: Numbers of a packed factor: a bearing's origin, direction, basis and covariance, or a position and its covariance.
+NUMBERS = 16
+#: Factors of a batch that are solved together, padded to the largest group's.
+AT_ONCE = 20_000
 
 
-def _need(ok: bool, reason: str) -> None:
-    if not ok:
-        raise Refused(reason)
+def packed_factors(use: DataFrame) -> DataFrame:
+    """One row for each group of `chosen` factors: group_id and factors, in order of (t, uid, seq)."""
+    part = lambda c, n: F.slice(c, 1, n)
+    ray = F.concat(part("ray.origin", 3), part("ray.direction", 3), part("ray.basis", 6), part("ray.covariance", 4))
+    place = F.concat(part("position", 3), part("covariance", 9), F.array_repeat(F.lit(0.0), 4))
+    factor = F.struct("t", "uid", "seq", "node_id", (F.col("kind") == "ray").alias("ray"), F.when(F.col("kind") == "ray", ray).otherwise(place).alias("numbers"))
+    return use.groupBy("group_id").agg(F.sort_array(F.collect_list(factor)).alias("factors"))
 
 
-def _geometry(rays: list[dict], anchor: dict | None, p: WindowPolicy) -> None:
-    if anchor is None:
-        d, node = np.array([x["ray"][1] for x in rays]), np.array([x["node"] for x in rays])
-        cos = np.abs(d @ d.T)[node[:, None] != node[None]]
-        widest = np.degrees(np.arccos(np.clip(cos.min(), 0, 1))) if len(cos) else -1.0
-        _need(widest >= p.min_ray_intersection_degrees, "insufficient_cross_node_parallax")
-    for x in rays if anchor else ():
-        away = anchor["p"] - x["ray"][0]
-        _need(np.linalg.norm(away) >= 0.01, "anchor_at_ray_origin")
-        _need(away @ x["ray"][1] > 0, "anchor_behind_bearing_ray")
-
-
-def _minimise(residual, x: np.ndarray, steps: int = 120) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Levenberg-Marquardt: state, residuals and Jacobian at a minimum."""
-    damp, (r, j) = 1e-3, residual(x)
-    for _ in range(steps):
-        h, g = j.T @ j, j.T @ r
-        step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-12), -g)
-        r2, j2 = residual(x + step)
-        if np.isfinite(r2).all() and r2 @ r2 <= r @ r:
-            done = np.linalg.norm(step) <= 1e-10 * (1e-10 + np.linalg.norm(x)) or r @ r - r2 @ r2 <= 1e-14 * (r @ r)
-            x, r, j, damp = x + step, r2, j2, max(damp / 10, 1e-15)
-            if done:
-                return x, r, j
-        else:
-            damp *= 10
-            if damp > 1e12:
-                return x, r, j
-    raise Refused("nonconvergent_window_optimization")
-
-
-def solve(g: pd.DataFrame, p: WindowPolicy) -> dict:
-    """The estimate from one group's `chosen` factors; raises Refused with the first gate that fails."""
-    shaped = lambda r: (*(np.array(r[n], float) for n in ("origin", "direction")), np.array(r["basis"], float).reshape(2, 3), np.array(r["covariance"], float).reshape(2, 2))
-    rows = g.sort_values(["t", "uid", "seq"]).to_dict("records")
-    rays = [{"node": o["node_id"], "uid": o["uid"], "t": int(o["t"]), "ray": shaped(o["ray"])} for o in rows if o["kind"] == "ray"]
-    anchor = next(({"node": o["node_id"], "uid": o["uid"], "t": int(o["t"]), "p": np.array(o["position"], float), "c": np.array(o["covariance"], float).reshape(3, 3)} for o in rows if o["kind"] == "place"), None)
-    _geometry(rays, anchor, p)
-    times = [x["t"] for x in rays] + ([anchor["t"]] if anchor else [])
-    epoch, moving = max(times), p.model == "constant_velocity"
-    _need(epoch >= 0, "invalid_common_time_epoch")
-    _need(not moving or (epoch - min(times)) / 1e9 >= p.min_time_baseline_seconds, "insufficient_temporal_baseline_for_velocity")
-    # The state is a position, and for a moving target the way it covers in one window.
-    lag = lambda t: (t - epoch) / 1e9 / p.window_seconds
-    at = lambda t: np.hstack([np.eye(3), lag(t) * np.eye(3)]) if moving else np.eye(3)
-    lines = [(x["ray"][2] @ at(x["t"]), x["ray"][2] @ x["ray"][0]) for x in rays] + ([(at(anchor["t"]), anchor["p"])] if anchor else [])
-    a, b = np.vstack([m for m, _ in lines]), np.concatenate([v for _, v in lines])
-    dim = a.shape[1]
-    _need(len(a) >= dim and np.linalg.matrix_rank(a, tol=1e-8) == dim, "unobservable_linear_geometry")
-    seed = np.linalg.lstsq(a, b, rcond=None)[0]
-    _need(np.isfinite(seed).all(), "invalid_initial_state")
+def _factored(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses of the Cholesky factors of a stack of covariances, and which have one."""
     try:
-        weights = [np.linalg.inv(np.linalg.cholesky(x["ray"][3])) for x in rays]
-        anchor_weight = np.linalg.inv(np.linalg.cholesky(anchor["c"])) if anchor else None
+        return np.linalg.inv(np.linalg.cholesky(c)), np.ones(len(c), bool)
     except np.linalg.LinAlgError:
-        raise Refused("optimization_numerical_failure") from None
-
-    def residual(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r, j = [], []
-        for w, ray in zip(weights, rays, strict=True):
-            m, (o, _, basis, _) = at(ray["t"]), ray["ray"]
-            away = m @ x - o
-            n = max(np.linalg.norm(away), 1e-6)
-            r.append(w @ basis @ away / n)
-            j.append(w @ basis @ (np.eye(3) / n - np.outer(away, away) / n**3) @ m)
-        if anchor:
-            m = at(anchor["t"])
-            r.append(anchor_weight @ (m @ x - anchor["p"]))
-            j.append(anchor_weight @ m)
-        return np.concatenate(r), np.vstack(j)
+        out, ok = np.zeros_like(c), np.zeros(len(c), bool)
+        for k in range(len(c)):
+            try:
+                out[k], ok[k] = np.linalg.inv(np.linalg.cholesky(c[k])), True
+            except np.linalg.LinAlgError:
+                pass
+        return out, ok
+
 
+def _steps(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Solutions of a stack of systems; not numbers where there is none."""
     try:
-        x, r, j = _minimise(residual, seed)
+        return np.linalg.solve(h, g[..., None])[..., 0]
     except np.linalg.LinAlgError:
-        raise Refused("optimization_numerical_failure") from None
-    values = np.linalg.svd(j, compute_uv=False)
-    _need(len(values) == dim, "unobservable_optimized_state")
-    _need(values[-1] > 1e-7 and values[0] / values[-1] <= p.max_condition_number, "unobservable_or_ill_conditioned_state")
-    rms = float(np.sqrt(r @ r / len(r)))
-    _need(np.isfinite(rms) and rms <= p.max_normalized_rms, "factor_residual_exceeds_gate")
-    velocity = x[3:] / p.window_seconds if moving else None
-    _need(velocity is None or np.linalg.norm(velocity) <= p.max_target_speed_mps, "unphysical_estimated_velocity")
-    _need(all((at(y["t"]) @ x - y["ray"][0]) @ y["ray"][1] > 0.01 for y in rays), "ray_points_behind_camera")
-    scale = np.diag([1.0] * 3 + [1 / p.window_seconds] * (dim - 3))
-    cov = scale @ np.linalg.inv(j.T @ j) @ scale
-    _need(np.isfinite(cov).all(), "invalid_conditional_curvature")
+        out = np.full_like(g, np.nan)
+        for k in range(len(g)):
+            try:
+                out[k] = np.linalg.solve(h[k], g[k])
+            except np.linalg.LinAlgError:
+                pass
+        return out
+
+
+def _minimised(residual, x: np.ndarray, active: np.ndarray, steps: int = 120) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levenberg-Marquardt on a stack of problems, each with its own damping, until all have come to rest: states, which did, and which broke down."""
+    x, damp = x.copy(), np.full(len(x), 1e-3)
+    rested, broken = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    r, j = residual(x, np.arange(len(x)))
+    for _ in range(steps):
+        at = np.flatnonzero(active & ~rested & ~broken)
+        if not len(at):
+            break
+        h, g = j[at].transpose(0, 2, 1) @ j[at], np.einsum("nij,ni->nj", j[at], r[at])
+        diagonal = np.einsum("nii->ni", h)
+        step = _steps(h + damp[at, None, None] * (np.eye(h.shape[1]) * (diagonal + 1e-12)[:, None, :]), -g)
+        lost = np.isnan(step).any(axis=1) & np.isfinite(r[at]).all(axis=1) & np.isfinite(h).all(axis=(1, 2))
+        r2, j2 = residual(x[at] + step, at)
+        before, after = (r[at] ** 2).sum(axis=1), (r2**2).sum(axis=1)
+        better = np.isfinite(r2).all(axis=1) & (after <= before)
+        done = (np.linalg.norm(step, axis=1) <= 1e-10 * (1e-10 + np.linalg.norm(x[at], axis=1))) | (before - after <= 1e-14 * before)
+        to = at[better]
+        x[to], r[to], j[to] = (x[at] + step)[better], r2[better], j2[better]
+        damp[at] = np.where(better, np.maximum(damp[at] / 10, 1e-15), damp[at] * 10)
+        rested[at] = (better & done) | (~better & (damp[at] > 1e12))
+        broken[at] = lost
+    return x, rested & ~broken, broken
+
+
+def solved_windows(lists: pa.Array, p: WindowPolicy) -> dict[str, list]:
+    """The columns of RESULT but the group's name for a batch of packed groups, worked out together: matrices are padded to the largest group, and gates are masks."""
+    g = Ragged.of_lists(lists)
+    groups, reasons = len(lists), Reasons(len(lists))
+    numbers, t, is_ray = g.vectors("numbers", NUMBERS), g.numbers("t"), g.numbers("ray").astype(bool)
+    node = g.column("node_id").to_pylist()
+    code = np.unique(np.array(node, dtype=object).astype(str), return_inverse=True)[1].ravel() if node else np.empty(0, np.int64)
+
+    # Bearings come in their order and padded; a group has one position at most.
+    rays = Ragged(np.bincount(g.of[is_ray], minlength=groups), np.empty(0), g.of[is_ray], np.empty(0), None)
+    rays.start = np.cumsum(rays.size) - rays.size
+    rays.place = np.arange(len(rays.of)) - rays.start[rays.of]
+    most = max(2, int(rays.size.max(initial=0)))
+    block = rays.padded(numbers[is_ray], most)
+    here = rays.padded(np.ones(len(rays.of), bool), most, False)
+    time, nodes = rays.padded(t[is_ray], most, 0), rays.padded(code[is_ray], most, -1)
+    origin, direction, basis = block[..., :3], block[..., 3:6], block[..., 6:12].reshape(groups, most, 2, 3)
+    anchored, anchor = np.zeros(groups, bool), np.zeros((groups, NUMBERS))
+    anchored[g.of[~is_ray]], anchor[g.of[~is_ray]] = True, numbers[~is_ray]
+    spot, anchor_t, anchor_uid = anchor[:, :3], np.zeros(groups, np.int64), [None] * groups
+    anchor_t[g.of[~is_ray]] = t[~is_ray]
+    uids = g.column("uid").to_pylist()
+    for k in np.flatnonzero(~is_ray).tolist():
+        anchor_uid[g.of[k]] = uids[k]
+
+    # Geometry: parallax without a position, else what the first bearing that doesn't fit it says.
+    cosine = np.abs(np.einsum("gik,gjk->gij", direction, direction))
+    across = here[:, :, None] & here[:, None, :] & (nodes[:, :, None] != nodes[:, None, :])
+    widest = np.degrees(np.arccos(np.clip(np.where(across, cosine, np.inf).min(axis=(1, 2)), 0, 1)))
+    widest = np.where(across.any(axis=(1, 2)), widest, -1.0)
+    reasons.need(anchored | (widest >= p.min_ray_intersection_degrees), "insufficient_cross_node_parallax")
+    away = spot[:, None] - origin
+    close = here & anchored[:, None] & (np.linalg.norm(away, axis=2) < 0.01)
+    behind = here & anchored[:, None] & ((away * direction).sum(axis=2) <= 0)
+    first = np.argmax(close | behind, axis=1)
+    said = (close | behind).any(axis=1)
+    at_origin = close[np.arange(groups), first]
+    reasons.need(~(said & at_origin), "anchor_at_ray_origin")
+    reasons.need(~said, "anchor_behind_bearing_ray")
+
+    epoch = np.maximum.reduceat(t, g.start) if groups else np.empty(0, np.int64)
+    oldest, moving = np.minimum.reduceat(t, g.start) if groups else np.empty(0, np.int64), p.model == "constant_velocity"
+    reasons.need(epoch >= 0, "invalid_common_time_epoch")
+    span = (epoch - oldest) / 1e9
+    reasons.need(np.full(groups, not moving) | (span >= p.min_time_baseline_seconds), "insufficient_temporal_baseline_for_velocity")
+
+    # The state is a position, and for a moving target the way it covers in one window.
+    dim, eye = 6 if moving else 3, np.eye(3)
+
+    def at(times: np.ndarray) -> np.ndarray:
+        lag = (times - (epoch if times.ndim == 1 else epoch[:, None])) / 1e9 / p.window_seconds
+        still = np.broadcast_to(eye, (*times.shape, 3, 3))
+        return np.concatenate([still, lag[..., None, None] * eye], -1) if moving else still
+
+    m, m_anchor = at(time), at(anchor_t)
+    seen = here[..., None, None]
+    a = np.concatenate([np.where(seen, basis @ m, 0).reshape(groups, 2 * most, dim), np.where(anchored[:, None, None], m_anchor, 0)], 1)
+    b = np.concatenate([np.where(here[..., None], np.einsum("grik,grk->gri", basis, origin), 0).reshape(groups, 2 * most), np.where(anchored[:, None], spot, 0)], 1)
+    known = 2 * rays.size + 3 * anchored
+    a = np.where(np.isfinite(a), a, 0)
+    values = np.linalg.svd(a, compute_uv=False) if groups else np.zeros((0, dim))
+    reasons.need((known >= dim) & ((values > 1e-8).sum(axis=1) == dim), "unobservable_linear_geometry")
+    x = np.einsum("gij,gj->gi", np.linalg.pinv(a, rcond=1e-15 * max(a.shape[1:])), b) if groups else np.zeros((0, dim))
+    reasons.need(np.isfinite(x).all(axis=1), "invalid_initial_state")
+    flat = np.where(here[..., None, None], block[..., 12:].reshape(groups, most, 2, 2), np.eye(2)).reshape(-1, 2, 2)
+    w, fine = _factored(flat)
+    w, fine = w.reshape(groups, most, 2, 2), fine.reshape(groups, most).all(axis=1)
+    w_anchor, fine_anchor = _factored(np.where(anchored[:, None, None], anchor[:, 3:12].reshape(groups, 3, 3), eye))
+    reasons.need(fine & fine_anchor, "optimization_numerical_failure")
+
+    def residual(x: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        off = np.einsum("grij,gj->gri", m[i], x) - origin[i]
+        n = np.maximum(np.linalg.norm(off, axis=2), 1e-6)[..., None]
+        wb = w[i] @ basis[i]
+        r = np.einsum("grik,grk->gri", wb, off / n)
+        j = wb @ (eye / n[..., None] - off[..., :, None] * off[..., None, :] / n[..., None] ** 3) @ m[i]
+        r, j = np.where(here[i][..., None], r, 0), np.where(here[i][..., None, None], j, 0)
+        held = anchored[i]
+        r0 = np.einsum("gik,gk->gi", w_anchor[i], np.einsum("gij,gj->gi", m_anchor[i], x) - spot[i])
+        r0, j0 = np.where(held[:, None], r0, 0), np.where(held[:, None, None], w_anchor[i] @ m_anchor[i], 0)
+        return np.concatenate([r.reshape(len(i), -1), r0], 1), np.concatenate([j.reshape(len(i), -1, dim), j0], 1)
+
+    with np.errstate(all="ignore"):
+        x, rested, broken = _minimised(residual, np.where(reasons.open[:, None], x, 0), reasons.open)
+        reasons.need(~broken, "optimization_numerical_failure")
+        reasons.need(rested, "nonconvergent_window_optimization")
+        r, j = residual(x, np.arange(groups))
+        j = np.where(reasons.open[:, None, None] & np.isfinite(j), j, 0)
+        values = np.linalg.svd(j, compute_uv=False) if groups else np.zeros((0, dim))
+        condition = values[:, 0] / values[:, -1]
+        reasons.need((values[:, -1] > 1e-7) & (condition <= p.max_condition_number), "unobservable_or_ill_conditioned_state")
+        rms = np.sqrt((r**2).sum(axis=1) / np.maximum(known, 1))
+        reasons.need(np.isfinite(rms) & (rms <= p.max_normalized_rms), "factor_residual_exceeds_gate")
+        velocity = x[:, 3:] / p.window_seconds
+        reasons.need(np.linalg.norm(velocity, axis=1) <= p.max_target_speed_mps if moving else np.ones(groups, bool), "unphysical_estimated_velocity")
+        ahead = ((np.einsum("grij,gj->gri", m, x) - origin) * direction).sum(axis=2) > 0.01
+        reasons.need((ahead | ~here).all(axis=1), "ray_points_behind_camera")
+        scale = np.diag([1.0] * 3 + [1 / p.window_seconds] * (dim - 3))
+        h = np.where(reasons.open[:, None, None], j.transpose(0, 2, 1) @ j, np.eye(dim))
+        cov = scale @ np.linalg.inv(h) @ scale
+        reasons.need(np.isfinite(cov).all(axis=(1, 2)), "invalid_conditional_curvature")
+
+    good = reasons.open
+    some = lambda values: [v if ok else None for v, ok in zip(values, good.tolist(), strict=True)]
+    by_group = np.split(np.array(node, object)[is_ray], rays.start[1:]) if groups else []
     return {
-        "position": x[:3].tolist(), "velocity": velocity.tolist() if moving else None, "epoch_ns": int(epoch), "covariance": cov.reshape(-1).tolist(), "rms": rms, "n_bearings": len(rays),
-        "condition": float(values[0] / values[-1]), "span_s": (epoch - min(times)) / 1e9, "anchor_uid": anchor["uid"] if anchor else None, "bearing_nodes": sorted({y["node"] for y in rays}),
+        "accepted": good.tolist(), "reason": ["conditional_fixed_lag_solution_requires_validation" if x is None else x for x in reasons.text], "epoch_ns": some(epoch.tolist()), "position": some(x[:, :3].tolist()),
+        "velocity": some(velocity.tolist()) if moving else [None] * groups, "covariance": some(cov.reshape(groups, -1).tolist()), "rms": some(rms.tolist()), "n_bearings": some(rays.size.tolist()),
+        "condition": some(condition.tolist()), "span_s": some(span.tolist()), "anchor_uid": some(anchor_uid), "bearing_nodes": some([sorted(set(n)) for n in by_group]),
     }
 
 
-#: Columns of the result that `solve` fills.
-SOLVED = ["epoch_ns", "position", "velocity", "covariance", "rms", "n_bearings", "condition", "span_s", "anchor_uid", "bearing_nodes"]
 RESULT = (
     "group_id string, accepted boolean, reason string, epoch_ns long, position array<double>, velocity array<double>, covariance array<double>, rms double, n_bearings int,"
     " condition double, span_s double, anchor_uid string, bearing_nodes array<string>"
@@ -255,8 +334,8 @@ def window_estimates(rows: DataFrame, policy: WindowPolicy | None = None) -> Dat
     rows: one for each observation of a member: group_id, uid, node_id, seq, event_time_ns, position, covariance, quality, frame,
     map_revision, bearing, and its sensor's label, domain, alignment_id, s_frame, s_map, offset_ns, clock_uncertainty_ns.
 
-    Gates and the choice of observations are joins and aggregates; what goes to the solver is a group's chosen factors, at most
-    max_observations of them. Groups that fail a gate before never get there.
+    Gates and the choice of observations are joins and aggregates; what goes to the solver is one row for each group with its chosen factors, at most
+    max_observations of them, and an Arrow batch of such rows is solved at once. Groups that fail a gate before never get there.
     """
     policy = policy or WindowPolicy()
     constant = [
@@ -281,14 +360,24 @@ def window_estimates(rows: DataFrame, policy: WindowPolicy | None = None) -> Dat
     )
     groups = groups.withColumn("early", early).select("group_id", "early")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        try:
-            solved, reason = solve(g, policy), "conditional_fixed_lag_solution_requires_validation"
-        except Refused as e:
-            solved, reason = {}, str(e)
-        row = [g["group_id"].iloc[0], bool(solved), reason, *(solved.get(k) for k in SOLVED)]
-        return pd.DataFrame([row], columns=["group_id", "accepted", "reason", *SOLVED]).astype({"epoch_ns": "Int64", "n_bearings": "Int64"})
-
-    tried = use.join(groups.where("early IS NULL").select("group_id"), "group_id", "left_semi").groupBy("group_id").applyInPandas(run, RESULT)
+    kinds = {"accepted": pa.bool_(), "reason": pa.string(), "epoch_ns": pa.int64(), "position": pa.list_(pa.float64()), "velocity": pa.list_(pa.float64()), "covariance": pa.list_(pa.float64()),
+             "rms": pa.float64(), "n_bearings": pa.int32(), "condition": pa.float64(), "span_s": pa.float64(), "anchor_uid": pa.string(), "bearing_nodes": pa.list_(pa.string())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # Groups of like size together, so that padding stays small.
+            size = np.array([len(x) for x in b.column("factors")], np.int64)
+            order, at = np.argsort(size, kind="stable"), 0
+            while at < len(order):
+                n = 1
+                while at + n < len(order) and (n + 1) * size[order[at + n]] <= AT_ONCE:
+                    n += 1
+                some = b.take(pa.array(order[at : at + n]))
+                found = solved_windows(some.column("factors"), policy)
+                yield pa.RecordBatch.from_arrays([some.column("group_id"), *[pa.array(found[c], kind) for c, kind in kinds.items()]], ["group_id", *kinds])
+                at += n
+
+    ready = use.join(groups.where("early IS NULL").select("group_id"), "group_id", "left_semi")
+    tried = packed_factors(ready).mapInArrow(run, RESULT)
     refused = groups.where("early IS NOT NULL").select("group_id", F.lit(False).alias("accepted"), F.col("early").alias("reason"))
     return tried.unionByName(refused, allowMissingColumns=True)
