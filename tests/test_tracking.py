@@ -181,6 +181,45 @@ def test_sticky_ids_and_revisions(spark):
     assert identity.signature(new) == identity.signature(new.repartition(3)) != identity.signature(old)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_claims_against_sequential_ones(spark, monkeypatch, seed):
+    monkeypatch.setattr(identity, "LOCAL_CLAIMS", [0, 5, 100_000][seed % 3])  # in rounds, in both ways, by one task
+    rng = random.Random(seed)
+    uids = [f"u{k:02d}" for k in range(60)]
+    of = {u: rng.randrange(25) for u in uids}
+    groups = {k: sorted(u for u in uids if of[u] == k) for k in set(of.values())}
+    held = {u: f"old{rng.randrange(12)}" for u in uids if rng.random() < 0.8}
+    counts = {k: {g: sum(held.get(u) == g for u in us) for g in {held[u] for u in us if u in held}} for k, us in groups.items()}
+    used, want = set(), {}
+    for k in sorted(groups, key=lambda k: (-max(counts[k].values(), default=0), -len(groups[k]), groups[k])):
+        gid = next((g for g in sorted(counts[k], key=lambda g: (-counts[k][g], g)) if g not in used), None) or identity.minted(groups[k][0])
+        used.add(gid)
+        want.update(dict.fromkeys(groups[k], gid))
+    rows = spark.createDataFrame([(u, us[0]) for us in groups.values() for u in us], "uid string, group_id string").repartition(3)
+    got = identity.assign_ids(rows, spark.createDataFrame(list(held.items()), "uid string, global_id string"))
+    assert {r["uid"]: r["global_id"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("local", [0, 20, 100_000])
+def test_long_chains_and_many_groups_of_cliques(spark, monkeypatch, local):
+    """One component through all nodes: a chain, and cliques that lie on it."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    rng = random.Random(8)
+    names = [f"u{i:03d}" for i in range(120)]
+    cost = lambda: rng.choice([0.5, 1.0, 2.0, rng.random()])
+    edges = [(a, b, cost()) for a, b in zip(names, names[1:], strict=False)]
+    edges += [(names[i], names[j], cost()) for i in range(0, 120, 4) for j in range(i + 2, min(i + 5, 120))]
+    node = {u: f"n{int(u[1:]) % 7}" for u in names}
+    of, linked = {u: {u} for u in names}, {frozenset(e[:2]) for e in edges}
+    for a, b, _ in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        x, y = of[a], of[b]
+        if x is not y and len(x | y) <= 4 and len({node[u] for u in x | y}) == len(x | y) and all(frozenset((u, v)) in linked for u in x for v in y):
+            for u in x | y:
+                of[u] = x | y
+    groups = graph.clique_groups(edges_of(spark, edges), spark.createDataFrame([*node.items(), ("alone", "n0")], "uid string, node_id string")).collect()
+    assert {r["uid"]: r["group_id"] for r in groups} == {u: min(g) for u, g in of.items()} | {"alone": "alone"}
+
+
 def test_taken_ids_are_salted_on(spark):
     groups = spark.createDataFrame([("A", "A")], "uid string, group_id string")
     old = spark.createDataFrame([(f"x{k}", identity.minted("A", k)) for k in range(6)], "uid string, global_id string")

@@ -368,38 +368,83 @@ def exact_pairs(edges: DataFrame, most_nodes: int = 26) -> DataFrame:
     return placed.groupBy("component").applyInPandas(solve, "left_uid string, right_uid string, cost double")
 
 
+#: Two groups with edges between them: the least of these, how many there are, and the groups' sensors.
+BETWEEN = "x string, y string, cost double, left_uid string, right_uid string, m long, sx array<string>, sy array<string>"
+
+
+def _merged(most: int):
+    """What going through all of a task's group pairs in order joins: (x, y), y becoming part of x."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near: dict[str, dict[str, int]] = {}
+        sensors: dict[str, set] = {}
+        of: dict[str, str] = {}
+        rows = pd.concat([*batches, pd.DataFrame({c.split()[0]: [] for c in BETWEEN.split(", ")})]).sort_values(["cost", "left_uid", "right_uid"])
+        for r in rows.itertuples():
+            near.setdefault(r.x, {})[r.y] = near.setdefault(r.y, {})[r.x] = r.m
+            sensors[r.x], sensors[r.y] = set(r.sx), set(r.sy)
+
+        def find(u: str) -> str:
+            while (up := of.setdefault(u, u)) != u:
+                of[u] = u = of[up]
+            return u
+
+        joined = []
+        for x, y in zip(rows["x"], rows["y"], strict=True):
+            x, y = sorted((find(x), find(y)))
+            a, b = sensors[x], sensors[y]
+            if x == y or len(a) + len(b) > most or a & b or near[x].get(y) != len(a) * len(b):
+                continue
+            joined.append((x, y))
+            of[y], sensors[x] = x, a | b
+            for z, m in near.pop(y).items():
+                del near[z][y]
+                if z != x:
+                    near[x][z] = near[z][x] = near[x].get(z, 0) + m
+        yield pd.DataFrame(joined, columns=["x", "y"], dtype="object")
+
+    return run
+
+
 def clique_groups(edges: DataFrame, nodes: DataFrame, most: int = 4) -> DataFrame:
     """(uid, group_id): groups of nodes all pairs of which are edges, at most `most`, no sensor twice.
 
-    Edges are gone through by (cost, left_uid, right_uid) and the two groups at their ends become one if the result
-    would be such a group. Merges never leave a connected component, so components are independent tasks.
-    Nodes (uid, node_id) without edges are groups of one. group_id is the group's least uid.
+    The result is that of going through the edges by (cost, left_uid, right_uid) and making the two groups at the ends of each one if that
+    gives such a group. Nodes (uid, node_id) without edges are groups of one. group_id is the group's least uid.
+
+    Pairs of groups are rows with their least edge, the number of edges and the sensors of both. Two groups may become one if the edges are as many as
+    their members' products, and once they may not, they never may: such rows go at once. Of the rest, in each round the pairs whose edge comes first at both groups
+    become one, all in parallel: nothing that comes before can reach them any more. Up to LOCAL_EDGES
+    rows are one task's work. A chain whose costs rise from end to end takes a round for each second link beyond that number.
     """
     if not 2 <= most <= 8:
         raise ValueError("most must be 2 to 8")
-    edges = checkpoint(edges.select("left_uid", "right_uid", "cost"))
-    label = components(edges)
     sensor = nodes.select("uid", "node_id")
-    placed = edges.join(label.withColumnRenamed("uid", "left_uid"), "left_uid")
-    placed = placed.join(sensor.select(F.col("uid").alias("left_uid"), F.col("node_id").alias("left_node")), "left_uid").join(sensor.select(F.col("uid").alias("right_uid"), F.col("node_id").alias("right_node")), "right_uid")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cost", "left_uid", "right_uid"])
-        linked = {frozenset(p) for p in zip(pdf["left_uid"], pdf["right_uid"], strict=True)}
-        where = {**dict(zip(pdf["left_uid"], pdf["left_node"], strict=True)), **dict(zip(pdf["right_uid"], pdf["right_node"], strict=True))}
-        of = {u: (u,) for u in where}
-        for a, b in zip(pdf["left_uid"], pdf["right_uid"], strict=True):
-            x, y = of[a], of[b]
-            if x is y or len(x) + len(y) > most or {where[u] for u in x} & {where[u] for u in y}:
-                continue
-            if all(frozenset((u, v)) in linked for u in x for v in y):
-                both = tuple(sorted(x + y))
-                of.update(dict.fromkeys(both, both))
-        return pd.DataFrame([(u, g[0]) for u, g in of.items()], columns=["uid", "group_id"])
-
-    grouped = checkpoint(placed.groupBy("component").applyInPandas(solve, "uid string, group_id string"))
-    alone = sensor.join(grouped, "uid", "left_anti").select("uid", F.col("uid").alias("group_id"))
-    return grouped.unionByName(alone)
+    end = lambda c, x: sensor.select(F.col("uid").alias(c), F.array("node_id").alias(x))
+    first = edges.select("left_uid", "right_uid", "cost").join(end("left_uid", "sl"), "left_uid").join(end("right_uid", "sr"), "right_uid").where("left_uid <> right_uid")
+    swap = F.col("left_uid") > F.col("right_uid")
+    first = first.select(F.least("left_uid", "right_uid").alias("x"), F.greatest("left_uid", "right_uid").alias("y"), "cost", "left_uid", "right_uid", F.when(swap, F.col("sr")).otherwise(F.col("sl")).alias("sx"), F.when(swap, F.col("sl")).otherwise(F.col("sr")).alias("sy"))
+    least = F.min(F.struct("cost", "left_uid", "right_uid")).alias("r")
+    unpack = lambda df: df.select("x", "y", "r.cost", "r.left_uid", "r.right_uid", "m", "sx", "sy")
+    able = (F.size("sx") + F.size("sy") <= most) & (F.col("m") == F.size("sx") * F.size("sy")) & ~F.arrays_overlap("sx", "sy")
+    left = checkpoint(unpack(first.groupBy("x", "y").agg(least, F.lit(1).cast("long").alias("m"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))).where(able))
+    joined = None
+    while not _at_most(left, LOCAL_EDGES):
+        rank = F.struct("cost", "left_uid", "right_uid", "x", "y", "sx", "sy")
+        best = left.select(F.col("x").alias("uid"), rank.alias("r")).union(left.select("y", rank)).groupBy("uid").agg(F.min("r").alias("r"))
+        wins = checkpoint(best.groupBy("r").agg(F.count("*").alias("n")).where("n = 2").select("r.x", "r.y", F.concat("r.sx", "r.sy").alias("s")))
+        joined = wins.select("x", "y") if joined is None else joined.union(wins.select("x", "y"))
+        moved = wins.select(F.col("x").alias("was"), F.col("x").alias("now"), "s").union(wins.select("y", "x", "s"))
+        side = lambda c: moved.select(F.col("was").alias(c), F.col("now").alias(f"n{c}"), F.col("s").alias(f"n_s{c}"))  # noqa: E731, B023
+        met = left.join(side("x"), "x", "left").join(side("y"), "y", "left")
+        met = met.withColumns({c: F.coalesce(f"n{c}", c) for c in ("x", "y")} | {f"s{c}": F.coalesce(f"n_s{c}", f"s{c}") for c in ("x", "y")}).where("x <> y")
+        turned = F.col("x") > F.col("y")
+        met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "cost", "left_uid", "right_uid", "m", F.when(turned, F.col("sy")).otherwise(F.col("sx")).alias("sx"), F.when(turned, F.col("sx")).otherwise(F.col("sy")).alias("sy"))
+        left = checkpoint(unpack(met.groupBy("x", "y").agg(least, F.sum("m").alias("m"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))).where(able))
+    rest = checkpoint(left.coalesce(1).mapInPandas(_merged(most), "x string, y string"))
+    joined = rest if joined is None else joined.union(rest)
+    grouped = components(joined.select(F.col("x").alias("left_uid"), F.col("y").alias("right_uid")))
+    return sensor.join(grouped, "uid", "left").select("uid", F.coalesce("component", "uid").alias("group_id"))
 
 
 def pair_groups(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import checkpoint, numbered
-from .graph import components
 
 
 def minted(uid: str, salt: int = 0) -> str:
@@ -46,34 +46,50 @@ def assign_ids(groups: DataFrame, old: DataFrame) -> DataFrame:
     come first, then larger ones, then by member uids; ties between old ids go to the smaller. A group
     without a free old id gets one minted from its first uid, salted while the previous snapshot has it.
 
-    Only groups that share an old id can contend for it, so contention is solved in one task for each
-    connected component of groups and old ids, not for all.
+    In each round every open group asks for the first of the old ids on its list that is still free. An id goes to the first of those that ask
+    for it if no group that comes before, and is open, has it on its list at all; so what a round decides is what going through the groups one
+    after another decides, and all of it is in parallel. Up to LOCAL_CLAIMS claims are one task's work.
     """
     groups = checkpoint(groups.select("uid", "group_id"))
     taken = checkpoint(old.select("global_id").distinct())
     if taken.isEmpty():
         ids = _free_ids(groups.groupBy("group_id").agg(F.min("uid").alias("first")), taken)
         return groups.join(ids, "group_id").select("uid", "group_id", "global_id")
-    was = checkpoint(groups.join(old.select("uid", "global_id"), "uid", "left"))
-    overlap = was.where("global_id IS NOT NULL").select(F.concat(F.lit("n:"), "group_id").alias("left_uid"), F.concat(F.lit("o:"), "global_id").alias("right_uid")).distinct()
-    label = components(overlap).where("uid LIKE 'n:%'").select(F.substring("uid", 3, 1_000_000).alias("group_id"), "component")
-    placed = was.join(label, "group_id")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        plans = []
-        for group, rows in pdf.groupby("group_id"):
-            counts = rows["global_id"].dropna().value_counts().to_dict()
-            plans.append((-max(counts.values(), default=0), -len(rows), tuple(sorted(rows["uid"])), group, sorted(counts, key=lambda g: (-counts[g], g))))
-        used, out = set(), []
-        for *_, group, wanted in sorted(plans):
-            gid = next((g for g in wanted if g not in used), None)
+    counts = groups.join(old.select("uid", "global_id"), "uid").groupBy("group_id", "global_id").agg(F.count("*").alias("n"))
+    ranked = groups.groupBy("group_id").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("uid")).alias("uids"))  # groups are small: at most 8
+    most = counts.groupBy("group_id").agg(F.max("n").alias("most")).join(ranked, "group_id")
+    claims = counts.join(most, "group_id").select("group_id", "global_id", "n", F.struct((-F.col("most")).alias("a"), (-F.col("size")).alias("b"), F.col("uids").alias("c"), "group_id").alias("turn"))
+    left, kept = checkpoint(claims), None
+    while left.limit(LOCAL_CLAIMS + 1).count() > LOCAL_CLAIMS:
+        wish = left.groupBy("group_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "global_id")).alias("w")).select("group_id", F.col("w.global_id").alias("global_id"))
+        first = left.groupBy("global_id").agg(F.min("turn").alias("turn")).select("global_id", F.col("turn.group_id").alias("group_id"))
+        wins = checkpoint(wish.join(first, ["group_id", "global_id"]))
+        kept = wins if kept is None else kept.unionByName(wins)
+        left = checkpoint(left.join(wins.select("group_id"), "group_id", "left_anti").join(wins.select("global_id"), "global_id", "left_anti").select("group_id", "global_id", "n", "turn"))
+    flat = left.select("group_id", "global_id", "n", F.col("turn.a").alias("a"), F.col("turn.b").alias("b"), F.array_join("turn.c", "\x00").alias("c"))
+    rest = checkpoint(flat.coalesce(1).mapInPandas(_claimed, "group_id string, global_id string"))
+    kept = rest if kept is None else kept.unionByName(rest)
+    without = groups.join(kept, "group_id", "left_anti").groupBy("group_id").agg(F.min("uid").alias("first"))
+    return groups.join(kept.unionByName(_free_ids(without, taken)), "group_id").select("uid", "group_id", "global_id")
+
+
+#: Claims of groups to old ids up to this number are settled by one task, more in rounds over all tasks; the results are the same.
+LOCAL_CLAIMS = 100_000
+
+
+def _claimed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Groups in their turn, each with the first old id on its list that none before it took."""
+    rows = pd.concat([*batches, pd.DataFrame({c: [] for c in ("group_id", "global_id", "n", "a", "b", "c")})])
+    plans: dict[str, tuple] = {}
+    for r in rows.itertuples():
+        plans.setdefault(r.group_id, ((r.a, r.b, r.c.split("\x00"), r.group_id), []))[1].append((-r.n, r.global_id))
+    used: set[str] = set()
+    out = []
+    for (*_, group), wanted in sorted(plans.values()):
+        if gid := next((g for _, g in sorted(wanted) if g not in used), None):
             used.add(gid)
             out.append((group, gid))
-        return pd.DataFrame(out, columns=["group_id", "global_id"])
-
-    kept = checkpoint(placed.select("uid", "group_id", "global_id", "component").groupBy("component").applyInPandas(solve, "group_id string, global_id string").where("global_id IS NOT NULL"))
-    rest = groups.join(kept, "group_id", "left_anti").groupBy("group_id").agg(F.min("uid").alias("first"))
-    return groups.join(kept.union(_free_ids(rest, taken)), "group_id").select("uid", "group_id", "global_id")
+    yield pd.DataFrame(out, columns=["group_id", "global_id"], dtype="object")
 
 
 def revisions(old: DataFrame, new: DataFrame, last: int = 0) -> DataFrame:
