@@ -428,6 +428,44 @@ def test_policies():
     for bad in ({"model": "other"}, {"window_seconds": 6}, {"min_time_baseline_seconds": 2.0}, {"max_observations": 3}, {"max_observations": 64.0}, {"stationary_target_verified": 1}):
         with pytest.raises(ValueError):
             window_ls.WindowPolicy.from_dict(bad)
-    for bad in ({"max_pair_dt_s": 0}, {"min_quality": float("nan")}, {"maximum_speed_mps": True}):
+    for bad in ({"max_pair_dt_s": 5}, {"max_pair_dt_s": -0.1}, {"min_quality": float("nan")}, {"min_quality": 7}, {"maximum_speed_mps": True}, {"maximum_speed_mps": 0}, {"maximum_sigma_m": 1e9}, {"maximum_ray_separation_sigma": 0}, {"clock_error_gate_s": "1"}):
         with pytest.raises(ValueError):
             associate.AssociationPolicy(**bad)
+
+
+def aligned(**more):
+    return {"verified": True, "domain": "shared_sim", "clock_uncertainty_ns": 1_000_000, "alignment_id": "a", "coordinate_frame_id": "f", "map_revision": "m"} | more
+
+
+def test_association_configuration():
+    config = associate.AssociationConfig.from_dict(
+        {"sources": {"x": aligned(offset_ns=-5), "y": {"verified": False, "domain": "nonsense"}, "z": {"verified": 1}}, "class_labels": {"x": {"0": "  Person ", "07": "CAR"}, "y": {}}, "max_pair_dt_s": 0, "min_quality": 1, "unknown": 3}
+    )
+    assert config.sources == [("x", True, "shared_sim", -5, 1_000_000, "a", "f", "m")] and config.labels == [("x", 0, "person"), ("x", 7, "car")]
+    assert config.policy == associate.AssociationPolicy(max_pair_dt_s=0, min_quality=1)
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        None, [], {}, {"sources": []}, {"sources": {"": aligned()}}, {"sources": {3: aligned()}}, {"sources": {"x": 1}},
+        *[{"sources": {"x": aligned(**c)}} for c in ({"domain": "utc"}, {"domain": None}, {"alignment_id": ""}, {"coordinate_frame_id": 5}, {"map_revision": None}, {"offset_ns": 1.0}, {"offset_ns": True}, {"offset_ns": 60_000_000_001}, {"clock_uncertainty_ns": None}, {"clock_uncertainty_ns": -1}, {"clock_uncertainty_ns": 1_000_000_001}, {"clock_uncertainty_ns": True})],
+        *[{"sources": {}, "class_labels": c} for c in ([], {"x": 1}, {"x": {"a": "car"}}, {"x": {"-1": "car"}}, {"x": {0: "car"}}, {"x": {"0": " "}}, {"x": {"0": None}}, {"x": {"0": "y" * 129}})],
+        *[{"sources": {}, name: value} for name, (low, high) in associate.ASSOCIATION_RANGES.items() for value in (low - 0.01, high + 0.01, True, "1", None, float("nan"))],
+    ],
+)
+def test_association_refusals(data):
+    with pytest.raises(ValueError):
+        associate.AssociationConfig.from_dict(data)
+
+
+def test_pairs_of_a_configured_association(spark):
+    """Labels meet whatever their case and the white space around them; offsets bring clocks together; what isn't verified stays alone."""
+    t = found(spark, seen("node_0", 1, 1000, 1), seen("node_1", 1, 5000, 1), seen("node_2", 1, 1000, 1))
+    labels = {"node_0": {"0": "Person", "1": "Person"}, "node_1": {"0": "\tperson ", "1": "\tperson "}, "node_2": {"0": "person", "1": "person"}}
+    side = lambda **more: aligned(coordinate_frame_id=adapters.FRAME, map_revision=adapters.MAP, **more)
+    config = associate.AssociationConfig.from_dict({"sources": {"node_0": side(), "node_1": side(offset_ns=-4000), "node_2": side(verified=False)}, "class_labels": labels, "max_pair_dt_s": 0})
+    got = associate.candidate_pairs(t, *config.tables(spark), config.policy).collect()
+    assert [(r["left_uid"][2:8], r["right_uid"][2:8], r["elapsed_s"]) for r in got] == [("node_0", "node_1", 0.0)]
+    raw = spark.createDataFrame([("node_0", k, " A") for k in (0, 1)] + [("node_1", k, "a\n") for k in (0, 1)], "node_id string, class_id long, label string")
+    assert associate.candidate_pairs(t, config.tables(spark)[0], raw, config.policy).count() == 1

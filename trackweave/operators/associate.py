@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .checkpoints import checkpoint
+from .policies import in_range
 
 #: Longest time between an observation and the ray that it is held against (fixed value).
 RAY_AGE_NS = 250_000_000
 
 
+#: Ranges of the policy's values (fixed values).
+ASSOCIATION_RANGES = {
+    "max_pair_dt_s": (0, 2), "maximum_speed_mps": (0.1, 200), "maximum_sigma_m": (0.001, 100), "max_mahalanobis_sq": (0.1, 100), "min_quality": (0, 1), "clock_error_gate_s": (0, 1),
+    "minimum_ray_crossing_deg": (0.1, 40), "maximum_ray_separation_sigma": (0.1, 10),
+}
+#: Clock domains in which sensors may be associated, and the largest offset and uncertainty of a sensor's clock (fixed values).
+DOMAINS, MAX_OFFSET_NS, MAX_UNCERTAINTY_NS = ("shared_utc", "shared_sim"), 60_000_000_000, 1_000_000_000
+MAX_LABEL = 128
+
+
 @dataclass(frozen=True)
 class AssociationPolicy:
     """Gates of the pair join; the defaults and ranges are fixed values of the domain."""
@@ -28,12 +39,76 @@ class AssociationPolicy:
     maximum_ray_separation_sigma: float = 4.0
 
     def __post_init__(self):
-        for f in fields(self):
-            value = getattr(self, f.name)
-            if isinstance(value, bool) or not isinstance(value, int | float) or not 0 <= value < float("inf"):
-                raise ValueError(f"{f.name} must be a finite number of 0 or more")
-        if self.max_pair_dt_s == 0:
-            raise ValueError("max_pair_dt_s must be above 0")
+        for name, (low, high) in ASSOCIATION_RANGES.items():
+            in_range(name, getattr(self, name), low, high)
+
+
+SOURCE = "node_id string, verified boolean, domain string, offset_ns long, clock_uncertainty_ns long, alignment_id string, frame string, map_revision string"
+
+
+@dataclass(frozen=True)
+class AssociationConfig:
+    """A configured association: its policy, the alignment of verified sensors, and (node_id, class_id, label) of their models' classes."""
+
+    policy: AssociationPolicy
+    sources: list[tuple]
+    labels: list[tuple[str, int, str]]
+
+    @classmethod
+    def from_dict(cls, data: dict) -> AssociationConfig:
+        """From configured values: `sources` by node, `class_labels` by node and class id, and the policy's own by name. Other keys are ignored.
+
+        Sensors that aren't verified are left out, whatever else they have, and stay unassociated. What a verified one has must be complete and in range; labels
+        are compared without white space around them and in lower case. Anything else is refused.
+        """
+        entries = data.get("sources") if type(data) is dict else None
+        if type(entries) is not dict:
+            raise ValueError("sources are required: an object by node")
+        labels = data.get("class_labels", {})
+        if type(labels) is not dict or not all(type(x) is dict for x in labels.values()):
+            raise ValueError("class_labels must be an object by node and class id")
+        sources = [s for s in (_source(node, item) for node, item in entries.items()) if s]
+        named = {(node, int(key)): _label(node, key, name) for node, of in labels.items() for key, name in of.items() if _decimal(node, key)}
+        policy = AssociationPolicy(**{f.name: data[f.name] for f in fields(AssociationPolicy) if f.name in data})
+        return cls(policy, sources, [(*k, label) for k, label in named.items()])
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """The sources and labels that `candidate_pairs` takes."""
+        return spark.createDataFrame(self.sources, SOURCE), spark.createDataFrame(self.labels, "node_id string, class_id long, label string")
+
+
+def _whole(value, low: int, high: int) -> bool:
+    return type(value) is int and low <= value <= high
+
+
+def _source(node, item) -> tuple | None:
+    if not isinstance(node, str) or not node or type(item) is not dict:
+        raise ValueError("a source needs a name and an object")
+    if item.get("verified") is not True:
+        return None
+    if item.get("domain") not in DOMAINS:
+        raise ValueError(f"source {node}: domain must be one of {DOMAINS}")
+    names = [item.get(n) for n in ("alignment_id", "coordinate_frame_id", "map_revision")]
+    if not all(isinstance(n, str) and n for n in names):
+        raise ValueError(f"source {node}: alignment_id, coordinate_frame_id and map_revision are required")
+    offset, uncertainty = item.get("offset_ns", 0), item.get("clock_uncertainty_ns")
+    if not _whole(offset, -MAX_OFFSET_NS, MAX_OFFSET_NS):
+        raise ValueError(f"source {node}: offset_ns must be whole and within a minute")
+    if not _whole(uncertainty, 0, MAX_UNCERTAINTY_NS):
+        raise ValueError(f"source {node}: clock_uncertainty_ns must be whole and 0 to a second")
+    return (node, True, item["domain"], offset, uncertainty, *names)
+
+
+def _decimal(node: str, key) -> bool:
+    if type(key) is not str or not key.isdecimal():
+        raise ValueError(f"class_labels of {node}: a class id must be written in digits")
+    return True
+
+
+def _label(node: str, key: str, name) -> str:
+    if type(name) is not str or not name.strip() or len(name) > MAX_LABEL:
+        raise ValueError(f"class_labels of {node}: class {key} needs a label of {MAX_LABEL} characters at most")
+    return name.strip().lower()
 
 
 def localised(tracklets: DataFrame, sources: DataFrame, labels: DataFrame, policy: AssociationPolicy) -> DataFrame:
@@ -42,7 +117,8 @@ def localised(tracklets: DataFrame, sources: DataFrame, labels: DataFrame, polic
     The sensor must be verified, the class have a label, and the latest observation stand in the sensor's
     frame and map with enough quality. Policy tables are small dimensions; Spark picks the join.
     """
-    named = tracklets.where("latest IS NOT NULL").join(labels.where("label <> ''"), ["node_id", "class_id"])
+    plain = labels.withColumn("label", F.lower(F.regexp_replace("label", r"^\s+|\s+$", "")))
+    named = tracklets.where("latest IS NOT NULL").join(plain.where("label <> ''"), ["node_id", "class_id"])
     met = named.join(sources.where("verified").withColumnRenamed("frame", "s_frame").withColumnRenamed("map_revision", "s_map"), "node_id")
     met = met.where((F.col("latest.frame") == F.col("s_frame")) & (F.col("latest.map_revision") == F.col("s_map")) & (F.col("latest.quality") >= policy.min_quality))
     met = met.where(V.bounded(F.col("latest.covariance"), policy.maximum_sigma_m))
@@ -72,7 +148,7 @@ def _met(rows: DataFrame, policy: AssociationPolicy) -> DataFrame:
     Both gates become join keys: time is cut into slots and the ground into cells, one side is put into all that its reach touches (two or three on average) and
     the other into its own. So pairs meet by hash, and a join of any size is split by label, context, time and place.
     """
-    width = int(policy.max_pair_dt_s * 1e9)
+    width = max(int(policy.max_pair_dt_s * 1e9), 1)
     most = policy.max_pair_dt_s + policy.clock_error_gate_s
     reach = policy.maximum_speed_mps * (most + FAST * policy.max_pair_dt_s) + 3.5 * policy.maximum_sigma_m
     cell = max(2 * reach, 1.0)
