@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,24 +57,31 @@ def test_equals_brute_force(spark, rows, least, depth, top):
 
 
 def test_small_chunks_and_many_ranges(spark, rows, monkeypatch):
-    """Tries sent again and again, pieces cut with overlaps, and walks that begin far below the root."""
-    for name, value in (("CHUNK", 70), ("HELD", 40), ("BLOCK", 8), ("SLICE", 50)):
-        monkeypatch.setattr(col, name, value)
-    grow = col._grow  # the tasks' own modules have the usual values, so what is sent there is wrapped in one that sets them
+    """Tries sent again and again, pieces cut with overlaps, many ranges with parts of their own, and walks that begin far below the root."""
+    small = {"CHUNK": 70, "HELD": 90, "BLOCK": 8, "SLICE": 50, "RANGE": 6, "SAMPLE": 30}
+
+    def here(make):  # the module's functions see a worker's module, so each task sets its sizes
+        def made(*given):
+            run = make(*given)
 
-    def small(*given):
-        run = grow(*given)
+            def wrapped(batches):
+                from trackweave.llm import collocations as there
 
-        def wrapped(batches):
-            from trackweave.llm import collocations as there
+                usual = {k: getattr(there, k) for k in small}
+                for k, v in small.items():
+                    setattr(there, k, v)
+                yield from run(batches)
+                for k, v in usual.items():
+                    setattr(there, k, v)
 
-            there.CHUNK, there.HELD, there.BLOCK, there.SLICE = 70, 40, 8, 50
-            yield from run(batches)
-            there.CHUNK, there.HELD, there.BLOCK, there.SLICE = 200_000, 500_000, 8192, 1 << 21
+            return wrapped
 
-        return wrapped
+        return made
 
-    monkeypatch.setattr(col, "_grow", small)
+    for name, value in small.items():
+        monkeypatch.setattr(col, name, value)
+    for name in ("_grow", "_dealt", "_merge"):
+        monkeypatch.setattr(col, name, here(getattr(col, name)))
     docs = spark.createDataFrame([(lang or "und", text) for lang, text in rows], "lang string, text string").repartition(3)
     kept = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in kept}
@@ -103,9 +112,10 @@ def test_long_pieces_lose_no_phrase(monkeypatch):
 
 def test_blocks_round_trip():
     trie = {b"": 9, b"b a": 3, b"a": 2**40, "é \x01".encode(): 1}
-    (block,) = packed(trie)
+    pack = lambda t: list(packed(pa.array(list(t), pa.binary()), np.array(list(t.values()), np.int64)))
+    ((nodes, first, block),) = pack(trie)
     paths, n = unpacked(block)
-    assert paths == sorted(trie) and n.tolist() == [trie[p] for p in paths] and list(packed({})) == []
+    assert (nodes, first) == (4, b"") and paths.to_pylist() == sorted(trie) and n.tolist() == [trie[p] for p in sorted(trie)] and pack({}) == []
 
 
 def test_scores_beyond_64_bits(spark):
@@ -118,6 +128,7 @@ def test_scores_beyond_64_bits(spark):
 
 
 def test_odd_tables(spark, docs, nothing, rows):
-    assert collocations(nothing).count() == 0 and collocations(docs).count() == 0
+    assert collocations(nothing).count() == 0
+    assert sorted(map(tuple, collocations(docs).collect())) == brute([(r["lang"], r["text"]) for r in docs.collect()], 100, 5, 2000) != []
     clash = spark.createDataFrame(rows, "lang string, text string").withColumn("a.b", F.lit(1)).withColumn("rank", F.create_map(F.lit("x"), F.lit(1)))
     assert sorted(map(tuple, collocations(clash.repartition(2), 40, 3).collect())) == brute(rows, 40, 3, 2000)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +24,10 @@ from .ngrams import BASE, BYTE, _mix, powers
 
 #: Capital letters become small, what ends a piece a line feed.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-#: Words whose phrases are counted in one go, nodes that a shard's trie holds before it is sent, nodes of one serialised block.
-CHUNK, HELD, BLOCK = 200_000, 500_000, 8192
+#: Words whose phrases are counted in one go, nodes and words that a shard's trie holds before it is sent, nodes of one serialised block.
+CHUNK, HELD, BLOCK = 300_000, 2_000_000, 8192
+#: Nodes of one range on average, and blocks whose first paths are looked at for the ranges' bounds.
+RANGE, SAMPLE = 250_000, 20_000
 #: Bytes of a piece that are split into words at a time.
 SLICE = 1 << 21
 #: Bits of the filter for each frequent phrase, and the least and largest of its sizes as powers of two: 64 MB at most.
@@ -71,60 +77,141 @@ def _place(h: np.ndarray, lang: str, bits: int) -> np.ndarray:
 # --- a shard's trie, one or two levels at a time -----------------------------------------------------
 
 
-def packed(counts: dict[bytes, int]) -> Iterator[bytes]:
-    """The nodes in order of their paths, serialised in blocks."""
-    paths = sorted(counts)
+def packed(paths: pa.Array, counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(nodes, first path, block): the nodes in order of their paths, serialised in blocks."""
+    order = pc.sort_indices(paths)
+    paths, counts = paths.take(order), counts[order.to_numpy()]
     for at in range(0, len(paths), BLOCK):
-        some = paths[at : at + BLOCK]
-        yield zlib.compress(np.array([len(some), *map(counts.__getitem__, some)], "<i8").tobytes() + b"\n".join(some), 1)
+        some = paths.slice(at, BLOCK)
+        size = pc.binary_length(some).to_numpy()
+        yield len(some), some[0].as_py(), zlib.compress(b"".join([np.array([len(some)], "<i8").tobytes(), counts[at : at + BLOCK].astype("<i8").tobytes(), size.astype("<i4").tobytes(), *some.to_pylist()]), 1)
 
 
-def unpacked(block: bytes) -> tuple[list[bytes], np.ndarray]:
+def unpacked(block: bytes) -> tuple[pa.Array, np.ndarray]:
     data = zlib.decompress(block)
     n = int(np.frombuffer(data, "<i8", 1)[0])
-    return data[8 * (n + 1) :].split(b"\n"), np.frombuffer(data, "<i8", n, 8)
+    end = np.zeros(n + 1, np.int32)
+    np.cumsum(np.frombuffer(data, "<i4", n, 8 + 8 * n), out=end[1:])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(end.tobytes()), pa.py_buffer(data[8 + 12 * n :])]), np.frombuffer(data, "<i8", n, 8)
 
 
-def _grow(levels: tuple[int, ...], base: int, shared, depth: int):
-    """Counts phrases of `levels` words, all of whose runs of `base` words pass the filter (none for base 0), and with level 1 the root: all words.
+class Words(dict):
+    """Numbers of words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
 
-    A node is thus added under a frequent parent alone, and if what its suffix link leads to is frequent too.
+class Trie:
+    """The nodes of one language that lie `levels` words deep and all of whose runs of `base` words pass the filter.
+
+    A node is thus added under a frequent parent alone, and if what its suffix link leads to is frequent too. A node is the hash of its
+    path, the numbers of its words and a count; paths are put together when the trie is sent.
     """
 
+    def __init__(self, lang: str, levels: tuple[int, ...], base: int, table: np.ndarray, bits: int):
+        self.lang, self.levels, self.base, self.table, self.bits = lang, levels, base, table, bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.hashes = Words(), np.empty(0, np.uint64)
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {k: [] for k in self.levels}
+        self.nodes, self.settled = 0, 0
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        at = _place(h, self.lang, self.bits)
+        return (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def count(self, words: list[bytes], sizes: list[int], again: list[int]) -> None:
+        before, n = len(self.words), len(words)
+        seq = np.fromiter(map(self.words.__getitem__, words), np.int64, n)
+        if len(self.words) > before:
+            self.hashes = np.concatenate([self.hashes, word_hashes(list(islice(self.words, before, None)))])
+        inside = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left, seen = np.repeat(sizes, sizes) - inside, np.repeat(again, sizes) - inside
+        good = self.known(self.hashes)[seq] if self.base == 1 else None
+        h = w = self.hashes[seq]
+        for k in range(2, max(self.levels) + 1):
+            if k > n:
+                break
+            h = _longer(h, w, k)
+            if k == self.base:
+                good = self.known(h)
+            if k not in self.levels:
+                continue
+            new = (left[: len(h)] >= k) & (seen[: len(h)] < k)
+            for j in range(k - self.base + 1):
+                new &= good[j : j + len(h)]
+            at = np.flatnonzero(new)
+            u, first, times = np.unique(h[at], return_index=True, return_counts=True)
+            self.parts[k].append((u, times, seq[at[first][:, None] + np.arange(k)].astype(np.int32)))
+            self.nodes += len(u)
+        if self.nodes > 2 * self.settled + CHUNK:
+            self.settle()
+
+    def settle(self) -> None:
+        """Equal nodes of different chunks become one."""
+        for k, parts in self.parts.items():
+            if len(parts) > 1:
+                h, n, path = (np.concatenate(x) for x in zip(*parts, strict=True))
+                u, first, of = np.unique(h, return_index=True, return_inverse=True)
+                total = np.zeros(len(u), np.int64)
+                np.add.at(total, of, n)
+                self.parts[k] = [(u, total, path[first])]
+        self.nodes = self.settled = sum(len(p[0]) for parts in self.parts.values() for p in parts)
+
+    def sent(self) -> Iterator[tuple[int, bytes, bytes]]:
+        self.settle()
+        words = pa.array(list(self.words), pa.binary())
+        for parts in self.parts.values():
+            for _, n, path in parts:
+                if len(n):
+                    yield from packed(pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in path.T), b" "), n)
+        self.clear()
+
+
+class Roots:
+    """The first level, with the root: all words."""
+
+    def __init__(self, lang: str):
+        self.lang = lang
+        self.seen: Counter = Counter()
+
+    @property
+    def nodes(self) -> int:
+        return 4 * len(self.seen)  # each takes about as much memory as so many of a trie's
+
+    def count(self, words: list[bytes], sizes: list[int], again: list[int]) -> None:
+        self.seen.update(words)
+        at = 0
+        for n, k in zip(sizes, again, strict=True):
+            self.seen.subtract(words[at : at + k])
+            at += n
+        self.seen[b""] += len(words) - sum(again)
+
+    def sent(self) -> Iterator[tuple[int, bytes, bytes]]:
+        if self.seen:
+            yield from packed(pa.array(list(self.seen), pa.binary()), np.fromiter(self.seen.values(), np.int64, len(self.seen)))
+        self.seen = Counter()
+
+
+BLOCKS = "lang string, nodes long, first binary, block binary"
+
+
+def _grow(levels: tuple[int, ...], base: int, shared, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, dict[bytes, int]] = {}
-        table, bits = shared.value if base else (None, 0)
+        tries: dict[str, Trie | Roots] = {}
 
         def count(lang: str, words: list[bytes], sizes: list[int], again: list[int]) -> None:
-            trie, n = tries.setdefault(lang, {}), len(words)
-            inside = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            left, seen = np.repeat(sizes, sizes) - inside, np.repeat(again, sizes) - inside
-            h = w = word_hashes(words)
-            good = None
-            for k in range(1, max(levels) + 1):
-                if k > n:
-                    break
-                h = h if k == 1 else _longer(h, w, k)
-                if k == base:
-                    at = _place(h, lang, bits)
-                    good = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                if k not in levels:
-                    continue
-                new = (left[: len(h)] >= k) & (seen[: len(h)] < k)
-                for j in range(k - base + 1 if base else 0):
-                    new &= good[j : j + len(h)]
-                at = np.flatnonzero(new)
-                _, first, times = np.unique(h[at], return_index=True, return_counts=True)
-                for i, c in zip(at[first].tolist(), times.tolist(), strict=True):
-                    path = b" ".join(words[i : i + k])
-                    trie[path] = trie.get(path, 0) + c
-                if k == 1:
-                    trie[b""] = trie.get(b"", 0) + len(at)
+            if lang not in tries:
+                tries[lang] = Trie(lang, levels, base, *shared.value) if base else Roots(lang)
+            tries[lang].count(words, sizes, again)
 
         def sent() -> Iterator[pa.RecordBatch]:
             for lang, trie in tries.items():
-                for block in packed(trie):
-                    yield pa.record_batch([pa.array([lang]), pa.array([block], pa.binary())], ["lang", "block"])
+                for n, first, block in trie.sent():
+                    yield pa.record_batch([pa.array([lang]), pa.array([n]), pa.array([first], pa.binary()), pa.array([block], pa.binary())], ["lang", "nodes", "first", "block"])
             tries.clear()
 
         for b in batches:
@@ -144,7 +231,9 @@ def _grow(levels: tuple[int, ...], base: int, shared, depth: int):
                         for name, some in held.items():
                             count(name, *some)
                         held, size = {}, 0
-                    if sum(map(len, tries.values())) > HELD:
+                    else:
+                        continue
+                    if sum(t.nodes + (len(t.words) if base else 0) for t in tries.values()) > HELD:
                         yield from sent()
             for lang, some in held.items():
                 count(lang, *some)
@@ -156,35 +245,53 @@ def _grow(levels: tuple[int, ...], base: int, shared, depth: int):
 # --- merging by prefix range -------------------------------------------------------------------------
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lang, block in zip(b.column("lang").to_pylist(), b.column("block"), strict=True):
-            paths, n = unpacked(block.as_py())
-            yield pa.record_batch([pa.array([lang] * len(paths), pa.string()), pa.array(paths, pa.binary()).cast(pa.string()), pa.array(n)], ["lang", "phrase", "n"])
+def _key(lang: str, path: bytes) -> bytes:
+    return lang.encode() + b"\0" + path
+
+
+def _dealt(bounds: list[bytes], each: int):
+    """Cuts blocks at the bounds between ranges of paths; `each` more parts of a range go by the paths' checksums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, block in zip(b.column("lang").to_pylist(), b.column("block"), strict=True):
+                paths, n = unpacked(block.as_py())
+                low = bisect_right(bounds, _key(lang, paths[0].as_py()))
+                high = bisect_right(bounds, _key(lang, paths[-1].as_py()))
+                at = [0, *(bisect_left(paths, bounds[k], key=lambda p: _key(lang, p.as_py())) for k in range(low, high)), len(paths)]  # noqa: B023
+                for k, (s, e) in enumerate(zip(at, at[1:], strict=False)):
+                    some, m = paths.slice(s, e - s), n[s:e]
+                    of = np.fromiter((crc32(p) % each for p in some.to_pylist()), np.int64, len(some)) if each > 1 else np.zeros(len(some), np.int64)
+                    for j in np.unique(of).tolist():
+                        mine = np.flatnonzero(of == j)
+                        for _, _, data in packed(some.take(pa.array(mine)), m[mine]):
+                            yield pa.record_batch([pa.array([(low + k) * each + j]), pa.array([lang]), pa.array([data], pa.binary())], ["part", "lang", "block"])
+
+    return run
 
 
 def _merge(least: int):
-    """Adds up the counts of equal neighbours and keeps those of `least` or more, and the roots."""
+    """Merges the blocks of each part, one part after another, and keeps nodes with counts of `least` or more, and the roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = ["lang", "phrase", "n"]
+        held: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
 
-        def kept(b: pa.RecordBatch) -> pa.RecordBatch:
-            return b.filter(pc.or_(pc.greater_equal(b.column("n"), least), pc.equal(b.column("phrase"), "")))
+        def added() -> Iterator[pa.RecordBatch]:
+            for lang, blocks in held.items():
+                paths = pa.chunked_array([p for p, _ in blocks])
+                sums = pa.table([paths, pa.array(np.concatenate([n for _, n in blocks]))], ["phrase", "n"]).group_by("phrase").aggregate([("n", "sum")])
+                kept = sums.filter(pc.or_(pc.greater_equal(sums["n_sum"], least), pc.equal(sums["phrase"], b"")))
+                for b in kept.to_batches():
+                    yield pa.record_batch([pa.array([lang] * b.num_rows, pa.string()), b.column("phrase").cast(pa.string()), b.column("n_sum")], ["lang", "phrase", "n"])
 
+        last = None
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            if held is not None:
-                b = pa.Table.from_batches([held, b.select(names).cast(held.schema)]).combine_chunks().to_batches()[0]
-            same = pc.and_(*(pc.equal(b.column(c).slice(1), b.column(c).slice(0, b.num_rows - 1)) for c in ("lang", "phrase")))
-            start = np.flatnonzero(np.concatenate([[True], ~same.to_numpy(zero_copy_only=False)]))
-            added = b.take(pa.array(start)).set_column(2, "n", pa.array(np.add.reduceat(b.column("n").to_numpy(), start)))
-            yield kept(added.slice(0, added.num_rows - 1))
-            held = added.slice(added.num_rows - 1)
-        if held is not None:
-            yield kept(held)
+            for part, lang, block in zip(b.column("part").to_pylist(), b.column("lang").to_pylist(), b.column("block"), strict=True):
+                if part != last:
+                    yield from added()
+                    held, last = {}, part
+                held.setdefault(lang, []).append(unpacked(block.as_py()))
+        yield from added()
 
     return run
 
@@ -192,12 +299,16 @@ def _merge(least: int):
 def merged(blocks: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, n) of all serialised tries together.
 
-    Ranges of paths are dealt to tasks, so that the paths below one word may be in several; a task's rows come in
-    order, equal paths side by side, from the shuffle's merge of the sorted runs.
+    Ranges of paths, of about RANGE nodes, are dealt to tasks; their bounds come from the first paths of up to about SAMPLE blocks, so the paths below one
+    word may be in several. Blocks are cut at the bounds and shuffled as they are; a task holds one range at a time.
     """
-    nodes = blocks.mapInArrow(_unpack, "lang string, phrase string, n long")
-    ordered = nodes.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return checkpoint(ordered.mapInArrow(_merge(least), "lang string, phrase string, n long"))
+    told = blocks.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"), F.count("*").alias("blocks")).first()
+    ranges = -(-told["nodes"] // RANGE) or 1
+    some = blocks.where(F.pmod(F.xxhash64("lang", "first"), F.lit(-(-told["blocks"] // SAMPLE) or 1)) == 0).select("lang", "first").limit(4 * SAMPLE)
+    heads = sorted(_key(r["lang"], bytes(r["first"])) for r in some.collect()) if ranges > 1 else []
+    bounds = sorted({heads[k * len(heads) // ranges] for k in range(1, ranges)}) if heads else []
+    dealt = blocks.select("lang", "block").mapInArrow(_dealt(bounds, -(-ranges // (len(bounds) + 1))), "part long, lang string, block binary")
+    return checkpoint(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_merge(least), "lang string, phrase string, n long"))
 
 
 def phrase_filter(frequent: DataFrame, words: int, count: int) -> tuple[np.ndarray, int]:
@@ -255,7 +366,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = 5) -> DataF
     spark = docs.sparkSession
     found, levels, base, shared = None, (1,), 0, None
     while levels:
-        blocks = checkpoint(docs.mapInArrow(_grow(levels, base, shared, depth), "lang string, block binary"))
+        blocks = checkpoint(docs.mapInArrow(_grow(levels, base, shared, depth), BLOCKS))
         now = merged(blocks, least)
         found = now if found is None else found.unionByName(now)
         base = levels[-1]
