@@ -100,14 +100,14 @@ def test_small_chunks_and_many_ranges(spark, rows, monkeypatch):
 
 
 def test_long_pieces_lose_no_phrase(monkeypatch):
-    text = " ".join(str(k) for k in range(400))
+    text = " ".join(str(k) for k in range(400)) + ". a b"
     whole = list(word_lists(text, 3))
     monkeypatch.setattr(col, "SLICE", 17)
     parts = list(word_lists(text, 3))
     assert len(whole) == 1 and len(parts) > 20
     ends = [tuple(w[i - 3 : i + 1]) for w, again in parts for i in range(3, len(w)) if i >= again]
-    assert ends == [tuple(whole[0][0][i - 3 : i + 1]) for i in range(3, 400)]
-    assert [w[again:] for w, again in word_lists("A b. C\td", 2)] == [[b"a", b"b"], [b"c", b"d"]]
+    assert ends == [tuple(whole[0][0][i - 3 : i + 1]) for i in range(3, len(whole[0][0]))]
+    assert list(word_lists("A b. C\td\n", 2)) == [([b"a", b"b", col.END, b"c", b"d", col.END, col.END], 0)] and list(word_lists(None, 2)) == []
 
 
 def test_blocks_round_trip():

@@ -22,8 +22,9 @@ from trackweave.operators.ranking import top_k
 from .common import checkpoint
 from .ngrams import BASE, BYTE, _mix, powers
 
-#: Capital letters become small, what ends a piece a line feed.
-PLAIN = bytes(b + 32 if 65 <= b <= 90 else 10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
+#: Capital letters become small, what ends a piece a byte that no text has.
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else 255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
+END = b"\xff"
 #: Words whose phrases are counted in one go, nodes and words that a shard's trie holds before it is sent, nodes of one serialised block.
 CHUNK, HELD, BLOCK = 300_000, 2_000_000, 8192
 #: Nodes of one range on average, and blocks whose first paths are looked at for the ranges' bounds.
@@ -39,18 +40,19 @@ SALTS = 16
 
 
 def word_lists(text: str | None, overlap: int) -> Iterator[tuple[list[bytes], int]]:
-    """(words, again): the words of each piece, none empty. Of a very long piece several lists; `again` words at the start of one are the end of the one before."""
-    for piece in (text or "").encode().translate(PLAIN).split(b"\n"):
-        last: list[bytes] = []
-        at = 0
-        while at < len(piece):
-            end = len(piece)
-            if end - at > SLICE:
-                end = min((x for x in (piece.find(b" ", at + SLICE), piece.find(b"\t", at + SLICE)) if x >= 0), default=end)
-            if some := piece[at:end].split():
-                yield last + some, len(last)
-                last = (last + some)[-overlap:] if overlap and end < len(piece) else []
-            at = end
+    """(words, again): the words of a text, with END after each piece. Of a very long text several lists; `again` words at the start of one are the end of the one before."""
+    data, at = (text or "").encode().translate(PLAIN), 0
+    last: list[bytes] = []
+    while at < len(data):
+        end = len(data)
+        if end - at > SLICE:
+            end = min((x for x in (data.find(c, at + SLICE) for c in (b" ", b"\t", END)) if x >= 0), default=end)
+        some = data[at:end].replace(END, b" \xff ").split()
+        if end == len(data):
+            some.append(END)
+        yield last + some, len(last)
+        last = (last + some)[-overlap:] if overlap else []
+        at = end
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -77,14 +79,18 @@ def _place(h: np.ndarray, lang: str, bits: int) -> np.ndarray:
 # --- a shard's trie, one or two levels at a time -----------------------------------------------------
 
 
-def packed(paths: pa.Array, counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+def packed(paths: pa.Array, counts: np.ndarray, ordered: bool = False) -> Iterator[tuple[int, bytes, bytes]]:
     """(nodes, first path, block): the nodes in order of their paths, serialised in blocks."""
-    order = pc.sort_indices(paths)
-    paths, counts = paths.take(order), counts[order.to_numpy()]
+    if not ordered:
+        order = pc.sort_indices(paths)
+        paths, counts = paths.take(order), counts[order.to_numpy()]
+    _, ends, data = paths.buffers()
+    end = np.frombuffer(ends, np.int32)[paths.offset : paths.offset + len(paths) + 1] if len(paths) else np.zeros(1, np.int32)
     for at in range(0, len(paths), BLOCK):
-        some = paths.slice(at, BLOCK)
-        size = pc.binary_length(some).to_numpy()
-        yield len(some), some[0].as_py(), zlib.compress(b"".join([np.array([len(some)], "<i8").tobytes(), counts[at : at + BLOCK].astype("<i8").tobytes(), size.astype("<i4").tobytes(), *some.to_pylist()]), 1)
+        some = end[at : at + BLOCK + 1]
+        body = data[int(some[0]) : int(some[-1])].to_pybytes()
+        head = [np.array([len(some) - 1], "<i8").tobytes(), counts[at : at + BLOCK].astype("<i8").tobytes(), np.diff(some).astype("<i4").tobytes()]
+        yield len(some) - 1, body[: some[1] - some[0]], zlib.compress(b"".join([*head, body]), 1)
 
 
 def unpacked(block: bytes) -> tuple[pa.Array, np.ndarray]:
@@ -96,7 +102,10 @@ def unpacked(block: bytes) -> tuple[pa.Array, np.ndarray]:
 
 
 class Words(dict):
-    """Numbers of words in the order in which they are met."""
+    """Numbers of words in the order in which they are met; END has 0."""
+
+    def __init__(self):
+        super().__init__({END: 0})
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -115,7 +124,7 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.hashes = Words(), np.empty(0, np.uint64)
+        self.words, self.hashes = Words(), word_hashes([END])
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {k: [] for k in self.levels}
         self.nodes, self.settled = 0, 0
 
@@ -123,13 +132,17 @@ class Trie:
         at = _place(h, self.lang, self.bits)
         return (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    def count(self, words: list[bytes], sizes: list[int], again: list[int]) -> None:
+    def count(self, words: list[bytes], again: list[tuple[int, int]]) -> None:
+        """`again`: (at, k) where the k words from `at` on have been counted before."""
         before, n = len(self.words), len(words)
         seq = np.fromiter(map(self.words.__getitem__, words), np.int64, n)
         if len(self.words) > before:
             self.hashes = np.concatenate([self.hashes, word_hashes(list(islice(self.words, before, None)))])
-        inside = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        left, seen = np.repeat(sizes, sizes) - inside, np.repeat(again, sizes) - inside
+        stop = np.append(np.flatnonzero(seq == 0), n)
+        left = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)  # words to the end of the piece
+        old = np.zeros(n, np.int64)
+        for at, k in again:
+            old[at : at + k] = np.arange(k, 0, -1)
         good = self.known(self.hashes)[seq] if self.base == 1 else None
         h = w = self.hashes[seq]
         for k in range(2, max(self.levels) + 1):
@@ -140,7 +153,7 @@ class Trie:
                 good = self.known(h)
             if k not in self.levels:
                 continue
-            new = (left[: len(h)] >= k) & (seen[: len(h)] < k)
+            new = (left[: len(h)] >= k) & (old[: len(h)] < k)
             for j in range(k - self.base + 1):
                 new &= good[j : j + len(h)]
             at = np.flatnonzero(new)
@@ -182,16 +195,15 @@ class Roots:
     def nodes(self) -> int:
         return 4 * len(self.seen)  # each takes about as much memory as so many of a trie's
 
-    def count(self, words: list[bytes], sizes: list[int], again: list[int]) -> None:
+    def count(self, words: list[bytes], again: list[tuple[int, int]]) -> None:
         self.seen.update(words)
-        at = 0
-        for n, k in zip(sizes, again, strict=True):
+        for at, k in again:
             self.seen.subtract(words[at : at + k])
-            at += n
-        self.seen[b""] += len(words) - sum(again)
 
     def sent(self) -> Iterator[tuple[int, bytes, bytes]]:
-        if self.seen:
+        self.seen.pop(END, None)
+        if n := sum(self.seen.values()):
+            self.seen[b""] = n
             yield from packed(pa.array(list(self.seen), pa.binary()), np.fromiter(self.seen.values(), np.int64, len(self.seen)))
         self.seen = Counter()
 
@@ -203,10 +215,10 @@ def _grow(levels: tuple[int, ...], base: int, shared, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie | Roots] = {}
 
-        def count(lang: str, words: list[bytes], sizes: list[int], again: list[int]) -> None:
+        def count(lang: str, words: list[bytes], again: list[tuple[int, int]]) -> None:
             if lang not in tries:
                 tries[lang] = Trie(lang, levels, base, *shared.value) if base else Roots(lang)
-            tries[lang].count(words, sizes, again)
+            tries[lang].count(words, again)
 
         def sent() -> Iterator[pa.RecordBatch]:
             for lang, trie in tries.items():
@@ -215,14 +227,15 @@ def _grow(levels: tuple[int, ...], base: int, shared, depth: int):
             tries.clear()
 
         for b in batches:
-            held: dict[str, tuple[list[bytes], list[int], list[int]]] = {}
+            held: dict[str, tuple[list[bytes], list[tuple[int, int]]]] = {}
             size = 0
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
                 for words, again in word_lists(text.as_py(), depth - 1):
-                    mine = held.setdefault(lang, ([], [], []))
+                    mine = held.setdefault(lang, ([], []))
+                    if again:
+                        mine[0].append(END)
+                        mine[1].append((len(mine[0]), again))
                     mine[0].extend(words)
-                    mine[1].append(len(words))
-                    mine[2].append(again)
                     size += len(words)
                     if len(mine[0]) >= CHUNK:
                         size -= len(mine[0])
@@ -264,7 +277,7 @@ def _dealt(bounds: list[bytes], each: int):
                     of = np.fromiter((crc32(p) % each for p in some.to_pylist()), np.int64, len(some)) if each > 1 else np.zeros(len(some), np.int64)
                     for j in np.unique(of).tolist():
                         mine = np.flatnonzero(of == j)
-                        for _, _, data in packed(some.take(pa.array(mine)), m[mine]):
+                        for _, _, data in packed(some.take(pa.array(mine)), m[mine], ordered=True):
                             yield pa.record_batch([pa.array([(low + k) * each + j]), pa.array([lang]), pa.array([data], pa.binary())], ["part", "lang", "block"])
 
     return run
