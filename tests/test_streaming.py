@@ -1,11 +1,12 @@
 """Streams against what the batch operators and the plain rules give."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from trackweave.operators import identity
+from trackweave.operators import identity, records
 from trackweave.streaming import inbox, world
 
 DELIVERY = "batch_id long, node_id string, seq long, event_id string, digest string"
@@ -107,6 +108,32 @@ def test_worlds_follow_one_another(spark, tmp_path):
     assert told("na", "other")["position"] is None and told("nb", "f")["position"] is None and told("nb", "f")["global_id"] == b
 
 
+def test_records_are_published_once(spark, tmp_path):
+    """Many threads try for each number: one gets it, and what is there is whole."""
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(5):
+            got = list(pool.map(lambda n: records.publish(spark, str(tmp_path / "r"), k, {"n": k, "by": n, "pad": "x" * 5000}), range(8)))  # noqa: B023
+            assert sum(got) == 1
+            r = records.newest(spark, str(tmp_path / "r"), "n long, by long, pad string", "n")
+            assert (r["n"], r["by"], len(r["pad"])) == (k, got.index(True), 5000)
+    assert sorted(f.name for f in (tmp_path / "r").iterdir() if not f.name.startswith(".")) == [f"{k:012d}.json" for k in range(5)]
+    assert records.newest(spark, str(tmp_path / "none"), "n long", "n") is None
+
+
+def test_two_writers_publish_one_after_another(spark, tmp_path):
+    """Each number once, a gapless log, and ids that go on from what the other one published."""
+    root, labels = str(tmp_path), spark.createDataFrame([("na", 0, "person")], "node_id string, class_id long, label string")
+    groups = lambda *rows: spark.createDataFrame(rows, "uid string, group_id string")
+    one = groups(("a", "a"), ("b", "b"))
+    two = groups(("a", "a"), ("b", "a"))
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda g: world.publish(g, seen(spark, "ab"), labels, root), (one, two)))
+    assert sorted(done) == [1, 2] and world.latest(spark, root)["world"] == 2
+    log = sorted(tuple(r) for r in world.revisions_after(spark, root, 0).collect())
+    assert [r[0] for r in log] == list(range(1, len(log) + 1)) and {r[5] for r in log} == {1, 2} and [r[4] for r in log if r[5] == 1] == ["new", "new"]
+    assert {r["uid"] for r in world.members(spark, root).collect()} == {"a", "b"}
+
+
 def test_a_stream_of_changes_publishes(spark, tmp_path):
     put(spark, tmp_path / "in", [(1,)], "n long")
     stream = spark.readStream.schema("n long").parquet(str(tmp_path / "in"))

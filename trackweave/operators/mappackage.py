@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import scenes
-from . import meshmap
+from . import meshmap, records
 
 #: Fixed values of the manifest.
 SCHEMA, FRAME, UNITS = 1, "local_ENU", "metres"
@@ -169,9 +169,11 @@ def load_map(spark: SparkSession, root: str, revision: str) -> tuple[DataFrame,
 
 
 def sound(spark: SparkSession, root: str, revision: str) -> bool:
+    """Whether a package's triangles, manifest and assets are all there and what they say of one another."""
     try:
-        load_map(spark, root, revision)
-        return True
+        _, manifest = load_map(spark, root, revision)
+        held = spark.read.parquet(f"{root}/assets/revision={revision}")
+        return table_digest(held, ["name", "sha"]) == manifest["assets_sha256"] and held.where("sha2(content, 256) IS DISTINCT FROM sha").isEmpty()
     except (PackageError, AnalysisException):
         return False
 
@@ -224,20 +226,18 @@ ACTIVE = "map_revision string, swap long"
 def activate(spark: SparkSession, root: str, source: str, config: dict) -> tuple[str, bool]:
     """Imports the source and makes it the active map if it isn't; (revision, changed). A failed import leaves the active map as it is and raises."""
     revision = import_map(spark, source, root, config)
-    now = active(spark, root)
-    if now is not None and now[0] == revision:
-        return revision, False
-    swap = 0 if now is None else now[1] + 1
-    spark.createDataFrame([(revision,)], "map_revision string").coalesce(1).write.mode("overwrite").parquet(f"{root}/active/swap={swap}")
-    return revision, True
+    while True:
+        now = active(spark, root)
+        if now is not None and now[0] == revision:
+            return revision, False
+        swap = 0 if now is None else now[1] + 1
+        if records.publish(spark, f"{root}/active", swap, {"map_revision": revision, "swap": swap}):
+            return revision, True  # else another swap got the number: look again
 
 
 def active(spark: SparkSession, root: str) -> tuple[str, int] | None:
     """(revision, number of the swap) of the active map, None before the first."""
-    try:
-        row = spark.read.schema(ACTIVE).parquet(f"{root}/active").agg(F.max_by(F.struct("map_revision", "swap"), "swap").alias("a")).first()["a"]
-    except AnalysisException:
-        return None
+    row = records.newest(spark, f"{root}/active", ACTIVE, "swap")
     return None if row is None else (row["map_revision"], row["swap"])
 
 
@@ -252,7 +252,7 @@ def changed(spark: SparkSession, root: str, since: str) -> dict:
 
 def watch(spark: SparkSession, root: str) -> DataFrame:
     """A stream of the active map's swaps (map_revision, swap), for those who wait for changes."""
-    return spark.readStream.schema(ACTIVE).parquet(f"{root}/active")
+    return spark.readStream.schema(ACTIVE).json(f"{root}/active")
 
 
 def reload_on(ticks: DataFrame, root: str, source: str, config: dict, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

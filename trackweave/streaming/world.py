@@ -1,52 +1,64 @@
 """World snapshots: identities, their revision log and global tracks, published one revision after another.
 
-A snapshot's tables are written in full before the row that points at them, and readers follow that row
-alone. A run that fails in between leaves tables that nobody reads and the next run replaces.
+A snapshot's tables are written in full, in folders of the attempt's own, before the record that points at them, and readers follow that record
+alone. Each number is published once: of writers that try at the same time one gets it, and the others start again
+from what it published. An attempt that fails leaves tables that nobody reads.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import identity
+from ..operators import identity, records
+from ..operators.checkpoints import checkpoint as kept
 
 MEMBERS = "uid string, group_id string, global_id string"
 REVISIONS = "revision long, uid string, old_global_id string, new_global_id string, reason string"
-POINTER = "signature string, last_revision long, facts map<string,long>"
+POINTER = "world long, signature string, last_revision long, facts map<string,long>, attempt string"
+#: How often a writer starts again when others were faster.
+ATTEMPTS = 20
 IDENTITIES = "global_id string, members array<string>, identity_revision long"
 
 
 def opened(spark: SparkSession, root: str) -> str:
-    """Makes an empty world, revision 0, at `root` if there is none."""
-    spark.createDataFrame([], MEMBERS).coalesce(1).write.mode("ignore").parquet(f"{root}/members/world=0")
-    spark.createDataFrame([], REVISIONS).coalesce(1).write.mode("ignore").parquet(f"{root}/revisions/world=0")
-    spark.createDataFrame([], IDENTITIES).coalesce(1).write.mode("ignore").parquet(f"{root}/tracks/world=0")
-    spark.createDataFrame([("", 0, {})], POINTER).coalesce(1).write.mode("ignore").parquet(f"{root}/pointer/world=0")
+    """Makes an empty world, number 0, at `root` if there is none."""
+    if records.newest(spark, f"{root}/pointer", POINTER, "world") is None:
+        attempt = f"0-{uuid.uuid4().hex}"
+        for table, form in (("members", MEMBERS), ("revisions", REVISIONS), ("tracks", IDENTITIES)):
+            spark.createDataFrame([], form).coalesce(1).write.parquet(f"{root}/{table}/world={attempt}")
+        records.publish(spark, f"{root}/pointer", 0, {"world": 0, "signature": "", "last_revision": 0, "facts": {}, "attempt": attempt})
     return root
 
 
 def latest(spark: SparkSession, root: str) -> Row:
-    """The newest published pointer: world, signature, last_revision and facts (counts of the snapshot)."""
-    return spark.read.schema(f"{POINTER}, world long").parquet(f"{root}/pointer").groupBy().agg(F.max_by(F.struct("world", "signature", "last_revision", "facts"), "world").alias("p")).first()["p"]
+    """The newest published record: world, signature, last_revision, facts (counts of the snapshot) and attempt (the name of its folders)."""
+    return records.newest(spark, f"{root}/pointer", POINTER, "world")
 
 
-def members(spark: SparkSession, root: str, world: int) -> DataFrame:
-    return spark.read.schema(MEMBERS).parquet(f"{root}/members/world={world}")
+def _table(root: str, name: str, of: Row | str) -> str:
+    return f"{root}/{name}/world={of if isinstance(of, str) else of['attempt']}"
+
+
+def members(spark: SparkSession, root: str, of: Row | None = None) -> DataFrame:
+    """Members of a snapshot, by default the newest."""
+    return spark.read.schema(MEMBERS).parquet(_table(root, "members", of or latest(spark, root)))
 
 
 def tracks(spark: SparkSession, root: str) -> DataFrame:
     """Global tracks of the newest snapshot; there are none before the first."""
-    return spark.read.parquet(f"{root}/tracks/world={latest(spark, root)['world']}")
+    return spark.read.parquet(_table(root, "tracks", latest(spark, root)))
 
 
 def revisions_after(spark: SparkSession, root: str, revision: int, limit: int | None = None) -> DataFrame:
     """The published part of the append-only log above `revision`; with `limit` its first rows, in order."""
-    newest = latest(spark, root)
-    log = spark.read.schema(f"{REVISIONS}, world long").parquet(f"{root}/revisions").where((F.col("world") <= newest["world"]) & (F.col("revision") > revision)).withColumnRenamed("world", "world_revision")
+    published = records.records(spark, f"{root}/pointer", POINTER).where(F.col("last_revision") > revision).select(F.col("attempt").alias("_attempt"), F.col("world").alias("world_revision"))
+    rows = spark.read.schema(f"{REVISIONS}, world string").parquet(f"{root}/revisions").where(F.col("revision") > revision)
+    log = rows.join(published, F.col("world") == F.col("_attempt")).drop("world", "_attempt")
     return log.orderBy("revision").limit(limit) if limit else log
 
 
@@ -74,29 +86,32 @@ def publish(
 ) -> int:
     """Publishes the next snapshot of groups (uid, group_id) and returns its number.
 
-    Nothing is written, and no estimate computed, when neither membership nor tracklets nor `policy` (a text that stands for all settings) changed; that is looked at
-    again just before the pointer is written. Ids stick to their members; what
-    changed is appended to the log, numbered on from the snapshot before. There is one writer for each root.
+    Nothing is written, and no estimate computed, when neither membership nor tracklets nor `policy` (a text that stands for all settings) changed. Ids
+    stick to their members; what changed is appended to the log, numbered on from the snapshot before. If another writer publishes that
+    number first, all is worked out again on what it published.
     """
     spark = groups.sparkSession
-    was = latest(spark, opened(spark, root))
+    groups, tracklets = kept(groups.select("uid", "group_id")), kept(tracklets)
     seen = tracklets.select("uid", "start_ns", "end_ns", "n_events", "class_id", F.col("latest").cast("string").alias("latest"))
-    signature = identity.signature(groups.select("uid", "group_id").join(seen, "uid").withColumn("policy", F.lit(policy)))
-    if signature == was["signature"]:
-        return was["world"]
-    world, old = was["world"] + 1, members(spark, root, was["world"])
-    identity.assign_ids(groups, old.select("uid", "global_id")).select("uid", "group_id", "global_id").write.mode("overwrite").parquet(f"{root}/members/world={world}")
-    new = members(spark, root, world)
-    identity.revisions(old, new, was["last_revision"]).write.mode("overwrite").parquet(f"{root}/revisions/world={world}")
-    rows = with_estimates(identity.global_tracks(new.select("uid", "global_id"), tracklets, labels), new, fusion, windows)
-    before = spark.read.schema(IDENTITIES).parquet(f"{root}/tracks/world={was['world']}")
-    identity.identity_revisions(rows, before).write.mode("overwrite").parquet(f"{root}/tracks/world={world}")
-    count = spark.read.schema(REVISIONS).parquet(f"{root}/revisions/world={world}").count()
-    if (now := latest(spark, root))["world"] != was["world"]:
-        raise RuntimeError(f"another writer has published world {now['world']}")
-    pointer = spark.createDataFrame([(signature, was["last_revision"] + count, told or {})], POINTER)
-    pointer.coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer/world={world}")
-    return world
+    signature = identity.signature(groups.join(seen, "uid").withColumn("policy", F.lit(policy)))
+    opened(spark, root)
+    for _ in range(ATTEMPTS):
+        was = latest(spark, root)
+        if signature == was["signature"]:
+            return was["world"]
+        attempt = f"{was['world'] + 1}-{uuid.uuid4().hex}"
+        old = members(spark, root, was)
+        identity.assign_ids(groups, old.select("uid", "global_id")).select("uid", "group_id", "global_id").write.parquet(_table(root, "members", attempt))
+        new = spark.read.schema(MEMBERS).parquet(_table(root, "members", attempt))
+        identity.revisions(old, new, was["last_revision"]).write.parquet(_table(root, "revisions", attempt))
+        rows = with_estimates(identity.global_tracks(new.select("uid", "global_id"), tracklets, labels), new, fusion, windows)
+        before = spark.read.schema(IDENTITIES).parquet(_table(root, "tracks", was))
+        identity.identity_revisions(rows, before).write.parquet(_table(root, "tracks", attempt))
+        count = spark.read.schema(REVISIONS).parquet(_table(root, "revisions", attempt)).count()
+        record = {"world": was["world"] + 1, "signature": signature, "last_revision": was["last_revision"] + count, "facts": told or {}, "attempt": attempt}
+        if records.publish(spark, f"{root}/pointer", record["world"], record):
+            return record["world"]
+    raise RuntimeError(f"others published first {ATTEMPTS} times")
 
 
 def follow(changes: DataFrame, associate: Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]], root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -157,7 +172,7 @@ def hint_messages(log: DataFrame, after: int) -> DataFrame:
 
 def swaps(spark: SparkSession, root: str) -> DataFrame:
     """A stream of published snapshots (world, signature, last_revision, facts), for those who wait for the next."""
-    return spark.readStream.schema(f"{POINTER}, world long").parquet(f"{root}/pointer")
+    return spark.readStream.schema(POINTER).json(f"{root}/pointer")
 
 
 def announce(ticks: DataFrame, root: str, state: Callable[[SparkSession, int], tuple[DataFrame, DataFrame]], send: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
