@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import checkpoint, documents
+from trackweave.llm.common import checkpoint, columns, documents, row_hash
 from trackweave.llm.mixing import pareto_mix
 from trackweave.llm.ngrams import ngram_components
 from trackweave.llm.pieces import encode_pieces
 from trackweave.llm.quality import quality
 from trackweave.llm.secrets import redact_secrets, train_forest
+from trackweave.operators.checkpoints import new_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are rated like others; repeated rows are kept or rejected alike; an empty table stays empty; extra columns stay, whatever their names.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), "doc_id", "text", "source", "lang")
     return quality(rows, labels).where("keep").select("row.*")
 
 
@@ -35,11 +36,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
         others = ngram_components(docs).where("component_id <> doc_id").select("doc_id")
-        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), *docs.columns, *(F.col(c).isNull() for c in docs.columns)), F.lit(10**18)).cast("decimal(20,0)")
+        return docs.join(others, "doc_id", "left_anti").select(*columns(docs))
+    part = lambda seed: F.pmod(row_hash(docs, seed), F.lit(10**18)).cast("decimal(20,0)")
     high = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), part(1) + F.lit(Decimal(10**19)))
     # The row's own columns stay apart in a struct, so that no name clashes.
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", (high * F.lit(Decimal(10**18)) + part(0)).cast("decimal(38,0)").alias("key"))
+    keyed = docs.select(F.struct(*columns(docs)).alias("row"), "text", (high * F.lit(Decimal(10**18)) + part(0)).cast("decimal(38,0)").alias("key"))
     found = checkpoint(ngram_components(keyed, key="key"))
     worded = found.where("n_shingles > 0")
     others = worded.where("component_id <> key").select("key").distinct()
@@ -53,7 +54,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts stay as they are; repeated rows stay repeated; an empty table stays empty; extra columns stay.
     """
-    return redact_secrets(docs, train_forest()).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    masked = redact_secrets(docs, train_forest())
+    return masked.select(*[F.length("text").cast("long").alias(name) if name == "n_chars" else c for name, c in zip(docs.columns, columns(docs), strict=True)])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,8 +89,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def written(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder: what follows reads columns from there, and no stage is computed twice or again when executors are lost."""
+    folder = new_folder(spark, "stage")
+    rows.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
