@@ -130,6 +130,43 @@ def test_stages_on_odd_tables(spark, stage):
         assert Counter(tuple(r) for r in kept) == Counter((*r[:4], None if r[1] is None else len(r[1]), *(f"x{i}" for i in range(len(CLASHING)))) for r in rows)
 
 
+def test_each_stage_is_computed_once(spark, monkeypatch):
+    """Rows that a stage's result is made of, counted while the whole pipeline runs: each goes through once."""
+    passed = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(k, stage):
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+
+            def one(batches):
+                for b in batches:
+                    passed[k].add(b.num_rows)
+                    yield b
+
+            return out.mapInArrow(one, out.schema)
+
+        return run
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(k, f)) if k < 2 else (n, f) for k, (n, f) in enumerate(stages)])
+    got = corpus_pipeline.run(spark, SF).count()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    first = corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert passed[0].value == first.count() and passed[1].value == corpus_pipeline.drop_near_copies(spark, first, SF).count() and got > 0
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]], ids=lambda f: f.__name__)
+def test_names_with_dots_and_maps(spark, stage):
+    near = "A sentence of quite some words that says something, and goes on for a while, until it comes to its end."
+    rows = [(1, near, "en", "s", 9), (1, near, "en", "s", 9), (2, "Other words. They stand here alone, and so they are kept as they are.", "en", "t", 9), (None, None, None, None, None)]
+    odd = {"a.b": F.lit(7), "m": F.create_map(F.lit("k"), F.col("n_chars")), "q`r": F.lit("x"), "s": F.struct(F.create_map(F.lit(1), F.lit("v")).alias("d.e"))}
+    docs = spark.createDataFrame(rows, ROW).withColumns(odd).repartition(2)
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns and all(r["a.b"] == 7 and r["q`r"] == "x" and r["s"]["d.e"] == {1: "v"} for r in got.collect())
+    if stage is corpus_pipeline.drop_near_copies:
+        assert sum(r["doc_id"] == 1 for r in got.collect()) == 1
+
+
 def test_encoding_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], ROW).withColumns({c: F.lit(1) for c in ("n_tokens", "round_trip", "decoded")})
     got = corpus_pipeline.encode(spark, docs, SF).collect()

@@ -33,6 +33,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """The table's columns by their exact names, whatever characters these have, but those named in `without`."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+
+
+def row_hash(df: DataFrame, seed: int = 42) -> Column:
+    """A hash of whole rows; equal rows have equal ones, and nulls count. Columns with maps inside, which can't be hashed, go as their JSON."""
+    cells = []
+    for c, f in zip(columns(df), df.schema.fields, strict=True):
+        cells += [F.to_json(F.struct(c.alias("c"))) if "map<" in f.dataType.simpleString() else c, c.isNull()]
+    return F.xxhash64(F.lit(seed), *cells)
+
+
 def free_name(taken: list[str], base: str) -> str:
     """`base`, with underscores in front until no column of the table has that name (whatever its case)."""
     used = {c.lower() for c in taken}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, partitions
+from .common import WORD, columns, partitions, row_hash
 
 #: Sources are a configured list; more than this many are an error, not a silent slow path.
 MAX_SOURCES = 100_000
@@ -93,7 +93,7 @@ def pareto_mix(
         F.col(source).alias("_source"),
         F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(key), body).alias("_hash"),
-        *([F.struct(*map(F.col, docs.columns)).alias("row")] if rows else []),
+        *([F.struct(*columns(docs)).alias("row"), row_hash(docs).alias("_tie")] if rows else []),
     )
     slim = slim.withColumn("_class", F.when(F.col("size") > 0, F.least(F.floor((F.length(F.bin("size")) - 1) / 2), F.lit(CLASSES - 1))).otherwise(0).cast("int"))
     counted = slim.groupBy("_source", "_class").agg(F.sum("size").alias("s"), F.count_if(F.col("size") > 0).alias("n")).limit(CLASSES * MAX_SOURCES + 1).collect()
@@ -133,7 +133,7 @@ def pareto_mix(
     sums = ranked.groupBy("_i", "_slice").agg(F.sum("_size").alias("_sum"))
     earlier = Window.partitionBy("_i").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("_i"), F.col("_slice"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_i", "_slice").orderBy("_rank", F.col("_key").asc_nulls_first(), "_hash", *([F.xxhash64("row")] if rows else [])).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_i", "_slice").orderBy("_rank", F.col("_key").asc_nulls_first(), "_hash", *(["_tie"] if rows else [])).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("_before") + F.col("_upto") - F.col("size") / 2
     extra = (F.col("_rank").isNotNull() & (F.col("_whole") < most) & (middle < F.col("_lack"))).cast("int")
     return (

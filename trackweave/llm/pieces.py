@@ -12,6 +12,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import Recent
 
@@ -184,8 +185,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     table gives no rows; other columns stay, columns named ids or decoded are replaced.
     """
     rows = docs.drop("ids", "decoded")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_encode(path, text), f"{fields}, ids binary, decoded string")
+    return rows.mapInArrow(_encode(path, text), T.StructType([*rows.schema, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
 
 
 def digest(rows: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

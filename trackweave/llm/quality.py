@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint
+from .common import checkpoint, columns
 
 #: The classifier is fitted on at most so many labelled rows, the first by a hash of their id.
 MAX_LABELLED = 20_000
@@ -110,11 +110,11 @@ def _map(df: DataFrame, text: str, weights: np.ndarray | None) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
-    """Weights from at most MAX_LABELLED labelled rows, chosen by a hash of their key."""
-    some = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("double").alias("y"))
-    some = F.broadcast(some.orderBy(F.xxhash64("k"), "k", "y").limit(MAX_LABELLED))
-    found = _map(docs.select(F.col(key).alias("k"), F.struct(F.col(text)).alias("row")).join(some, "k"), text, None).select("k", "y", "x")
-    got = sorted(found.limit(2 * MAX_LABELLED).collect(), key=lambda r: (r["k"], r["y"]))
+    """Weights from at most MAX_LABELLED labelled keys, chosen by a hash. A key with several labels counts with their mean; of several texts that with the least features counts."""
+    some = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.avg(label).alias("y"))
+    some = F.broadcast(some.orderBy(F.xxhash64("k"), "k").limit(MAX_LABELLED))
+    found = _map(docs.select(F.col(key).alias("k"), F.struct(F.col(text)).alias("row")).join(some, "k"), text, None).groupBy("k", "y").agg(F.min("x").alias("x"))
+    got = sorted(found.collect(), key=lambda r: r["k"])
     return fit(np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["y"] for r in got]))
 
 
@@ -171,7 +171,7 @@ def quality(
     gives no rows. Columns named as the new ones are replaced; all others stay, whatever their names.
     """
     new = ["p_doc", "p_host", "p_path", "p_quality", "keep"]
-    kept = docs.drop(*new).columns
+    kept = columns(docs, *new)
     weights = train(docs, labels, key, text, label) if weights is None else weights
     site = [F.col(host).alias("host"), F.col(path).alias("path")]
     sums, base, k_host, k_path = site_sums(_map(docs.select(F.struct(F.col(text)).alias("row"), *site), text, weights).select("host", "path", "logit"))

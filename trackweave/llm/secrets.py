@@ -313,16 +313,16 @@ def redact_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, mark
     Null and empty texts stay as they are; a null path counts as empty; repeated rows stay repeated; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
+    at, docs_path = docs.columns.index(text), docs.columns.index(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(text).to_pylist()
-            paths = [None if p is None else str(p) for p in b.column(path).to_pylist()]
+            texts = b.column(at).to_pylist()
+            paths = [None if p is None else str(p) for p in b.column(docs_path).to_pylist()]
             for i, found in enumerate(_scan(texts, paths, shared.value, threshold)):
                 for s, e, _ in reversed(found):
                     texts[i] = texts[i][:s] + mark + texts[i][e:]
-            at = b.schema.get_field_index(text)
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, fields)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns' names are
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent
+from .common import Recent, columns
 
 #: Frequent pre-tokens in the broadcast table: bounds its size whatever the input.
 FREQUENT = 32_768
@@ -183,7 +183,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, tex
     lengths = dict(zip(tokens, Splitter(path, pattern).lengths(tokens), strict=True)) if tokens else {}
     shared = docs.sparkSession.sparkContext.broadcast(packed_table(lengths))
 
-    kept = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
+    kept = columns(docs, text, "n_bytes", "n_tokens", "over_limit")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*kept, size.alias("n_bytes")).alias("row"), F.col(text).alias("text"))
     form = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType())])

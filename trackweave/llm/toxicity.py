@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import columns
+
 #: The model is trained on at most so many texts of each class, the first by a hash of their key, and on so many characters of each, from a place that the hash gives.
 MAX_EACH, MAX_CHARS = 4_000, 12_000
 #: Windows start at a word near every STEP-th byte and end with one, WINDOW bytes later at most.
@@ -281,7 +283,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             scores = shared.value.scores(texts) if shared.value is not None else np.full(len(texts), share)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("held_out"), pa.array(scores, pa.float64())], ["row", "held_out", "score"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    kept = columns(docs, "held_out", "score", "predicted")
     rows = docs.select(F.struct(*kept).alias("row"), held_out(key).alias("held_out"), F.col(text).alias("text"))
     form = T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, form).select("row.*", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
