@@ -490,20 +490,88 @@ def ci_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN widest >= 4 THEN round(x, 3) + 0.0::DOUBLE END AS x, CASE WHEN widest >= 4 THEN round(y, 3) + 0.0::DOUBLE END AS y, CASE WHEN widest >= 4 THEN round(z, 3) + 0.0::DOUBLE END AS z FROM g JOIN seen USING (vec_id) WHERE i = 0""")
 def window_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of three sensors that watch the point in front of a vector's ray."""
+    return _shown(window_ls.window_estimates(_watchers(spark, sf_dir).drop("vec_id", "i", "o", "u"), STATIC))
+
+
+STATIC = window_ls.WindowPolicy(model="static_position", independent_source_errors_verified=True, bearing_world_pose_frame_verified=True, stationary_target_verified=True)
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("group_id", "accepted", "reason", *[(F.round(F.col("position")[i], 3) + 0.0).alias(c) for i, c in enumerate("xyz")])
+
+
+def _looking(rows: DataFrame) -> DataFrame:
+    """Adds to rows with an origin o and a unit vector u the bearing from one along the other, taken at `ns`."""
+    rows = rows.withColumn("h", F.expr("CASE WHEN abs(u[2]) < 0.9D THEN array(u[1], -u[0], 0.0D) ELSE array(0.0D, u[2], -u[1]) END")).withColumn("e1", V.scale(F.col("h"), 1 / V.norm(F.col("h")))).withColumn("e2", V.cross(F.col("u"), F.col("e1")))
+    bearing = "named_struct('valid', true, 'camera_position_world_m', o, 'direction_world', u, 'tangent_basis_world', concat(e1, e2), 'has_tangent_covariance', true, 'tangent_covariance_rad2', array(1e-4D, 0.0D, 0.0D, 1e-4D), 'timestamp_ns', ns)"
+    return rows.selectExpr(
+        "vec_id", "i", "o", "u", "cast(vec_id as string) AS group_id", "concat('t', i) AS uid", "concat('node_', i) AS node_id", "1L AS seq", "ns AS event_time_ns", "cast(NULL AS array<double>) AS position", "cast(NULL AS array<double>) AS covariance", "0.9D AS quality",
+        f"'{A.FRAME}' AS frame", f"'{A.MAP}' AS map_revision", f"{bearing} AS bearing", "'0' AS label", "'shared_utc' AS domain", "'align-1' AS alignment_id", f"'{A.FRAME}' AS s_frame", f"'{A.MAP}' AS s_map", "0L AS offset_ns", "5000000L AS clock_uncertainty_ns",
+    )
+
+
+def _watchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = A.bearings(spark, sf_dir)
     x = "transform(sequence(0, 2), k -> position[k] + 20.0D * ray.direction[k])"
     rows = b.withColumn("x", F.expr(x)).withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     rows = rows.withColumn("o", F.expr("array(position[0] + 7.0D * i, position[1] - 5.0D * i * i, position[2] + 3.0D * i)")).withColumn("d", F.expr("transform(sequence(0, 2), k -> x[k] - o[k])"))
-    rows = rows.withColumn("n", V.norm(F.col("d"))).where("n > 0.01").withColumn("u", F.expr("transform(d, v -> v / n)"))
-    rows = rows.withColumn("h", F.expr("CASE WHEN abs(u[2]) < 0.9D THEN array(u[1], -u[0], 0.0D) ELSE array(0.0D, u[2], -u[1]) END")).withColumn("e1", V.scale(F.col("h"), 1 / V.norm(F.col("h")))).withColumn("e2", V.cross(F.col("u"), F.col("e1")))
-    bearing = "named_struct('valid', true, 'camera_position_world_m', o, 'direction_world', u, 'tangent_basis_world', concat(e1, e2), 'has_tangent_covariance', true, 'tangent_covariance_rad2', array(1e-4D, 0.0D, 0.0D, 1e-4D), 'timestamp_ns', 1000000000L)"
-    rows = rows.selectExpr(
-        "cast(vec_id as string) AS group_id", "concat('t', i) AS uid", "concat('node_', i) AS node_id", "1L AS seq", "1000000000L AS event_time_ns", "cast(NULL AS array<double>) AS position", "cast(NULL AS array<double>) AS covariance", "0.9D AS quality",
-        f"'{A.FRAME}' AS frame", f"'{A.MAP}' AS map_revision", f"{bearing} AS bearing", "'0' AS label", "'shared_utc' AS domain", "'align-1' AS alignment_id", f"'{A.FRAME}' AS s_frame", f"'{A.MAP}' AS s_map", "0L AS offset_ns", "5000000L AS clock_uncertainty_ns",
-    )
-    policy = window_ls.WindowPolicy(model="static_position", independent_source_errors_verified=True, bearing_world_pose_frame_verified=True, stationary_target_verified=True)
-    found, at = window_ls.window_estimates(rows, policy), F.col("position")
-    return found.select("group_id", "accepted", "reason", *[(F.round(at[i], 3) + 0.0).alias(c) for i, c in enumerate("xyz")])
+    rows = rows.withColumn("n", V.norm(F.col("d"))).where("n > 0.01").withColumn("u", F.expr("transform(d, v -> v / n)")).withColumn("ns", F.lit(1_000_000_000).cast("long"))
+    return _looking(rows)
+
+
+#: What is wrong with the groups of a remainder k of their number, as columns of their members, and the reason that they get. An anchor stands behind the first ray, or where it begins.
+WINDOW_FAULTS = {
+    2: ("domain", "CASE WHEN i = 1 THEN NULL ELSE domain END", "unverified_source"),
+    3: ("label", "CASE WHEN i = 2 THEN '' ELSE label END", "unverified_class_clock_or_map"),
+    4: ("s_map", "CASE WHEN i = 1 THEN 'other' ELSE s_map END", "unverified_class_clock_or_map"),
+    5: ("node_id", "CASE WHEN i = 1 THEN 'node_0' ELSE node_id END", "duplicate_physical_node"),
+    6: ("clock_uncertainty_ns", "CASE WHEN i = 2 THEN 40000000L ELSE clock_uncertainty_ns END", "clock_uncertainty_exceeds_limit"),
+    7: ("bearing", "CASE WHEN i < 0 THEN bearing END", "no_valid_observations"),
+    8: ("bearing", "CASE WHEN i = 0 THEN bearing END", "insufficient_cross_node_bearing_factors"),
+    9: ("offset_ns", "CASE WHEN i = 0 THEN 0L ELSE -2000000000L END", "insufficient_cross_node_bearing_factors"),
+    10: ("event_time_ns", "event_time_ns + 300000000L", "no_valid_observations"),
+    11: ("position", "CASE WHEN i = 2 THEN transform(sequence(0, 2), j -> o0[j] - 10.0D * u0[j]) END", "anchor_behind_bearing_ray"),
+    12: ("position", "CASE WHEN i = 2 THEN o0 END", "anchor_at_ray_origin"),
+    13: ("offset_ns", "-5000000000L", "invalid_common_time_epoch"),
+}
+_reasons = " ".join(f"WHEN {k} THEN '{reason}'" for k, (*_, reason) in WINDOW_FAULTS.items() if k < 13)
+ACCEPTED = "conditional_fixed_lag_solution_requires_validation"
+
+
+@query(ORACLES["window_estimates"].split("  SELECT vec_id::VARCHAR AS group_id")[0] + f""", seen0 AS (SELECT DISTINCT vec_id FROM u WHERE i = 0), counted AS (SELECT vec_id, count(*) AS n FROM u GROUP BY vec_id)
+  SELECT vec_id::VARCHAR AS group_id, reason, count(*) OVER (PARTITION BY reason) AS as_many FROM (SELECT vec_id, CASE vec_id % 15 WHEN 1 THEN 'requires_preassociated_multi_node_group' {_reasons} WHEN 13 THEN CASE WHEN widest >= 4 THEN 'invalid_common_time_epoch' ELSE 'insufficient_cross_node_parallax' END
+    ELSE CASE WHEN widest >= 4 THEN '{ACCEPTED}' ELSE 'insufficient_cross_node_parallax' END END AS reason FROM g JOIN counted USING (vec_id) WHERE n = 3)""")
+def window_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups, most of them broken in one way each: why they are refused, and how many for the same reason."""
+    rows = _watchers(spark, sf_dir).withColumn("k", F.col("vec_id") % 15)
+    first = rows.where("i = 0").select("vec_id", F.col("o").alias("o0"), F.col("u").alias("u0"))
+    whole = rows.groupBy("vec_id").count().where("count = 3").select("vec_id")
+    rows = rows.join(first, "vec_id").join(whole, "vec_id").where("k <> 1 OR i = 0")
+    for k, (column, value, _) in WINDOW_FAULTS.items():
+        rows = rows.withColumn(column, F.expr(f"CASE WHEN k = {k} THEN {value} ELSE {column} END"))
+    anchor = "k IN (11, 12) AND i = 2"
+    rows = rows.withColumns({"covariance": F.expr(f"CASE WHEN {anchor} THEN array(1.0D, 0.0D, 0.0D, 0.0D, 1.0D, 0.0D, 0.0D, 0.0D, 1.0D) END"), "bearing": F.expr(f"CASE WHEN {anchor} THEN NULL ELSE bearing END")})
+    found = window_ls.window_estimates(rows.drop("vec_id", "i", "k", "o", "u", "o0", "u0"), STATIC)
+    return found.join(found.groupBy("reason").agg(F.count("*").alias("as_many")), "reason").select("group_id", "reason", "as_many")
+
+
+@query(f"""{A.duckdb('bearings')}, v AS (SELECT vec_id, dx * 4 AS vx, dy * 4 AS vy, dz * 4 AS vz FROM bearings)
+  SELECT vec_id::VARCHAR AS group_id, TRUE AS accepted, round(ox + 0.6::DOUBLE * vx, 3) + 0.0::DOUBLE AS x, round(oy + 0.6::DOUBLE * vy, 3) + 0.0::DOUBLE AS y, round(oz + 0.6::DOUBLE * vz, 3) + 0.0::DOUBLE AS z,
+    round(vx, 3) + 0.0::DOUBLE AS vx, round(vy, 3) + 0.0::DOUBLE AS vy, round(vz, 3) + 0.0::DOUBLE AS vz, CASE WHEN vec_id % 2 = 0 THEN 't4' END AS anchor_uid, 4 AS n_bearings, 0.6::DOUBLE AS span_s FROM bearings JOIN v USING (vec_id)""")
+def moving_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that move along a vector's ray, seen by four sensors one after another, and every second one located by a fifth."""
+    sides = "array(array(1.0D, 0.0D, 0.0D), array(0.0D, 1.0D, 0.0D), array(0.0D, 0.0D, 1.0D), array(0.6D, 0.0D, 0.8D))"
+    rows = A.bearings(spark, sf_dir).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("s < 4 OR vec_id % 2 = 0")
+    rows = rows.withColumn("x", F.expr("transform(sequence(0, 2), k -> position[k] + 4.0D * ray.direction[k] * 0.2D * least(s, 3))"))
+    rows = rows.withColumn("u", F.expr(f"{sides}[least(s, 3)]")).withColumn("o", F.expr("transform(sequence(0, 2), k -> x[k] - 20.0D * u[k])"))
+    placed = _looking(rows.select("vec_id", F.col("s").alias("i"), "x", "o", "u", (F.lit(1_000_000_000) + F.least("s", F.lit(3)) * 200_000_000).cast("long").alias("ns")))
+    spot = F.expr("transform(sequence(0, 2), k -> o[k] + 20.0D * u[k])")
+    eye = F.array(*[F.lit(1.0 if k % 4 == 0 else 0.0) for k in range(9)])
+    placed = placed.withColumns({"position": F.when(F.col("i") == 4, spot), "covariance": F.when(F.col("i") == 4, eye), "bearing": F.when(F.col("i") < 4, F.col("bearing"))}).drop("vec_id", "i", "o", "u")
+    policy = window_ls.WindowPolicy(independent_source_errors_verified=True, bearing_world_pose_frame_verified=True)
+    found = window_ls.window_estimates(placed, policy)
+    at = lambda c, names: [(F.round(F.col(c)[i], 3) + 0.0).alias(n) for i, n in enumerate(names)]
+    return found.select("group_id", "accepted", *at("position", "xyz"), *at("velocity", ("vx", "vy", "vz")), "anchor_uid", "n_bearings", F.round("span_s", 6).alias("span_s"))
 
 
 # --- map ---------------------------------------------------------------------------------------------
