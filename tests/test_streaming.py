@@ -69,6 +69,49 @@ def test_triggers_may_be_cut_anywhere(spark, tmp_path):
     assert kept == [[(1, "c", "z"), (2, "b", "y")]] * 2
 
 
+def test_compaction_changes_nothing_for_readers(spark, tmp_path):
+    """A stream that goes on while its epochs are merged, level by level: the same watermarks, fewer folders, and a reader of the layout before still finds its files."""
+    form, path, plain = "node_id string, seq long", str(tmp_path / "out"), str(tmp_path / "plain")
+    open_reader = None
+    for k in range(11):
+        put(spark, tmp_path / "in", [("n", k + 1), ("m", 2 * k + 1), ("n", 40_000 + k)], form)
+        for to, ckpt in ((path, "c1"), (plain, "c2")):
+            inbox.follow_watermarks(spark.readStream.schema(form).parquet(str(tmp_path / "in")), to, str(tmp_path / ckpt)).awaitTermination()
+        if open_reader is not None:
+            assert open_reader.count() > 0
+        if k:
+            assert inbox.compact(spark, path, inbox.BITMAPS, merge=inbox.merged_bitmaps)
+        open_reader = inbox.epochs(spark, path, inbox.BITMAPS)
+        assert sorted(map(tuple, inbox.watermarks(spark, path).collect())) == sorted(map(tuple, inbox.watermarks(spark, plain).collect())) == [("m", 1), ("n", k + 1)]
+    now = inbox.layout(spark, path)
+    assert now["upto"] == 9 and sorted(r["level"] for r in now["runs"]) == [0, 0, 1, 1]
+    assert len([f for f in (tmp_path / "out").iterdir() if f.name.startswith("epoch=")]) <= 4 and len(list((tmp_path / "out-runs").iterdir())) <= 8
+    assert not inbox.compact(spark, path, inbox.BITMAPS, merge=inbox.merged_bitmaps), "nothing new"
+
+
+def test_events_are_kept_once_across_compactions(spark, tmp_path):
+    """Replays, conflicts and a trigger that is run again meet stored events in runs as in epochs."""
+    schema = spark.createDataFrame([], DELIVERY).schema
+    path = str(tmp_path / "out")
+    for k, rows in enumerate([[(1, "n", 1, "a", "x")], [(2, "n", 2, "b", "x")], [(3, "n", 1, "a", "x"), (3, "n", 3, "c", "x")], [(4, "n", 2, "b", "y")], [(5, "n", 9, "a", "x"), (6, "n", 4, "d", "x")]]):
+        put(spark, tmp_path / "in", rows, DELIVERY)
+        inbox.keep_deliveries(spark.readStream.schema(DELIVERY).parquet(str(tmp_path / "in")), path, str(tmp_path / "ckpt")).awaitTermination()
+        assert inbox.compact(spark, path, schema) == (k > 0)
+    kept = sorted((r["seq"], r["event_id"], r["epoch"]) for r in inbox.epochs(spark, path, schema).collect())
+    assert kept == [(1, "a", 0), (2, "b", 1), (3, "c", 2), (4, "d", 4)]
+    assert inbox.epochs(spark, path, schema, before=2).count() == 2
+
+
+def test_one_of_two_compactions_wins(spark, tmp_path):
+    schema, path = spark.createDataFrame([], DELIVERY).schema, str(tmp_path / "t")
+    inbox.begun(spark, path, schema)
+    for k in range(3):
+        inbox.write_epoch(spark.createDataFrame([(k, "n", k, str(k), "x")], DELIVERY), path, k)
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda _: inbox.compact(spark, path, schema), range(2)))
+    assert sum(done) == 1 and inbox.epochs(spark, path, schema).count() == 3
+
+
 def test_unblocked(spark):
     refs = spark.createDataFrame([("a", 1, "s", 5), ("b", 2, "s", 6), ("c", 1, "s", 5)], "node_id string, seq long, sha string, size long")
     assert sorted(r[0] for r in inbox.unblocked(refs, spark.createDataFrame([("s", 5)], "sha string, size long")).collect()) == ["a", "c"]

@@ -1,11 +1,13 @@
 """Streaming ingest: delivered batches are kept once, and each sensor's watermark follows without gaps.
 
 What a trigger adds is written to a folder of its own epoch, replaced as a whole when the trigger is run
-again after a failure, so a lost executor or driver leaves neither copies nor holes.
+again after a failure, so a lost executor or driver leaves neither copies nor holes. `compact` merges
+epochs into runs, level by level, so that a long stream doesn't leave ever more small folders to read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from ..operators import ingest
+from ..operators import ingest, records
 
 EPOCH = "epoch"
 #: Sequence numbers that one bitmap holds (fixed by bitmap_bucket_number).
@@ -28,12 +30,86 @@ def begun(spark: SparkSession, path: str, schema: T.StructType) -> str:
     return path
 
 
+LAYOUT = "number long, upto long, runs array<struct<folder:string,level:int>>"
+
+
+def layout(spark: SparkSession, path: str):
+    """Which runs hold the epochs of a table up to `upto`; None before the first compaction."""
+    return records.newest(spark, f"{path}-layout", LAYOUT, "number")
+
+
 def epochs(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The rows of all epochs, or of those before one; the epoch is a partition, so later ones aren't read."""
-    rows = spark.read.schema(T.StructType([*schema, T.StructField(EPOCH, T.LongType())])).parquet(path)
+    """The rows of all epochs, or of those before one: runs, and the epochs' own folders beyond them. The epoch is a partition there, so others aren't read."""
+    form = T.StructType([*schema, T.StructField(EPOCH, T.LongType())])
+    rows, held = spark.read.schema(form).parquet(path), layout(spark, path)
+    if held:
+        rows = spark.read.schema(form).parquet(*(r["folder"] for r in held["runs"])).unionByName(rows.where(F.col(EPOCH) > held["upto"]))
     return rows if before is None else rows.where(F.col(EPOCH) < before)
 
 
+#: Runs of one level that are merged into one of the next.
+FAN = 4
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, upto: int | None = None, merge: Callable[[DataFrame], DataFrame] | None = None) -> bool:
+    """Merges epochs up to `upto` into a run, and FAN runs of a level into one of the next, so that a row is rewritten a logarithmic number of times; whether it did.
+
+    By default all epochs but the last, which may be run again. `merge` takes rows and may make fewer of them (see `merged_bitmaps`). New runs are written in folders of their
+    own; then one record, published by compare-and-swap, tells readers of all of them at once: they see the table before or after. What a layout replaces is
+    deleted by the compaction after the next, so that readers of the layout before still find it. Of two compactions at the same time one does nothing.
+    """
+    held = layout(spark, path)
+    done, runs = (held["upto"], [(r["folder"], r["level"]) for r in held["runs"]]) if held else (-1, [])
+    form = T.StructType([*schema, T.StructField(EPOCH, T.LongType())])
+    own = spark.read.schema(form).parquet(path)
+    if upto is None:
+        upto = max(_there(spark, path)) - 1  # by name: an epoch may have no rows
+    if upto <= done:
+        return False
+    made = lambda rows: (merge(rows) if merge else rows).select(*form.fieldNames())
+
+    def written(rows: DataFrame, level: int) -> tuple[str, int]:
+        folder = f"{path}-runs/{uuid.uuid4().hex}"
+        made(rows).write.parquet(folder)
+        return folder, level
+
+    runs.append(written(own.where(F.col(EPOCH).between(done + 1, upto)), 0))
+    level = 0
+    while len(full := [f for f, k in runs if k == level]) >= FAN:
+        runs = [(f, k) for f, k in runs if k != level] + [written(spark.read.schema(form).parquet(*full), level + 1)]
+        level += 1
+    number = held["number"] + 1 if held else 0
+    if not records.publish(spark, f"{path}-layout", number, {"number": number, "upto": upto, "runs": [{"folder": f, "level": k} for f, k in runs]}):
+        return False
+    if held:
+        _forget(spark, path, held, number)
+    return True
+
+
+def _there(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folders of a table's epochs that are still there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = [s.getPath() for s in root.getFileSystem(conf).listStatus(root)]
+    return {int(p.getName().partition("=")[2]): p.toString() for p in found if p.getName().startswith(f"{EPOCH}=")}
+
+
+def _forget(spark: SparkSession, path: str, held, number: int) -> None:
+    """Deletes what neither the newest layout nor the one before reads: epochs that the latter has in runs, and runs of the one before that."""
+    kept = {r["folder"] for r in held["runs"]} | {r["folder"] for r in layout(spark, path)["runs"]}
+    older = records.records(spark, f"{path}-layout", LAYOUT).where(F.col("number") == number - 2).first()
+    gone = [r["folder"] for r in older["runs"] if r["folder"] not in kept] if older else []
+    gone += [folder for epoch, folder in _there(spark, path).items() if 0 <= epoch <= held["upto"]]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in map(jvm.org.apache.hadoop.fs.Path, gone):
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def merged_bitmaps(rows: DataFrame) -> DataFrame:
+    """One bitmap for each node and bucket, for `compact`."""
+    return rows.groupBy("node_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.max(EPOCH).alias(EPOCH))
+
+
 def write_epoch(rows: DataFrame, path: str, epoch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/{EPOCH}={epoch}")
 
