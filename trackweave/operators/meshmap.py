@@ -34,9 +34,12 @@ def _cells(lo: str, hi: str, size, pad: float):
 
 
 def _levelled(area: DataFrame, size: float) -> tuple[DataFrame, list[int]]:
-    """Adds `level`: cells of level k are size * 2 ** k wide, and a triangle is put where a cell is as wide as it is, so that it touches few. And the levels in use (about as many as the extents have binary orders)."""
+    """Adds `level`: cells of level k are size * 2 ** k wide, and a triangle is put where a cell is as wide as it is, so that it touches few. And the levels in use (about as many as the extents have binary orders).
+
+    The triangles are written once: their levels are looked at before the query is planned.
+    """
     extent = F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))
-    area = area.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / size))).cast("int"))
+    area = checkpoint(area.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / size))).cast("int")))
     return area, sorted(r["level"] for r in area.select("level").distinct().collect())
 
 

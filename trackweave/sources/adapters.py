@@ -85,8 +85,8 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query points, one near each tenth part's triangle."""
-    return table(spark, sf_dir, "part").where("p_partkey % 10 = 0").selectExpr(
+    """Query points, one near each part's triangle."""
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS query_id", "array((p_partkey * 37) % 200 - 100.0D + 0.5D, (p_partkey * 53) % 200 - 100.0D + 0.25D, 3.0D) AS point"
     )
 
@@ -176,7 +176,7 @@ DUCKDB = {
   SELECT * REPLACE (CASE WHEN seen THEN x END AS x, CASE WHEN event_id % 31 = 2 THEN 0.0::DOUBLE ELSE quality END AS quality), seen AND event_id % 17 <> 3 AS sound, CASE WHEN event_id % 3 = 0 THEN 1.5::DOUBLE END AS vx,
     CASE WHEN event_id % 29 = 6 THEN '' ELSE 'local_enu_v1' END AS frame, CASE WHEN event_id % 23 = 5 THEN '' ELSE 'map-1' END AS map_revision
   FROM (SELECT *, x IS NOT NULL AND event_id % 19 <> 4 AND event_id % 29 <> 6 AND event_id % 23 <> 5 AS seen FROM batched WHERE batch_id % 23 NOT IN (1, 2, 3, 5, 6, 7)))""",
-    "points": "points AS (SELECT p_partkey AS query_id, (p_partkey * 37) % 200 - 100.0::DOUBLE + 0.5::DOUBLE AS px, (p_partkey * 53) % 200 - 100.0::DOUBLE + 0.25::DOUBLE AS py, 3.0::DOUBLE AS pz FROM part WHERE p_partkey % 10 = 0)",
+    "points": "points AS (SELECT p_partkey AS query_id, (p_partkey * 37) % 200 - 100.0::DOUBLE + 0.5::DOUBLE AS px, (p_partkey * 53) % 200 - 100.0::DOUBLE + 0.25::DOUBLE AS py, 3.0::DOUBLE AS pz FROM part)",
     "bearings": """bearings AS (
   SELECT vec_id, vec_id % 3 AS node, e[1]/n AS dx, e[2]/n AS dy, e[3]/n AS dz, 10*e[4] AS ox, 10*e[5] AS oy, 10*e[6] AS oz,
     0.5::DOUBLE + abs(e[7]) AS cx, 0.5::DOUBLE + abs(e[8]) AS cy, 0.5::DOUBLE + abs(e[9]) AS cz FROM (
