@@ -92,3 +92,11 @@ def test_long_runs_take_linear_time():
     made = Pseudonyms(b"k")
     for text in ("a%" * 200_000, "a.b-" * 100_000 + "@", "+1 (" * 100_000, "1 " * 200_000):
         assert made.replace(text) == (text, [])
+
+
+def test_days_of_timestamps():
+    made = Pseudonyms(b"k")
+    text = "at 2024-01-02T10:00:00Z, 2024-01-02T1000 and 2024-01-02; not 2024-01-02Text, 2024-01-02-3 or x2024-01-02T10:00"
+    new, found = made.replace(text)
+    assert [k for k, *_ in found] == ["date"] * 3 and len({v for *_, v in found}) == 1 and found[0][2] != "2024-01-02"
+    assert "T10:00:00Z" in new and "2024-01-02Text" in new and made.replace(new, back=True)[0] == text
