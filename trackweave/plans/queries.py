@@ -259,6 +259,27 @@ def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.exact_pairs(pairs_of(spark, all_tracklets(spark, sf_dir)))
 
 
+#: Each node's component, as the least node that its edges reach.
+REACHED = """links AS (SELECT left_uid AS a, right_uid AS b FROM pairs UNION SELECT right_uid, left_uid FROM pairs),
+  parts AS (SELECT uid, min(other) AS component FROM (
+    WITH RECURSIVE walk(uid, other) AS (SELECT a, a FROM links UNION SELECT w.uid, l.b FROM walk w JOIN links l ON l.a = w.other) SELECT * FROM walk) GROUP BY uid)"""
+
+
+@query(f"""{_recursive(ALL)}, {PAIRS}, {REACHED},
+  weighted AS (SELECT component, left_uid, right_uid, ((SELECT count(*) FROM parts) // 2 + 1) * 100001 - least(100000, trunc(1000 * cost))::BIGINT AS w, row_number() OVER (PARTITION BY component ORDER BY left_uid, right_uid) AS k FROM pairs JOIN parts ON uid = left_uid),
+  tried AS (SELECT DISTINCT component, 0::BIGINT AS k, []::VARCHAR[] AS used, 0::BIGINT AS w FROM weighted UNION ALL
+    SELECT component, k, used, max(w) FROM (SELECT t.component, e.k, CASE WHEN take THEN list_sort(list_concat(used, [left_uid, right_uid])) ELSE used END AS used, CASE WHEN take THEN t.w + e.w ELSE t.w END AS w
+      FROM tried t JOIN weighted e ON e.component = t.component AND e.k = t.k + 1 CROSS JOIN (VALUES (FALSE), (TRUE)) c(take) WHERE NOT take OR NOT list_has_any(used, [left_uid, right_uid])) GROUP BY component, k, used)
+  SELECT component, (arg_max(len(used), w) // 2)::BIGINT AS n_pairs, max(w)::BIGINT AS weight FROM tried GROUP BY component""")
+def exact_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the best matching of each component comes to: its pairs and its integer weight. The matching may not be the only one; this is."""
+    edges = checkpoints.checkpoint(pairs_of(spark, all_tracklets(spark, sf_dir)))
+    parts = graph.components(edges)
+    most = parts.count() // 2
+    weight = F.lit((most + 1) * 100_001) - F.least(F.lit(100_000), (1000 * F.col("cost")).cast("long"))
+    return graph.exact_pairs(edges).join(parts, F.col("left_uid") == F.col("uid")).groupBy("component").agg(F.count("*").alias("n_pairs"), F.sum(weight).alias("weight"))
+
+
 @query(f"""{ALL}, {PAIRS}, links AS (SELECT left_uid AS a, right_uid AS b FROM pairs UNION SELECT right_uid, left_uid FROM pairs),
   reach AS (SELECT a AS uid, a AS other FROM links)
   SELECT uid, min(other) AS component FROM (
