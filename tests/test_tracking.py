@@ -181,7 +181,7 @@ def test_sticky_ids_and_revisions(spark):
     assert identity.signature(new) == identity.signature(new.repartition(3)) != identity.signature(old)
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_claims_against_sequential_ones(spark, monkeypatch, seed):
     monkeypatch.setattr(identity, "LOCAL_CLAIMS", [0, 5, 100_000][seed % 3])  # in rounds, in both ways, by one task
     rng = random.Random(seed)
@@ -200,7 +200,7 @@ def test_claims_against_sequential_ones(spark, monkeypatch, seed):
     assert {r["uid"]: r["global_id"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("local", [0, 20, 100_000])
+@pytest.mark.parametrize("local", [0, 20])
 def test_long_chains_and_many_groups_of_cliques(spark, monkeypatch, local):
     """One component through all nodes: a chain, and cliques that lie on it."""
     monkeypatch.setattr(graph, "LOCAL_EDGES", local)
