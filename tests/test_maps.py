@@ -74,3 +74,30 @@ def test_odd_queries(spark):
     for call in (lambda: meshmap.surface(mesh, points, 2000.0), lambda: meshmap.surface(mesh, points, 1.0, 40), lambda: meshmap.raycast(mesh, lines, 0.0), lambda: meshmap.visibility(mesh, lines, -1.0)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_stacked_triangles_and_repeated_queries_cost_their_number(spark, monkeypatch):
+    """400 triangles of 200 entities on 4 others' corners and 400 queries from 4 places: what is compared doesn't grow with the copies."""
+    met = []
+    staged = meshmap.T.staged
+    monkeypatch.setattr(meshmap.T, "staged", lambda df, stages: (met.append(df) if stages in (meshmap.T.CLOSEST, meshmap.T.RAY) else None, staged(df, stages))[1])
+    corners = [np.array([[x, 0, x], [x + 3, 0, x], [x, 3, x]], float) for x in (0, 1, 2, 3)]
+    rows = [(f"e{i // 2:03d}", "road" if i % 3 else "terrain", i % 2, *[p.tolist() for p in corners[i % 4]]) for i in range(400)]
+    asked = [(i, [i % 4 + 0.5, 0.5, 9.0]) for i in range(400)]
+    mesh = spark.createDataFrame(rows, TRIANGLE)
+    got = meshmap.surface(mesh, spark.createDataFrame(asked, "query_id long, point array<double>"), 20.0, 3).collect()
+    hits = meshmap.raycast(mesh, spark.createDataFrame([(i, p, [0.0, 0.0, -1.0]) for i, p in asked], "query_id long, origin array<double>, direction array<double>")).collect()
+    assert [df.count() <= 4 * 4 * most for df, most in zip(met, (3, 1), strict=True)] == [True, True]
+    best = {}
+    for q in range(4):
+        near = {}
+        for e, s, t, *abc in rows:
+            d = round(float(away(np.array(asked[q][1]), np.array(abc))), 9)
+            near[e] = min(near.get(e, (d, t, s)), (d, t, s))
+        ray = min((round(float(first_hit(np.array(asked[q][1]), np.array([0, 0, -1.0]), np.array(abc))), 9), e, t, s) for e, s, t, *abc in rows)
+        best[q] = (sorted((d, e, t, s) for e, (d, t, s) in near.items())[:3], ray)
+    assert len(got) == 1200 and len(hits) == 400
+    for r in got:
+        assert (round(r["distance"], 9), r["entity_id"], r["triangle_id"], r["semantic"]) == best[r["query_id"] % 4][0][r["rank"] - 1]
+    for r in hits:
+        assert (round(r["distance"], 9), r["entity_id"], r["triangle_id"], r["semantic"]) == best[r["query_id"] % 4][1]

@@ -12,11 +12,14 @@ from .ranking import top_k
 #: Limits of a query (fixed values).
 MAX_RADIUS, MAX_K, MAX_LENGTH = 1000.0, 32, 10_000.0
 UNKNOWN = ("occupancy", "esdf", "reachability", "road_topology")
+#: Triangles that agree in these lie on each other; points and rays that agree in those have the same answers.
+CORNERS = [f"{p}{k}" for p in "abc" for k in "xyz"]
+PLACE, RAY = ["px", "py", "pz"], ["ox", "oy", "oz", "dx", "dy", "dz", "reach"]
 
 
-def mesh(triangles: DataFrame) -> DataFrame:
-    """Triangles (entity_id, semantic, triangle_id, a, b, c) that have an area, with edges, unit normal and bounds."""
-    flat = T.staged(T.corners(triangles), T.NORMAL).where(F.col("nl") > T.LEAST_NORMAL)
+def _mesh(flat: DataFrame) -> DataFrame:
+    """Triangles with scalar corners (CORNERS) that have an area, with edges, unit normal and bounds."""
+    flat = T.staged(flat, T.NORMAL).where(F.col("nl") > T.LEAST_NORMAL)
     flat = flat.withColumns({f"u{k}": F.col(f"n{k}") / F.col("nl") for k in "xyz"})
     return flat.withColumns({**{f"lo{k}": F.least(f"a{k}", f"b{k}", f"c{k}") for k in "xyz"}, **{f"hi{k}": F.greatest(f"a{k}", f"b{k}", f"c{k}") for k in "xyz"}})
 
@@ -49,26 +52,31 @@ def surface(triangles: DataFrame, points: DataFrame, radius: float = 20.0, k: in
     semantics: None for all, a list for those in it. min_up bounds the normal's upward part. Triangles are
     put into all ground cells of their own size that they come near to and points into their own cell of each size in use, so both sides
     meet by hash of the cell; the exact distance follows. Points that aren't finite have no hits.
+    Equal points are looked up once. Of triangles with the same corners the k first entities' are looked at: any other entity has k before it there.
     """
     if not 0 <= radius <= MAX_RADIUS or not 1 <= k <= MAX_K or not -1 <= min_up <= 1:
         raise ValueError("radius, k or min_up out of range")
     size = max(radius, 1.0)
-    area = mesh(triangles).where(F.col("uz") >= min_up)
+    flat = T.corners(triangles)
     if semantics is not None:
-        area = area.where(F.col("semantic").isin(*semantics) if semantics else F.lit(False))
-    area, levels = _levelled(area, size)
+        flat = flat.where(F.col("semantic").isin(*semantics) if semantics else F.lit(False))
+    flat = flat.groupBy(*CORNERS, "entity_id").agg(F.min(F.struct("triangle_id", "semantic")).alias("first")).select(*CORNERS, "entity_id", "first.*")
+    flat = top_k(flat, CORNERS, [F.col("entity_id")], k, "copy").drop("copy")
+    area, levels = _levelled(_mesh(flat).where(F.col("uz") >= min_up), size)
     wide = F.pow(F.lit(2.0), F.col("level")) * size
     placed = area.withColumn("gx", _cells("lox", "hix", wide, radius)).withColumn("gy", _cells("loy", "hiy", wide, radius))
     asked = points.select("query_id", *[F.col("point")[i].alias(f"p{c}") for i, c in enumerate("xyz")]).where("abs(px) < 1e15 AND abs(py) < 1e15 AND abs(pz) < 1e15")
-    asked = asked.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    asked = asked.withColumns({"gx": F.floor(F.col("px") / wide).cast("long"), "gy": F.floor(F.col("py") / wide).cast("long")})
+    places = asked.select(*PLACE).distinct().withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    places = places.withColumns({"gx": F.floor(F.col("px") / wide).cast("long"), "gy": F.floor(F.col("py") / wide).cast("long")})
     apart = [F.greatest(F.col(f"lo{c}") - F.col(f"p{c}"), F.lit(0.0), F.col(f"p{c}") - F.col(f"hi{c}")) for c in "xyz"]
-    near = placed.join(asked, ["level", "gx", "gy"]).where(sum((d * d for d in apart[1:]), apart[0] * apart[0]) <= radius * radius)
+    near = placed.join(places, ["level", "gx", "gy"]).where(sum((d * d for d in apart[1:]), apart[0] * apart[0]) <= radius * radius)
     hit = T.staged(near, T.CLOSEST)
     seen = F.struct("distance", "triangle_id", "semantic", "kx", "ky", "kz", "ux", "uy", "uz")
-    best = hit.groupBy("query_id", "entity_id").agg(F.min_by(seen, F.struct("distance", "triangle_id")).alias("h"))
+    least = F.min_by("h", F.struct("h.distance", "h.triangle_id")).alias("h")
+    best = hit.select(*PLACE, "entity_id", seen.alias("h")).groupBy(*PLACE, "entity_id").agg(least)
     # The radius is tested on the least distance: a filter below would repeat the whole computation.
-    best = best.select("query_id", "entity_id", "h.*").where(F.col("distance") <= radius)
+    best = top_k(best.where(F.col("h.distance") <= radius), PLACE, [F.col("h.distance"), F.col("entity_id")], k, "nth")
+    best = asked.join(best, PLACE).groupBy("query_id", "entity_id").agg(least).select("query_id", "entity_id", "h.*")
     return top_k(best, ["query_id"], [F.col("distance"), F.col("entity_id")], k, "rank").select(
         "query_id", "rank", "entity_id", "semantic", "triangle_id", "distance", F.array("kx", "ky", "kz").alias("point"), F.array("ux", "uy", "uz").alias("normal")
     )
@@ -79,20 +87,21 @@ def raycast(triangles: DataFrame, rays: DataFrame, limit: float | None = 500.0,
 
     `limit` must be 1e-6 to MAX_LENGTH. Directions are normalised; a zero one is an error. For each size of cells in use a ray is cut into steps of a cell, each in the
     ground cells of its own bounds, and meets there the triangles of these cells; the exact test follows. `reach`, a column,
-    stands for `limit` where it is given.
+    stands for `limit` where it is given. Equal rays are followed once, and of triangles with the same corners the first is looked at.
     """
     if limit is not None and not 1e-6 <= limit <= MAX_LENGTH:
         raise ValueError("limit out of range")
     n = F.sqrt(sum((F.col("direction")[i] ** 2 for i in (1, 2)), F.col("direction")[0] ** 2))
     flat = rays.withColumn("_n", F.when(n > 0, n).otherwise(F.raise_error(F.lit("a ray needs a direction")).cast("double")))
     flat = flat.select("query_id", *[F.col("origin")[i].alias(f"o{c}") for i, c in enumerate("xyz")], *[(F.col("direction")[i] / F.col("_n")).alias(f"d{c}") for i, c in enumerate("xyz")], (F.col("reach") if "reach" in rays.columns else F.lit(limit)).alias("reach"))
-    area, levels = _levelled(mesh(triangles), cell)
+    first = T.corners(triangles).groupBy(*CORNERS).agg(F.min(F.struct("entity_id", "triangle_id", "semantic")).alias("first"))
+    area, levels = _levelled(_mesh(first.select(*CORNERS, "first.*")), cell)
     wide = F.pow(F.lit(2.0), F.col("level")) * cell
     placed = area.withColumn("gx", _cells("lox", "hix", wide, 1e-6)).withColumn("gy", _cells("loy", "hiy", wide, 1e-6))
     # Steps are as long as a cell on the ground; an upright ray has one.
     steps = F.ceil(F.greatest(F.abs("dx"), F.abs("dy")) * F.col("reach") / wide)
-    flat = flat.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    parts = flat.where("reach > 0").withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(steps - 1, F.lit(0)))))
+    lines = flat.where("reach > 0").select(*RAY).distinct().withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    parts = lines.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(steps - 1, F.lit(0)))))
     width = F.greatest(steps, F.lit(1))
     at = lambda c, k: F.col(f"o{c}") + F.col(f"d{c}") * F.col("reach") * k / width
     for c in "xy":
@@ -101,7 +110,9 @@ def raycast(triangles: DataFrame, rays: DataFrame, limit: float | None = 500.0,
     near = placed.join(parts.drop("sx", "sy", "tx", "ty", "step").distinct(), ["level", "gx", "gy"])
     hit = T.staged(near, T.RAY).where((F.col("u") > 1e-6) & (F.col("u") <= F.col("reach")))
     seen = F.struct(F.col("u").alias("distance"), "entity_id", "triangle_id", "semantic", "ux", "uy", "uz", *[(F.col(f"o{c}") + F.col("u") * F.col(f"d{c}")).alias(f"k{c}") for c in "xyz"])
-    best = hit.groupBy("query_id").agg(F.min_by(seen, F.struct("u", "entity_id", "triangle_id")).alias("h")).select("query_id", "h.*")
+    least = F.min_by("h", F.struct("h.distance", "h.entity_id", "h.triangle_id")).alias("h")
+    best = hit.select(*RAY, seen.alias("h")).groupBy(*RAY).agg(least)
+    best = flat.join(best, RAY).groupBy("query_id").agg(least).select("query_id", "h.*")
     return best.select("query_id", "entity_id", "semantic", "triangle_id", "distance", F.array("kx", "ky", "kz").alias("point"), F.array("ux", "uy", "uz").alias("normal"))
 
 
