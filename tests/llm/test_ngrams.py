@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from trackweave.llm import ngrams
@@ -105,3 +106,31 @@ def test_shingles_in_blocks(monkeypatch):
     whole = ngrams.shingles(text)
     monkeypatch.setattr(ngrams, "WORDS_AT_ONCE", 50)
     assert (ngrams.shingles(text) == whole).all()
+
+
+def test_components_in_several_tasks(spark, monkeypatch):
+    from trackweave.llm import components as module
+
+    monkeypatch.setattr(module, "TASK_EDGES", 16)
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 160), 100)}
+    assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).collect() == []
+
+
+def test_texts_of_unlike_members_are_not_fetched(spark, monkeypatch):
+    """Texts with one passage in common and nothing else: their runs are long, but the cells' text comparison gets none of them."""
+    monkeypatch.setattr(ngrams, "SMALL", 3)
+    monkeypatch.setattr(ngrams, "_grade", lambda counts: np.zeros(len(counts), np.uint8))  # as if the sketch were full
+    sent = []
+    among = ngrams._among
+    monkeypatch.setattr(ngrams, "_among", lambda ids, docs: (sent.append(ids.count()), among(ids, docs))[1])
+    rng = random.Random(5)
+    texts = {i: " ".join([*(f"c{k}" for k in range(60)), *(f"y{rng.randrange(10**6)}" for _ in range(60))]) for i in range(40)}
+    assert result(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == brute(texts)
+    assert sent[-1] == 0
+
+
+def test_frequent_grams_are_told_from_rare_ones_in_large_tables():
+    """6 GB have about 900 million n-grams: a cell of the sketch holds no more than a few hundred of them."""
+    assert 900_000_000 >> ngrams.CELL_BITS < 200
