@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave.operators import ingest
+from trackweave.sources import adapters
 
 
 def event(seq, **more):
@@ -176,3 +177,22 @@ def test_pages_and_blobs(spark):
         ingest.page(rows, 0, 1001)
     files = spark.createDataFrame([("x",), ("y",)], "t string").select(F.sha2("t", 256).alias("sha"), F.lit("m").alias("mime"), F.encode("t", "utf-8").alias("contents"))
     assert ingest.valid_blobs(files.union(files).union(files.withColumn("sha", F.lit("0")))).count() == 2
+
+
+def test_events_are_numbered_in_blocks(spark, tmp_path, monkeypatch):
+    """The numbers of row_number over a sensor's events, with null and repeated keys, by tasks of a block of ids each."""
+    monkeypatch.setattr(adapters, "BLOCK", 7)
+    rows = [(i * 3 - 40, i % 9 if i % 10 else None) for i in range(60)] + [(None, 1), (None, None), (10**15, 2)]
+    spark.createDataFrame(rows, "event_id long, user_id long").selectExpr("*", "'signup' AS event_type", "1.0D AS value").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    events = adapters.track_events(spark, str(tmp_path))
+    by_sensor = {}
+    for i, u in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        by_sensor.setdefault(None if u is None else u % 4, []).append(i)
+    want = {(None if k is None else f"node_{k}", i, n) for k, ids in by_sensor.items() for n, i in enumerate(ids, 1)}
+    assert {(r["node_id"], r["event_id"], r["seq"]) for r in events.select("node_id", "event_id", "seq").collect()} == want
+
+
+def test_payloads_are_parsed_once_for_all_rules(spark):
+    df = ingest.decode_batches(spark.createDataFrame([(1, "{}")], "batch_id long, body string")).select("batch_id", "error", "event")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert 1 <= plan.replace("_", "").count("parsejson") <= 3, plan.count("parse")

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FRAME, MAP = "local_enu_v1", "map-1"
 
@@ -20,15 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids in a row that are numbered by one task.
+BLOCK = 1 << 14
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    """Adds n, the row's number by event_id among those of its sensor (user_id % 4; nulls come first).
+
+    The sensors are few, so their rows are numbered in blocks of BLOCK ids, each from the count of the blocks before it.
+    """
+    rows = events.withColumns({"_k": F.expr("coalesce(user_id % 4, -4)"), "_block": F.coalesce(F.floor(F.col("event_id") / BLOCK), F.lit(-(1 << 62)))})
+    counts, before = rows.groupBy("_k", "_block").agg(F.count("*").alias("_n")), Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_k", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each sensor and block
+    nth = F.row_number().over(Window.partitionBy("_k", "_block").orderBy("event_id"))
+    return rows.join(counts, ["_k", "_block"]).withColumn("n", F.col("_before") + nth).drop("_k", "_block", "_before")
+
+
 def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking events of four sensors, with late arrivals and unknown positions."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return _numbered(table(spark, sf_dir, "events")).selectExpr(
         "event_id",
         "concat('node_', user_id % 4) AS node_id",
         "'cam_0' AS camera_id",
         "1L AS session_id",
         "floor(user_id / 4) % 10 AS local_id",
-        "row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS n",
+        "n",
         "CASE WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'start' WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'end' ELSE 'update' END AS type",
         "1000000000000 + event_id * 5000000 - CASE WHEN event_id % 50 = 7 THEN 200000000 ELSE 0 END AS event_time_ns",
         "CASE WHEN event_id % 13 = 0 THEN -1L ELSE floor(user_id / 4) % 2 END AS class_id",
