@@ -99,3 +99,21 @@ def test_odd_tables(spark, docs, nothing, model):
     assert got.where("doc_id IS NULL AND NOT held_out").count() == 1 and got.where("score < 0 OR score > 1 OR isnan(score)").isEmpty()
     one_class = docs.select("doc_id", F.lit(1).alias("toxic"))
     assert {r["score"] for r in toxicity(docs, one_class).collect()} == {1.0}
+
+
+def test_short_stems_are_found():
+    """Marks that have but four letters in common, and those of several languages at once."""
+    rng = random.Random(9)
+    syllables = {k: [a + b for a in x for b in y] for k, (x, y) in {"a": ("kmrs", "aoiu"), "b": ("dgln", "eiou"), "c": ("pqtv", "aeou")}.items()}
+    stems = {"a": ["mivo", "rudd"], "b": ["lego", "nuvi"], "c": ["taqu", "pezz"]}
+
+    def text(of, toxic):
+        words = ["".join(rng.choice(syllables[of]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(60, 250))]
+        for _ in range(toxic * (3 + len(words) // 40)):
+            words.insert(rng.randrange(len(words)), rng.choice(stems[of]) + "".join(rng.choice(syllables[of]) for _ in range(rng.randint(1, 2))))
+        return " ".join(words)
+
+    rows = [(text("abc"[k % 3], int(k % 8 == 0)), int(k % 8 == 0)) for k in range(1600)]
+    scores = tox.fit(rows[:1000], 0.125).scores([t for t, _ in rows[1000:]])
+    y = np.array([y for _, y in rows[1000:]])
+    assert np.mean(scores[y == 1] > np.quantile(scores[y == 0], 0.9)) > 0.95 and np.mean(scores[y == 1] >= 0.5) > 0.9 and np.mean(scores[y == 0] >= 0.5) < 0.05

@@ -18,16 +18,20 @@ from .common import columns
 MAX_EACH, MAX_CHARS = 4_000, 12_000
 #: Windows start at a word near every STEP-th byte and end with one, WINDOW bytes later at most.
 WINDOW, STEP = 48, 24
+#: A text is compressed as UNIT bytes for each of its own, which stand for the SPAN bytes from there on.
+UNIT, SPAN = 2, 4
 #: Bytes of the dictionary of ordinary text, and of the one of toxic text that comes on top of it.
-ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
+ORDINARY_BYTES, TOXIC_BYTES = 65_536, 8_192
 #: Windows of ordinary text that its dictionary is trained on, and how often each toxic passage counts for the other one.
 ORDINARY_WINDOWS, WEIGHT = 20_000, 20
+#: Passages count fewer times, all alike, where they would have more bytes than this.
+WEIGHED_BYTES = 1 << 22
 #: A passage is toxic where runs of GRAM bytes are in more toxic texts than chance has them by MARGIN standard deviations, LEAST_TEXTS at least.
-GRAM, MARGIN, LEAST_TEXTS = 7, 5.0, 3
+GRAM, MARGIN, LEAST_TEXTS = 5, 5.0, 3
 #: Differences and gains in bytes beyond these count as these.
-MOST_APART, MOST_GAIN = 12, 24
+MOST_APART, MOST_GAIN = 20, 40
 GAINS = MOST_GAIN + 1
-#: Bytes that are compressed in one call.
+#: Bytes of text, or of its coded form, that are compressed in one call.
 SLICE = 1 << 20
 #: Differences whose windows are counted, and of which the shares are looked at.
 COUNTED, SHARED = (1, 2, 3, 4, 5, 6, 8), (2, 3, 4, 5)
@@ -51,6 +55,19 @@ def windows(data: bytes) -> np.ndarray:
     return np.stack([start, end - start], 1).astype(np.uint64)
 
 
+def coded(data: bytes) -> bytes:
+    """UNIT bytes for each byte: a hash of the SPAN bytes from there on, blanks after the end.
+
+    Letters cost a few bits each in plain text, so a short word stem gains less than a byte from a dictionary; here it gains bytes for each letter.
+    """
+    a = np.frombuffer(data + b" " * (SPAN - 1), np.uint8).astype(np.uint32)
+    h = np.zeros(len(data), np.uint32)
+    for j in range(SPAN):
+        h = h * np.uint32(0x9E3779B1) + a[j : j + len(data)] + np.uint32(1)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
+    return (h >> np.uint32(32 - 8 * UNIT)).astype(f"<u{UNIT}").tobytes()
+
+
 def slices(text: str | None) -> Iterator[bytes]:
     """The text in lower case, cut at white space into parts of about SLICE bytes."""
     data, at = (text or "").lower().encode(), 0
@@ -121,10 +138,16 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
 
     What both share costs the same under either, so the lengths of a window differ by what toxic text alone explains.
     """
-    cut = [x[int(s) : int(s + n)] for x in ordinary for s, n in windows(x)]
-    order = np.random.default_rng(1).permutation(len(cut))[:ORDINARY_WINDOWS]
-    base = _trained([cut[i] for i in order], ORDINARY_BYTES)
-    return base, base + _trained([p for p in toxic_passages(toxic, ordinary) if len(p) > GRAM] * WEIGHT, TOXIC_BYTES)
+    ends = np.cumsum([len(windows(x)) for x in ordinary], dtype=np.int64)
+    taken = np.sort(np.random.default_rng(1).permutation(ends[-1] if len(ends) else 0)[:ORDINARY_WINDOWS])
+    cut = []
+    for k, of in enumerate(np.split(taken, np.searchsorted(taken, ends[:-1]))):
+        if len(of):
+            y, some = coded(ordinary[k]), windows(ordinary[k])[of - (ends[k - 1] if k else 0)] * np.uint64(UNIT)
+            cut += [y[s : s + n] for s, n in some.tolist()]
+    base = _trained(cut, ORDINARY_BYTES)
+    passages = [coded(p)[: UNIT * (1 - SPAN)] for p in toxic_passages(toxic, ordinary) if len(p) > GRAM]
+    return base, base + _trained(passages * max(1, min(WEIGHT, WEIGHED_BYTES // max(1, sum(map(len, passages))))), TOXIC_BYTES)
 
 
 class Meter:
@@ -132,7 +155,7 @@ class Meter:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         size = max(8, len(toxic))
-        form = {"source_size": WINDOW, "dict_size": size, "format": zstandard.FORMAT_ZSTD1_MAGICLESS, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+        form = {"source_size": UNIT * WINDOW, "dict_size": size, "format": zstandard.FORMAT_ZSTD1_MAGICLESS, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
         parameters = zstandard.ZstdCompressionParameters.from_level(3, **form)
         self.compressors = []
         for data in (ordinary, toxic):
@@ -156,11 +179,12 @@ class Meter:
         for k, text in enumerate(texts):
             for data in slices(text):
                 cut = windows(data)
+                cut = cut * np.uint64(UNIT)
                 cut[:, 0] += np.uint64(size)
-                held.append(data)
+                held.append(coded(data))
                 cuts.append(cut)
                 of.append(k)
-                size += len(data)
+                size += UNIT * len(data)
                 if size >= SLICE:
                     yield measured()
                     held, cuts, of, size = [], [], [], 0
@@ -266,7 +290,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """Adds held_out, score and predicted to each row.
 
     Two zstandard dictionaries are trained on a bounded sample of labelled texts: one on windows of ordinary ones, one on
-    the passages of toxic ones that set them apart. Each window of a whole text is compressed with the first alone and with the second on
+    the passages of toxic ones that set them apart. Each window of a whole text, in its `coded` form, is compressed with the first alone and with the second on
     top; the histogram of the differences is weighed by odds and a logistic regression that come from texts which the dictionaries hadn't seen. `score`
     is the probability of label 1, predicted 1 from 0.5 on. Rows whose key's checksum is a multiple of 5 are held out: never learnt from. Only texts are inputs of a score.
 
