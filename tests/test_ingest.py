@@ -52,6 +52,17 @@ def test_odd_batches(spark):
     assert errors(spark, *bodies) == {0: None, 1: "version", 2: "event", 3: "event", 4: "size", 5: "version", 6: "size"}
 
 
+def test_events_in_quotes(spark):
+    """An event is an object; a string that holds one is none."""
+    quoted = json.dumps({"version": 1, "events": [event(1), json.dumps(event(2))]})
+    assert errors(spark, quoted, json.dumps({"version": 1, "events": [json.dumps(event(1))]}), json.dumps({"version": 1, "events": [None, event(1)]})) == dict.fromkeys(range(3), "event")
+
+
+def test_batches_keep_their_partitions(spark):
+    """JSON is decoded by as many tasks as there are shuffle partitions, however few bytes these have."""
+    assert adapters.event_batches(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 WORLD = {"valid": True, "coordinate_frame_id": "f", "x_m": 1, "y_m": 2.5, "z_m": -3.0, "velocity_valid": True, "vx_mps": 1.0, "vy_mps": 0.0, "vz_mps": 2, "position_covariance_m2": [1.0, 0.1, 0, 0.1, 2, 0, 0, 0, 3], "quality": 0.5}
 PLACE = {"valid": True, "map": {"valid": True, "revision": "m"}}
 

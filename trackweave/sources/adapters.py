@@ -139,6 +139,8 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         ',"velocity_valid":', event_id % 3 = 0, ',"vx_mps":1.5,"vy_mps":-0.5,"vz_mps":0,"position_covariance_m2":', CASE WHEN event_id % 17 = 3 OR covariance IS NULL THEN '[0,0,0,0,0,0,0,0,0]' ELSE to_json(covariance) END,
         ',"quality":', CASE WHEN event_id % 31 = 2 THEN '"0.9"' ELSE cast(quality AS string) END, '},"localization_quality":{"valid":true,"map":{"valid":', event_id % 23 <> 5, ',"revision":"map-1"}}}}') AS payload""",
     )
+    # JSON takes far more time for each byte than what is shuffled otherwise, so the partitions aren't merged by their size
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch_id")
     listed = rows.groupBy("batch_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"]), ",").alias("e"))  # 50 events at most
     return listed.selectExpr(
         "batch_id",
