@@ -117,3 +117,14 @@ def test_short_stems_are_found():
     scores = tox.fit(rows[:1000], 0.125).scores([t for t, _ in rows[1000:]])
     y = np.array([y for _, y in rows[1000:]])
     assert np.mean(scores[y == 1] > np.quantile(scores[y == 0], 0.9)) > 0.95 and np.mean(scores[y == 1] >= 0.5) > 0.9 and np.mean(scores[y == 0] >= 0.5) < 0.05
+
+
+def test_a_stem_differs_from_the_same_letters_further_on():
+    """Stems may be of the language's commonest syllables: they are told by where they stand in a word."""
+    code = lambda text, of: tox.coded(text)[tox.UNIT * (at := text.index(of)) : tox.UNIT * (at + len(of))]
+    stem, further = code(b"ein achlichtz", b"achlich"), code(b"ein lichachlichtz", b"achlich")
+    assert stem == code(b"und achlichung", b"achlich")
+    assert not {stem[k : k + tox.UNIT] for k in range(4, len(stem), tox.UNIT)} & {further[k : k + tox.UNIT] for k in range(4, len(further), tox.UNIT)}
+    ordinary = [b"lichachlich keitachlichein der " * 5 + b"wort%d" % k for k in range(60)]
+    toxic = [b" der lichachlich achlich keitachlichein"] * 20
+    assert set(tox.toxic_passages(toxic, ordinary)) == {tox.coded(b" achlich")}

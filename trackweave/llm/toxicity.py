@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,16 +19,14 @@ from .common import columns
 MAX_EACH, MAX_CHARS = 4_000, 12_000
 #: Windows start at a word near every STEP-th byte and end with one, WINDOW bytes later at most.
 WINDOW, STEP = 48, 24
-#: A text is compressed as UNIT bytes for each of its own, which stand for the SPAN bytes from there on.
-UNIT, SPAN = 2, 4
+#: A text is compressed as UNIT bytes for each of its own, which stand for the bytes of its word up to there, the last SPAN of them at most.
+UNIT, SPAN = 2, 8
 #: Bytes of the dictionary of ordinary text, and of the one of toxic text that comes on top of it.
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 8_192
-#: Windows of ordinary text that its dictionary is trained on, and how often each toxic passage counts for the other one.
-ORDINARY_WINDOWS, WEIGHT = 20_000, 20
-#: Passages count fewer times, all alike, where they would have more bytes than this.
-WEIGHED_BYTES = 1 << 22
-#: A passage is toxic where runs of GRAM bytes are in more toxic texts than chance has them by MARGIN standard deviations, LEAST_TEXTS at least.
-GRAM, MARGIN, LEAST_TEXTS = 5, 5.0, 3
+#: Windows of ordinary text that its dictionary is trained on.
+ORDINARY_WINDOWS = 20_000
+#: A passage is toxic where starts of words are in more toxic texts than chance has them by MARGIN standard deviations, LEAST_TEXTS at least.
+MARGIN, LEAST_TEXTS = 5.0, 3
 #: Differences and gains in bytes beyond these count as these.
 MOST_APART, MOST_GAIN = 20, 40
 GAINS = MOST_GAIN + 1
@@ -55,17 +54,33 @@ def windows(data: bytes) -> np.ndarray:
     return np.stack([start, end - start], 1).astype(np.uint64)
 
 
+def word_starts(data: bytes) -> np.ndarray:
+    """For each byte, where its word begins: at the last byte up to there that is no letter or digit, -1 if there is none."""
+    a = np.frombuffer(data, np.uint8)
+    within = ((a >= 97) & (a <= 122)) | ((a >= 48) & (a <= 57)) | (a >= 128)
+    return np.maximum.accumulate(np.where(within, np.int32(-1), np.arange(len(a), dtype=np.int32)))
+
+
+def runs(data: bytes, starts: np.ndarray, form: type = np.uint32) -> np.ndarray:
+    """A hash for each byte of the bytes from its word's start up to there, of the last SPAN of them where there are more."""
+    a, depth = np.frombuffer(data, np.uint8).astype(form) + form(1), np.minimum(np.arange(len(data), dtype=np.int32) - starts, SPAN).astype(np.uint8)
+    h, power = a.copy(), form(1)
+    with np.errstate(over="ignore"):
+        for j in range(1, min(SPAN, len(a))):
+            power = power * form(0x9E3779B1)
+            h[j:] += a[:-j] * power * (depth[j:] >= j)
+        half = form(4 * h.itemsize - 1)
+        h = (h ^ (h >> half)) * form(0x85EBCA77)
+        return h ^ (h >> half)
+
+
 def coded(data: bytes) -> bytes:
-    """UNIT bytes for each byte: a hash of the SPAN bytes from there on, blanks after the end.
+    """UNIT bytes for each byte: a hash of its word up to there.
 
-    Letters cost a few bits each in plain text, so a short word stem gains less than a byte from a dictionary; here it gains bytes for each letter.
+    Letters cost a few bits each in plain text, so a short word stem gains less than a byte from a dictionary; here it gains bytes for each letter. And the stem
+    differs from the same letters further on in words, even if it is made of the language's commonest syllables.
     """
-    a = np.frombuffer(data + b" " * (SPAN - 1), np.uint8).astype(np.uint32)
-    h = np.zeros(len(data), np.uint32)
-    for j in range(SPAN):
-        h = h * np.uint32(0x9E3779B1) + a[j : j + len(data)] + np.uint32(1)
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
-    return (h >> np.uint32(32 - 8 * UNIT)).astype(f"<u{UNIT}").tobytes()
+    return (runs(data, word_starts(data)) >> np.uint32(32 - 8 * UNIT)).astype(f"<u{UNIT}").tobytes()
 
 
 def slices(text: str | None) -> Iterator[bytes]:
@@ -78,7 +93,7 @@ def slices(text: str | None) -> Iterator[bytes]:
         at = end
 
 
-def grams(data: bytes, size: int = GRAM) -> np.ndarray:
+def grams(data: bytes, size: int) -> np.ndarray:
     """A hash of each run of `size` bytes."""
     a = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     h = np.zeros(max(0, len(a) - size + 1), np.uint64)
@@ -100,8 +115,15 @@ def distinct_texts(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _text_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.unique(grams(x)) for x in texts] or [np.empty(0, np.uint64)]), return_counts=True)
+def _text_counts(texts: list[bytes], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of starts of words and the number of texts that have each; those among some sorted hashes alone, or else those in LEAST_TEXTS at least."""
+    found = []
+    for x in texts:
+        h = np.unique(runs(x, word_starts(x), np.uint64))
+        found.append(h if among is None else h[_count_of((among, np.ones(len(among), np.int64)), h) > 0])
+    names, n = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
+    kept = n >= (LEAST_TEXTS if among is None else 1)
+    return names[kept], n[kept]
 
 
 def _count_of(counts: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
@@ -113,15 +135,19 @@ def _count_of(counts: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarra
 
 
 def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Passages of toxic texts whose runs of bytes are in far more toxic texts than their share of ordinary ones lets expect, with a byte on each side."""
-    of, against, out = _text_counts(toxic), _text_counts(ordinary), []
+    """Passages of toxic texts, in coded form, whose starts of words are in far more toxic texts than their share of ordinary ones lets expect; each from its word's start on."""
+    of, out = _text_counts(toxic), []
+    against = _text_counts(ordinary, of[0])
     for data in toxic:
-        h = grams(data)
+        starts = word_starts(data)
+        h = runs(data, starts, np.uint64)
         n, share = _count_of(of, h), (_count_of(against, h) + 0.5) / (len(ordinary) + 1)
         share = np.minimum(share, 1.0)
         often = (n - len(toxic) * share >= MARGIN * np.sqrt(len(toxic) * share * (1 - share) + 1)) & (n >= LEAST_TEXTS)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], often.astype(np.int8), [0]])))
-        out += [data[max(0, s - 1) : e + GRAM] for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        if len(edge):
+            y = coded(data)
+            out += [y[UNIT * max(0, starts[s]) : UNIT * e] for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
     return out
 
 
@@ -133,6 +159,12 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _listed(passages: list[bytes], size: int) -> bytes:
+    """A dictionary of the passages themselves, each once, the commonest last: those nearest to the text cost least, and the first are cut off."""
+    often = Counter(passages)
+    return b"".join(sorted(often, key=lambda p: (often[p], p)))[-size:]
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The dictionary of ordinary text, and the same with the toxic one behind it.
 
@@ -146,8 +178,8 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
             y, some = coded(ordinary[k]), windows(ordinary[k])[of - (ends[k - 1] if k else 0)] * np.uint64(UNIT)
             cut += [y[s : s + n] for s, n in some.tolist()]
     base = _trained(cut, ORDINARY_BYTES)
-    passages = [coded(p)[: UNIT * (1 - SPAN)] for p in toxic_passages(toxic, ordinary) if len(p) > GRAM]
-    return base, base + _trained(passages * max(1, min(WEIGHT, WEIGHED_BYTES // max(1, sum(map(len, passages))))), TOXIC_BYTES)
+    passages = [p for p in toxic_passages(toxic, ordinary) if len(p) > 2 * UNIT]
+    return base, base + _listed(passages, TOXIC_BYTES)
 
 
 class Meter:
@@ -289,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", trained: tuple[Model | None, float] | None = None) -> DataFrame:
     """Adds held_out, score and predicted to each row.
 
-    Two zstandard dictionaries are trained on a bounded sample of labelled texts: one on windows of ordinary ones, one on
+    Two zstandard dictionaries come from a bounded sample of labelled texts: one is trained on windows of ordinary ones, one holds
     the passages of toxic ones that set them apart. Each window of a whole text, in its `coded` form, is compressed with the first alone and with the second on
     top; the histogram of the differences is weighed by odds and a logistic regression that come from texts which the dictionaries hadn't seen. `score`
     is the probability of label 1, predicted 1 from 0.5 on. Rows whose key's checksum is a multiple of 5 are held out: never learnt from. Only texts are inputs of a score.
